@@ -152,7 +152,7 @@ def pool_sweep(targets: DataFrame, catalog: DataFrame, context: list[str], sizes
     lines = targets.join(length_quotas(targets, catalog, context, need), [*context, "target_length"])
     placed = prefix_sum(catalog, keys, F.conv(F.substring("candidate_id", 1, 4), 16, 10).cast("bigint"),
                         ["candidate_id"], F.lit(1), "place")
-    steps = lines.withColumn("place", F.explode(F.sequence(F.lit(0), F.col("quota") - 1)).cast("bigint"))
+    steps = lines.withColumn("place", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("quota").cast("bigint") - 1)))
     found = steps.join(placed, [*keys, "place"]).withColumn(
         "gap", F.abs(F.col("candidate_length") - F.col("target_length")))
     order = Window.partitionBy("target_id").orderBy("gap", "candidate_id")

@@ -1,10 +1,15 @@
-"""Candidate catalogues, pools, donors, sweeps."""
+"""Candidate catalogues, pools, donors, sweeps, splits, folds and batch plans."""
 
 from pyspark.sql import functions as F
 
-from trialloom.operators import canonical, pools
+from trialloom.functions import keys
+from trialloom.operators import batches, joins, pools, reshape, splits
 from trialloom.plans.registry import query
-from trialloom.plans.tables import POOL, SEED, VIEWS, sql_hash, sql_ring, sql_ring_gap
+from trialloom.plans.tables import FOLDS, POOL, SEED, VIEWS, sql_draw, sql_hash, sql_ring, sql_ring_gap
+from trialloom.plans.xfit_views import (
+    doc_folds, doc_pseudo, doc_rows, vec_donors, vec_pools, vec_targets, xfit, xfit_roles,
+)
+from trialloom.session import cut
 
 
 @query("A04_candidate_catalog", """
@@ -15,7 +20,7 @@ def catalog(t):
 
 def pool_targets(t):
     return t.trial_keys.select(F.col("trial_id").alias("target_id"), F.col("candidate_id").alias("positive_id"),
-                           "dataset_version", "reading_task", F.col("length").alias("target_length"))
+                               "dataset_version", "reading_task", F.col("length").alias("target_length"))
 
 
 def pool_catalog(t):
@@ -39,6 +44,10 @@ FROM (SELECT trial_id AS target_id, candidate_id AS positive_id, dataset_version
 """
 
 
+def doc_pools(t):
+    return pools.candidate_pools(pool_targets(t), pool_catalog(t), ["dataset_version", "reading_task"], POOL, SEED)
+
+
 @query("J08_candidate_pools", """
 SELECT target_id, candidate_id, candidate_rank, is_positive, reading_task, target_length, candidate_length,
        gap FROM doc_pools""")
@@ -47,5 +56,410 @@ def j08(t):
                                "target_length", "candidate_length", "gap")
 
 
-def doc_pools(t):
-    return pools.candidate_pools(pool_targets(t), pool_catalog(t), ["dataset_version", "reading_task"], POOL, SEED)
+@query("W03_pool_display_order", f"""
+SELECT l_orderkey, l_partkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY
+  {sql_hash(SEED, "l_orderkey", "l_partkey", "l_linenumber", "'pool-order'")}) - 1 AS candidate_rank
+FROM (SELECT DISTINCT l_orderkey, l_partkey, l_linenumber FROM lineitem)""")
+def w03(t):
+    rows = t.raw("lineitem").select("l_orderkey", "l_partkey", "l_linenumber").distinct()
+    digest = keys.stable_hash(SEED, F.col("l_orderkey"), F.col("l_partkey"), F.col("l_linenumber"), "pool-order")
+    from trialloom.operators.ranking import position_by_digest
+
+    return position_by_digest(rows.withColumn("_d", digest), ["l_orderkey"], "_d", [], "candidate_rank").drop("_d")
+
+
+@query("A11_pool_invariants", f"""
+SELECT target_id, count(*) AS candidates, CAST(sum(is_positive) AS BIGINT) AS positives, count(DISTINCT candidate_id) AS texts,
+       count(*) = {POOL} AND sum(is_positive) = 1 AND count(DISTINCT candidate_id) = count(*) AS valid
+FROM doc_pools GROUP BY target_id""")
+def a11(t):
+    return pool_invariants(doc_pools(t), ["target_id"], POOL)
+
+
+def pool_invariants(pool, by, size):
+    out = pool.groupBy(*by).agg(F.count("*").alias("candidates"), F.sum("is_positive").alias("positives"),
+                                F.count_distinct("candidate_id").alias("texts"))
+    return out.withColumn("valid", (F.col("candidates") == size) & (F.col("positives") == 1)
+                          & (F.col("texts") == F.col("candidates")))
+
+
+SWEEP = [4, 8, 16]
+
+
+@query("J09_pool_sweep", f"""
+, cat AS (SELECT reading_task, text_key, min(length) AS length FROM trials GROUP BY 1, 2),
+r AS (SELECT t.trial_id AS target_id, c.text_key AS candidate_id, row_number() OVER (PARTITION BY t.trial_id
+             ORDER BY abs(c.length - t.length), c.text_key) AS pick
+      FROM trials t JOIN cat c ON c.reading_task = t.reading_task AND c.text_key <> t.text_key),
+s AS (SELECT CAST(unnest({SWEEP}) AS INTEGER) AS pool_size)
+SELECT pool_size, target_id, candidate_id, 0 AS is_positive,
+       CAST(pick - 1 + CASE WHEN pick - 1 >= pool_size // 2 THEN 1 ELSE 0 END AS INTEGER) AS candidate_rank
+FROM r JOIN s ON pick < pool_size
+UNION ALL SELECT pool_size, trial_id, text_key, 1, CAST(pool_size // 2 AS INTEGER) FROM trials, s""")
+def j09(t):
+    targets = t.trial_keys.select(F.col("trial_id").alias("target_id"), F.col("text_key").alias("positive_id"),
+                                  "reading_task", F.col("length").alias("target_length"))
+    cat = t.trial_keys.groupBy("reading_task", F.col("text_key").alias("candidate_id")).agg(
+        F.min("length").alias("candidate_length"))
+    return pools.pool_sweep(targets, cat, ["reading_task"], SWEEP)
+
+
+@query("J10_fold_local_pools", """
+SELECT outer_fold, partition, target_id, candidate_id, candidate_rank, is_positive, is_donor_text, target_length, candidate_length, gap
+FROM vec_pools""")
+def j10(t):
+    return vec_pools(t).select("outer_fold", "partition", "target_id", "candidate_id", "candidate_rank", "is_positive",
+                               "is_donor_text", "target_length", "candidate_length", "gap")
+
+
+VIEWS["half_texts"] = f"""
+SELECT reading_task, text_key, CASE WHEN p < n // 2 THEN 'checkpoint' ELSE 'decision' END AS partition
+FROM (SELECT *, row_number() OVER (PARTITION BY reading_task ORDER BY
+        {sql_hash(SEED, "reading_task", "text_key", "'checkpoint-decision-partition'")}, text_key) - 1 AS p,
+        count(*) OVER (PARTITION BY reading_task) AS n
+      FROM (SELECT DISTINCT reading_task, text_key FROM split_trials WHERE split = 'val'))
+"""
+
+
+@query("W05_half_split", "SELECT reading_task, text_key, partition FROM half_texts")
+def w05(t):
+    return splits.half_split(t.split_trials.where("split = 'val'"), "reading_task", "text_key", SEED)
+
+
+@query("J11_scope_aware_pools", f"""
+, tg AS (SELECT s.trial_id AS target_id, s.candidate_id AS positive_id, s.reading_task, s.length AS target_length, h.partition
+         FROM split_trials s JOIN half_texts h USING (reading_task, text_key) WHERE s.split = 'val'),
+ca AS (SELECT DISTINCT candidate_id, reading_task, length, p.partition, 'training_catalog' AS scope FROM split_trials,
+         (SELECT unnest(['checkpoint', 'decision']) AS partition) p WHERE split = 'train'
+       UNION SELECT s.candidate_id, s.reading_task, s.length, h.partition, h.partition FROM split_trials s
+         JOIN half_texts h USING (reading_task, text_key) WHERE s.split = 'val'),
+pool AS (SELECT t.*, c.candidate_id, c.length AS candidate_length, c.scope FROM tg t JOIN ca c USING (reading_task, partition)
+  QUALIFY row_number() OVER (PARTITION BY t.target_id ORDER BY c.candidate_id <> t.positive_id, abs(c.length - t.target_length),
+    {sql_ring_gap(sql_ring(SEED, "c.candidate_id", "'pool-select'"), sql_ring(SEED, "t.target_id", "'pool-select'"))}, c.candidate_id) <= {POOL})
+SELECT target_id, partition, candidate_id, scope, CAST(candidate_id = positive_id AS INTEGER) AS is_positive, target_length, candidate_length,
+  CAST(row_number() OVER (PARTITION BY target_id ORDER BY {sql_hash(SEED, "target_id", "candidate_id", "'pool-order'")}, candidate_id) - 1 AS INTEGER) AS candidate_rank
+FROM pool""")
+def j11(t):
+    trials = cut(t.split_trials.select("trial_id", "candidate_id", "reading_task", "text_key", "length", "split"))
+    halves = splits.half_split(trials.where("split = 'val'"), "reading_task", "text_key", SEED)
+    val = trials.where("split = 'val'").join(halves, ["reading_task", "text_key"])
+    targets = val.select(F.col("trial_id").alias("target_id"), F.col("candidate_id").alias("positive_id"), "reading_task",
+                         "partition", F.col("length").alias("target_length"))
+    train = reshape.each(trials.where("split = 'train'").select("candidate_id", "reading_task", "length").distinct(),
+                         "partition", ["checkpoint", "decision"]).withColumn("scope", F.lit("training_catalog"))
+    own = val.select("candidate_id", "reading_task", "length", "partition").distinct().withColumn("scope", F.col("partition"))
+    cat = train.unionByName(own).withColumnRenamed("length", "candidate_length")
+    pool = pools.candidate_pools(targets, cat.drop("scope"), ["reading_task", "partition"], POOL, SEED)
+    return pool.join(cat.select("candidate_id", "partition", "scope"), ["candidate_id", "partition"]).select(
+        "target_id", "partition", "candidate_id", "scope", "is_positive", "target_length", "candidate_length", "candidate_rank")
+
+
+def _donor_sql(rule, scope, match, length):
+    scope_part = [scope] if scope else []
+    gap = f"abs(d.{length} - t.{length})"
+    return f"""SELECT t.trial_id AS target_id, d.trial_id AS donor_id, {gap} AS gap
+FROM (SELECT *, 0 AS zero, {sql_ring(SEED, "trial_id", f"'{rule}'")} AS tr FROM trials) t
+JOIN (SELECT *, 0 AS zero, {sql_ring(SEED, "trial_id", f"'{rule}'")} AS tr,
+      {sql_ring(SEED, *scope_part, "text_key", f"'{rule}'", "'text'")} AS xr FROM trials) d
+  ON d.text_key <> t.text_key {match}
+QUALIFY row_number() OVER (PARTITION BY t.trial_id ORDER BY {gap}, {sql_ring_gap("d.xr", "t.tr")}, d.text_key,
+        {sql_ring_gap("d.tr", "t.tr")}, d.trial_id) = 1"""
+
+
+_TASK = "AND d.dataset_version = t.dataset_version AND d.reading_task = t.reading_task"
+_DONOR_COLUMNS = ["target_id", "donor_id", "gap"]
+
+
+@query("J12_donor_task", _donor_sql("task-dataset-wrong", "dataset_version || '|' || reading_task", _TASK, "length"))
+def j12(t):
+    return pools.matched_donors(t.trial_keys, ["dataset_version", "reading_task"], SEED, "task-dataset-wrong").select(*_DONOR_COLUMNS)
+
+
+@query("J12_donor_subject", _donor_sql("subject-length-wrong", "dataset_version || '|' || reading_task || '|' || subject_id",
+                                       _TASK + " AND d.subject_id = t.subject_id", "length"))
+def j12b(t):
+    return pools.matched_donors(t.trial_keys, ["dataset_version", "reading_task", "subject_id"], SEED,
+                                "subject-length-wrong").select(*_DONOR_COLUMNS)
+
+
+@query("J12_donor_random", _donor_sql("random-valid-wrong", "", "", "zero"))
+def j12c(t):
+    return pools.matched_donors(t.trial_keys, [], SEED, "random-valid-wrong", by_length=False).select(*_DONOR_COLUMNS)
+
+
+@query("J13_fold_donors", "SELECT * FROM vec_donors")
+def j13(t):
+    return vec_donors(t)
+
+
+@query("J14_pool_coverage", """
+SELECT key, side FROM (
+ SELECT trial_id AS key, 'missing' AS side FROM vec_trials WHERE trial_id NOT IN (SELECT target_id FROM vec_donors)
+ UNION ALL SELECT donor_text_key, 'unresolved' FROM vec_donors WHERE donor_text_key NOT IN (SELECT text_key FROM vec_texts WHERE text_fold < 4))""")
+def j14(t):
+    donors = cut(vec_donors(t))
+    lacking = joins.unmatched(t.vec_trials.select(F.col("trial_id").alias("target_id")), donors, ["target_id"])
+    known = t.vec_texts.where("text_fold < 4").select(F.col("text_key").alias("donor_text_key"))
+    dangling = joins.unmatched(donors, known, ["donor_text_key"])
+    return lacking.select(F.col("target_id").alias("key"), F.lit("missing").alias("side")).unionByName(
+        dangling.select(F.col("donor_text_key").alias("key"), F.lit("unresolved").alias("side")))
+
+
+@query("J15_contract_assembly", """
+SELECT p.target_id, p.candidate_rank, p.candidate_id, p.is_positive, p.is_donor_text, d.donor_id, v.subject_id, v.reading_task,
+       round(list_sum(list_transform(v.vector, lambda x: x * x)), 6) AS signal_energy,
+       round(list_sum(list_transform(x.text_vector, lambda x: x * x)), 6) AS text_energy
+FROM vec_pools p JOIN vec_donors d ON d.target_id = p.target_id JOIN vec_trials v ON v.trial_id = p.target_id
+JOIN vec_texts x ON x.text_key = p.candidate_id WHERE p.partition = 'confirmation'""")
+def j15(t):
+    from trialloom.functions.vectors import dot
+
+    pool = vec_pools(t).where("partition = 'confirmation'").select(
+        "target_id", "candidate_rank", "candidate_id", "is_positive", "is_donor_text", "donor_id")
+    signal = t.vec_trials.select(F.col("trial_id").alias("target_id"), "subject_id", "reading_task",
+                                 F.round(dot(F.col("vector"), F.col("vector")), 6).alias("signal_energy"))
+    text = t.vec_texts.select(F.col("text_key").alias("candidate_id"),
+                              F.round(dot(F.col("text_vector"), F.col("text_vector")), 6).alias("text_energy"))
+    return pool.where("donor_id is not null").join(signal, "target_id").join(text, "candidate_id")
+
+
+@query("J16_partition_slice", """
+SELECT p.target_id, p.candidate_id, p.candidate_rank FROM vec_pools p
+WHERE p.partition = 'checkpoint' AND p.outer_fold = 2 AND EXISTS (SELECT 1 FROM vec_trials v WHERE v.trial_id = p.target_id AND v.text_fold = 3 AND v.reading_task = 'NR')""")
+def j16(t):
+    wanted = t.vec_trials.where("text_fold = 3 and reading_task = 'NR'").select(F.col("trial_id").alias("target_id"))
+    pool = vec_pools(t).where("partition = 'checkpoint' and outer_fold = 2")
+    return pool.join(wanted, "target_id", "left_semi").select("target_id", "candidate_id", "candidate_rank")
+
+
+CONDITIONS = ["correct", "matched_wrong", "zero", "gaussian"]
+
+
+@query("J19_condition_expansion", """
+SELECT condition, trial_id AS target_id, CASE condition WHEN 'correct' THEN trial_id WHEN 'matched_wrong' THEN donor_id END AS signal_trial_id
+FROM (SELECT unnest(['correct', 'matched_wrong', 'zero', 'gaussian']) AS condition) c, vec_trials v LEFT JOIN vec_donors d ON d.target_id = v.trial_id
+WHERE condition <> 'matched_wrong' OR donor_id IS NOT NULL""")
+def j19(t):
+    base = t.vec_trials.select(F.col("trial_id").alias("target_id")).join(
+        vec_donors(t).select("target_id", "donor_id"), "target_id", "left")
+    signal = F.when(F.col("condition") == "correct", F.col("target_id")).when(
+        F.col("condition") == "matched_wrong", F.col("donor_id"))
+    return reshape.each(base, "condition", CONDITIONS).withColumn("signal_trial_id", signal).where(
+        "condition <> 'matched_wrong' or donor_id is not null").drop("donor_id")
+
+
+# --- splits, folds, hold-outs -----------------------------------------------------------------------------------
+
+@query("D01_group_split", f"""
+SELECT text_key, CASE WHEN p < floor(n * 0.7) THEN 'train' WHEN p < floor(n * 0.7) + floor(n * 0.1) THEN 'val' ELSE 'test' END AS split
+FROM (SELECT text_key, row_number() OVER (ORDER BY {sql_ring(SEED, "text_key", "'group-split'")}, text_key) - 1 AS p, count(*) OVER () AS n
+      FROM (SELECT DISTINCT text_key FROM trials))""")
+def d01(t):
+    return splits.group_split(t.trial_keys, "text_key", SEED)
+
+
+@query("D02_balanced_folds", "SELECT * FROM doc_folds")
+def d02(t):
+    return doc_folds(t)
+
+
+@query("D02_fold_balance", """
+SELECT fold, task_mix, count(*) AS groups, CAST(sum(rows) AS BIGINT) AS rows FROM doc_folds GROUP BY 1, 2""")
+def d02b(t):
+    return splits.fold_balance(doc_folds(t))
+
+
+@query("D03_outer_roles", "SELECT outer_fold, role, text_fold, count(*) AS rows FROM xfit_roles GROUP BY ALL")
+def d03(t):
+    return xfit_roles(t).groupBy("outer_fold", "role", "text_fold").agg(F.count("*").alias("rows"))
+
+
+@query("D04_leave_one_subject_out", """
+SELECT subject_id, count(*) AS evaluation_rows, (SELECT count(*) FROM trials) - count(*) AS training_rows FROM trials GROUP BY 1""")
+def d04(t):
+    return splits.subject_fold_roles(t.trials, "subject_id")
+
+
+@query("D05_subject_hold_out", f"""
+SELECT subject_id, p < greatest(1, CAST(round_even(n * 0.125, 0) AS BIGINT)) AS held_out
+FROM (SELECT subject_id, row_number() OVER (ORDER BY {sql_ring(SEED, "subject_id", "'hold-out'")}) - 1 AS p, count(*) OVER () AS n
+      FROM (SELECT DISTINCT source AS subject_id FROM documents))""")
+def d05(t):
+    return splits.hold_out(t.raw("documents").withColumnRenamed("source", "subject_id"), "subject_id", 0.125, SEED)
+
+
+@query("D06_feasible_folds", """
+SELECT min(g) AS rarest_class_groups, least(5, min(g)) AS folds FROM
+ (SELECT quality, count(DISTINCT source) AS g FROM labels JOIN documents USING (doc_id) GROUP BY quality)""")
+def d06(t):
+    rows = t.raw("labels").join(t.raw("documents").select("doc_id", "source"), "doc_id")
+    return splits.feasible_folds(rows, "quality", "source", 5)
+
+
+@query("D07_derangement", f"""
+, o AS (SELECT trial_id, text_key, row_number() OVER (ORDER BY text_key, {sql_ring(SEED, "trial_id", "'derange'")}, trial_id) - 1 AS at FROM trials),
+g AS (SELECT max(c) AS shift, CAST(sum(c) AS BIGINT) AS n FROM (SELECT count(*) AS c FROM trials GROUP BY text_key))
+SELECT a.trial_id, a.text_key, b.text_key AS wrong_text_key FROM o a, g, o b WHERE b.at = (a.at + shift) % n""")
+def d07(t):
+    return splits.derangement(t.trial_keys, SEED)
+
+
+REPLICATES = 5
+
+
+@query("D08_label_permutations", f"""
+, home AS (SELECT doc_id, quality, row_number() OVER (ORDER BY {sql_draw(SEED, "'home'", "doc_id")}, doc_id) - 1 AS p FROM labels),
+away AS (SELECT replicate, doc_id, row_number() OVER (PARTITION BY replicate ORDER BY {sql_draw(SEED, "replicate", "doc_id")}, doc_id) - 1 AS p
+  FROM labels, (SELECT CAST(unnest(range({REPLICATES})) AS INTEGER) AS replicate))
+SELECT replicate, a.doc_id, h.quality FROM away a JOIN home h USING (p)""")
+def d08(t):
+    return splits.permuted_labels(t.raw("labels"), "doc_id", "quality", REPLICATES, SEED)
+
+
+@query("D11_weighted_sampling")
+def d11(t):
+    rows = t.raw("embeddings").select("vec_id", "label")
+    return splits.sample_by_class(rows, "vec_id", "label", 2000, SEED)
+
+
+@query("D15_capped_sample", f"""
+SELECT id, prediction FROM pairs ORDER BY {sql_ring(SEED, "id", "'sample'")}, id LIMIT 1000""")
+def d15(t):
+    return splits.capped_sample(t.pairs.select("id", "prediction"), "id", 1000, SEED)
+
+
+@query("W04_pseudo_groups", "SELECT * FROM doc_pseudo")
+def w04(t):
+    return doc_pseudo(t)
+
+
+BATCH = 16
+_CYCLES = f"""
+SELECT trial_id, reading_task, text_key, round, CAST(floor((row_number() OVER (PARTITION BY reading_task, round ORDER BY
+   {sql_ring(SEED, "round", "text_key", "'slot'")}, trial_id) - 1) / {BATCH}) AS BIGINT) AS batch
+FROM (SELECT *, row_number() OVER (PARTITION BY reading_task, text_key ORDER BY {sql_ring(SEED, "trial_id", "'cycle'")}, trial_id) - 1 AS round FROM trials)
+"""
+
+
+@query("W10_cycle_batches", _CYCLES)
+def w10(t):
+    return batches.distinct_text_batches(t.trial_keys, BATCH, SEED)
+
+
+@query("D10_distinct_text_audit", f"""
+SELECT reading_task, round, batch, count(*) AS rows, count(DISTINCT text_key) AS texts FROM ({_CYCLES}) GROUP BY 1, 2, 3""")
+def d10(t):
+    plan = batches.distinct_text_batches(t.trial_keys, BATCH, SEED)
+    return plan.groupBy("reading_task", "round", "batch").agg(
+        F.count("*").alias("rows"), F.count_distinct("text_key").alias("texts"))
+
+
+VIEWS["fit_cells"] = """
+SELECT outer_fold, reading_task, pseudo_group, count(*) AS fit_rows, count(DISTINCT text_key) AS fit_texts,
+  CAST(max(ceil(count(*) / 16)) OVER (PARTITION BY outer_fold) AS BIGINT) AS batches_per_epoch
+FROM xfit_roles WHERE role = 'fit' GROUP BY 1, 2, 3
+"""
+
+
+@query("A35_fit_cells", "SELECT * FROM fit_cells")
+def a35(t):
+    return batches.fit_cells(xfit_roles(t))
+
+
+@query("D13_grid_feasibility", """
+, m AS (SELECT outer_fold, text_key, bit_or(1 << (CASE WHEN reading_task = 'NR' THEN 0 ELSE 2 END + pseudo_group)) AS mask
+        FROM xfit_roles WHERE role = 'fit' GROUP BY 1, 2)
+SELECT outer_fold, cells, count(*) FILTER (mask & cells <> 0) AS available, CAST(bit_count(cells) * 16 AS INTEGER) AS needed,
+       count(*) FILTER (mask & cells <> 0) >= bit_count(cells) * 16 AS feasible
+FROM m, (SELECT CAST(unnest(range(1, 16)) AS INTEGER) AS cells) GROUP BY 1, 2""")
+def d13(t):
+    return batches.grid_feasibility(xfit_roles(t))
+
+
+EPOCHS = 2
+VIEWS["plan_texts"] = f"""
+SELECT *, row_number() OVER (PARTITION BY outer_fold, epoch, reading_task, pseudo_group ORDER BY
+          {sql_ring(SEED, "epoch", "text_key", "'epoch-order'")}, text_key) - 1 AS place,
+       count(*) OVER (PARTITION BY outer_fold, epoch, reading_task, pseudo_group) AS texts,
+       sum(trials) OVER (PARTITION BY outer_fold, epoch, reading_task, pseudo_group) AS cell_rows
+FROM (SELECT * FROM (SELECT outer_fold, epoch, reading_task, pseudo_group, text_key, count(*) AS trials
+      FROM xfit_roles, (SELECT CAST(unnest(range({EPOCHS})) AS INTEGER) AS epoch) WHERE role = 'fit' GROUP BY ALL)
+      QUALIFY row_number() OVER (PARTITION BY outer_fold, epoch, text_key ORDER BY
+              {sql_draw(SEED, "epoch", "text_key", "reading_task", "pseudo_group")}, reading_task) = 1)
+"""
+VIEWS["plan_trials"] = f"""
+SELECT outer_fold, reading_task, pseudo_group, text_key, trial_id, row_number() OVER (PARTITION BY outer_fold, reading_task, pseudo_group, text_key
+       ORDER BY {sql_ring(SEED, "trial_id", "'turn'")}, trial_id) - 1 AS turn FROM xfit_roles WHERE role = 'fit'
+"""
+VIEWS["epoch_plan"] = """
+SELECT u.outer_fold, u.epoch, u.reading_task, u.pseudo_group, s // 16 AS batch, s % 16 AS slot, u.text_key, r.trial_id
+FROM (SELECT *, unnest(range(place, batches * 16, texts)) AS s FROM
+       (SELECT *, CAST(max(ceil(cell_rows / 16)) OVER (PARTITION BY outer_fold, epoch) AS BIGINT) AS batches FROM plan_texts)) u
+JOIN plan_trials r ON r.outer_fold = u.outer_fold AND r.reading_task = u.reading_task AND r.pseudo_group = u.pseudo_group
+     AND r.text_key = u.text_key AND r.turn = ((s - place) // texts + u.epoch) % u.trials
+"""
+
+
+def epoch_plan(t):
+    return batches.epoch_plan(xfit_roles(t), EPOCHS, SEED)
+
+
+@query("D12_epoch_plan", "SELECT * FROM epoch_plan")
+def d12(t):
+    return epoch_plan(t)
+
+
+@query("V17_batch_plan_violations", """
+, c AS (SELECT outer_fold, epoch, batch, reading_task, pseudo_group, count(*) AS n FROM epoch_plan GROUP BY ALL),
+b AS (SELECT outer_fold, epoch, batch, CAST(sum(n) AS BIGINT) AS rows, min(n) AS smallest_cell, max(n) AS largest_cell, count(*) AS cells FROM c GROUP BY ALL),
+x AS (SELECT outer_fold, epoch, batch, max(n) AS most_repeated_text FROM (SELECT outer_fold, epoch, batch, text_key, count(*) AS n FROM epoch_plan GROUP BY ALL) GROUP BY ALL)
+SELECT * FROM b JOIN x USING (outer_fold, epoch, batch)
+WHERE rows <> 64 OR smallest_cell <> 16 OR largest_cell <> 16 OR cells <> 4 OR most_repeated_text <> 1""")
+def v17(t):
+    return batches.plan_violations(cut(epoch_plan(t)))
+
+
+@query("V22_exposure_audit", """
+SELECT outer_fold, epoch, reading_task, pseudo_group, count(*) AS texts_used, min(uses) AS min_uses, max(uses) AS max_uses,
+       max(uses) - min(uses) AS gap, CAST(sum(tr) AS BIGINT) AS trials_used
+FROM (SELECT outer_fold, epoch, reading_task, pseudo_group, text_key, count(*) AS uses, count(DISTINCT trial_id) AS tr FROM epoch_plan GROUP BY ALL) GROUP BY ALL""")
+def v22(t):
+    roles = xfit_roles(t)
+    return batches.exposure_audit(batches.epoch_plan(roles, EPOCHS, SEED), roles)
+
+
+@query("D14_hash_negatives", f"""
+, r AS (SELECT outer_fold, epoch, batch, trial_id, row_number() OVER (PARTITION BY outer_fold, epoch, batch ORDER BY
+          {sql_draw(SEED, "'signal-to-text'", "epoch", "batch", "trial_id")}, trial_id) - 1 AS p,
+          count(*) OVER (PARTITION BY outer_fold, epoch, batch) AS n FROM epoch_plan WHERE outer_fold = 0)
+SELECT a.outer_fold, a.epoch, a.batch, a.trial_id AS anchor, b.trial_id AS candidate FROM r a JOIN r b
+  ON a.outer_fold = b.outer_fold AND a.epoch = b.epoch AND a.batch = b.batch AND (b.p - a.p + a.n) % a.n < 32""")
+def d14(t):
+    plan = cut(epoch_plan(t).where("outer_fold = 0"))
+    return batches.hash_negatives(plan, 32, SEED, "signal-to-text")
+
+
+@query("D14_mask_degrees", """
+SELECT outer_fold, epoch, batch, trial_id AS anchor, count(*) OVER (PARTITION BY outer_fold, epoch, batch, reading_task) AS degree
+FROM epoch_plan WHERE outer_fold = 0""")
+def d14b(t):
+    plan = cut(epoch_plan(t).where("outer_fold = 0"))
+    return batches.group_masks(plan, "reading_task").groupBy("outer_fold", "epoch", "batch", "anchor").agg(
+        F.count("*").alias("degree"))
+
+
+@query("U04_role_overlap", """
+SELECT outer_fold, subject_id, min(role) AS low_role, max(role) AS high_role FROM xfit_roles GROUP BY 1, 2 HAVING min(role) <> max(role)""")
+def u04(t):
+    return reshape.role_overlap(xfit_roles(t), "subject_id")
+
+
+@query("U07_outer_assignments", "SELECT outer_fold, role, text_fold, trial_id, reading_task, subject_id, text_key, pseudo_group, length FROM xfit_roles")
+def u07(t):
+    return xfit_roles(t).select("outer_fold", "role", "text_fold", "trial_id", "reading_task", "subject_id", "text_key",
+                                "pseudo_group", "length")
+
+
+@query("U08_distinct_task_texts", "SELECT DISTINCT reading_task, text_key, length FROM doc_rows")
+def u08(t):
+    return doc_rows(t).select("reading_task", "text_key", "length").distinct()

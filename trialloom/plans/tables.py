@@ -95,7 +95,7 @@ def with_views(sql: str, extra: dict[str, str] | None = None) -> str:
     if stripped.upper().startswith("WITH RECURSIVE"):
         raise ValueError("recursive statements are not supported")
     if stripped.startswith(","):
-        return "WITH " + ",\n".join(ctes) + stripped
+        return "WITH " + (",\n".join(ctes) + stripped if ctes else stripped[1:])
     if stripped.upper().startswith("WITH "):
         return "WITH " + ",\n".join([*ctes, stripped[5:]]) if ctes else stripped
     return ("WITH " + ",\n".join(ctes) + "\n" + stripped) if ctes else stripped
