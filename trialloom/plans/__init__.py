@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ["record_queries", "design_queries"]
+FAMILIES = ["record_queries", "design_queries", "retrieval_queries"]
 
 
 def load_all() -> None:

@@ -197,9 +197,9 @@ SELECT key, side FROM (
  SELECT trial_id AS key, 'missing' AS side FROM vec_trials WHERE trial_id NOT IN (SELECT target_id FROM vec_donors)
  UNION ALL SELECT donor_text_key, 'unresolved' FROM vec_donors WHERE donor_text_key NOT IN (SELECT text_key FROM vec_texts WHERE text_fold < 4))""")
 def j14(t):
-    donors = cut(vec_donors(t))
+    donors = vec_donors(t)
     lacking = joins.unmatched(t.vec_trials.select(F.col("trial_id").alias("target_id")), donors, ["target_id"])
-    known = t.vec_texts.where("text_fold < 4").select(F.col("text_key").alias("donor_text_key"))
+    known = t.vec_texts.select(F.col("text_key").alias("donor_text_key"))
     dangling = joins.unmatched(donors, known, ["donor_text_key"])
     return lacking.select(F.col("target_id").alias("key"), F.lit("missing").alias("side")).unionByName(
         dangling.select(F.col("donor_text_key").alias("key"), F.lit("unresolved").alias("side")))
@@ -401,12 +401,12 @@ JOIN plan_trials r ON r.outer_fold = u.outer_fold AND r.reading_task = u.reading
 
 
 def epoch_plan(t):
-    return batches.epoch_plan(xfit_roles(t), EPOCHS, SEED)
+    return t.shared("epoch_plan", lambda: batches.epoch_plan(xfit_roles(t), EPOCHS, SEED))
 
 
 @query("D12_epoch_plan", "SELECT * FROM epoch_plan")
 def d12(t):
-    return epoch_plan(t)
+    return batches.epoch_plan(xfit_roles(t), EPOCHS, SEED)
 
 
 @query("V17_batch_plan_violations", """
@@ -416,7 +416,7 @@ x AS (SELECT outer_fold, epoch, batch, max(n) AS most_repeated_text FROM (SELECT
 SELECT * FROM b JOIN x USING (outer_fold, epoch, batch)
 WHERE rows <> 64 OR smallest_cell <> 16 OR largest_cell <> 16 OR cells <> 4 OR most_repeated_text <> 1""")
 def v17(t):
-    return batches.plan_violations(cut(epoch_plan(t)))
+    return batches.plan_violations(epoch_plan(t))
 
 
 @query("V22_exposure_audit", """
@@ -425,25 +425,25 @@ SELECT outer_fold, epoch, reading_task, pseudo_group, count(*) AS texts_used, mi
 FROM (SELECT outer_fold, epoch, reading_task, pseudo_group, text_key, count(*) AS uses, count(DISTINCT trial_id) AS tr FROM epoch_plan GROUP BY ALL) GROUP BY ALL""")
 def v22(t):
     roles = xfit_roles(t)
-    return batches.exposure_audit(batches.epoch_plan(roles, EPOCHS, SEED), roles)
+    return batches.exposure_audit(epoch_plan(t), roles)
 
 
 @query("D14_hash_negatives", f"""
 , r AS (SELECT outer_fold, epoch, batch, trial_id, row_number() OVER (PARTITION BY outer_fold, epoch, batch ORDER BY
           {sql_draw(SEED, "'signal-to-text'", "epoch", "batch", "trial_id")}, trial_id) - 1 AS p,
-          count(*) OVER (PARTITION BY outer_fold, epoch, batch) AS n FROM epoch_plan WHERE outer_fold = 0)
+          count(*) OVER (PARTITION BY outer_fold, epoch, batch) AS n FROM epoch_plan)
 SELECT a.outer_fold, a.epoch, a.batch, a.trial_id AS anchor, b.trial_id AS candidate FROM r a JOIN r b
   ON a.outer_fold = b.outer_fold AND a.epoch = b.epoch AND a.batch = b.batch AND (b.p - a.p + a.n) % a.n < 32""")
 def d14(t):
-    plan = cut(epoch_plan(t).where("outer_fold = 0"))
+    plan = epoch_plan(t)
     return batches.hash_negatives(plan, 32, SEED, "signal-to-text")
 
 
 @query("D14_mask_degrees", """
 SELECT outer_fold, epoch, batch, trial_id AS anchor, count(*) OVER (PARTITION BY outer_fold, epoch, batch, reading_task) AS degree
-FROM epoch_plan WHERE outer_fold = 0""")
+FROM epoch_plan""")
 def d14b(t):
-    plan = cut(epoch_plan(t).where("outer_fold = 0"))
+    plan = epoch_plan(t)
     return batches.group_masks(plan, "reading_task").groupBy("outer_fold", "epoch", "batch", "anchor").agg(
         F.count("*").alias("degree"))
 

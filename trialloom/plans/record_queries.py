@@ -350,9 +350,7 @@ c AS (SELECT g.fold_id, g.s AS held_out_subject_id, g.factor_id, g.target_type,
 SELECT *, CAST(coalesce(train_atoms, train_rows) >= 2 AS INTEGER) AS fit_viable, CAST(val_rows > 0 AS INTEGER) AS evaluation_available,
        CAST(coalesce(train_atoms, train_rows) >= 2 AND val_rows > 0 AS INTEGER) AS fold_included FROM c""")
 def a09(t):
-    from trialloom.session import cut
-
-    return records.factor_fold_coverage(cut(factor_table(t)))
+    return records.factor_fold_coverage(factor_table(t))
 
 
 @query("J20_label_propagation", """

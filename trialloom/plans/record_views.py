@@ -115,7 +115,7 @@ FROM (SELECT f.* EXCLUDE (text_uid, topic_label, surprisal, semkey_sentiment_2),
 
 
 def record_table(t: Tables) -> DataFrame:
-    return records.canonical_records(source_frame(t), label_catalog(t))
+    return t.shared("records", lambda: records.canonical_records(source_frame(t), label_catalog(t)))
 
 
 VIEWS["factor_table"] = """
@@ -136,4 +136,4 @@ FROM (SELECT *, 'sr_sentiment_3' AS factor_id, 'multiclass' AS target_type, sr_s
 
 
 def factor_table(t: Tables) -> DataFrame:
-    return records.factor_rows(record_table(t))
+    return t.shared("factor_rows", lambda: records.factor_rows(record_table(t)))

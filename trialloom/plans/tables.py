@@ -101,6 +101,14 @@ def with_views(sql: str, extra: dict[str, str] | None = None) -> str:
     return ("WITH " + ",\n".join(ctes) + "\n" + stripped) if ctes else stripped
 
 
+_SHARED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def forget_shared() -> None:
+    """Drops the references to tables written for several queries, so the next query builds its own."""
+    _SHARED.clear()
+
+
 class Tables:
     """Lazy access to the given tables and the inputs derived from them."""
 
@@ -110,6 +118,13 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def shared(self, name: str, build) -> DataFrame:
+        """A derived table that several queries read: written once per application and input folder."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _SHARED:
+            _SHARED[key] = cut(build())
+        return _SHARED[key]
+
     @cached_property
     def trials(self) -> DataFrame:
         base = self.raw("documents").select(
@@ -142,7 +157,7 @@ class Tables:
     @cached_property
     def trial_keys(self) -> DataFrame:
         """The trials without their texts, normalised once and written: what designs work on."""
-        return cut(self.trials.drop("text", "norm"))
+        return self.shared("trial_keys", lambda: self.trials.drop("text", "norm"))
 
     @cached_property
     def catalog(self) -> DataFrame:

@@ -56,7 +56,7 @@ def xfit(t: Tables) -> DataFrame:
 
 
 def xfit_roles(t: Tables) -> DataFrame:
-    return reshape.outer_assignments(cut(xfit(t)), FOLDS)
+    return reshape.outer_assignments(t.shared("xfit", lambda: xfit(t)), FOLDS)
 
 
 # --- vector trials: donors and pools inside the confirmation and checkpoint partitions ---------------------------
@@ -77,6 +77,10 @@ QUALIFY row_number() OVER (PARTITION BY t.trial_id ORDER BY abs(d.length - t.len
 
 
 def vec_donors(t: Tables) -> DataFrame:
+    return t.shared("vec_donors", lambda: _vec_donors(t))
+
+
+def _vec_donors(t: Tables) -> DataFrame:
     trials = t.vec_trials.select("trial_id", "text_key", "length", "text_fold", "dataset_version", "reading_task", "subject_id")
     found = pools.matched_donors(trials, ["text_fold", "dataset_version", "reading_task", "subject_id"], SEED, "donor")
     own = trials.select(F.col("trial_id").alias("target_id"), F.col("text_key").alias("target_text_key"))
@@ -127,6 +131,10 @@ def vec_targets(t: Tables) -> DataFrame:
 
 
 def vec_pools(t: Tables) -> DataFrame:
+    return t.shared("vec_pools", lambda: _vec_pools(t))
+
+
+def _vec_pools(t: Tables) -> DataFrame:
     catalog = vec_partitions(t).groupBy("outer_fold", "partition", "reading_task", F.col("text_key").alias("candidate_id")).agg(
         F.min("length").alias("candidate_length"))
     scope = F.concat_ws("|", "outer_fold", "partition")
