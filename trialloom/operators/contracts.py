@@ -128,10 +128,13 @@ def vector_problems(df: DataFrame, key: str, width: int) -> DataFrame:
 
 
 def chain_breaks(steps: DataFrame, run: list[str], order: str) -> DataFrame:
-    """Steps whose state before is not the state after the previous step of the run."""
-    before = Window.partitionBy(*run).orderBy(order)
-    marked = steps.withColumns({"_post": F.lag("post_state").over(before), "_n": F.row_number().over(before)})
-    return marked.where((F.col("_n") > 1) & ~F.col("_post").eqNullSafe(F.col("pre_state"))).select(*run, order)
+    """Steps (numbered 0, 1, ...) whose state before is not the state after the previous step of the run.
+
+    The previous step is found by an equi-join on its number, so a long run is not ordered in one task.
+    """
+    previous = steps.select(*run, (F.col(order) + 1).alias(order), F.col("post_state").alias("_post"))
+    marked = steps.where(F.col(order) > 0).join(previous, [*run, order], "left")
+    return marked.where(~F.col("_post").eqNullSafe(F.col("pre_state"))).select(*run, order)
 
 
 def contiguity_gaps(df: DataFrame, by: list[str], index: str) -> DataFrame:
@@ -141,15 +144,22 @@ def contiguity_gaps(df: DataFrame, by: list[str], index: str) -> DataFrame:
     return out.where((F.col("low") != 0) | (F.col("high") != F.col("rows") - 1) | (F.col("values") != F.col("rows")))
 
 
-def incumbents(history: DataFrame, run: list[str], step: str, metric: str) -> DataFrame:
-    """Strict improvements over everything before, and the earliest best step of the run."""
-    before = Window.partitionBy(*run).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*run)
-    best = F.max(F.struct(F.col(metric), -F.col(step))).over(whole)
-    marked = history.withColumns({"_so_far": F.max(metric).over(before), "_best": best})
+def incumbents(history: DataFrame, run: list[str], step: str, metric: str, block: int = 4096) -> DataFrame:
+    """Strict improvements over everything before, and the earliest best step of the run.
+
+    The running maximum is taken in blocks of steps: the best of earlier blocks is carried in.
+    """
+    blocked = history.withColumn("_block", F.floor(F.col(step) / block))
+    tops = blocked.groupBy(*run, "_block").agg(
+        F.max(metric).alias("_top"), F.max(F.struct(F.col(metric).alias("m"), (-F.col(step)).alias("s"))).alias("_best"))
+    earlier = Window.partitionBy(*run).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select(*run, "_block", F.max("_top").over(earlier).alias("_carried"),
+                       F.max("_best").over(Window.partitionBy(*run)).alias("_best"))
+    inside = Window.partitionBy(*run, "_block").orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
+    marked = blocked.join(tops, [*run, "_block"]).withColumn("_so_far", F.greatest("_carried", F.max(metric).over(inside)))
     return marked.withColumns({
         "is_best": F.col("_so_far").isNull() | (F.col(metric) > F.col("_so_far")),
-        "selected": F.col(step) == -F.col("_best.col2")}).drop("_so_far", "_best")
+        "selected": F.col(step) == -F.col("_best.s")}).drop("_so_far", "_best", "_carried", "_block")
 
 
 def digest_of_set(df: DataFrame, by: list[str], key: str) -> DataFrame:

@@ -162,10 +162,9 @@ def a29(t):
 
 
 def run_steps(t):
-    from pyspark.sql import Window
+    from trialloom.plans.contract_queries import history
 
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return t.raw("events").withColumn("step", F.row_number().over(order))
+    return history(t).withColumn("step", F.col("epoch") + 1)
 
 
 def trace_summary(trace, run, step, value):
