@@ -14,6 +14,7 @@ from trialloom.operators.reshape import with_totals
 from trialloom.session import cut
 
 TIE = 1e-12
+ITERATIONS = 15  # quasi-Newton steps on standardised features; every step is a pass over the data
 
 
 def with_features(df: DataFrame, vector: str) -> DataFrame:
@@ -39,7 +40,7 @@ def balanced_weights(df: DataFrame, label: str) -> DataFrame:
     return df.join(weights, label)
 
 
-def fit_predict(train: DataFrame, test: DataFrame, kind: str, parameter: float, iterations: int = 50) -> DataFrame:
+def fit_predict(train: DataFrame, test: DataFrame, kind: str, parameter: float, iterations: int = ITERATIONS) -> DataFrame:
     """The test rows with ``yhat``. ``parameter`` is the inverse penalty C of a classifier, the penalty of a ridge.
 
     train and test: features, y. The penalty is stated per mean loss, hence the division by the row count.

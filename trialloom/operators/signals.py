@@ -63,7 +63,7 @@ def normalise_masked(x: Column, clip: float = 10.0, epsilon: float = 1e-6) -> Co
     size = F.size(x)
     centred = F.zip_with(x, F.array_repeat(mean, size), lambda v, m: F.when(v != 0, v - m))
     scaled = F.zip_with(centred, F.array_repeat(std + epsilon, size), lambda v, s: v / s)
-    return F.transform(scaled, lambda v: F.coalesce(F.least(F.greatest(v, F.lit(-clip)), F.lit(clip)), F.lit(0.0)))
+    return F.transform(scaled, lambda v: F.when(v.isNull(), 0.0).when(v < -clip, -clip).when(v > clip, clip).otherwise(v))
 
 
 def channel_stats(long: DataFrame, by: list[str]) -> DataFrame:

@@ -195,7 +195,7 @@ def j13(t):
 @query("J14_pool_coverage", """
 SELECT key, side FROM (
  SELECT trial_id AS key, 'missing' AS side FROM vec_trials WHERE trial_id NOT IN (SELECT target_id FROM vec_donors)
- UNION ALL SELECT donor_text_key, 'unresolved' FROM vec_donors WHERE donor_text_key NOT IN (SELECT text_key FROM vec_texts WHERE text_fold < 4))""")
+ UNION ALL SELECT donor_text_key, 'unresolved' FROM vec_donors WHERE donor_text_key NOT IN (SELECT text_key FROM vec_texts))""")
 def j14(t):
     donors = vec_donors(t)
     lacking = joins.unmatched(t.vec_trials.select(F.col("trial_id").alias("target_id")), donors, ["target_id"])

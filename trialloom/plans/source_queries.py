@@ -110,7 +110,7 @@ def s12(t):
 def s09(t):
     path = scratch(t, "s09")
     t.raw("documents").groupBy(F.col("lang").alias("name")).agg(F.count("*").alias("rows"), F.sum("n_chars").alias("chars")).write.json(path)
-    return scans.manifest(t.spark, path, "name string, rows long, chars long")
+    return scans.manifest(t.spark, path, "name string, rows long, chars long", one_document=False)
 
 
 @query("S11_projected_csv", "SELECT item_id, text FROM benchmark")

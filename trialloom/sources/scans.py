@@ -55,8 +55,9 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
-def manifest(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+def manifest(spark: SparkSession, path: str, schema: str, one_document: bool = True) -> DataFrame:
+    """JSON with a stated schema: one document per file, or one per line."""
+    return spark.read.schema(schema).option("multiLine", one_document).option("mode", "FAILFAST").json(path)
 
 
 def bound_index(spark: SparkSession, manifest_path: str, version: int = 2) -> DataFrame:
