@@ -19,7 +19,14 @@ def word_count(text: Column) -> Column:
 
 
 def collapse(text: Column) -> Column:
-    return F.array_join(words(text), " ")
+    """Single spaces between words, none around (one code-generated pass, no word list)."""
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
+def collapsed_word_count(text: Column) -> Column:
+    """Word count of an already collapsed text."""
+    spaces = F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
+    return F.when(text == "", 0).otherwise(spaces + 1)
 
 
 def fold_case(text: Column) -> Column:

@@ -11,8 +11,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from trialloom.functions.keys import ring_distance, stable_hash
+from trialloom.functions.keys import ring_distance, ring_hash, stable_hash
 from trialloom.operators.ranking import position_by_ring, prefix_sum, ring_bucket
+from trialloom.session import cut
 
 
 def length_quotas(targets: DataFrame, candidates: DataFrame, context: list[str], need: int) -> DataFrame:
@@ -43,7 +44,7 @@ def length_quotas(targets: DataFrame, candidates: DataFrame, context: list[str],
 
 
 def ring_starts(points: DataFrame, members: DataFrame, keys: list[str], point_ring: str, member_ring: str) -> DataFrame:
-    """Adds ``start``: how many members of the key lie before the point on the ring."""
+    """Adds ``start``: how many members of the key lie before the point on the ring. Members bring their hash only."""
     carried = [c for c in points.columns if c not in keys]
     left = points.select(*keys, F.col(point_ring).alias("_ring"), F.lit(0).alias("_member"),
                          F.struct(*carried).alias("_point"))
@@ -60,10 +61,10 @@ def nearest_candidates(targets: DataFrame, candidates: DataFrame, context: list[
     candidate_ring, anything else (kept). Adds ``gap`` and ``ring_gap``; order by both to rank.
     """
     keys = [*context, "candidate_length"]
-    lines = targets.join(length_quotas(targets, candidates, context, need), [*context, "target_length"])
+    lines = cut(targets.join(length_quotas(targets, candidates, context, need), [*context, "target_length"]))
     placed = position_by_ring(candidates, keys, "candidate_ring", ["candidate_id"], "place")
-    lines = ring_starts(lines, candidates, keys, "target_ring", "candidate_ring")
-    steps = lines.withColumn("step", F.explode(F.sequence(F.lit(0), F.col("quota") - 1)))
+    starts = ring_starts(lines, candidates, keys, "target_ring", "candidate_ring")
+    steps = starts.withColumn("step", F.explode(F.sequence(F.lit(0), F.col("quota") - 1)))
     steps = steps.withColumn("place", F.pmod(F.col("start") + F.col("step"), F.col("ring_size")))
     found = steps.join(placed, [*keys, "place"]).drop("start", "step", "place", "quota", "ring_size")
     return found.withColumns({
@@ -72,32 +73,42 @@ def nearest_candidates(targets: DataFrame, candidates: DataFrame, context: list[
     })
 
 
-def rank_found(found: DataFrame, by: list[str], excluded: Column, take: int | None, out: str = "pick") -> DataFrame:
-    """1-based rank by (gap, ring gap) of the candidates that are not excluded; at most ``take`` per target."""
+def rank_found(found: DataFrame, by: list[str], excluded: Column, take: int) -> DataFrame:
+    """The ``take`` nearest candidates per target that are not excluded, by (gap, ring gap)."""
     order = Window.partitionBy(*by).orderBy("gap", "ring_gap", "candidate_id")
-    ranked = found.where(~excluded).withColumn(out, F.row_number().over(order))
-    return ranked if take is None else ranked.where(F.col(out) <= take)
+    return found.where(~excluded).withColumn("_pick", F.row_number().over(order)).where(F.col("_pick") <= take).drop("_pick")
 
 
 def candidate_pools(targets: DataFrame, catalog: DataFrame, context: list[str], size: int, seed: int,
                     scope: Column | None = None) -> DataFrame:
-    """Pool of ``size``: the positive and the size-1 nearest others, shown in a second seeded order.
+    """Pool of ``size``: the positive, the designated donor text if any, and the nearest others, in a second seeded order.
 
-    targets: target_id, positive_id, context, target_length. catalog: candidate_id, context, candidate_length.
-    ``scope`` is an optional column that joins the hash parts (fold-local pools).
+    targets: target_id, positive_id, context, target_length and optionally donor_candidate_id (NULL for none).
+    catalog: candidate_id, context, candidate_length. ``scope`` is an optional column that joins the hash parts
+    (fold-local pools). Forced candidates and survivors meet in one group per target, ranked and shown there.
     """
+    keys = list(targets.columns)
+    forced = [c for c in ("positive_id", "donor_candidate_id") if c in keys]
     parts = [] if scope is None else [scope]
-    placed_targets = targets.withColumn("target_ring", _ring(seed, *parts, F.col("target_id")))
-    placed = catalog.withColumn("candidate_ring", _ring(seed, *parts, F.col("candidate_id")))
-    found = nearest_candidates(placed_targets, placed, context, size)
-    keys = [c for c in targets.columns]
-    others = rank_found(found, _pool_key(targets), F.col("candidate_id") == F.col("positive_id"), size - 1)
-    others = others.select(*keys, "candidate_id", "candidate_length", "gap", F.lit(0).alias("is_positive"))
-    own = catalog.select(*context, F.col("candidate_id").alias("positive_id"), "candidate_length")
-    positives = targets.join(own, [*context, "positive_id"]).select(
-        *keys, F.col("positive_id").alias("candidate_id"), "candidate_length",
-        F.abs(F.col("candidate_length") - F.col("target_length")).alias("gap"), F.lit(1).alias("is_positive"))
-    return display_order(positives.unionByName(others), _pool_key(targets), seed, parts)
+    found = nearest_candidates(targets.withColumn("target_ring", _ring(seed, *parts, F.col("target_id"))),
+                               catalog.withColumn("candidate_ring", _ring(seed, *parts, F.col("candidate_id"))),
+                               context, size - 1 + len(forced))
+    is_forced = F.lit(False)
+    for column in forced:
+        is_forced = is_forced | F.col("candidate_id").eqNullSafe(F.col(column))
+    others = found.where(~is_forced).select(*keys, "candidate_id", "candidate_length", "gap", "ring_gap", F.lit(1).alias("_class"))
+    must = targets.withColumn("candidate_id", F.explode(F.array_compact(F.array(*forced))))
+    must = must.join(catalog.select(*context, "candidate_id", "candidate_length"), [*context, "candidate_id"])
+    must = must.withColumns({"gap": F.abs(F.col("candidate_length") - F.col("target_length")), "ring_gap": F.lit(0).cast("bigint"),
+                             "_class": F.lit(0)})
+    by = _pool_key(targets)
+    nearest = Window.partitionBy(*by).orderBy("_class", "gap", "ring_gap", "candidate_id")
+    pool = must.select(*others.columns).unionByName(others).withColumn("_pick", F.row_number().over(nearest))
+    pool = pool.where(F.col("_pick") <= size).drop("_pick", "_class", "ring_gap")
+    pool = pool.withColumn("is_positive", (F.col("candidate_id") == F.col("positive_id")).cast("int"))
+    if "donor_candidate_id" in forced:
+        pool = pool.withColumn("is_donor_text", F.col("candidate_id").eqNullSafe(F.col("donor_candidate_id")).cast("int"))
+    return display_order(pool, by, seed, parts)
 
 
 def _pool_key(targets: DataFrame) -> list[str]:
@@ -105,8 +116,6 @@ def _pool_key(targets: DataFrame) -> list[str]:
 
 
 def _ring(seed: int, *parts) -> Column:
-    from trialloom.functions.keys import ring_hash
-
     return ring_hash(seed, *parts, "pool-select")
 
 
@@ -118,30 +127,6 @@ def display_order(pool: DataFrame, by: list[str], seed: int, scope: list | None
             .withColumn("candidate_rank", F.row_number().over(order) - 1).drop("_show"))
 
 
-def pools_with_donor(targets: DataFrame, catalog: DataFrame, context: list[str], size: int, seed: int,
-                     scope: Column) -> DataFrame:
-    """As ``candidate_pools``; a target with a ``donor_candidate_id`` has that candidate in its pool as well."""
-    placed_targets = targets.withColumn("target_ring", _ring(seed, scope, F.col("target_id")))
-    placed = catalog.withColumn("candidate_ring", _ring(seed, scope, F.col("candidate_id")))
-    found = nearest_candidates(placed_targets, placed, context, size + 1)
-    forced = F.col("candidate_id").eqNullSafe(F.col("positive_id")) | F.col("candidate_id").eqNullSafe(
-        F.col("donor_candidate_id"))
-    room = F.lit(size - 1) - F.col("donor_candidate_id").isNotNull().cast("int")
-    others = rank_found(found, _pool_key(targets), forced, None).where(F.col("pick") <= room)
-    keys = list(targets.columns)
-    others = others.select(*keys, "candidate_id", "candidate_length", "gap")
-    must = targets.withColumn("candidate_id", F.explode(
-        F.array_compact(F.array("positive_id", "donor_candidate_id"))))
-    must = must.join(catalog.select(*context, "candidate_id", "candidate_length"), [*context, "candidate_id"])
-    must = must.withColumn("gap", F.abs(F.col("candidate_length") - F.col("target_length")))
-    pool = must.select(*keys, "candidate_id", "candidate_length", "gap").unionByName(others)
-    pool = pool.withColumns({
-        "is_positive": (F.col("candidate_id") == F.col("positive_id")).cast("int"),
-        "is_donor_text": F.col("candidate_id").eqNullSafe(F.col("donor_candidate_id")).cast("int"),
-    })
-    return display_order(pool, _pool_key(targets), seed, [scope])
-
-
 def pool_sweep(targets: DataFrame, catalog: DataFrame, context: list[str], sizes: list[int]) -> DataFrame:
     """Pools of several sizes from one ranking; ties in length go by candidate id, the positive sits in the middle.
 
@@ -177,8 +162,6 @@ def matched_donors(trials: DataFrame, context: list[str], seed: int, rule: str,
     on the text ring, the donor *trial* is the next trial of that text on the trial ring.
     trials: trial_id, text_key, length, context. A target without any other text in its context gets no row.
     """
-    from trialloom.functions.keys import ring_hash
-
     length = F.col("length") if by_length else F.lit(0).cast(trials.schema["length"].dataType)
     base = trials.select(*context, "trial_id", "text_key", length.alias("length"))
     scope = [F.concat_ws("|", *context)] if context else []
@@ -186,21 +169,21 @@ def matched_donors(trials: DataFrame, context: list[str], seed: int, rule: str,
         context, base = ["_all"], base.withColumn("_all", F.lit(0))
     text_ring = ring_hash(seed, *scope, F.col("candidate_id"), rule, "text")
     texts = (base.groupBy(*context, F.col("text_key").alias("candidate_id"))
-             .agg(F.min("length").alias("candidate_length")).withColumn("candidate_ring", text_ring))
+             .agg(F.min("length").alias("candidate_length"), F.count("*").alias("readers"))
+             .withColumn("candidate_ring", text_ring))
     targets = base.select(*context, F.col("trial_id").alias("target_id"), "text_key",
                           F.col("length").alias("target_length"),
                           ring_hash(seed, F.col("trial_id"), rule).alias("target_ring"))
     found = nearest_candidates(targets, texts, context, 2)
     chosen = rank_found(found, [*context, "target_id"], F.col("candidate_id") == F.col("text_key"), 1)
-    chosen = chosen.select(*context, "target_id", "target_length", "target_ring", "candidate_length", "gap",
-                           F.col("candidate_id").alias("text_key"))
+    chosen = cut(chosen.select(*context, "target_id", "target_length", "target_ring", "candidate_length", "gap", "readers",
+                               F.col("candidate_id").alias("text_key")))
     member_key = [*context, "text_key"]
-    members = base.select(*member_key, "trial_id", ring_hash(seed, F.col("trial_id"), rule).alias("member_ring"))
-    placed = position_by_ring(members, member_key, "member_ring", ["trial_id"], "place")
-    sizes = members.groupBy(*member_key).agg(F.count("*").alias("ring_size"))
-    picks = ring_starts(chosen, members, member_key, "target_ring", "member_ring").join(sizes, member_key)
-    picks = picks.withColumn("place", F.pmod(F.col("start"), F.col("ring_size"))).drop("start", "ring_size")
-    out = picks.join(placed.select(*member_key, "place", F.col("trial_id").alias("donor_id")), [*member_key, "place"])
+    members = base.select(*member_key, F.col("trial_id").alias("donor_id"), ring_hash(seed, F.col("trial_id"), rule).alias("member_ring"))
+    placed = position_by_ring(members, member_key, "member_ring", ["donor_id"], "place")
+    starts = ring_starts(chosen, members, member_key, "target_ring", "member_ring")
+    picks = starts.withColumn("place", F.pmod(F.col("start"), F.col("readers"))).drop("start", "readers")
+    out = picks.join(placed.drop("member_ring"), [*member_key, "place"])
     return out.select(
         *[c for c in context if c != "_all"], "target_id", "donor_id", F.col("text_key").alias("donor_text_key"),
         "target_length", F.col("candidate_length").alias("donor_length"), "gap")

@@ -25,7 +25,10 @@ def digest_bucket(digest: Column, digits: int = 4) -> Column:
 
 
 def prefix_sum(df: DataFrame, keys: list[str], bucket: Column, order: list, measure: Column, out: str) -> DataFrame:
-    """Adds ``out`` = sum of ``measure`` over the rows of the key before this one; ``bucket`` must follow ``order``."""
+    """Adds ``out`` = sum of ``measure`` over the rows of the key before this one; ``bucket`` must follow ``order``.
+
+    Bucket totals combine on the map side and read the ordering columns only; the rows move once, for the window.
+    """
     marked = df.withColumns({"_bucket": bucket, "_measure": measure.cast("bigint")})
     totals = marked.groupBy(*keys, "_bucket").agg(F.sum("_measure").alias("_total"))
     before = Window.partitionBy(*keys or [F.lit(0)]).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

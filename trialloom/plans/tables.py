@@ -128,13 +128,14 @@ class Tables:
     @cached_property
     def trials(self) -> DataFrame:
         base = self.raw("documents").select(
-            "doc_id", "lang", "source", "text", text.fold_case(F.col("text")).alias("norm")).where("norm <> ''")
+            "doc_id", "lang", "source", "text", text.fold_case(F.col("text")).alias("norm")).where(
+                F.col("text").rlike(r"\S"))  # cheaper than testing the folded text, which would fold it twice
         return base.select(
             "doc_id",
             keys.trial_id(F.lit("docs"), F.col("lang"), F.col("source"), F.col("doc_id")).alias("trial_id"),
             F.lit("docs").alias("dataset_version"), F.col("lang").alias("reading_task"),
             F.col("source").alias("subject_id"), "text", "norm", F.sha2("norm", 256).alias("text_key"),
-            text.word_count(F.col("norm")).alias("length"),
+            text.collapsed_word_count(F.col("norm")).alias("length"),
         ).withColumn("candidate_id", keys.candidate_id(
             F.col("dataset_version"), F.col("reading_task"), F.col("text_key")))
 

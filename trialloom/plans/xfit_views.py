@@ -5,7 +5,6 @@ from pyspark.sql import DataFrame, functions as F
 from trialloom.functions import keys
 from trialloom.operators import pools, reshape, splits
 from trialloom.plans.tables import FOLDS, POOL, SEED, VIEWS, Tables, sql_hash, sql_ring, sql_ring_gap
-from trialloom.session import cut
 
 SQL_STRATUM = """CASE WHEN length <= 5 THEN '0-5' WHEN length <= 10 THEN '6-10' WHEN length <= 15 THEN '11-15'
  WHEN length <= 20 THEN '16-20' WHEN length <= 30 THEN '21-30' ELSE '31+' END"""
@@ -138,4 +137,4 @@ def _vec_pools(t: Tables) -> DataFrame:
     catalog = vec_partitions(t).groupBy("outer_fold", "partition", "reading_task", F.col("text_key").alias("candidate_id")).agg(
         F.min("length").alias("candidate_length"))
     scope = F.concat_ws("|", "outer_fold", "partition")
-    return pools.pools_with_donor(cut(vec_targets(t)), catalog, ["outer_fold", "partition", "reading_task"], POOL, SEED, scope)
+    return pools.candidate_pools(t.shared("vec_targets", lambda: vec_targets(t)), catalog, ["outer_fold", "partition", "reading_task"], POOL, SEED, scope)
