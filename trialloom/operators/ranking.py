@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from trialloom.functions.keys import hex_to_long
+from trialloom.operators.reshape import with_totals
+from trialloom.session import cut
 
 HASH_BITS = 60
 
@@ -54,26 +56,26 @@ def position_by_digest(df: DataFrame, keys: list[str], digest: str, ties: list[s
 def value_prefix(df: DataFrame, keys: list[str], value: str, measures: dict[str, Column], bins: int = 65536,
                  descending: bool = False) -> DataFrame:
     """One row per (key, value): the measures summed, and ``before_<m>`` summed over all smaller values
-    (larger ones when ``descending``). Equal values collapse before anything is ordered, so hot values are harmless."""
+    (larger ones when ``descending``). Equal values collapse before anything is ordered, so hot values are harmless;
+    the distinct values are cut into equal-width bins between the extremes of their key. The grouped table is written
+    once, because extremes, bin totals and the ordering all read it."""
     grouped = df.groupBy(*keys, value).agg(*[F.sum(c).alias(m) for m, c in measures.items()])
     sign = -1.0 if descending else 1.0
-    grouped = grouped.withColumn("_v", F.col(value).cast("double") * sign)
-    edge_keys = keys or ["_all"]
-    if not keys:
-        grouped = grouped.withColumn("_all", F.lit(0))
-    edges = grouped.groupBy(*edge_keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    binned = grouped.join(edges, edge_keys).withColumn(
-        "_bin",
-        F.when(F.col("_hi") > F.col("_lo"),
-               F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins), F.lit(bins - 1)))
-        .otherwise(F.lit(0)),
-    ).drop("_lo", "_hi")
-    totals = binned.groupBy(*edge_keys, "_bin").agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
-    before = Window.partitionBy(*edge_keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    grouped = cut(grouped.withColumn("_v", F.col(value).cast("double") * sign))
+    extremes = [F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
+    if keys:
+        edged = grouped.join(grouped.groupBy(*keys).agg(*extremes), keys)
+    else:
+        edged = with_totals(grouped, grouped.agg(*extremes))
+    place = F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins)
+    binned = edged.withColumn("_bin", F.when(F.col("_hi") > F.col("_lo"), F.least(place, F.lit(bins - 1))).otherwise(
+        F.lit(0))).drop("_lo", "_hi")
+    totals = binned.groupBy(*keys, "_bin").agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
+    before = Window.partitionBy(*keys or [F.lit(0)]).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *edge_keys, "_bin", *[F.coalesce(F.sum(f"_t_{m}").over(before), F.lit(0)).alias(f"_o_{m}") for m in measures])
-    inside = Window.partitionBy(*edge_keys, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    return binned.join(offsets, [*edge_keys, "_bin"]).select(
+        *keys, "_bin", *[F.coalesce(F.sum(f"_t_{m}").over(before), F.lit(0)).alias(f"_o_{m}") for m in measures])
+    inside = Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    return binned.join(offsets, [*keys, "_bin"]).select(
         *keys, value, *measures,
         *[(F.col(f"_o_{m}") + F.coalesce(F.sum(m).over(inside), F.lit(0))).alias(f"before_{m}") for m in measures],
     )

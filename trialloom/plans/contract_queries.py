@@ -391,7 +391,7 @@ def v19b(t):
 
 
 @query("V20_recomputed_metrics", """
-SELECT arm_id, training_seed, signal_condition, reading_task, 'mrr' AS field, round(avg(reciprocal_rank), 10) + 0.25 AS declared, round(avg(reciprocal_rank), 10) AS recomputed
+SELECT arm_id, training_seed, signal_condition, reading_task, 'mrr' AS field, round(avg(reciprocal_rank) + 1e-13, 10) + 0.25 AS declared, round(avg(reciprocal_rank) + 1e-13, 10) AS recomputed
 FROM preds WHERE reading_task = 'NR' AND training_seed = 1 GROUP BY 1, 2, 3, 4""")
 def v20(t):
     fresh = metric_table(t)

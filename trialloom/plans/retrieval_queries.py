@@ -13,8 +13,12 @@ from trialloom.plans.tables import POOL, SEED, VIEWS
 from trialloom.plans.xfit_views import vec_donors, vec_pools
 
 
-def rounded(df, *columns, digits=10):
-    return df.withColumns({c: F.round(c, digits) for c in columns})
+def rounded(df, *columns, digits=10, nudge=0.0):
+    """Rounded columns; ``nudge`` moves values off exact half-way points, where the last bit of a sum would decide."""
+    return df.withColumns({c: F.round(F.col(c) + nudge if nudge else F.col(c), digits) for c in columns})
+
+
+NUDGE = 1e-13
 
 
 @query("X01_unit_vectors", """
@@ -79,13 +83,13 @@ def p27(t):
     return sizes.select("p_size", F.round(retrieval.chance_mrr(F.col("p_size")), 9).alias("chance"))
 
 
-_METRICS = """count(*) AS rows, round(avg(top1), 10) AS top1, round(avg(top5), 10) AS top5, round(avg(reciprocal_rank), 10) AS mrr,
- round(avg(positive_rank), 10) AS mean_positive_rank, round(avg(margin), 10) AS mean_margin"""
+_METRICS = """count(*) AS rows, round(avg(top1) + 1e-13, 10) AS top1, round(avg(top5) + 1e-13, 10) AS top5, round(avg(reciprocal_rank) + 1e-13, 10) AS mrr,
+ round(avg(positive_rank) + 1e-13, 10) AS mean_positive_rank, round(avg(margin) + 1e-13, 10) AS mean_margin"""
 
 
 def metric_table(t):
     out = retrieval.retrieval_metrics(preds(t), ["arm_id", "training_seed", "signal_condition", "reading_task"])
-    return rounded(out, "top1", "top5", "mrr", "mean_positive_rank", "mean_margin")
+    return rounded(out, "top1", "top5", "mrr", "mean_positive_rank", "mean_margin", nudge=NUDGE)
 
 
 @query("A12_retrieval_metrics", f"SELECT arm_id, training_seed, signal_condition, reading_task, {_METRICS} FROM preds GROUP BY 1, 2, 3, 4")
@@ -231,14 +235,14 @@ def loss_rows(pairs):
 
 # --- inference ---------------------------------------------------------------------------------------------------
 
-_DRAW_COLUMNS = "contrast, replicate, round(macro, 10) AS macro, round(nr, 10) AS \"NR\", round(tsr, 10) AS \"TSR\""
+_DRAW_COLUMNS = "contrast, replicate, round(macro + 1e-13, 10) AS macro, round(nr + 1e-13, 10) AS \"NR\", round(tsr + 1e-13, 10) AS \"TSR\""
 
 
 @query("I01_one_way_bootstrap", f"""
 SELECT 'subject_id' AS cluster, {_DRAW_COLUMNS} FROM boot_subject UNION ALL SELECT 'text_key', {_DRAW_COLUMNS} FROM boot_text""")
 def i01(t):
     parts = [inference.bootstrap_macro(effects(t), [c], REPLICATES, SEED).withColumn("cluster", F.lit(c)) for c in ("subject_id", "text_key")]
-    return as_long(rounded(parts[0].unionByName(parts[1]), "macro", "NR", "TSR"))
+    return as_long(rounded(parts[0].unionByName(parts[1]), "macro", "NR", "TSR", nudge=NUDGE))
 
 
 def as_long(df):
@@ -247,22 +251,22 @@ def as_long(df):
 
 @query("I02_two_way_bootstrap", f"SELECT {_DRAW_COLUMNS} FROM boot_both")
 def i02(t):
-    return as_long(rounded(inference.bootstrap_macro(effects(t), ["subject_id", "text_key"], REPLICATES, SEED), "macro", "NR", "TSR"))
+    return as_long(rounded(inference.bootstrap_macro(effects(t), ["subject_id", "text_key"], REPLICATES, SEED), "macro", "NR", "TSR", nudge=NUDGE))
 
 
 @query("I03_stratified_bootstrap", f"SELECT {_DRAW_COLUMNS} FROM boot_fixed_text")
 def i03(t):
-    return as_long(rounded(inference.bootstrap_macro(effects(t), ["text_key"], REPLICATES, SEED, fixed=["outer_fold"]), "macro", "NR", "TSR"))
+    return as_long(rounded(inference.bootstrap_macro(effects(t), ["text_key"], REPLICATES, SEED, fixed=["outer_fold"]), "macro", "NR", "TSR", nudge=NUDGE))
 
 
 LEVELS = {"q01_25": 0.0125, "q02_5": 0.025, "q05": 0.05, "q97_5": 0.975}
-_LEVEL_SQL = ", ".join(f"round(quantile_cont(macro, {q}), 10) AS {n}" for n, q in LEVELS.items())
+_LEVEL_SQL = ", ".join(f"round(quantile_cont(macro, {q}) + 1e-13, 10) AS {n}" for n, q in LEVELS.items())
 
 
 @query("I04_quantiles", f"SELECT contrast, {_LEVEL_SQL} FROM boot_text GROUP BY 1")
 def i04(t):
     dist = inference.bootstrap_macro(effects(t), ["text_key"], REPLICATES, SEED)
-    return rounded(dist.groupBy("contrast").agg(*inference.quantile_columns("macro", LEVELS)), *LEVELS)
+    return rounded(dist.groupBy("contrast").agg(*inference.quantile_columns("macro", LEVELS)), *LEVELS, nudge=NUDGE)
 
 
 VIEWS["boot_long"] = " UNION ALL ".join(
@@ -287,10 +291,10 @@ _POINT_SQL = """SELECT contrast, 'macro' AS scope, avg(m) AS point FROM (SELECT
 
 
 @query("I05_clustered_delta", f"""
-SELECT i.contrast, i.cluster, round(p.point, 10) AS point, round(i.q05, 10) AS lower_bound FROM intervals i JOIN ({_POINT_SQL}) p USING (contrast, scope)""")
+SELECT i.contrast, i.cluster, round(p.point + 1e-13, 10) AS point, round(i.q05 + 1e-13, 10) AS lower_bound FROM intervals i JOIN ({_POINT_SQL}) p USING (contrast, scope)""")
 def i05(t):
     out = intervals(t).where("scope = 'macro'").select("contrast", "cluster", "point", F.col("q05").alias("lower_bound"))
-    return rounded(out, "point", "lower_bound")
+    return rounded(out, "point", "lower_bound", nudge=NUDGE)
 
 
 @query("I07_one_sided_p", "SELECT contrast, cluster, scope, round(p_one_sided, 10) AS p_one_sided FROM intervals")
@@ -343,9 +347,9 @@ def battery(t):
     return kept.select(endpoint.alias("endpoint"), "reference", "cluster", "scope", level.alias("lower_bound"))
 
 
-@query("I10_interval_battery", "SELECT endpoint, reference, cluster, scope, round(lower_bound, 10) AS lower_bound FROM battery")
+@query("I10_interval_battery", "SELECT endpoint, reference, cluster, scope, round(lower_bound + 1e-13, 10) AS lower_bound FROM battery")
 def i10(t):
-    return rounded(battery(t), "lower_bound")
+    return rounded(battery(t), "lower_bound", nudge=NUDGE)
 
 
 VIEWS["arm_macro"] = """
