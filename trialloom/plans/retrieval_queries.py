@@ -2,14 +2,14 @@
 
 from pyspark.sql import functions as F
 
-from trialloom.functions import vectors
-from trialloom.operators import contracts, decisions, inference, joins, reshape, retrieval
+from trialloom.functions import keys, vectors
+from trialloom.operators import batches, contracts, decisions, inference, joins, reshape, retrieval
 from trialloom.plans.registry import query
 from trialloom.plans.score_views import (
     ARMS, BASELINES, MODEL, PREDICTION, REPLICATES, SEEDS, SIGNALS, TRIAL, arm_scores, base_scores, build_arm_scores, effects, preds,
     seed_avg, sql_macro_draws,
 )
-from trialloom.plans.tables import POOL, SEED, VIEWS
+from trialloom.plans.tables import POOL, SEED, VIEWS, sql_draw, sql_ring
 from trialloom.plans.xfit_views import vec_donors, vec_pools
 
 
@@ -233,6 +233,42 @@ def loss_rows(pairs):
     return per.agg(F.round(F.avg("loss"), 10).alias("loss"), F.count("*").alias("anchors"))
 
 
+LOSS_BATCH = 16
+VIEWS["vec_batches"] = f"""
+SELECT trial_id, text_key, vector, reading_task || '|' || round || '|' || CAST(floor((row_number() OVER (PARTITION BY reading_task, round ORDER BY
+   {sql_ring(SEED, "round", "text_key", "'slot'")}, trial_id) - 1) / {LOSS_BATCH}) AS BIGINT) AS batch
+FROM (SELECT *, row_number() OVER (PARTITION BY reading_task, text_key ORDER BY {sql_ring(SEED, "trial_id", "'cycle'")}, trial_id) - 1 AS round FROM vec_trials)
+"""
+
+
+def _one_way_sql(anchor, mask):
+    return f"""(SELECT batch, avg(loss) AS loss FROM (SELECT batch, {anchor}, max(m) + ln(sum(exp(l - m))) - max(CASE WHEN anchor = candidate THEN l END) AS loss
+  FROM (SELECT *, max(l) OVER (PARTITION BY batch, {anchor}) AS m FROM p WHERE {mask}) GROUP BY 1, 2) GROUP BY 1)"""
+
+
+@query("A33_symmetric_loss", f"""
+, p AS (SELECT a.batch, a.trial_id AS anchor, b.trial_id AS candidate, list_cosine_similarity(a.vector, x.text_vector) / 0.05 AS l,
+    a.trial_id = b.trial_id OR {sql_draw(SEED, "'f'", "a.trial_id", "b.trial_id")} % 2 = 0 AS forward,
+    a.trial_id = b.trial_id OR {sql_draw(SEED, "'b'", "a.trial_id", "b.trial_id")} % 2 = 0 AS backward
+  FROM vec_batches a JOIN vec_batches b USING (batch) JOIN vec_texts x ON x.text_key = b.text_key)
+SELECT batch, round(f.loss, 8) AS forward_loss, round(b.loss, 8) AS backward_loss, round((f.loss + b.loss) / 2, 8) AS loss
+FROM {_one_way_sql("anchor", "forward")} f JOIN {_one_way_sql("candidate", "backward")} b USING (batch)""")
+def a33b(t):
+    """Pairs within batches of sixteen distinct texts, each direction under its own hashed mask."""
+    plan = batches.distinct_text_batches(t.vec_trials, LOSS_BATCH, SEED).select(
+        "trial_id", "text_key", F.concat_ws("|", "reading_task", "round", "batch").alias("batch"))
+    anchors = plan.select("batch", F.col("trial_id").alias("anchor"))
+    members = plan.select("batch", F.col("trial_id").alias("candidate"), F.col("text_key").alias("candidate_id"))
+    signals = t.vec_trials.select(F.col("trial_id").alias("signal_id"), "vector")
+    texts = t.vec_texts.select(F.col("text_key").alias("candidate_id"), F.col("text_vector").alias("vector"))
+    pairs = anchors.join(members, "batch").withColumn("signal_id", F.col("anchor"))
+    same = F.col("anchor") == F.col("candidate")
+    scored = retrieval.cosine_scores(pairs, signals, texts).withColumns({
+        "forward": same | (keys.draw_hash(SEED, "f", F.col("anchor"), F.col("candidate")) % 2 == 0),
+        "backward": same | (keys.draw_hash(SEED, "b", F.col("anchor"), F.col("candidate")) % 2 == 0)})
+    return rounded(retrieval.contrastive_loss(scored, 0.05), "forward_loss", "backward_loss", "loss", digits=8)
+
+
 # --- inference ---------------------------------------------------------------------------------------------------
 
 _DRAW_COLUMNS = "contrast, replicate, round(macro + 1e-13, 10) AS macro, round(nr + 1e-13, 10) AS \"NR\", round(tsr + 1e-13, 10) AS \"TSR\""
