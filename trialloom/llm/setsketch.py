@@ -1,0 +1,325 @@
+"""Near-duplicate groups with SetSketch registers.
+
+A document's set holds its distinct shingles of ``k`` words. A register is the floor of 1 - log_b of the least of
+exponentially distributed values, one per shingle: exponentially spaced, truncated minima. Registers of a union are
+the maxima of the parts' registers, so sketches merge, and two sets agree in a register about as often as they are
+similar. Bands of registers give candidates; from the registers that are larger, smaller and equal and the two set
+sizes the similarity is estimated by likelihood; what may reach the threshold is confirmed on the full sets.
+
+1. Equal sets become one class, by a digest of the set: copies are never compared, however many they are.
+2. Every class of a band's bucket is compared with the bucket's first class; confirmed links give components.
+3. Only buckets that still hold several components are compared further, and only across components. Such a bucket is
+   dealt into blocks of bounded size and pairs of blocks go to separate tasks, which compare registers in place and
+   give out just the pairs that may be links. No group's pairs are ever listed, and no member is left out.
+4. Components of all confirmed links; a document's component is the smallest doc_id in it.
+
+Bands are set so that a pair at the threshold shares no bucket with a chance under ``MISS``; the likelihood test
+rejects a pair at the threshold with a chance of about 1e-7. Both are per pair, and more similar pairs fare better.
+
+* Words: A-Z lower-cased, split at ASCII white space. A text with fewer than ``k`` words is one shingle as a whole;
+  null and wordless texts have an empty set, no link and themselves as component.
+* Rows that repeat a text share its class, whatever their ids. A row without doc_id takes part; its component is the
+  smallest id it is linked to, else null. Empty tables give empty results. Other columns are not read.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
+
+from trialloom.llm.words import VISIBLE, find_words, grams, mix, slices
+from trialloom.session import cut
+
+BASE = 1.1
+RATE = 20.0
+MISS = 1e-6
+SLACK = 14.0
+BLOCK = 256
+_ROWS = 2048
+_rng = np.random.default_rng(19990101)
+_FACTORS = (_rng.integers(0, 1 << 32, 4096, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
+_MASKS = _rng.integers(0, 1 << 32, 4096, dtype=np.uint64).astype(np.uint32)
+_BAND_FACTORS = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
+
+
+def banding(threshold: float) -> tuple[int, int]:
+    """(bands, registers in a band): bands selective enough, and so many that a pair at the threshold meets in one."""
+    width = 1
+    while threshold ** width > 0.45:
+        width += 1
+    return math.ceil(math.log(MISS) / math.log(1 - threshold ** width)), width
+
+
+def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of every text."""
+    found = find_words(texts, VISIBLE)
+    hashes = found.hashes()
+    runs = grams(hashes, k)
+    sets = []
+    for lo, hi in zip(found.bounds[:-1].tolist(), found.bounds[1:].tolist()):
+        if hi - lo >= k:
+            sets.append(np.unique(runs[lo:hi - k + 1]))
+        elif hi > lo:
+            sets.append(mix(grams(hashes[lo:hi], hi - lo) + np.uint64(hi - lo)))
+        else:
+            sets.append(np.zeros(0, np.uint64))
+    return sets
+
+
+def registers(items: np.ndarray, m: int) -> np.ndarray:
+    """The ``m`` registers of a set of 64-bit hashes."""
+    folded = (items ^ (items >> np.uint64(32))).astype(np.uint32)
+    most = np.zeros(m, np.uint32)
+    for at in range(0, len(folded), _ROWS):
+        values = folded[at:at + _ROWS, None] ^ _MASKS[:m]
+        values *= _FACTORS[:m]
+        np.maximum(most, values.max(axis=0), out=most)
+    least = -np.log((most.astype(np.float64) + 0.5) / 4294967296.0) / RATE  # least of exponentials: most of uniforms
+    return np.clip(np.floor(1 - np.log(least) / math.log(BASE)), 0, 255).astype(np.uint8)
+
+
+def _collision(x: np.ndarray) -> np.ndarray:
+    return -np.log1p(-x * (BASE - 1) / BASE) / math.log(BASE)
+
+
+def may_be_linked(above: np.ndarray, below: np.ndarray, equal: np.ndarray, size_a: np.ndarray, size_b: np.ndarray,
+                  num: int, den: int) -> np.ndarray:
+    """Whether pairs may have a similarity of num / den, by the joint likelihood of their registers.
+
+    ``above``, ``below``, ``equal``: registers of a that are larger, smaller, the same; the sizes are exact.
+    """
+    ok = np.zeros(len(above), bool)
+    fits = np.flatnonzero(den * np.minimum(size_a, size_b) >= num * np.maximum(size_a, size_b))
+    grid = np.arange(0, 201) / 200.0
+    for at in range(0, len(fits), _ROWS):
+        part = fits[at:at + _ROWS]
+        a = size_a[part].astype(float)
+        b = size_b[part].astype(float)
+        u, v = (a / (a + b))[:, None], (b / (a + b))[:, None]
+        j = np.minimum(grid[None, :], np.minimum(u / v, v / u))
+        more = np.clip(_collision(u - v * j), 1e-12, 1)
+        less = np.clip(_collision(v - u * j), 1e-12, 1)
+        same = np.clip(1 - more - less, 1e-12, 1)
+        logs = above[part, None] * np.log(more) + below[part, None] * np.log(less) + equal[part, None] * np.log(same)
+        reaching = np.where(grid[None, :] >= num / den - 0.0025, logs, -np.inf).max(axis=1)
+        ok[part] = logs.max(axis=1) - reaching <= SLACK
+    return ok
+
+
+def signatures(docs: DataFrame, k: int, m: int) -> DataFrame:
+    """(doc_id, n_shingles, digest, sketch); digest and sketch are null for an empty set."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            sets = shingle_sets(part.column("text"), k)
+            yield pa.RecordBatch.from_arrays([
+                part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
+                pa.array([_digest(s) for s in sets], pa.binary()),
+                pa.array([registers(s, m).tobytes() if len(s) else None for s in sets], pa.binary()),
+            ], ["doc_id", "n_shingles", "digest", "sketch"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, digest binary, sketch binary")
+
+
+def _digest(items: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(items.tobytes(), digest_size=16).digest() if len(items) else None
+
+
+def _sketch_rows(column: pa.Array, m: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), m)
+
+
+def band_keys(classes: DataFrame, bands: int, width: int) -> DataFrame:
+    """(band, node): one row per band, its key made of the band's number and registers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = _sketch_rows(batch.column("sketch"), bands * width).reshape(-1, bands, width)
+            keys = np.zeros(rows.shape[:2], np.uint64)
+            for j in range(width):
+                keys += (rows[:, :, j].astype(np.uint64) + np.uint64(1)) * _BAND_FACTORS[j]
+            keys = mix(keys + np.arange(bands, dtype=np.uint64)[None, :] * _BAND_FACTORS[63])
+            yield pa.RecordBatch.from_arrays([
+                pa.array(keys.astype(np.int64).ravel()),
+                pa.array(np.repeat(batch.column("node").to_numpy(), bands))], ["band", "node"])
+
+    return classes.select("node", "sketch").mapInArrow(run, "band long, node long")
+
+
+def _likely(pairs: DataFrame, classes: DataFrame, m: int, num: int, den: int) -> DataFrame:
+    """The (a, b) of ``pairs`` that the registers do not rule out."""
+    of = classes.select("node", "n_shingles", "sketch")
+    joined = (pairs
+              .join(of.withColumnsRenamed({"node": "a", "n_shingles": "size_a", "sketch": "sketch_a"}), "a")
+              .join(of.withColumnsRenamed({"node": "b", "n_shingles": "size_b", "sketch": "sketch_b"}), "b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = _sketch_rows(batch.column("sketch_a"), m), _sketch_rows(batch.column("sketch_b"), m)
+            ok = may_be_linked((left > right).sum(axis=1), (left < right).sum(axis=1), (left == right).sum(axis=1),
+                               batch.column("size_a").to_numpy(), batch.column("size_b").to_numpy(), num, den)
+            yield batch.select(["a", "b"]).filter(pa.array(ok))
+
+    return joined.mapInArrow(run, "a long, b long")
+
+
+def _shingle_table(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(node, items): the full sets of ``wanted`` (node, digest, first_id), read from the texts once more."""
+    ids = wanted.select(F.col("first_id").alias("_id")).distinct()
+    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            sets = [s for s in shingle_sets(part.column("text"), k) if len(s)]
+            yield pa.RecordBatch.from_arrays([
+                pa.array([_digest(s) for s in sets], pa.binary()),
+                pa.array([s.tobytes() for s in sets], pa.binary())], ["digest", "items"])
+
+    sets = texts.mapInArrow(run, "digest binary, items binary")
+    return sets.join(wanted.select("node", "digest"), "digest").select("node", "items").dropDuplicates(["node"])
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The (a, b) whose full sets have den x intersection >= num x union."""
+    joined = (pairs.join(sets.withColumnsRenamed({"node": "b", "items": "items_b"}), "b")
+              .join(sets.withColumnsRenamed({"node": "a", "items": "items_a"}), "a"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column("items_a"), batch.column("items_b")):
+                left, right = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                place = np.searchsorted(left, right)
+                shared = int((left[np.minimum(place, len(left) - 1)] == right).sum())
+                ok.append(den * shared >= num * (len(left) + len(right) - shared))
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return joined.select("a", "b", "items_a", "items_b").mapInArrow(run, "a long, b long")
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, root) of all nodes in ``links`` (a, b): root is the smallest node reachable.
+
+    Large-star and small-star steps in turn until nothing changes; every step is a minimum per node and an equi-join.
+    """
+    edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    state = None
+    while True:
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = cut(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+        lower = large.groupBy("a").agg(F.min("b").alias("m"))
+        moved = large.join(lower, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        edges = cut(moved.unionByName(lower.select("a", F.col("m").alias("b"))).distinct())
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if now == state:
+            break
+        state = now
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
+        edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def _across(buckets: DataFrame, classes: DataFrame, roots: DataFrame, m: int, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) from buckets that hold several components, across components, that the registers do not rule out."""
+    members = buckets.select("band", "node", "leader").unionByName(
+        buckets.select("band", F.col("leader").alias("node"), "leader").distinct())
+    rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = cut(rooted)
+    mixed = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo < hi")
+    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    dealt = (rooted.join(mixed.select("band", "size"), "band")
+             .join(classes.select("node", "n_shingles", "sketch"), "node")
+             .withColumn("own", own)
+             .withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
+             .select("band", F.least("own", "with").alias("p"), F.greatest("own", "with").alias("q"), "own", "node", "leader",
+                     "root", "n_shingles", "sketch"))
+    parts = int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grouped = dealt.repartition(parts, "band", "p", "q").sortWithinPartitions("band", "p", "q")
+
+    def compare(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        node, root, own, leader, size = (group.column(c).to_numpy() for c in ("node", "root", "own", "leader", "n_shingles"))
+        sketch = _sketch_rows(group.column("sketch").combine_chunks(), m)
+        crossing = group.column("p")[0].as_py() != group.column("q")[0].as_py()
+        first, second = [], []
+        for i in range(len(node) - 1):
+            rest = np.arange(i + 1, len(node))
+            good = (root[rest] != root[i]) & (node[rest] != leader[i]) & (node[i] != leader[i])
+            if crossing:
+                good &= own[rest] != own[i]
+            rest = rest[good]
+            if len(rest):
+                more, less = (sketch[i] > sketch[rest]).sum(axis=1), (sketch[i] < sketch[rest]).sum(axis=1)
+                ok = may_be_linked(more, less, m - more - less, np.full(len(rest), size[i]), size[rest], num, den)
+                first.append(np.full(int(ok.sum()), node[i]))
+                second.append(node[rest[ok]])
+        none = np.zeros(0, np.int64)
+        return np.concatenate(first or [none]), np.concatenate(second or [none])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            keys = np.stack([held.column(c).to_numpy() for c in ("band", "p", "q")])
+            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
+            at = 0
+            for upto in cuts.tolist():  # the last group may go on in the next batch
+                yield _pairs(*compare(held.slice(at, upto - at)))
+                at = upto
+            held = held.slice(at)
+        if held is not None and held.num_rows:
+            yield _pairs(*compare(held))
+
+    return grouped.mapInArrow(run, "a long, b long").distinct()
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row: links have den x intersection >= num x union."""
+    bands, width = banding(num / den)
+    m = bands * width
+    docs = docs.select("doc_id", "text")
+    rows = cut(signatures(docs, k, m))
+    classes = cut(rows.where("digest IS NOT NULL").groupBy("digest").agg(
+        F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n_shingles"), F.max("sketch").alias("sketch"))
+        .withColumn("node", F.monotonically_increasing_id()))
+    keys = band_keys(classes, bands, width)
+    leaders = keys.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("size")).where("size > 1")
+    buckets = cut(keys.join(leaders.select("band", "leader"), "band").where("node <> leader"))
+
+    stars = buckets.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    first = cut(_likely(stars, classes, m, num, den))
+    nodes = buckets.select("node").unionByName(buckets.select(F.col("leader").alias("node"))).distinct()
+    sets = cut(_shingle_table(docs, classes.join(nodes, "node").select("node", "digest", "first_id"), k))
+    links = cut(_confirmed(first, sets, num, den))
+    roots = components(links)
+    second = cut(_across(buckets, classes, roots, m, num, den))
+    more = cut(_confirmed(second, sets, num, den))
+    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+
+    rooted = classes.select("node", "digest", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    firsts = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    by_class = rooted.join(firsts, "root").select("digest", "component_id")
+    return rows.join(by_class, "digest", "left").select(
+        "doc_id", "n_shingles",
+        F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")).withColumn(
+        "kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def keep_one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose doc_id is the smallest of its group.
+
+    Rows that repeat a kept doc_id stay together; rows without doc_id stay if one of them has no group with an id.
+    """
+    kept = cut(near_duplicates(docs, k, num, den).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct())
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
