@@ -15,9 +15,8 @@ are known, and to shorter ones where none is. The language with the largest sum
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +25,8 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 from trialloom.llm.training import held_out, sample_order
-from trialloom.llm.words import LETTERS, find_words, slices
+from trialloom.llm.words import LETTERS, find_words, mix, slices
+from trialloom.session import cut
 
 MAX_TRAIN = 40_000
 MAX_WORDS = 200_000
@@ -36,7 +36,6 @@ LONGEST_GRAM = 5
 SHARPNESS = 4.0
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
-_CACHE = 200_000
 
 
 def _lowered(column: pa.Array) -> pa.Array:
@@ -49,15 +48,12 @@ def count_words(labelled: DataFrame) -> DataFrame:
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             found = find_words(_lowered(part.column("text")), LETTERS)
-            langs = part.column("lang").to_pylist()
-            counts: Counter = Counter()
-            for i, lang in enumerate(langs):
-                lo, hi = found.bounds[i], found.bounds[i + 1]
-                counts.update((lang, found.text(j)) for j in range(lo, hi))
-            keys = list(counts)
+            langs = part.column("lang").dictionary_encode()
+            codes = np.repeat(langs.indices.to_numpy(zero_copy_only=False).astype(np.uint64), np.diff(found.bounds))
+            _, first, counts = np.unique(found.hashes() ^ mix(codes + np.uint64(1)), return_index=True, return_counts=True)
             yield pa.RecordBatch.from_arrays([
-                pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.binary()),
-                pa.array([counts[k] for k in keys], pa.int64())], ["lang", "word", "n"])
+                langs.dictionary.take(pa.array(codes[first].astype(np.int64))),
+                pa.array([found.text(i) for i in first], pa.binary()), pa.array(counts, pa.int64())], ["lang", "word", "n"])
 
     counted = labelled.select("text", "lang").mapInArrow(per_batch, "lang string, word binary, n long")
     return counted.groupBy("lang", "word").agg(F.sum("n").alias("n"))
@@ -65,21 +61,31 @@ def count_words(labelled: DataFrame) -> DataFrame:
 
 @dataclass
 class Model:
-    """Log frequencies: one row per word or n-gram, one column per language."""
+    """Log frequencies, one column per language: of words by their hash, of n-grams by theirs for each n."""
 
     languages: list[str]
-    words: dict[bytes, int] = field(default_factory=dict)
-    word_logs: np.ndarray = None
-    grams: dict[str, int] = field(default_factory=dict)
-    gram_logs: np.ndarray = None
-
-
-def padded_grams(word: str, n: int) -> list[str]:
-    """The n-grams of a word between a begin and an end mark; single characters without the marks."""
+    words: np.ndarray
+    word_logs: np.ndarray
+    grams: dict[int, np.ndarray]
+    gram_logs: dict[int, np.ndarray]
+
+
+def word_grams(words: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the word, hash) of every n-gram of characters, from a begin mark to an end mark; single ones without."""
+    text = b"".join(b"\x02" + w + b"\x03" for w in words).decode("utf-8", "replace")
+    chars = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+    of = np.cumsum(chars == 2) - 1
+    if len(chars) < n:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    size = len(chars) - n + 1
+    inside = of[:size] == of[n - 1:]
     if n == 1:
-        return list(word)
-    marked = f"\x02{word}\x03"
-    return [marked[i:i + n] for i in range(len(marked) - n + 1)]
+        inside = chars > 3
+    where = np.flatnonzero(inside)
+    hashes = np.full(len(where), n, np.uint64)
+    for j in range(n):
+        hashes = mix(hashes + chars[where + j])
+    return of[where], hashes
 
 
 def _logs(table: np.ndarray, smoothing: float) -> np.ndarray:
@@ -87,34 +93,31 @@ def _logs(table: np.ndarray, smoothing: float) -> np.ndarray:
     return np.log((table + smoothing) / (totals + smoothing * max(1, len(table)))).astype(np.float32)
 
 
-def build_model(rows: list[tuple[str, bytes, int]]) -> Model:
+def build_model(rows: list[tuple[str, bytes, int]], max_grams: int = MAX_GRAMS) -> Model:
     """A model from (lang, word, n) rows, which ``train`` has bounded."""
     languages = sorted({r[0] for r in rows})
     place = {lang: i for i, lang in enumerate(languages)}
-    words = {w: i for i, w in enumerate(sorted({r[1] for r in rows}))}
+    words = sorted({r[1] for r in rows})
+    number = {w: i for i, w in enumerate(words)}
     table = np.zeros((len(words), len(languages)))
     for lang, word, n in rows:
-        table[words[word], place[lang]] += n
-    by_gram: dict[str, np.ndarray] = {}
-    for word, i in words.items():
-        text = word.decode("utf-8", "replace")
-        if len(text) > 40:
-            continue
-        for n in range(1, LONGEST_GRAM + 1):
-            for gram in padded_grams(text, n):
-                if gram in by_gram:
-                    by_gram[gram] += table[i]
-                else:
-                    by_gram[gram] = table[i].copy()
-    chosen = sorted(by_gram, key=lambda g: (-by_gram[g].sum(), g))[:MAX_GRAMS]
-    grams = {g: i for i, g in enumerate(chosen)}
-    gram_table = np.array([by_gram[g] for g in chosen]).reshape(len(chosen), len(languages))
-    logs = np.zeros(gram_table.shape, np.float32)
-    sizes = np.array([len(g) for g in chosen])
+        table[number[word], place[lang]] += n
+    hashes = find_words(pa.array([w.decode("utf-8", "replace") for w in words], pa.string()), LETTERS).hashes()
+    order = np.argsort(hashes)
+    keys, sums = [], []
     for n in range(1, LONGEST_GRAM + 1):
-        if (sizes == n).any():
-            logs[sizes == n] = _logs(gram_table[sizes == n], 0.5)
-    return Model(languages, words, _logs(table, 0.1), grams, logs)
+        of, grams = word_grams(words, n)
+        unique, inverse = np.unique(grams, return_inverse=True)
+        by_language = [np.bincount(inverse, table[of, c], len(unique)) for c in range(len(languages))]
+        total = np.stack(by_language, axis=1) if languages else np.zeros((0, 0))
+        keys.append(unique)
+        sums.append(total)
+    every = np.concatenate([s.sum(axis=1) for s in sums])
+    least = np.sort(every)[-max_grams] if len(every) > max_grams else 0
+    kept = [s.sum(axis=1) >= least for s in sums]  # all that tie with the last one
+    return Model(languages, hashes[order], _logs(table, 0.1)[order],
+                 {n: k[m] for n, (k, m) in enumerate(zip(keys, kept), 1)},
+                 {n: _logs(s[m], 0.5) for n, (s, m) in enumerate(zip(sums, kept), 1)})
 
 
 def train(labelled: DataFrame, max_train: int = MAX_TRAIN, max_words: int = MAX_WORDS) -> Model:
@@ -124,59 +127,61 @@ def train(labelled: DataFrame, max_train: int = MAX_TRAIN, max_words: int = MAX_
     if total > max_train:
         # the hash bound thins the scan, so that only about the wanted rows are ordered
         share = min(1.0, 1.2 * max_train / total + 0.001)
-        bound = int(-(1 << 63) + share * ((1 << 64) - 1))
-        usable = usable.where(sample_order(F.col("doc_id")) <= F.lit(min(bound, (1 << 63) - 1)))
+        bound = min(int(-(1 << 63) + share * ((1 << 64) - 1)), (1 << 63) - 1)
+        usable = usable.where(sample_order(F.col("doc_id")) <= F.lit(bound))
         usable = usable.orderBy(sample_order(F.col("doc_id")), "doc_id").limit(max_train)
-    counts = count_words(usable)
+    counts = cut(count_words(usable))
     most = (counts.groupBy("word").agg(F.sum("n").alias("total"))
             .orderBy(F.desc("total"), "word").limit(max_words).select("word"))
-    rows = [(r.lang, bytes(r.word), r.n) for r in counts.join(most, "word").toLocalIterator()]
+    found = counts.join(most, "word").toArrow()  # max_words rows a language at most
+    rows = list(zip(*(found.column(c).to_pylist() for c in ("lang", "word", "n"))))
     if len({r[0] for r in rows}) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     return build_model(rows)
 
 
 class Scorer:
-    """Scores batches; keeps the rows of words met before (a bounded cache)."""
+    """Scores batches of texts."""
 
     def __init__(self, model: Model):
         self.model = model
-        self.unseen: dict[bytes, np.ndarray] = {}
 
-    def _backoff(self, word: bytes) -> np.ndarray:
-        text = word.decode("utf-8", "replace")
+    def backoff(self, words: list[bytes]) -> np.ndarray:
+        """Rows of unseen words: the mean over their known n-grams of the largest n that has any."""
+        rows = np.zeros((len(words), len(self.model.languages)))
+        open_words = np.arange(len(words))
         for n in range(LONGEST_GRAM, 0, -1):
-            known = [self.model.grams[g] for g in padded_grams(text, n) if g in self.model.grams]
-            if known:
-                return self.model.gram_logs[known].mean(axis=0)
-        return np.zeros(len(self.model.languages), np.float32)
-
-    def word_row(self, word: bytes) -> np.ndarray:
-        i = self.model.words.get(word)
-        if i is not None:
-            return self.model.word_logs[i]
-        row = self.unseen.get(word)
-        if row is None:
-            if len(self.unseen) >= _CACHE:
-                self.unseen.clear()
-            row = self.unseen[word] = self._backoff(word)
-        return row
+            if not len(open_words) or not len(self.model.grams[n]):
+                continue
+            of, hashes = word_grams([words[i] for i in open_words], n)
+            at = np.minimum(np.searchsorted(self.model.grams[n], hashes), len(self.model.grams[n]) - 1)
+            known = self.model.grams[n][at] == hashes
+            of, at = of[known], at[known]
+            counts = np.bincount(of, minlength=len(open_words))
+            if not len(of):
+                continue
+            met = np.flatnonzero(counts)
+            firsts = np.searchsorted(of, met)
+            rows[open_words[met]] = np.add.reduceat(self.model.gram_logs[n][at].astype(float), firsts, axis=0) / counts[met, None]
+            open_words = open_words[counts == 0]
+        return rows
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
-        n, languages = len(texts), self.model.languages
+        n, model = len(texts), self.model
         labels, scores = [UNKNOWN] * n, np.zeros(n)
-        if not languages or not n:
+        if not model.languages or not n:
             return labels, scores
-        lowered = _lowered(texts)
-        found = find_words(lowered, LETTERS)
+        found = find_words(_lowered(texts), LETTERS)
         if not len(found.start):
             return labels, scores
-        hashes = found.hashes()
-        _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        rows = np.array([self.word_row(found.text(i)) for i in first])[inverse].astype(np.float64)
-        sums = np.zeros((n, len(languages)))
+        unique, first, inverse = np.unique(found.hashes(), return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(model.words, unique), len(model.words) - 1)
+        known = model.words[at] == unique
+        rows = model.word_logs[at].astype(float)
+        rows[~known] = self.backoff([found.text(i) for i in first[~known]])
         filled = np.flatnonzero(np.diff(found.bounds) > 0)
-        sums[filled] = np.add.reduceat(rows, found.bounds[filled], axis=0)
+        sums = np.zeros((n, len(model.languages)))
+        sums[filled] = np.add.reduceat(rows[inverse], found.bounds[filled], axis=0)
         means = sums / np.maximum(1, np.diff(found.bounds))[:, None] * SHARPNESS
         best = means.argmax(axis=1)
         share = 1.0 / np.exp(means - means.max(axis=1, keepdims=True)).sum(axis=1)
@@ -186,7 +191,7 @@ class Scorer:
             lo, hi = bounds[i], bounds[i + 1]
             if ascii_letters[hi] == ascii_letters[lo] and not _LETTER.search(data[lo:hi].tobytes().decode("utf-8", "replace")):
                 continue
-            labels[i], scores[i] = languages[best[i]], share[i]
+            labels[i], scores[i] = model.languages[best[i]], share[i]
         return labels, scores
 
 
