@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, functions as F
 GROUP = 64
 LEAST_PAGES = 3
 MOST_WORDING = 0.3
+WORDING_SHARE = 0.8  # of a block's words, for the block to be template
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = "script|style|noscript|template|svg|iframe|object|canvas|math|textarea|title"
@@ -323,7 +324,9 @@ def extract_group(htmls: list[str]) -> list[str]:
         found = blocks(page, path) if path else []
         if not found:
             found = blocks(page, own_path(page))
-        fixed = [all(t in wording for t in ts) for _, ts in found] if wording and len(pages) > LEAST_PAGES else [False] * len(found)
+        fixed = [False] * len(found)
+        if wording and len(pages) > LEAST_PAGES:
+            fixed = [sum(t in wording for t in ts) >= WORDING_SHARE * len(ts) for _, ts in found]
         size = sum(len(t) for t, _ in found)
         if sum(len(t) for (t, _), f in zip(found, fixed) if f) > MOST_WORDING * size:
             fixed = [False] * len(found)
