@@ -6,13 +6,20 @@ partitioning. Replicates meet cluster sums only, never raw rows.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from trialloom.functions.keys import draw_hash, ring_hash
 from trialloom.operators.ranking import position_by_ring
 from trialloom.operators.reshape import with_totals
+from trialloom.session import cut
 
 BLOCK = 4096
+ATTEMPT_BLOCK = 500
+ROWS = 1000
+WEIGHT_BYTES = 64 << 20
+MOST_TRIES = 1000
 
 
 def cluster_index(cells: DataFrame, cluster: str) -> DataFrame:
@@ -33,29 +40,78 @@ def draws(index: DataFrame, scheme: str, attempts: int, seed: int) -> DataFrame:
     return rows.select("attempt", F.pmod(draw_hash(seed, scheme, F.col("attempt"), F.col("_j")), F.col("_k")).alias("idx"))
 
 
-def multiplicities(cells: DataFrame, cluster: str, attempts: int, seed: int) -> DataFrame:
-    """(attempt, cluster, weight) of the clusters drawn at least once."""
-    index = cluster_index(cells, cluster)
-    counted = draws(index, cluster, attempts, seed).groupBy("attempt", "idx").agg(F.count("*").alias("weight"))
-    return counted.join(index, "idx").select("attempt", cluster, "weight")
+def block_weights(index: DataFrame, cluster: str, attempts: int, seed: int) -> DataFrame:
+    """(cluster, block, drawn): the attempts of a block, counted from its first, that draw the cluster (repeats included)."""
+    drawn = draws(index, cluster, attempts, seed).groupBy("idx", F.floor(F.col("attempt") / ATTEMPT_BLOCK).cast("int").alias("block")).agg(
+        F.collect_list(F.pmod(F.col("attempt"), F.lit(ATTEMPT_BLOCK)).cast("int")).alias("drawn"))
+    return drawn.join(index, "idx").select(cluster, "block", "drawn")
 
 
 def replicate_sums(rows: DataFrame, clusters: list[str], strata: list[str], measures: list[str], attempts: int, seed: int) -> DataFrame:
-    """(attempt, strata, measures): the measures summed under resampled clusters, one-way or two-way (product weights)."""
-    cells = rows.groupBy(*clusters, *strata).agg(*[F.sum(m).alias(m) for m in measures])
+    """(attempt, strata, measures): the measures summed under resampled clusters, one-way or two-way (product weights).
+
+    A row per combination of clusters holds the sums of all its strata. It meets its clusters' weights a block of
+    attempts at a time; tasks add up weight x measure as matrix products, so strata x attempts sums are all that is shuffled
+    after that. A stratum that no drawn cluster holds is left out. Of two cluster tables the smaller one is broadcast while
+    its clusters x attempts are within ``WEIGHT_BYTES``.
+    """
+    cells = rows.groupBy(*clusters, *strata).agg(*[F.sum(m).cast("double").alias(m) for m in measures])
+    packed = cells.groupBy(*clusters).agg(F.collect_list(F.struct(*strata, *measures)).alias("cells"))
+    indexes = {c: cluster_index(cells, c) for c in clusters}
     if len(clusters) == 1:
-        cluster = clusters[0]
-        index = cluster_index(cells, cluster)
-        indexed = cells.join(index, cluster)
-        return draws(index, cluster, attempts, seed).join(indexed, "idx").groupBy("attempt", *strata).agg(
-            *[F.sum(m).alias(m) for m in measures])
-    first, second = clusters
-    outer = multiplicities(cells, first, attempts, seed)
-    inner = multiplicities(cells, second, attempts, seed)
-    partly = outer.join(cells, first).groupBy("attempt", second, *strata).agg(
-        *[F.sum(F.col(m) * F.col("weight")).alias(m) for m in measures])
-    return partly.join(inner, ["attempt", second]).groupBy("attempt", *strata).agg(
-        *[F.sum(F.col(m) * F.col("weight")).alias(m) for m in measures])
+        joined = packed.join(block_weights(indexes[clusters[0]], clusters[0], attempts, seed), clusters[0]).withColumn("drawn_too", F.lit(None).cast("array<int>"))
+    else:
+        sizes = {c: indexes[c].count() for c in clusters}
+        small, large = sorted(clusters, key=lambda c: sizes[c])
+        inner = block_weights(indexes[small], small, attempts, seed).withColumnRenamed("drawn", "drawn_too")
+        if sizes[small] * attempts * 4 <= WEIGHT_BYTES:
+            inner = F.broadcast(inner)
+        joined = packed.join(block_weights(indexes[large], large, attempts, seed), large).join(inner, [small, "block"])
+    types = {c: cells.schema[c].dataType.simpleString() for c in strata}
+
+    def partial(batches):
+        held: dict[int, dict] = {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                weights = _dense(part.column("drawn"))
+                if part.column("drawn_too").null_count < part.num_rows:
+                    weights *= _dense(part.column("drawn_too"))
+                owner, values = part.column("cells").value_parent_indices().to_numpy(), part.column("cells").flatten()
+                keys = list(zip(*(values.field(c).to_pylist() for c in strata)))
+                kinds = [values.field(c).type for c in strata]
+                numbers = np.stack([values.field(m).to_numpy(zero_copy_only=False) for m in measures], axis=1)
+                blocks = part.column("block").to_numpy()
+                for block in np.unique(blocks):
+                    inside = held.setdefault(int(block), {})
+                    for key, rows_of in _by_key(keys, np.flatnonzero(blocks[owner] == block)).items():
+                        w = weights[owner[rows_of]]
+                        sums = inside.setdefault(key, [np.zeros((ATTEMPT_BLOCK, len(measures))), np.zeros(ATTEMPT_BLOCK)])
+                        sums[0] += w.T @ numbers[rows_of]
+                        sums[1] += w.sum(axis=0)
+        for block, inside in held.items():
+            for key, (sums, weight) in inside.items():
+                seen = np.flatnonzero(weight > 0)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(block * ATTEMPT_BLOCK + seen, pa.int64()), *(pa.array([k] * len(seen), kind) for k, kind in zip(key, kinds)),
+                     *(pa.array(sums[seen, m]) for m in range(len(measures)))], ["attempt", *strata, *measures])
+
+    schema = ", ".join(["attempt long", *(f"`{c}` {k}" for c, k in types.items()), *(f"`{m}` double" for m in measures)])
+    out = joined.select("block", "drawn", "drawn_too", "cells").mapInArrow(partial, schema)
+    return out.groupBy("attempt", *strata).agg(*[F.sum(m).alias(m) for m in measures])
+
+
+def _dense(drawn: pa.Array) -> np.ndarray:
+    """How often each row's cluster is drawn in each attempt of the block."""
+    at = drawn.value_parent_indices().to_numpy() * ATTEMPT_BLOCK + drawn.flatten().to_numpy()
+    return np.bincount(at, minlength=len(drawn) * ATTEMPT_BLOCK).reshape(len(drawn), ATTEMPT_BLOCK).astype(float)
+
+
+def _by_key(keys: list[tuple], places: np.ndarray) -> dict[tuple, np.ndarray]:
+    found: dict[tuple, list[int]] = {}
+    for at in places.tolist():
+        found.setdefault(keys[at], []).append(at)
+    return {k: np.array(v) for k, v in found.items()}
 
 
 def first_valid(values: DataFrame, by: list[str], valid: Column, replicates: int) -> DataFrame:
@@ -65,30 +121,33 @@ def first_valid(values: DataFrame, by: list[str], valid: Column, replicates: int
 
 
 def bootstrap_macro(effects: DataFrame, clusters: list[str], replicates: int, seed: int, fixed: list[str] | None = None,
-                    redraw: float = 2.0) -> DataFrame:
+                    redraw: float = 1.2) -> DataFrame:
     """(contrast, replicate, macro, tasks...): task-macro mean of the effects per replicate.
 
     effects: contrast, reading_task, cluster columns, effect and the ``fixed`` strata (e.g. outer_fold): an attempt that
-    leaves a (fixed, task) stratum empty is invalid and redrawn, ``redraw`` x replicates attempts being made up front.
-    ``short_series`` reports series with too few valid attempts.
+    leaves a (fixed, task) stratum empty is invalid. ``redraw`` x replicates attempts are made first and twice as many as
+    long as a series is short; a series still short after ``MOST_TRIES`` x replicates attempts is an error.
+    Attempts are numbered draws, so more of them never change the first ones.
     """
     strata = ["contrast", *(fixed or []), "reading_task"]
-    attempts = int(replicates * redraw)
-    summed = replicate_sums(effects.withColumn("n", F.lit(1).cast("bigint")), clusters, strata, ["effect", "n"], attempts, seed)
     wanted = effects.select(*strata).distinct().groupBy("contrast").agg(F.count("*").alias("_strata"))
-    per_task = summed.groupBy("contrast", "attempt", "reading_task").agg(
-        (F.sum("effect") / F.sum("n")).alias("mean"), F.count("*").alias("_seen"))
-    macro = per_task.groupBy("contrast", "attempt").agg(
-        F.avg("mean").alias("macro"), F.sum("_seen").alias("_seen"),
-        F.max(F.when(F.col("reading_task") == "NR", F.col("mean"))).alias("NR"),
-        F.max(F.when(F.col("reading_task") == "TSR", F.col("mean"))).alias("TSR"))
-    checked = macro.join(wanted, "contrast")
-    kept = first_valid(checked, ["contrast"], F.col("_seen") == F.col("_strata"), replicates)
-    return kept.select("contrast", "replicate", "macro", "NR", "TSR")
-
-
-def short_series(distribution: DataFrame, replicates: int) -> DataFrame:
-    return distribution.groupBy("contrast").agg(F.count("*").alias("rows")).where(F.col("rows") < replicates)
+    series, attempts = wanted.count(), int(replicates * redraw)
+    while True:
+        summed = replicate_sums(effects.withColumn("n", F.lit(1).cast("bigint")), clusters, strata, ["effect", "n"], attempts, seed)
+        per_task = summed.groupBy("contrast", "attempt", "reading_task").agg(
+            (F.sum("effect") / F.sum("n")).alias("mean"), F.count("*").alias("_seen"))
+        macro = per_task.groupBy("contrast", "attempt").agg(
+            F.avg("mean").alias("macro"), F.sum("_seen").alias("_seen"),
+            F.max(F.when(F.col("reading_task") == "NR", F.col("mean"))).alias("NR"),
+            F.max(F.when(F.col("reading_task") == "TSR", F.col("mean"))).alias("TSR"))
+        checked = macro.join(wanted, "contrast")
+        kept = cut(first_valid(checked, ["contrast"], F.col("_seen") == F.col("_strata"), replicates)
+                   .select("contrast", "replicate", "macro", "NR", "TSR"))
+        if kept.groupBy("contrast").agg(F.count("*").alias("rows")).where(F.col("rows") >= replicates).count() == series:
+            return kept
+        if attempts >= MOST_TRIES * replicates:
+            raise ValueError(f"no {replicates} valid replicates of {clusters} in {attempts} attempts")
+        attempts = min(2 * attempts, MOST_TRIES * replicates)
 
 
 def quantile_columns(value: str, points: dict[str, float]) -> list[Column]:

@@ -113,8 +113,8 @@ def _effects(t: Tables) -> DataFrame:
 
 # --- bootstrap ---------------------------------------------------------------------------------------------------
 
-REPLICATES = 60
-ATTEMPTS = 2 * REPLICATES
+REPLICATES = 5000
+ATTEMPTS = REPLICATES * 6 // 5
 
 
 def sql_weights(cluster: str, source: str = "effects") -> str:
