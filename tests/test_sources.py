@@ -29,10 +29,57 @@ def test_strict_csv_rejects_other_headers(spark, folder):
 def test_projected_csv_keeps_commas_quotes_and_line_breaks(spark, folder):
     rows = [(1, 'a "quoted", line\nbreak'), (2, "plain")]
     sinks.projected_csv(spark.createDataFrame(rows, "k int, v string"), f"{folder}/x", ["v", "k"])
-    got = scans.strict_csv(spark, f"{folder}/x", ["v", "k"], exact=True).collect()
+    got = scans.strict_csv(spark, f"{folder}/x", ["v", "k"], exact=True, multi_line=True).collect()
     assert sorted((int(r["k"]), r["v"]) for r in got) == rows
 
 
+def test_every_part_needs_the_same_header(spark, folder):
+    import os
+
+    os.mkdir(f"{folder}/x")
+    for name, text in (("a.csv", "x,y\n1,2\n"), ("b.csv", "y,x\n20,10\n")):
+        with open(f"{folder}/x/{name}", "w") as handle:
+            handle.write(text)
+    with pytest.raises(Exception, match="(?i)header"):
+        scans.strict_csv(spark, f"{folder}/x", ["x", "y"]).collect()
+
+
+def test_equal_file_names_in_two_folders(spark, folder):
+    import os
+
+    for part, text in (("p=1", "one"), ("p=2", "two")):
+        os.makedirs(f"{folder}/x/{part}")
+        with open(f"{folder}/x/{part}/same.bin", "w") as handle:
+            handle.write(text)
+    got = scans.file_digests(spark, f"{folder}/x").collect()
+    assert {r["file"] for r in got} == {"p=1/same.bin", "p=2/same.bin"} and len({r["sha256"] for r in got}) == 2
+
+
+def test_chunks_that_return_lose_output_or_leave(spark, folder):
+    def work(df):
+        return df.withColumn("twice", F.col("v") * 2)
+
+    def run(rows):
+        df = spark.createDataFrame(rows, "chunk string, k int, v int")
+        found = {r["chunk"]: r["action"] for r in sinks.resumable_chunks(df, "chunk", "k", folder, work, "v1").collect()}
+        stored = spark.read.schema("k int, v int, twice int, chunk string").parquet(f"{folder}/data")
+        return found, {(r["chunk"], r["twice"]) for r in stored.collect()}
+
+    one, two = [("01", 1, 1), ("b", 2, 5)], [("01", 1, 2), ("b", 2, 5)]
+    assert run(one) == ({"01": "written", "b": "written"}, {("01", 2), ("b", 10)})
+    assert run(two) == ({"01": "written", "b": "kept"}, {("01", 4), ("b", 10)})
+    assert run(one) == ({"01": "written", "b": "kept"}, {("01", 2), ("b", 10)})  # the old log entry does not count
+    import glob
+    import os
+
+    os.remove(glob.glob(f"{folder}/data/chunk=b/*.parquet")[0])  # output lost
+    assert run(one) == ({"01": "kept", "b": "written"}, {("01", 2), ("b", 10)})
+    spark.createDataFrame([(2, 5, 99)], "k int, v int, twice int").write.mode("overwrite").parquet(f"{folder}/data/chunk=b")  # altered
+    assert run(one) == ({"01": "kept", "b": "written"}, {("01", 2), ("b", 10)})
+    assert run(one[:1]) == ({"01": "kept", "b": "dropped"}, {("01", 2)})
+    assert run(one) == ({"01": "kept", "b": "written"}, {("01", 2), ("b", 10)})
+
+
 def test_tampered_index_is_rejected(spark, folder):
     spark.range(10).write.parquet(f"{folder}/index")
     parts = scans.file_digests(spark, f"{folder}/index").where("file like '%.parquet'")

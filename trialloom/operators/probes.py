@@ -14,7 +14,8 @@ from trialloom.operators.reshape import with_totals
 from trialloom.session import cut
 
 TIE = 1e-12
-ITERATIONS = 15  # quasi-Newton steps on standardised features; every step is a pass over the data
+ITERATIONS = 3000  # at most; a fit that needs more is an error. Every step is a pass over the data
+TOLERANCE = 1e-5  # relative decrease of the loss at which a fit has converged
 
 
 def with_features(df: DataFrame, vector: str) -> DataFrame:
@@ -49,12 +50,14 @@ def fit_predict(train: DataFrame, test: DataFrame, kind: str, parameter: float,
     scaler = StandardScaler(inputCol="features", outputCol="_scaled", withMean=True, withStd=True)
     if kind == "regression":
         model = LinearRegression(featuresCol="_scaled", labelCol="y", predictionCol="_p", elasticNetParam=0.0, standardization=False,
-                                 regParam=parameter / rows, maxIter=iterations)
+                                 regParam=parameter / rows, maxIter=iterations, tol=TOLERANCE)
         fitted = Pipeline(stages=[scaler, model]).fit(train.withColumn("y", F.col("y").cast("double")))
         return fitted.transform(test).withColumn("yhat", F.col("_p")).drop("_scaled", "_p")
     model = LogisticRegression(featuresCol="_scaled", labelCol="y", predictionCol="_p", weightCol="weight", elasticNetParam=0.0,
-                               standardization=False, regParam=1.0 / (parameter * rows), maxIter=iterations)
+                               standardization=False, regParam=1.0 / (parameter * rows), maxIter=iterations, tol=TOLERANCE)
     fitted = Pipeline(stages=[scaler, model]).fit(balanced_weights(train, "y"))
+    if fitted.stages[-1].summary.totalIterations >= iterations:
+        raise ValueError(f"the classifier has not converged in {iterations} steps")
     return fitted.transform(test).withColumn("yhat", F.col("_p").cast("int")).drop("_scaled", "_p", "rawPrediction", "probability")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from trialloom.functions.keys import draw_hash, hash_parity, length_stratum, ring_hash, stable_hash
 from trialloom.operators.ranking import digest_bucket, position_by_digest, position_by_ring, prefix_sum, ring_bucket
 from trialloom.operators.reshape import each, with_totals
+from trialloom.session import cut
 
 
 def group_split(df: DataFrame, group: str, seed: int, train: float = 0.7, val: float = 0.1) -> DataFrame:
@@ -90,7 +91,7 @@ def derangement(trials: DataFrame, seed: int) -> DataFrame:
     """(trial_id, text_key, wrong_text_key): nobody keeps its text.
 
     Trials are ordered by (text, hash) and every one takes the text ``largest group`` places ahead, which is another
-    text whenever no text holds more than half of the trials. Positions come from two levels (texts, then trials of a
+    text; if one text holds more than half of the trials there is no such order and the run fails. Positions come from two levels (texts, then trials of a
     text), so a hot text is ordered in pieces.
     """
     texts = trials.groupBy("text_key").agg(F.count("*").alias("_size"))
@@ -100,7 +101,9 @@ def derangement(trials: DataFrame, seed: int) -> DataFrame:
     totals = texts.agg(F.sum("_size").alias("_n"), F.max("_size").alias("_shift"))
     placed = with_totals(placed.withColumn("_at", F.col("_before") + F.col("_p")), totals)
     donors = placed.select(F.col("_at").alias("_to"), F.col("text_key").alias("wrong_text_key"))
-    taking = placed.withColumn("_to", F.pmod(F.col("_at") + F.col("_shift"), F.col("_n")))
+    shift = F.when(2 * F.col("_shift") > F.col("_n"), F.raise_error(F.lit("a text holds more than half of the trials")).cast("bigint")).otherwise(
+        F.col("_shift"))
+    taking = placed.withColumn("_to", F.pmod(F.col("_at") + shift, F.col("_n")))
     return taking.join(donors, "_to").select("trial_id", "text_key", "wrong_text_key")
 
 
@@ -140,19 +143,29 @@ def capped_sample(df: DataFrame, key: str, size: int, seed: int) -> DataFrame:
 
 
 def n_way_draws(df: DataFrame, key: str, ways: int, draws: int, seed: int) -> DataFrame:
-    """(draw, slot, key): ``ways`` distinct rows per draw.
+    """(draw, slot, key): ``ways`` distinct rows per draw; with fewer rows than ``ways`` there is no draw, an error.
 
     Positions are hashed, so a draw costs a few lookups and never a sort of the table; a repeated position is skipped.
+    Draws that are not full yet go on with twice as many tries; a try has a number, so more of them keep the first slots.
     """
-    ringed = df.select(key).withColumn("_ring", draw_hash(seed, "place", F.col(key)))
-    placed = position_by_ring(ringed, [], "_ring", [key], "_p").select(F.col("_p"), key)
-    tries = df.sparkSession.range(draws).withColumnRenamed("id", "draw").withColumn(
-        "try", F.explode(F.sequence(F.lit(0), F.lit(4 * ways + 15))))
-    tries = with_totals(tries, ringed.agg(F.count("*").alias("_n")))
-    tries = tries.withColumn("_p", F.pmod(draw_hash(seed, ways, F.col("draw"), F.col("try")), F.col("_n")))
-    fresh = tries.groupBy("draw", "_p").agg(F.min("try").alias("try"))
     from pyspark.sql import Window
 
+    rows = df.count()
+    if rows < ways:
+        raise ValueError(f"{rows} rows, {ways} wanted in a draw")
+    ringed = df.select(key).withColumn("_ring", draw_hash(seed, "place", F.col(key)))
+    placed = position_by_ring(ringed, [], "_ring", [key], "_p").select(F.col("_p"), key)
     order = Window.partitionBy("draw").orderBy("try")
-    chosen = fresh.withColumn("slot", F.row_number().over(order)).where(F.col("slot") <= ways)
-    return chosen.join(placed, "_p").select("draw", "slot", key)
+    open_draws, most, full = df.sparkSession.range(draws).withColumnRenamed("id", "draw"), 4 * ways + 15, None
+    while True:
+        tries = open_draws.withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(most)))).withColumn(
+            "_p", F.pmod(draw_hash(seed, ways, F.col("draw"), F.col("try")), F.lit(rows)))
+        fresh = tries.groupBy("draw", "_p").agg(F.min("try").alias("try"))
+        chosen = cut(fresh.withColumn("slot", F.row_number().over(order)).where(F.col("slot") <= ways).select("draw", "slot", "_p"))
+        done = chosen.groupBy("draw").agg(F.count("*").alias("n")).where(F.col("n") == ways).select("draw")
+        part = chosen.join(done, "draw", "left_semi")
+        full = part if full is None else full.unionByName(part)
+        open_draws = cut(open_draws.join(done, "draw", "left_anti"))
+        if open_draws.isEmpty():
+            return full.join(placed, "_p").select("draw", "slot", key)
+        most *= 2

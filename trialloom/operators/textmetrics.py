@@ -187,13 +187,12 @@ def cider(pairs: DataFrame, top: int = 4, sigma: float = 6.0) -> DataFrame:
         "id", (10.0 * F.coalesce("c", F.lit(0.0)) * F.exp(-gap * gap / (2 * sigma * sigma))).alias("cider"))
 
 
-def self_bleu(predictions: DataFrame, size: int, seed: int, top: int = 4) -> DataFrame:
-    """(id, bleu1..4) of each sampled prediction against all the others.
+def self_bleu(predictions: DataFrame, top: int = 4) -> DataFrame:
+    """(id, bleu1..4) of each prediction against all the others, however many they are.
 
     The best count of a gram among the others is the largest, or the second largest for the holder of the largest.
     """
-    sample = predictions.select("id", "prediction").orderBy(ring_hash(seed, F.col("id"), "sample"), "id").limit(size)
-    items = sample.select("id", tokens(F.lower("prediction")).alias("w"))
+    items = predictions.select("id", tokens(F.lower("prediction")).alias("w"))
     own = gram_rows(items, ["id"], F.col("w"), top).groupBy("id", "n", "gram").agg(F.count("*").alias("c"))
     lead = own.groupBy("n", "gram").agg(F.max(F.struct("c", "id")).alias("first"))
     rest = own.join(lead, ["n", "gram"]).where(F.col("id") != F.col("first.id")).groupBy("n", "gram").agg(F.max("c").alias("second"))
@@ -201,13 +200,13 @@ def self_bleu(predictions: DataFrame, size: int, seed: int, top: int = 4) -> Dat
         "m", F.when(F.col("id") == F.col("first.id"), F.coalesce("second", F.lit(0))).otherwise(F.col("first.c")))
     hits = limits.groupBy("id", "n").agg(F.sum(F.least("c", "m")).alias("hit"), F.sum("c").alias("all"))
     sizes = items.select("id", F.size("w").alias("p"))
-    # Distinct lengths of a capped sample: the nearest other length is a neighbour, or the same when shared.
+    # One row per distinct length, which texts bound: the nearest other length is a neighbour, or the same when shared.
     around = Window.partitionBy(F.lit(0)).orderBy("p")
     table = sizes.groupBy("p").agg(F.count("*").alias("k")).withColumns({"lo": F.lag("p").over(around), "hi": F.lead("p").over(around)})
     low_gap, high_gap = F.col("p") - F.col("lo"), F.col("hi") - F.col("p")
     nearest = F.when(F.col("k") > 1, F.col("p")).when(
         F.col("hi").isNull() | (low_gap <= high_gap), F.col("lo")).otherwise(F.col("hi"))
-    return _bleu_from_hits(sample.select("id"), hits, sizes.join(table.select("p", nearest.alias("r")), "p"), top)
+    return _bleu_from_hits(predictions.select("id"), hits, sizes.join(table.select("p", nearest.alias("r")), "p"), top)
 
 
 def top_keywords(texts: DataFrame, terms: DataFrame, key: str, count: int = 3) -> DataFrame:

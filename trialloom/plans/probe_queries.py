@@ -34,16 +34,28 @@ def i17b(t):
 
 @query("I17_probe_multilabel")
 def i17c(t):
-    hot = F.array(*[(F.col("y") == i).cast("int") for i in range(CLASSES)])
-    rows = probes.with_features(probe_rows(t).withColumn("y", hot), "vector")
-    return probes.fit_predict_labels(rows.where("fold <> 0"), rows.where("fold = 0"), "trial_id", CLASSES, 1.0)
+    """Out-of-fold predictions of label sets with none, one or two labels."""
+    first, second = (F.col("length") % 4 != 0), F.col("length") % CLASSES
+    hot = F.array(*[((first & (F.col("y") == i)) | ((F.col("length") % 2 == 0) & (second == i) & (F.col("length") % 8 != 0))).cast("int")
+                    for i in range(CLASSES)])
+    rows = cut(probes.with_features(probe_rows(t).withColumn("y", hot), "vector").select("trial_id", "fold", "features", "y"))
+    parts = [probes.fit_predict_labels(rows.where(F.col("fold") != i), rows.where(F.col("fold") == i), "trial_id", CLASSES, 1.0) for i in range(FOLDS)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def metadata_predictions(rows):
+    """Every fold predicted from the metadata of the others."""
+    out = None
+    for i in range(FOLDS):
+        train, test = probes.metadata_features(rows.where(F.col("fold") != i), rows.where(F.col("fold") == i), ["reading_task", "subject_id"], ["length"])
+        part = probes.fit_predict(train, test, "multiclass", 1.0).select("trial_id", "y", "yhat")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("I18_metadata_baseline")
 def i18(t):
-    rows = probe_rows(t)
-    train, test = probes.metadata_features(rows.where("fold <> 0"), rows.where("fold = 0"), ["reading_task", "subject_id"], ["length"])
-    return probes.fit_predict(train, test, "multiclass", 1.0).select("trial_id", "y", "yhat")
+    return metadata_predictions(probe_rows(t)).select("trial_id", "y", "yhat")
 
 
 @query("I19_held_out_subjects")
@@ -55,11 +67,12 @@ def i19(t):
     wrong = base.drop("vector").join(donors, "trial_id").join(signal, "donor_id").withColumnRenamed("wrong_vector", "vector")
     rows = probes.with_features(base, "vector")
     test_wrong = probes.with_features(cut(wrong), "vector")
-    fit = rows.where("fold <> 0")
-    train, test = probes.metadata_features(base.where("fold <> 0"), base.where("fold = 0"), ["reading_task", "subject_id"], ["length"])
-    scores = [probes.utility(probes.fit_predict(fit, held, "multiclass", 1.0), "multiclass", CLASSES)
-              for held in (rows.where("fold = 0"), test_wrong.where("fold = 0"))]
-    scores.insert(1, probes.utility(probes.fit_predict(train, test, "multiclass", 1.0), "multiclass", CLASSES))
+    right = probes.out_of_fold(rows, "fold", FOLDS, "multiclass", 1.0, ["trial_id"])
+    swapped = None
+    for i in range(FOLDS):
+        part = probes.fit_predict(rows.where(F.col("fold") != i), test_wrong.where(F.col("fold") == i), "multiclass", 1.0).select("trial_id", "y", "yhat")
+        swapped = part if swapped is None else swapped.unionByName(part)
+    scores = [probes.utility(cut(x), "multiclass", CLASSES) for x in (right, metadata_predictions(base), swapped)]
     passed = probes.point_gain(scores[0], scores[1], scores[2])
     subjects = [r["subject_id"] for r in rows.select("subject_id").distinct().orderBy("subject_id").collect()]
     out = probes.held_out_subjects(rows, "subject_id", subjects, "multiclass", 1.0, ["trial_id", "subject_id"])

@@ -247,10 +247,14 @@ def p24(t):
         labels.parse_finite(raw_float).alias("finite"), labels.parse_digest(raw_digest).isNotNull().alias("digest_ok"))
 
 
-@query("P28_json_digest")
+@query("P28_json_digest", """
+SELECT doc_id, sha256(to_json({'n_chars': CASE WHEN doc_id % 3 = 0 THEN NULL ELSE n_chars END, 'reading_task': lang, 'subject_id': source})::VARCHAR) AS digest
+FROM documents""")
 def p28(t):
-    payload = F.to_json(F.struct("n_chars", "reading_task", "subject_id"))
-    frame = t.raw("documents").select("doc_id", "n_chars", F.col("lang").alias("reading_task"), F.col("source").alias("subject_id"))
+    """Fields in name order; a missing value is written as null, so it differs from a field that is not there."""
+    payload = F.to_json(F.struct("n_chars", "reading_task", "subject_id"), {"ignoreNullFields": "false"})
+    frame = t.raw("documents").select("doc_id", F.when(F.col("doc_id") % 3 != 0, F.col("n_chars")).alias("n_chars"), F.col("lang").alias("reading_task"),
+                                      F.col("source").alias("subject_id"))
     return frame.select("doc_id", F.sha2(payload, 256).alias("digest"))
 
 

@@ -151,17 +151,23 @@ def user_signals(t):
 
 @query("X09_fourier_resample")
 def x09(t):
-    out = signals.resample(user_signals(t).where(F.size("signal") >= 8), ["record_id"], source=2, target=1)
-    return out.select("record_id", F.size("signal").alias("steps"), F.round(F.element_at(F.element_at("signal", 1), 1), 6).alias("first"))
+    """Signals of fewer than eight steps are returned with a reason instead of values."""
+    rows = user_signals(t)
+    out = signals.resample(rows.where(F.size("signal") >= 8), ["record_id"], source=2, target=1).select(
+        "record_id", F.size("signal").alias("steps"), F.round(F.element_at(F.element_at("signal", 1), 1), 6).alias("first"), F.lit("kept").alias("reason"))
+    return out.unionByName(rows.where(F.size("signal") < 8).select(
+        "record_id", F.size("signal").alias("steps"), F.lit(None).cast("double").alias("first"), F.lit("short").alias("reason")))
 
 
 @query("X10_pad_and_mask", """
-SELECT record_id, len(signal) AS steps, 12 AS padded, 6 AS width, CAST(least(len(signal), 12) AS INTEGER) AS valid FROM order_signals WHERE len(signal) <= 12""")
+SELECT record_id, len(signal) AS steps, CASE WHEN len(signal) <= 12 THEN 12 END AS padded, CASE WHEN len(signal) <= 12 THEN 6 END AS width,
+       CASE WHEN len(signal) <= 12 THEN CAST(len(signal) AS INTEGER) END AS valid, CASE WHEN len(signal) <= 12 THEN 'kept' ELSE 'long' END AS reason FROM order_signals""")
 def x10(t):
-    rows = order_signals(t).where(F.size("signal") <= 12)
+    rows, fits = order_signals(t), F.size("signal") <= 12
     padded, mask = signals.pad(F.col("signal"), 12, 6), signals.valid_mask(F.size("signal"), 12)
-    return rows.select("record_id", F.size("signal").cast("bigint").alias("steps"), F.size(padded).alias("padded"), F.size(F.element_at(padded, 12)).alias("width"),
-                       F.aggregate(mask, F.lit(0), lambda a, m: a + m).alias("valid"))
+    return rows.select("record_id", F.size("signal").cast("bigint").alias("steps"), F.when(fits, F.size(padded)).alias("padded"),
+                       F.when(fits, F.size(F.element_at(padded, 12))).alias("width"), F.when(fits, F.aggregate(mask, F.lit(0), lambda a, m: a + m)).alias("valid"),
+                       F.when(fits, "kept").otherwise("long").alias("reason"))
 
 
 @query("X11_masked_normalise", """

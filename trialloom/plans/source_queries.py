@@ -117,7 +117,7 @@ def s09(t):
 def s11(t):
     path = scratch(t, "s11")
     sinks.projected_csv(t.raw("benchmark"), path, ["text", "item_id"])
-    return scans.strict_csv(t.spark, path, ["text", "item_id"], exact=True).select(F.col("item_id").cast("bigint").alias("item_id"), "text")
+    return scans.strict_csv(t.spark, path, ["text", "item_id"], exact=True, multi_line=True).select(F.col("item_id").cast("bigint").alias("item_id"), "text")
 
 
 @query("S13_resumable_chunks", """

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,9 +22,12 @@ def strings(names: list[str]) -> StructType:
 
 
 def delimited(spark: SparkSession, paths: str | list[str], names: list[str], sep: str = ",", header: bool = True,
-              drop: Column | None = None) -> DataFrame:
-    """All-string scan with given names; ``drop`` names the lines that are no data (a second header line)."""
-    out = spark.read.schema(strings(names)).option("sep", sep).option("header", header).option("multiLine", True).option(
+              drop: Column | None = None, multi_line: bool = False) -> DataFrame:
+    """All-string scan with given names; ``drop`` names the lines that are no data (a second header line).
+
+    Files are split between tasks; only ``multi_line``, for quoted line breaks, keeps each file in one task.
+    """
+    out = spark.read.schema(strings(names)).option("sep", sep).option("header", header).option("multiLine", multi_line).option(
         "escape", '"').csv(paths)
     return out if drop is None else out.where(~F.coalesce(drop, F.lit(False)))
 
@@ -36,10 +40,15 @@ def numbered(spark: SparkSession, pattern: str, numbers: list[int], names: list[
     return out.withColumn("part", found)
 
 
-def strict_csv(spark: SparkSession, path: str, required: list[str], exact: bool = False) -> DataFrame:
-    """CSV with a checked header; a leading byte-order mark is dropped, ragged lines fail the read."""
-    raw = spark.read.option("header", True).option("mode", "FAILFAST").option("escape", '"').option("multiLine", True).csv(path)
-    names = [c.replace(BOM, "") for c in raw.columns]
+def strict_csv(spark: SparkSession, path: str, required: list[str], exact: bool = False, multi_line: bool = False) -> DataFrame:
+    """CSV with a checked header; a leading byte-order mark is dropped, ragged lines fail the read.
+
+    Every part must have the header of the first one: another header, or another order, fails the read when it is run.
+    """
+    options = {"header": True, "mode": "FAILFAST", "escape": '"', "multiLine": multi_line}
+    found = spark.read.options(**options).csv(path).columns
+    raw = spark.read.options(**options, enforceSchema=False).schema(strings(found)).csv(path)
+    names = [c.replace(BOM, "") for c in found]
     raw = raw.toDF(*names)
     if exact and names != required:
         raise ContractError(f"header of {path}: {names}, expected {required}")
@@ -50,9 +59,13 @@ def strict_csv(spark: SparkSession, path: str, required: list[str], exact: bool
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """(file, bytes, sha256) of the files below a folder; every file is hashed where it is read."""
+    """(file, bytes, sha256) of the files below a folder, by their path from there; every file is hashed where it is read.
+
+    A file is one value, so files of 2 GB or more are an error.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    root = re.escape(re.sub(r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", "", path).rstrip("/"))
+    return files.select(F.regexp_extract("path", f"^.*?{root}/(.*)$", 1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 def manifest(spark: SparkSession, path: str, schema: str, one_document: bool = True) -> DataFrame:
@@ -84,8 +97,9 @@ def split_scan(spark: SparkSession, path: str, split: str, dataset: str | None =
 
 
 def store_lookup(store: DataFrame, wanted: DataFrame, key: list[str]) -> DataFrame:
-    """The wanted rows of a keyed store, each exactly once; a repeated store key makes the read fail."""
-    once = store.groupBy(*key).agg(*[F.first(c).alias(c) for c in store.columns if c not in key], F.count("*").alias("_n"))
+    """The wanted rows of a keyed store, each exactly once; a repeated key among them makes the read fail."""
+    hit = store.join(wanted.select(*key).distinct(), key, "left_semi")  # only what is wanted is grouped
+    once = hit.groupBy(*key).agg(*[F.first(c).alias(c) for c in store.columns if c not in key], F.count("*").alias("_n"))
     checked = once.withColumn("_ok", F.when(F.col("_n") > 1, F.raise_error(F.lit("repeated key in store"))).otherwise(F.lit(True)))
     return wanted.join(checked.where("_ok").drop("_n", "_ok"), key)
 
@@ -112,5 +126,5 @@ def npz_shards(spark: SparkSession, path: str) -> DataFrame:
 
 def predictions(spark: SparkSession, path: str, prediction: str = "prediction", target: str = "target") -> DataFrame:
     """(prediction, target) as text behind the last marker; missing becomes empty."""
-    raw = strict_csv(spark, path, [prediction, target])
+    raw = strict_csv(spark, path, [prediction, target], multi_line=True)
     return raw.select(after_marker(F.col(prediction)).alias("prediction"), after_marker(F.col(target)).alias("target"))

@@ -6,9 +6,11 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from trialloom.operators.contracts import digest_of_set
 from trialloom.operators.joins import positions
+from trialloom.session import cut
 from trialloom.sources.scans import file_digests
 
 
@@ -35,30 +37,66 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
 
 
+def _row_digest(df: DataFrame) -> DataFrame:
+    return df.withColumn("_row", F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}), 256))
+
+
 def resumable_chunks(df: DataFrame, chunk: str, key: str, path: str, work: Callable[[DataFrame], DataFrame], version: str) -> DataFrame:
     """Chunks that still need work are processed and written; finished ones are kept.
 
-    A chunk is finished when the identity (row digests of its content and the version of the work) in the log equals the
-    present one. Writing overwrites the chunk's own partition, so a run that died can simply be repeated.
-    Returns the chunk table of this run: chunk, members, set_digest, action.
+    A chunk is finished when the latest log entry of the chunk has its present identity (row digests of its content and the
+    version of the work) and the rows that now stand in its output have the digest that was logged when they were written.
+    Older entries do not count, and output that was lost or altered is made anew. Chunks that left the input lose their output.
+    Writing overwrites the chunk's own partition, so a run that died can simply be repeated.
+    Returns the chunk table of this run: chunk, members, set_digest, version, action (written, kept or dropped).
     """
     spark = df.sparkSession
-    content = df.withColumn("_row", F.sha2(F.to_json(F.struct(*sorted(df.columns))), 256))
-    now = digest_of_set(content, [chunk], "_row").withColumn("version", F.lit(version))
-    log = f"{path}/_log"
+    now = cut(digest_of_set(_row_digest(df), [chunk], "_row").withColumn("version", F.lit(version)))
+    schema = work(df.limit(0)).schema
+    data, log = f"{path}/data", f"{path}/_log"
+    todo, left, run = now, None, 1
     if _exists(spark, log):
-        done = spark.read.parquet(log).select(chunk, "members", "set_digest", "version")
-        todo = now.join(done, [chunk, "members", "set_digest", "version"], "left_anti")
-    else:
-        todo = now
-    todo = todo.withColumn("action", F.lit("written"))
-    run = uuid.uuid4().hex
-    todo.write.parquet(f"{path}/_runs/{run}")
-    todo = spark.read.parquet(f"{path}/_runs/{run}")
+        logged = spark.read.parquet(log)
+        run = logged.agg(F.max("run")).first()[0] + 1
+        entry = ["members", "set_digest", "version", "out_members", "out_digest"]
+        last = cut(logged.groupBy(chunk).agg(F.max_by(F.struct(*entry), "run").alias("e")).select(chunk, "e.*"))
+        found = _output(spark, data, schema, chunk)
+        sound = last.join(found.withColumnsRenamed({"out_members": "_n", "out_digest": "_d"}), chunk, "left").where(
+            F.col("out_members").eqNullSafe(F.coalesce("_n", F.lit(0))) & F.col("out_digest").eqNullSafe(F.col("_d")))
+        todo = now.join(sound, [chunk, "members", "set_digest", "version"], "left_anti")
+        left = cut(last.join(now, chunk, "left_anti").where("members > 0"))
+    todo = cut(todo)
     work(df.join(todo.select(chunk), chunk, "left_semi")).write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic").partitionBy(chunk).parquet(f"{path}/data")
-    todo.drop("action").write.mode("append").parquet(log)
-    return now.join(todo.select(chunk, "action"), chunk, "left").na.fill("kept", ["action"])
+        "partitionOverwriteMode", "dynamic").partitionBy(chunk).parquet(data)
+    if left is not None:
+        _drop(spark, data, schema, chunk, left)
+    entries = todo.join(_output(spark, data, schema, chunk), chunk, "left").withColumn("out_members", F.coalesce("out_members", F.lit(0).cast("bigint")))
+    if left is not None:
+        gone = left.withColumns({"members": F.lit(0).cast("bigint"), "set_digest": F.lit(""), "out_members": F.lit(0).cast("bigint"), "out_digest": F.lit(None).cast("string")})
+        entries = entries.unionByName(gone)
+    entries.withColumn("run", F.lit(run).cast("bigint")).write.mode("append").parquet(log)
+    actions = now.join(todo.select(chunk, F.lit("written").alias("action")), chunk, "left").na.fill("kept", ["action"])
+    return actions if left is None else actions.unionByName(left.select(*now.columns).withColumn("action", F.lit("dropped")))
+
+
+def _output(spark: SparkSession, data: str, schema: StructType, chunk: str) -> DataFrame:
+    """(chunk, out_members, out_digest) of the rows that stand in the output."""
+    if not _exists(spark, data):
+        return spark.createDataFrame([], StructType([schema[chunk]])).withColumns(
+            {"out_members": F.lit(0).cast("bigint"), "out_digest": F.lit(None).cast("string")})
+    rows = spark.read.schema(schema).parquet(data)
+    return digest_of_set(_row_digest(rows), [chunk], "_row").withColumnsRenamed({"members": "out_members", "set_digest": "out_digest"})
+
+
+def _drop(spark: SparkSession, data: str, schema: StructType, chunk: str, left: DataFrame) -> None:
+    """Deletes the folders of chunks that left the input."""
+    if not _exists(spark, data):
+        return
+    stored = spark.read.schema(schema).parquet(data).select(chunk, F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "").alias("folder"))
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    for row in stored.join(left.select(chunk), chunk, "left_semi").select("folder").distinct().toLocalIterator():
+        folder = path(row["folder"])
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def publish(tables: dict[str, DataFrame], target: str) -> None:

@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+#: how much new input a micro-batch takes; single larger files still come whole
+BYTES_PER_BATCH = 16 << 30
+
 
 def process_new_files(spark: SparkSession, source: str, schema: str, output: str, checkpoint: str,
-                      work: Callable[[DataFrame], DataFrame], files_per_batch: int = 1) -> None:
+                      work: Callable[[DataFrame], DataFrame], bytes_per_batch: int = BYTES_PER_BATCH) -> None:
     """Every input file becomes one output partition named after it.
 
     A file belongs to one micro-batch, and a batch overwrites only its own partitions: replaying a batch after a failure
     gives the same output. The checkpoint remembers finished files, so a later call handles only new ones.
     """
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+    stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", bytes_per_batch).parquet(source)
     named = stream.withColumn("chunk", F.regexp_replace(F.col("_metadata.file_name"), r"\.parquet$", ""))
 
     def write(batch: DataFrame, _: int) -> None:
@@ -24,9 +27,10 @@ def process_new_files(spark: SparkSession, source: str, schema: str, output: str
     run.awaitTermination()
 
 
-def running_statistics(spark: SparkSession, source: str, schema: str, by: list[str], value: str, output: str, checkpoint: str) -> None:
-    """Count, sum, extremes and moments per group, kept up to date file by file (complete output of the last batch)."""
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+def running_statistics(spark: SparkSession, source: str, schema: str, by: list[str], value: str, output: str, checkpoint: str,
+                       bytes_per_batch: int = BYTES_PER_BATCH) -> None:
+    """Count, sum, extremes and moments per group, kept up to date batch by batch (complete output of the last batch)."""
+    stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", bytes_per_batch).parquet(source)
     v = F.col(value).cast("double")
     stats = stream.groupBy(*by).agg(
         F.count("*").alias("n"), F.sum(v).alias("sum"), F.min(v).alias("min"), F.max(v).alias("max"), F.sum(v * v).alias("squares"))
