@@ -68,7 +68,8 @@ def dedup_lines(docs: DataFrame, size: int = SIZE) -> DataFrame:
         raise ValueError(f"docs has reserved columns: {hidden}")
     later = cut(later_windows(docs.select("doc_id", "text"), size)).withColumnsRenamed(
         {"doc_id": "_later_id", "body": "_later_body", "places": "_places"})
-    joined = docs.join(later, docs["doc_id"].eqNullSafe(F.col("_later_id"))
+    # the table of repeats grows with the input, so it is never broadcast: cost stays in proportion
+    joined = docs.join(later.hint("merge"), docs["doc_id"].eqNullSafe(F.col("_later_id"))
                        & (F.xxhash64(docs["text"]) == F.col("_later_body")), "left")
     every = F.when(docs["text"].isNull(), F.array().cast("array<string>")).otherwise(_lines(docs["text"]))
     starts = F.array_sort(F.coalesce("_places", F.array().cast("array<int>")))
