@@ -128,6 +128,41 @@ def test_average_ranks(spark):
     assert got == {-7.5: 1.0, 1.0: 2.0, 2.0: 3.0, 3.0: 5.0}
 
 
+def test_derangement_that_cannot_be_fails(spark):
+    rows = [(f"t{i}", "D", "NR", "S", text_key(0 if i < 4 else i), 5) for i in range(6)]
+    with pytest.raises(Exception, match="more than half"):
+        splits.derangement(spark.createDataFrame(rows, COLUMNS), 4).collect()
+
+
+def test_draws_are_always_full(spark):
+    ids = spark.range(20).withColumnRenamed("id", "key")
+    drawn = splits.n_way_draws(ids, "key", 20, 50, 3).collect()
+    by_draw = defaultdict(set)
+    for r in drawn:
+        by_draw[r["draw"]].add(r["key"])
+    assert len(by_draw) == 50 and all(len(v) == 20 for v in by_draw.values()) and len(drawn) == 1000
+    with pytest.raises(ValueError):
+        splits.n_way_draws(ids, "key", 21, 1, 3)
+
+
+def test_an_outlier_does_not_fill_one_bin(spark):
+    values = spark.range(10_000).select((F.col("id") % 10).alias("k"), F.when(F.col("id") == 77, 1e12).otherwise(F.col("id").cast("double")).alias("_v"))
+    for keys in ([], ["k"]):
+        counts = [r["count"] for r in ranking.value_bins(values, keys, 64).groupBy(*keys, "_bin").count().collect()]
+        total = 10_000 if not keys else 1_000
+        assert max(counts) <= total * 0.05
+
+
+def test_exposure_counts_what_is_never_used(spark):
+    fit = spark.createDataFrame([(0, "fit", "NR", 0, f"x{i // 2}", f"t{i}") for i in range(6)] + [(0, "held", "NR", 0, "x9", "t9")],
+                                "outer_fold int, role string, reading_task string, pseudo_group int, text_key string, trial_id string")
+    plan = spark.createDataFrame([(0, 1, 0, "NR", 0, "x0", "t0"), (0, 1, 1, "NR", 0, "x0", "t0"), (0, 1, 1, "NR", 0, "x1", "t2"), (0, 1, 1, "NR", 0, "x9", "t9")],
+                                 "outer_fold int, epoch int, batch int, reading_task string, pseudo_group int, text_key string, trial_id string")
+    r = batches.exposure_audit(plan, fit).first()
+    assert (r["fit_rows"], r["fit_texts"], r["slots"], r["min_uses"], r["max_uses"], r["gap"], r["row_gap"], r["unused_rows"], r["unused_texts"], r["foreign_slots"]) == (
+        6, 3, 4, 0, 2, 2, 2, 4, 1, 1)
+
+
 def test_derangement_never_keeps_a_text(spark, trials):
     rows = splits.derangement(spark.createDataFrame(trials, COLUMNS), 4).collect()
     assert len(rows) == len(trials)

@@ -65,7 +65,7 @@ def test_bleu(spark, pairs):
 
 def test_self_bleu(spark, pairs):
     kept = [(i, p) for i, p, _ in PAIRS if p]
-    for r in textmetrics.self_bleu(spark.createDataFrame(kept, "id string, prediction string"), 100, 1).collect():
+    for r in textmetrics.self_bleu(spark.createDataFrame(kept, "id string, prediction string")).collect():
         own = dict(kept)[r["id"]]
         assert r["bleu2"] == pytest.approx(bleu_py(own, [p for i, p in kept if i != r["id"]], 2), abs=1e-12)
 
@@ -215,3 +215,32 @@ def test_labels_and_text(spark):
     assert one.select(text.fold_case(F.col("x")), text.word_count(F.col("x"))).first() == ("a b c", 3)
     with pytest.raises(Exception, match="unknown label"):
         df.select(labels.class_index(F.col("x"), ["WIFE"], unknown="raise")).collect()
+
+
+def test_a_rare_task_never_shortens_a_series(spark, monkeypatch):
+    rows = [("c", "NR", f"s{i % 12}", f"x{i % 30}", float(i % 5)) for i in range(120)] + [("c", "TSR", "s3", "x3", 1.0)]
+    df = spark.createDataFrame(rows, "contrast string, reading_task string, subject_id string, text_key string, effect double")
+    for clusters in (["subject_id"], ["subject_id", "text_key"]):
+        assert inference.bootstrap_macro(df, clusters, 60, 3).count() == 60
+    monkeypatch.setattr(inference, "MOST_TRIES", 1)
+    with pytest.raises(ValueError, match="valid replicates"):
+        inference.bootstrap_macro(df, ["subject_id", "text_key"], 60, 3)
+
+
+def test_weight_arrays_agree_with_single_draws(spark):
+    rows = [("a" if i % 3 else "b", f"s{i % 4}", f"x{i % 7}", float(i)) for i in range(50)]
+    df = spark.createDataFrame(rows, "stratum string, s string, x string, v double")
+    attempts = 700  # more than a block
+    got = {(r["attempt"], r["stratum"]): r["v"] for r in inference.replicate_sums(df, ["s", "x"], ["stratum"], ["v"], attempts, 5).collect()}
+    weights = {}
+    for c in ("s", "x"):
+        index = inference.cluster_index(df, c)
+        for r in inference.draws(index, c, attempts, 5).join(index, "idx").groupBy("attempt", c).count().collect():
+            weights[(c, r["attempt"], r[c])] = r["count"]
+    want = {}
+    for stratum, s, x, v in rows:
+        for a in range(attempts):
+            w = weights.get(("s", a, s), 0) * weights.get(("x", a, x), 0)
+            if w:
+                want[(a, stratum)] = want.get((a, stratum), 0.0) + w * v
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)

@@ -106,5 +106,8 @@ STOP_WORDS = (
     "myself no nor not now of off on once only or other our ours ourselves out over own same she should "
     "so some such than that the their theirs them themselves then there these they this those through to "
     "too under until up very was we were what when where which while who whom why will with you your "
-    "yours yourself yourselves"
+    "yours yourself yourselves "
+    # what tokenising leaves of contractions
+    "ain aren couldn d didn doesn don hadn hasn haven isn ll m ma mightn mustn needn o re s shan shouldn t "
+    "ve wasn weren won wouldn y"
 ).split()

