@@ -316,7 +316,11 @@ def d08(t):
     return splits.permuted_labels(t.raw("labels"), "doc_id", "quality", REPLICATES, SEED)
 
 
-@query("D11_weighted_sampling")
+@query("D11_weighted_sampling", f"""
+, k AS (SELECT label, n, row_number() OVER (ORDER BY label) - 1 AS c FROM (SELECT label, count(*) AS n FROM embeddings GROUP BY 1)),
+m AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY {sql_draw(SEED, "'member'", "vec_id")}, vec_id) - 1 AS p FROM embeddings),
+d AS (SELECT draw, {sql_draw(SEED, "'class'", "draw")} % (SELECT count(*) FROM k) AS c, {sql_draw(SEED, "'row'", "draw")} AS h FROM (SELECT unnest(range(2000)) AS draw))
+SELECT d.draw, m.vec_id, m.label FROM d JOIN k USING (c) JOIN m ON m.label = k.label AND m.p = d.h % k.n""")
 def d11(t):
     rows = t.raw("embeddings").select("vec_id", "label")
     return splits.sample_by_class(rows, "vec_id", "label", 2000, SEED)

@@ -198,7 +198,15 @@ def i09(t):
 WAYS = 4
 
 
-@query("D09_n_way_retrieval")
+@query("D09_n_way_retrieval", f"""
+, s AS (SELECT trial_id, row_number() OVER (ORDER BY {sql_draw(SEED, "'place'", "trial_id")}, trial_id) - 1 AS p, count(*) OVER () AS n FROM vec_trials),
+y AS (SELECT draw, try, {sql_draw(SEED, WAYS, "draw", "try")} % (SELECT max(n) FROM s) AS p
+      FROM (SELECT unnest(range(300)) AS draw), (SELECT unnest(range({4 * WAYS + 16})) AS try)),
+d AS (SELECT draw, p, row_number() OVER (PARTITION BY draw ORDER BY try) AS slot FROM (SELECT draw, p, min(try) AS try FROM y GROUP BY ALL) QUALIFY slot <= {WAYS}),
+v AS (SELECT d.draw, d.slot, t.vector, x.text_vector FROM d JOIN s USING (p) JOIN vec_trials t USING (trial_id) JOIN vec_texts x ON x.text_key = t.text_key),
+b AS (SELECT q.draw, q.slot AS q, c.slot AS c FROM v q JOIN v c ON q.draw = c.draw
+      QUALIFY row_number() OVER (PARTITION BY q.draw, q.slot ORDER BY round(list_cosine_similarity(q.vector, c.text_vector), 12) DESC, c.slot) = 1)
+SELECT CAST({WAYS} AS INTEGER) AS ways, count(DISTINCT draw) AS draws, avg(CASE WHEN q = c THEN 1.0 ELSE 0.0 END) AS accuracy FROM b""")
 def d09(t):
     """Share of correct top choices among n random trials, queries and candidates being the same draw."""
     drawn = splits.n_way_draws(t.vec_trials, "trial_id", WAYS, 300, SEED)
