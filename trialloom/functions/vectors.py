@@ -1,7 +1,9 @@
-"""Array expressions on vectors (double arithmetic, JVM side)."""
+"""Array expressions on vectors (double arithmetic, JVM side; late interaction as matrix products in Arrow batches)."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 
@@ -37,9 +39,20 @@ def fold_rows(vector: Column, rows: int, width: int) -> Column:
 
 
 def maxsim(query: Column, candidate: Column) -> Column:
-    """Mean over query tokens of the best dot product with a candidate token (unit tokens, masked ones removed)."""
-    best = F.transform(query, lambda q: F.array_max(F.transform(candidate, lambda c: dot(q, c))))
-    return total(best) / F.greatest(F.size(query), F.lit(1))
+    """Mean over query tokens of the best dot product with a candidate token (unit tokens, masked ones removed).
+
+    One matrix product per pair; 0 without query tokens, null without candidate tokens.
+    """
+    def best(q, c):
+        if q is None or c is None or (len(q) and not len(c)):
+            return None
+        return float((np.stack(q) @ np.stack(c).T).max(axis=1).mean()) if len(q) else 0.0
+
+    @F.pandas_udf("double")
+    def batch(queries: pd.Series, candidates: pd.Series) -> pd.Series:
+        return pd.Series([best(q, c) for q, c in zip(queries, candidates)], dtype="object")
+
+    return batch(query, candidate)
 
 
 def keep_valid(tokens: Column, mask: Column) -> Column:
