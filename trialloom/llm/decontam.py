@@ -153,6 +153,6 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataF
     """The rows of ``docs``, with all their columns, that hold no window of the benchmark."""
     hits = find_hits(docs.select("doc_id", "text"), benchmark, size)
     dirty = cut(hits.select(F.col("doc_id").alias("_id"), F.col("body").alias("_body")).distinct())
-    clean = docs.join(dirty, docs["doc_id"].eqNullSafe(dirty["_id"]) & (F.unhex(F.md5(docs["text"])) == dirty["_body"]),
+    clean = docs.join(dirty.hint("merge"), docs["doc_id"].eqNullSafe(dirty["_id"]) & (F.unhex(F.md5(docs["text"])) == dirty["_body"]),
                       "left_anti")
     return clean

@@ -9,8 +9,9 @@ sizes the similarity is estimated by likelihood; what may reach the threshold is
 1. Equal sets become one class, by a digest of the set: copies are never compared, however many they are.
 2. Every class of a band's bucket is compared with the bucket's first class; confirmed links give components.
 3. Only buckets that still hold several components are compared further, and only across components. Such a bucket is
-   dealt into blocks of bounded size and pairs of blocks go to separate tasks, which compare registers in place and
-   give out just the pairs that may be links. No group's pairs are ever listed, and no member is left out.
+   dealt into blocks of bounded size and pairs of blocks go to separate tasks, which compare registers in place, confirm
+   on the full sets and give out a link only where it joins two components. No group's pairs are ever listed, and no
+   member is left out.
 4. Components of all confirmed links; a document's component is the smallest doc_id in it.
 
 Bands are set so that a pair at the threshold shares no bucket with a chance under ``MISS``; the likelihood test
@@ -39,7 +40,8 @@ BASE = 1.1
 RATE = 20.0
 MISS = 1e-6
 SLACK = 14.0
-BLOCK = 256
+BLOCK = 128
+BLOCK_BYTES = 16 << 20
 _ROWS = 2048
 _rng = np.random.default_rng(19990101)
 _FACTORS = (_rng.integers(0, 1 << 32, 4096, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -136,7 +138,7 @@ def _sketch_rows(column: pa.Array, m: int) -> np.ndarray:
 
 
 def band_keys(classes: DataFrame, bands: int, width: int) -> DataFrame:
-    """(band, node): one row per band, its key made of the band's number and registers."""
+    """(band, number, node): one row per band, its key made of the band's number and registers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,10 +148,10 @@ def band_keys(classes: DataFrame, bands: int, width: int) -> DataFrame:
                 keys += (rows[:, :, j].astype(np.uint64) + np.uint64(1)) * _BAND_FACTORS[j]
             keys = mix(keys + np.arange(bands, dtype=np.uint64)[None, :] * _BAND_FACTORS[63])
             yield pa.RecordBatch.from_arrays([
-                pa.array(keys.astype(np.int64).ravel()),
-                pa.array(np.repeat(batch.column("node").to_numpy(), bands))], ["band", "node"])
+                pa.array(keys.astype(np.int64).ravel()), pa.array(np.tile(np.arange(bands, dtype=np.int32), batch.num_rows)),
+                pa.array(np.repeat(batch.column("node").to_numpy(), bands))], ["band", "number", "node"])
 
-    return classes.select("node", "sketch").mapInArrow(run, "band long, node long")
+    return classes.select("node", "sketch").mapInArrow(run, "band long, number int, node long")
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, m: int, num: int, den: int) -> DataFrame:
@@ -172,7 +174,7 @@ def _likely(pairs: DataFrame, classes: DataFrame, m: int, num: int, den: int) ->
 def _shingle_table(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(node, items): the full sets of ``wanted`` (node, digest, first_id), read from the texts once more."""
     ids = wanted.select(F.col("first_id").alias("_id")).distinct()
-    texts = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    texts = docs.select("doc_id", "text").join(ids.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
@@ -192,12 +194,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("items_a"), batch.column("items_b")):
-                left, right = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                place = np.searchsorted(left, right)
-                shared = int((left[np.minimum(place, len(left) - 1)] == right).sum())
-                ok.append(den * shared >= num * (len(left) + len(right) - shared))
+            ok = [similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), num, den)
+                  for x, y in zip(batch.column("items_a"), batch.column("items_b"))]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return joined.select("a", "b", "items_a", "items_b").mapInArrow(run, "a long, b long")
@@ -225,42 +223,57 @@ def components(links: DataFrame) -> DataFrame:
         edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def _across(buckets: DataFrame, classes: DataFrame, roots: DataFrame, m: int, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) from buckets that hold several components, across components, that the registers do not rule out."""
-    members = buckets.select("band", "node", "leader").unionByName(
-        buckets.select("band", F.col("leader").alias("node"), "leader").distinct())
-    rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = cut(rooted)
-    mixed = rooted.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo < hi")
-    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    dealt = (rooted.join(mixed.select("band", "size"), "band")
-             .join(classes.select("node", "n_shingles", "sketch"), "node")
-             .withColumn("own", own)
+def _across(buckets: DataFrame, classes: DataFrame, sets: DataFrame, roots: DataFrame, bands: int, width: int, num: int,
+            den: int) -> DataFrame:
+    """Confirmed links (a, b) between components that share a bucket: enough of them to join what belongs together.
+
+    A pair is looked at in the first band in which it meets, passed over while a chain of links already joins it,
+    and confirmed on the full sets where the blocks meet; so a task gives out fewer links than it has members.
+    """
+    members = buckets.select("band", "number", "node", "leader").unionByName(
+        buckets.select("band", "number", F.col("leader").alias("node"), "leader").distinct())
+    rooted = cut(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+                 .join(classes.select("node", "n_shingles"), "node"))
+    mixed = rooted.groupBy("band").agg(
+        F.min("root").alias("lo"), F.max("root").alias("hi"),
+        F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("n_shingles") * 8 / F.lit(BLOCK_BYTES))).cast("int").alias("blocks")).where("lo < hi")
+    blocks = F.col("blocks")
+    dealt = (rooted.join(mixed.select("band", "blocks"), "band")
+             .join(classes.select("node", "sketch"), "node").join(sets, "node")
+             .withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
              .withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
-             .select("band", F.least("own", "with").alias("p"), F.greatest("own", "with").alias("q"), "own", "node", "leader",
-                     "root", "n_shingles", "sketch"))
+             .select("band", F.least("own", "with").alias("p"), F.greatest("own", "with").alias("q"), "own", "number", "node", "leader",
+                     "root", "sketch", "items"))
     parts = int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     grouped = dealt.repartition(parts, "band", "p", "q").sortWithinPartitions("band", "p", "q")
+    m = bands * width
 
     def compare(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        node, root, own, leader, size = (group.column(c).to_numpy() for c in ("node", "root", "own", "leader", "n_shingles"))
+        node, root, own, leader = (group.column(c).to_numpy() for c in ("node", "root", "own", "leader"))
+        number, crossing = group.column("number")[0].as_py(), group.column("p")[0].as_py() != group.column("q")[0].as_py()
         sketch = _sketch_rows(group.column("sketch").combine_chunks(), m)
-        crossing = group.column("p")[0].as_py() != group.column("q")[0].as_py()
-        first, second = [], []
+        items = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("items")]
+        size = np.array([len(x) for x in items])
+        joined = _Joined(root)
+        found = []
         for i in range(len(node) - 1):
             rest = np.arange(i + 1, len(node))
             good = (root[rest] != root[i]) & (node[rest] != leader[i]) & (node[i] != leader[i])
             if crossing:
                 good &= own[rest] != own[i]
             rest = rest[good]
+            if len(rest):
+                shared = (sketch[rest] == sketch[i]).reshape(len(rest), bands, width).all(axis=2)
+                rest = rest[shared.argmax(axis=1) == number]
             if len(rest):
                 more, less = (sketch[i] > sketch[rest]).sum(axis=1), (sketch[i] < sketch[rest]).sum(axis=1)
                 ok = may_be_linked(more, less, m - more - less, np.full(len(rest), size[i]), size[rest], num, den)
-                first.append(np.full(int(ok.sum()), node[i]))
-                second.append(node[rest[ok]])
-        none = np.zeros(0, np.int64)
-        return np.concatenate(first or [none]), np.concatenate(second or [none])
+                for at in rest[ok].tolist():
+                    if joined.top(root[i]) != joined.top(root[at]) and similar(items[i], items[at], num, den):
+                        joined.join(root[i], root[at])
+                        found.append((node[i], node[at]))
+        pairs = np.array(found, np.int64).reshape(len(found), 2)
+        return pairs[:, 0], pairs[:, 1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -280,6 +293,30 @@ def _across(buckets: DataFrame, classes: DataFrame, roots: DataFrame, m: int, nu
     return grouped.mapInArrow(run, "a long, b long").distinct()
 
 
+class _Joined:
+    """Which components of one group of rows the links found there have joined."""
+
+    def __init__(self, roots: np.ndarray):
+        self.parent = {r: r for r in roots.tolist()}
+
+    def top(self, root: int) -> int:
+        while self.parent[root] != root:
+            self.parent[root] = root = self.parent[self.parent[root]]
+        return root
+
+    def join(self, a: int, b: int) -> None:
+        self.parent[self.top(a)] = self.top(b)
+
+
+def similar(left: np.ndarray, right: np.ndarray, num: int, den: int) -> bool:
+    """den x intersection >= num x union of two sorted sets."""
+    if not len(left) or not len(right):
+        return False
+    place = np.minimum(np.searchsorted(left, right), len(left) - 1)
+    shared = int((left[place] == right).sum())
+    return den * shared >= num * (len(left) + len(right) - shared)
+
+
 def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
 
@@ -303,8 +340,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     sets = cut(_shingle_table(docs, classes.join(nodes, "node").select("node", "digest", "first_id"), k))
     links = cut(_confirmed(first, sets, num, den))
     roots = components(links)
-    second = cut(_across(buckets, classes, roots, m, num, den))
-    more = cut(_confirmed(second, sets, num, den))
+    more = cut(_across(buckets, classes, sets, roots, bands, width, num, den))
     roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
     rooted = classes.select("node", "digest", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -322,4 +358,4 @@ def keep_one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     Rows that repeat a kept doc_id stay together; rows without doc_id stay if one of them has no group with an id.
     """
     kept = cut(near_duplicates(docs, k, num, den).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct())
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
+    return docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
