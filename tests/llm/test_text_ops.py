@@ -201,16 +201,20 @@ def test_plan_is_best_fit_decreasing():
         assert len(runs) <= 4 * capacity + 4
 
 
-def test_chunked_ids_are_those_of_whole_texts():
+def test_chunked_ids_are_those_of_whole_texts(monkeypatch):
     from tokenizers import Tokenizer
 
     path = tokenizer_path()
     whole, rng = Tokenizer.from_file(path), random.Random(9)
     rows = ["", " ", None, "It's Á é x y　z ́abc <|endoftext|> Q<|endoftext|>R ﬁ İstanbul ΑΣ ΑΣ. don'T 12 3４5 日本語 a\x0bb \x1cA a Ab aB",
             "".join(chr(rng.randint(1, 0x2FFF)) for _ in range(3000)), "aB Ab ab AB " * 3000, "x" * 50_000]
+    want = [whole.encode(text or "", add_special_tokens=False).ids + [0] for text in rows]
     ids, bounds = packing.Encoder(path).encode(pa.array(rows, pa.string()), 0)
-    for i, text in enumerate(rows):
-        assert ids[bounds[i]:bounds[i + 1]].tolist() == whole.encode(text or "", add_special_tokens=False).ids + [0]
+    assert [ids[lo:hi].tolist() for lo, hi in zip(bounds, bounds[1:])] == want
+    monkeypatch.setattr(packing, "_CACHE", 10)  # a cache that is always full
+    small = packing.Encoder(path)
+    for text, one in [*zip(rows, want), *zip(rows, want)]:
+        assert small.encode(pa.array([text], pa.string()), 0)[0].tolist() == one
 
 
 def test_packing_round_trip(spark):

@@ -24,12 +24,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from trialloom.llm.words import VISIBLE, find_words, slices
+from trialloom.llm.words import ALNUM, VISIBLE, Words, find_words, slices
 from trialloom.session import cut
 
 CAPACITY = 2048
 END_ID = 0
-_CACHE = 300_000
+_CACHE = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -90,54 +90,127 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Run]:
     return runs
 
 
+_codes = np.arange(256)
+#: 0 blank, 1 letter (also the bytes of Latin-1 letters), 2 digit, 3 any other visible byte
+_CLASS = np.select([~VISIBLE, (ALNUM & (_codes > 57)), ALNUM], [0, 1, 2], 3).astype(np.uint8)
+_APART = np.uint64(0x5851F42D4C957F2D)
+
+
 class Encoder:
-    """Token ids of whole texts, chunk by chunk between ASCII blanks (no token of the vocabulary spans them).
+    """Token ids of whole texts, unit by unit; units met before are looked up.
 
-    Chunks met before are looked up in a cache of bounded size; the ids are those of encoding the whole text.
+    No token spans ASCII white space. Between blanks, a chunk of ASCII and Latin-1 letters without apostrophe and "<" is
+    cut further, into runs of letters, single digits and runs of other signs, which the vocabulary never joins and which
+    it lower-cases; every other chunk is one unit. The ids are those of encoding the whole text. Units are told apart by
+    64 hash bits. The cache starts anew when it holds ``_CACHE`` units.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, np.ndarray] = {}
-
-    def _learn(self, chunks: list[bytes]) -> None:
-        if len(self.known) + len(chunks) > _CACHE:
-            self.known.clear()
-        found = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False)
-        for chunk, encoding in zip(chunks, found):
-            self.known[chunk] = np.array(encoding.ids, np.uint32)
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        ends = [(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)]
+        self.ends_unit = np.array(ends, bool)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.begin, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool = np.zeros(0, np.uint32)
+
+    def _encoded(self, units: Words, chosen: np.ndarray, plain: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the chosen units one after another, and how many each has; plain ones are encoded as one text."""
+        if plain and len(chosen):
+            lengths = units.end[chosen] - units.start[chosen]
+            begins = np.cumsum(lengths + 1) - lengths - 1
+            text = np.full(int((lengths + 1).sum()), 32, np.uint8)
+            step = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            text[np.repeat(begins, lengths) + step] = units.data[np.repeat(units.start[chosen], lengths) + step]
+            ids = np.array(self.tokenizer.encode(text.tobytes().decode(), add_special_tokens=False).ids, np.uint32)
+            ends = np.flatnonzero(self.ends_unit[ids]) + 1
+            if len(ends) == len(chosen) and ends[-1] == len(ids):
+                return ids, np.diff(ends, prepend=0)
+        texts = [units.text(i).decode("utf-8", "replace") for i in chosen]
+        found = [np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, np.uint32) for x in texts]
+        return np.concatenate([np.zeros(0, np.uint32), *found]), np.array([len(x) for x in found], np.int64)
+
+    def _learn(self, hashes: np.ndarray, first: np.ndarray, units: Words, plain: np.ndarray) -> None:
+        """Adds units (sorted ``hashes``, one place of each) to the known ones."""
+        begins, sizes = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
+        for kind in (True, False):
+            chosen = np.flatnonzero(plain[first] == kind)
+            ids, counts = self._encoded(units, first[chosen], kind)
+            begins[chosen], sizes[chosen] = len(self.pool) + np.cumsum(counts) - counts, counts
+            self.pool = np.concatenate([self.pool, ids])
+        at = np.searchsorted(self.known, hashes)
+        self.begin, self.size = np.insert(self.begin, at, begins), np.insert(self.size, at, sizes)
+        self.known = np.insert(self.known, at, hashes)
+
+    def _lookup(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.known):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+        return np.where(self.known[at] == hashes, at, -1)
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each text followed by the end id, and the n + 1 bounds between texts."""
-        found = find_words(texts, VISIBLE)
+        units, plain = find_units(texts)
         n = len(texts)
-        if len(found.start):
-            # the hash only groups the chunks of one slice; the cache goes by their bytes
-            _, first, inverse = np.unique(found.hashes(fold=False), return_index=True, return_inverse=True)
-            chunks = [found.text(i) for i in first]
-            self._learn([c for c in dict.fromkeys(chunks) if c not in self.known])
-            ids = [self.known[c] for c in chunks]
-            sizes = np.array([len(x) for x in ids], np.int64)
-            begins = np.cumsum(sizes) - sizes
-            pool = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-            lengths = sizes[inverse]
+        if len(units.start):
+            hashes = units.hashes()
+            if not plain.all():
+                hashes = np.where(plain, hashes, units.hashes(fold=False) ^ _APART)
+            unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+            at = self._lookup(unique)
+            if (at < 0).any():
+                if len(self.known) + int((at < 0).sum()) > _CACHE:
+                    self._forget()
+                    at[:] = -1
+                self._learn(unique[at < 0], first[at < 0], units, plain)
+                at = self._lookup(unique)
+            begins, lengths = self.begin[at][inverse], self.size[at][inverse]
         else:
-            begins, pool, lengths, inverse = np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+            begins = lengths = np.zeros(0, np.int64)
         upto = np.concatenate([[0], np.cumsum(lengths)])
-        per_text = upto[found.bounds[1:]] - upto[found.bounds[:-1]]
+        per_text = upto[units.bounds[1:]] - upto[units.bounds[:-1]]
         bounds = np.concatenate([[0], np.cumsum(per_text + 1)])
         out = np.full(int(bounds[-1]), end_id, np.uint32)
-        if len(pool):
-            text_of = np.repeat(np.arange(n), np.diff(found.bounds))
-            begin_out = upto[:-1] + text_of  # one end id stands after each text before
-            total = int(upto[-1])
-            step = np.arange(total) - np.repeat(upto[:-1], lengths)
-            out[np.repeat(begin_out, lengths) + step] = pool[np.repeat(begins[inverse], lengths) + step]
+        if upto[-1]:
+            text_of = np.repeat(np.arange(n), np.diff(units.bounds))
+            step = np.arange(int(upto[-1])) - np.repeat(upto[:-1], lengths)
+            to = upto[:-1] + text_of  # one end id stands after each text before
+            out[np.repeat(to, lengths) + step] = self.pool[np.repeat(begins, lengths) + step]
         return out, bounds
 
 
+def find_units(texts: pa.Array) -> tuple[Words, np.ndarray]:
+    """The units of each text, and which of them are plain (of letters, one digit or signs, freely lower-cased)."""
+    chunks = find_words(texts, VISIBLE)
+    data = chunks.data
+    odd = (data == 39) | (data == 60)
+    high = np.flatnonzero(data >= 128)
+    if len(high):
+        lead = data[high] == 0xC3
+        after, before = data[np.minimum(high + 1, len(data) - 1)], data[np.maximum(high - 1, 0)]
+        odd[high] = np.where(lead, (after == 0x97) | (after == 0xB7), ((data[high] & 0xC0) != 0x80) | (before != 0xC3))
+    count = np.concatenate([[0], np.cumsum(odd)])
+    whole = count[chunks.end] > count[chunks.start]
+    kind = _CLASS[data]
+    lengths = chunks.end - chunks.start
+    inside = np.flatnonzero(kind)
+    kind[inside[np.repeat(whole, lengths)]] = 4
+    opens = kind > 0
+    opens[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+    opens[chunks.start] = True
+    start = np.flatnonzero(opens)
+    end = np.empty_like(start)
+    if len(start):
+        chunk_of = np.searchsorted(chunks.start, start, side="right") - 1
+        end[:-1] = np.minimum(start[1:], chunks.end[chunk_of[:-1]])
+        end[-1] = chunks.end[chunk_of[-1]]
+    return Words(data, chunks.text_bounds, start, end, np.searchsorted(start, chunks.text_bounds)), kind[start] != 4
+
+
 def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID,
                      keep_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of all documents."""
