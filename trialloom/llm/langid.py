@@ -125,11 +125,9 @@ def train(labelled: DataFrame, max_train: int = MAX_TRAIN, max_words: int = MAX_
     usable = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang")
     total = usable.count()
     if total > max_train:
-        # the hash bound thins the scan, so that only about the wanted rows are ordered
-        share = min(1.0, 1.2 * max_train / total + 0.001)
-        bound = min(int(-(1 << 63) + share * ((1 << 64) - 1)), (1 << 63) - 1)
-        usable = usable.where(sample_order(F.col("doc_id")) <= F.lit(bound))
-        usable = usable.orderBy(sample_order(F.col("doc_id")), "doc_id").limit(max_train)
+        # only hashes are ordered; texts stay where they are. Rows that tie with the last one are left out
+        last = usable.select(sample_order(F.col("doc_id")).alias("h")).orderBy("h").limit(max_train).agg(F.max("h")).first()[0]
+        usable = usable.where(sample_order(F.col("doc_id")) < last)
     counts = cut(count_words(usable))
     most = (counts.groupBy("word").agg(F.sum("n").alias("total"))
             .orderBy(F.desc("total"), "word").limit(max_words).select("word"))
