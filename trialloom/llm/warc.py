@@ -3,7 +3,7 @@
 Writing: a page is an HTTP response whose body is framed in chunks. Of the pages with one payload, the one with the
 largest page_id becomes a ``response``; the others become ``revisit`` records without body. A block longer than
 ``SEGMENT`` bytes is split: the first record has segment number 1, ``continuation`` records follow with the origin's
-record id, the last one names the total length. Spark's text writer puts the records into files, which keeps to
+record id, the last one names the total length. Spark's text writer puts the records into compressed files, which keeps to
 whatever file system the shared folder is on; segments and records per file bound the size of a file.
 
 Reading: records are cut out by their content length. Continuations are grouped by origin, ordered by segment number,
@@ -20,6 +20,7 @@ A revisit takes size and page of its payload from the response with the same dig
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -112,12 +113,14 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT, records:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
     (ready.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
-     .write.option("lineSep", _END).option("maxRecordsPerFile", records).text(path))
+     .write.option("lineSep", _END).option("maxRecordsPerFile", records).option("compression", "gzip").text(path))
 
 
 def parse(content: bytes | memoryview) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(named fields in lower case, block) of each record of a file."""
+    """(named fields in lower case, block) of each record of a file, compressed or not."""
     data, at = bytes(content), 0
+    if data.startswith(b"\x1f\x8b"):
+        data = gzip.decompress(data)
     while at < len(data):
         stop = data.index(b"\r\n\r\n", at)
         lines = data[at:stop].decode("utf-8", "replace").split("\r\n")
