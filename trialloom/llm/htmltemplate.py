@@ -31,8 +31,11 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from trialloom.session import cut
+
 GROUP = 64
 LEAST_PAGES = 3
+MOST_HOSTS = 300_000
 MOST_WORDING = 0.3
 WORDING_SHARE = 0.8  # of a block's words, for the block to be template
 
@@ -338,8 +341,10 @@ def extract(pages: DataFrame, group: int = GROUP) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of ``pages`` (page_id, url, html)."""
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     ready = pages.select("page_id", "url", "html", host.alias("host"))
-    large = (ready.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > group)
-             .select("host", F.ceil(F.col("n") / F.lit(group)).cast("int").alias("shards")))
+    large = cut(ready.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > group)
+                .select("host", F.ceil(F.col("n") / F.lit(group)).cast("int").alias("shards")))
+    # a row per host with many pages; broadcast while there are few of them, so that pages move just once
+    large = F.broadcast(large) if large.count() <= MOST_HOSTS else large
     shard = F.coalesce(F.pmod(F.xxhash64("page_id", "url"), F.col("shards")).cast("int"), F.lit(0))
     parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = (ready.join(large, "host", "left").withColumn("shard", shard).drop("shards")
