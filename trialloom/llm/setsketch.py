@@ -183,8 +183,9 @@ def _shingle_table(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 pa.array([_digest(s) for s in sets], pa.binary()),
                 pa.array([s.tobytes() for s in sets], pa.binary())], ["digest", "items"])
 
-    sets = texts.mapInArrow(run, "digest binary, items binary")
-    return sets.join(wanted.select("node", "digest"), "digest").select("node", "items").dropDuplicates(["node"])
+    # one row per digest first: the join then finds the sets where they are, and they move once
+    sets = texts.mapInArrow(run, "digest binary, items binary").dropDuplicates(["digest"])
+    return sets.join(wanted.select("node", "digest").hint("merge"), "digest").select("node", "items")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
