@@ -60,6 +60,16 @@ def test_template_classes():
     assert htmltemplate.deduce(docs[:2]) is None
 
 
+def test_html_raw_elements_do_not_swallow_the_page():
+    icon = "<article><p>one <svg class=i viewBox='0 0 1 1'/>two</p><p>three <svg><title/><path d='M0'/></svg>four</p><p>five <math/>six</p>"
+    custom = "<title-bar>seven</title-bar><svg-icon>eight</svg-icon><object-card>nine</object-card><template-x>ten</template-x>"
+    shown = "<p>eleven <math><mi>x</mi><mo>=</mo><mn>2</mn></math></p><object data=a>twelve</object><svg><text>no</text><p>thirteen</p>"
+    hidden = "<template><p>no</p></template><noscript>no</noscript><iframe src=a>no</iframe><textarea>no</textarea><p>fourteen <iframe>fifteen</p>"
+    got = htmltemplate.extract_group([icon + custom + shown + hidden + "</article>"])[0]
+    assert got.split() == ("one two three four five six seven eight nine ten eleven x=2 twelve thirteen fourteen fifteen").split()
+    assert "one two" in got.split("\n") and "three four" in got.split("\n")
+
+
 def warc_rows():
     rng = random.Random(2)
     rows = [(i, f"http://h/{i}", sentence(rng, rng.choice([1, 50, 9000]))) for i in range(25)]

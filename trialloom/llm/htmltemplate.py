@@ -40,7 +40,13 @@ MOST_WORDING = 0.3
 WORDING_SHARE = 0.8  # of a block's words, for the block to be template
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = "script|style|noscript|template|svg|iframe|object|canvas|math|textarea|title"
+_RAW = "script|style|title|textarea|iframe"  # their content is no markup, up to their end tag
+_FOREIGN = frozenset(("svg", "math"))  # inside, a tag that ends in /> is empty
+_POINTS = frozenset("foreignobject desc annotation-xml mi mo mn ms mtext".split())  # HTML may stand in these
+_LEAVES_FOREIGN = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta "
+                            "nobr ol p pre ruby s section small span strong strike sub sup table tt u ul var article main header footer".split())
+_QUIET = frozenset("svg math template noscript canvas".split())  # stand inside a line: do not end a block
+_UNSEEN = frozenset("svg template noscript canvas annotation annotation-xml".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong "
                     "sub sup time tt u var wbr img br".split())
 _CLOSES_P = frozenset("address article aside blockquote center div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol "
@@ -57,8 +63,9 @@ _MARKED = re.compile(
     r"breadcrumb\w*|menu\w*|nav\w*|navigation|foot|footer\w*|masthead|toolbar\w*|paginat\w*|pager|copyright|login|signup|search\w*|widget\w*|"
     r"skip|hidden|contentinfo|complementary)(?:$|[\s_-])", re.I)
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>?"
+    rf"<!--.*?(?:-->|\Z)|<({_RAW})(?=[\s/>])[^>]*>|<[!?][^>]*>?"
     r"""|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>?|([^<]+)|<""", re.S | re.I)
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in _RAW.split("|")}
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 
@@ -73,6 +80,8 @@ class Node:
     never: bool
     linked: bool
     article: "Node | None"
+    foreign: bool = False  # in svg or math
+    quiet: bool = False
 
     def child(self, tag: str, attributes: str) -> "Node":
         named, marked = "", False
@@ -81,10 +90,11 @@ class Node:
                 value = a or b or c
                 named += f"[{name.lower()}={value.strip()}]"
                 marked |= bool(_MARKED.search(value)) and tag not in ("body", "html", "article", "main")
-        never = self.never or marked or tag in _NEVER or (tag == "header" and self.article is None) or bool(
+        never = self.never or marked or tag in _NEVER or tag in _UNSEEN or (tag == "header" and self.article is None) or bool(
             attributes and _HIDDEN.search(attributes))
         path = f"{self.path}>{tag}{named}"
-        node = Node(path, tag, self, never, self.linked or tag == "a", self.article)
+        node = Node(path, tag, self, never, self.linked or tag == "a", self.article,
+                    tag in _FOREIGN or (self.foreign and tag not in _POINTS), self.quiet or tag in _QUIET)
         if tag in ("article", "main") and not never:
             object.__setattr__(node, "article", node)
         return node
@@ -103,14 +113,27 @@ def events(html: str) -> list[tuple[str, Node, str]]:
         while len(stack) > depth:
             out.append(("close", stack.pop(), ""))
 
-    for m in _TOKEN.finditer(html):
+    at, unended = 0, set()
+    while (m := _TOKEN.match(html, at)) is not None:
+        at = m.end()
         text = m[8]
         if text is not None:
             out.append(("text", stack[-1], html_lib.unescape(text) if "&" in text else text))
             continue
         name = m[3] or m[6]
         if not name:
-            if m[0] == "<":
+            if m[1]:
+                tag = m[1].lower()
+                if stack[-1].foreign and m[0].endswith("/>"):
+                    continue
+                end = None if tag in unended else _RAW_END[tag].search(html, at)
+                if end:
+                    at = end.end()
+                else:  # only code goes on to the end of the page
+                    unended.add(tag)
+                    if tag in ("script", "style"):
+                        break
+            elif m[0] == "<":
                 out.append(("text", stack[-1], "<"))
             continue
         tag = name.lower()
@@ -121,6 +144,8 @@ def events(html: str) -> list[tuple[str, Node, str]]:
                     break
             continue
         attributes = m[4] if m[3] else m[7]
+        if stack[-1].foreign and tag in _LEAVES_FOREIGN:
+            close_to(next(d for d in range(len(stack), 0, -1) if not stack[d - 1].foreign))
         if tag in _VOID:
             out.append(("break", stack[-1], tag))
             continue
@@ -138,7 +163,7 @@ def events(html: str) -> list[tuple[str, Node, str]]:
             node = known[key] = stack[-1].child(tag, attributes)
         stack.append(node)
         out.append(("open", node, ""))
-        if attributes.endswith("/") and tag not in _INLINE and tag not in _CONTAINER:
+        if attributes.endswith("/") and (stack[-1].foreign or tag not in _INLINE and tag not in _CONTAINER):
             close_to(len(stack) - 1)
     close_to(1)
     return out
@@ -309,7 +334,7 @@ def blocks(page: list[tuple[str, Node, str]], path: str | None) -> list[tuple[st
                     parts.append((" ", node.path))
             else:
                 flush()
-        elif node.tag not in _INLINE:
+        elif node.tag not in _INLINE and not node.quiet:
             flush()
     flush()
     return out
