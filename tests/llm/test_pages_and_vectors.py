@@ -70,6 +70,26 @@ def test_html_raw_elements_do_not_swallow_the_page():
     assert "one two" in got.split("\n") and "three four" in got.split("\n")
 
 
+def test_html_template_survives_empty_and_other_pages():
+    docs = [h for _, _, h in pages(12)]
+    want = htmltemplate.extract_group(docs)
+    other = "<html><body><table><tr><td class=x>Quite another layout</td></tr></table></body></html>"
+    got = htmltemplate.extract_group(["", *docs, "<p> </p>", other])
+    assert got[1:-2] == want and got[0] == got[-2] == "" and got[-1] == "Quite another layout"
+    assert not any("Follow our feed" in text for text in want)
+
+
+def test_html_wording_by_spread():
+    rng = random.Random(4)
+    notice = "This notice stands below every article of this site and says the same thing again and again to all who read it"
+    form = "<html><body><main><p>{}</p><p>{}</p></main></body></html>"
+    long = [sentence(rng, 150) for _ in range(8)]
+    short = sentence(rng, 4)
+    assert htmltemplate.extract_group([form.format(t, notice) for t in [*long, short]]) == [*long, short]
+    near = [f"{i} {long[0]}" for i in range(8)]  # near copies share their article, not a template
+    assert htmltemplate.extract_group([form.format(t, long[1]) for t in near]) == [f"{t}\n{long[1]}" for t in near]
+
+
 def warc_rows():
     rng = random.Random(2)
     rows = [(i, f"http://h/{i}", sentence(rng, rng.choice([1, 50, 9000]))) for i in range(25)]

@@ -1,19 +1,20 @@
 """Main text of HTML pages by equivalence-class template deduction.
 
-Pages of one host are taken together, in groups of about ``GROUP`` pages. A token is a tag or a word with the path of
-elements it stands in; its occurrence vector says how often it occurs in each page of the group. Tokens with equal
-vectors form an equivalence class. A class is valid if its tokens follow one another in the same order in every page:
-the class of tokens that occur once in every page gives the frame of the template, and classes that repeat (menu entries,
-comment heads) nest in the frame where their repetitions do not cross. What stands between the template's tokens are its slots.
+Pages of one host are taken together, in groups of about ``GROUP`` pages, and in each group the pages of one layout. A token
+is a tag or a word with the path of elements it stands in; its occurrence vector says how often it occurs in each page.
+Tokens with equal vectors form an equivalence class. A class is valid if most pages have its tokens and these follow one
+another in the same order: what occurs once in ``SUPPORT`` of the pages gives the frame of the template, and classes that
+repeat (menu entries, comment heads) nest in the frame where their repetitions do not cross. What stands between the
+template's tokens are its slots.
 The slot that holds most text outside links names the main element; its slots, without the elements that are
 never part of an article and without template wording, are the page's text.
 
 * White space in a block becomes one space, character references are decoded, blocks are joined by a line feed, in page
   order. Scripts, styles, comments, menus, page headers and footers, forms, adverts, notices and reader comments go.
-* Copies of a page count once for the template. With fewer than ``LEAST_PAGES`` different pages there is no template;
-  then the page's own article, main or heaviest element is taken.
-* Wording that all pages of a group share is template only if it makes up little of the main text, so that near copies
-  do not lose their text.
+* Copies of a page count once for the template, pages without text not at all. With fewer than ``LEAST_PAGES`` different
+  pages of a layout there is no template; then the page's own article, main or heaviest element is taken.
+* Wording of the main text is template if it stands in more than ``LEAST_PAGES`` pages that are no near copies of one
+  another, and in ``SUPPORT`` of these: near copies keep the text that only they share.
 * Null html or html without text gives an empty text; null urls share the host ''. Repeated rows each get their result. An
   empty table gives an empty result. Other columns are not read. No page is left out or cut.
 * A host with many pages is split into groups by a hash of the page, so no task gets a whole hot host.
@@ -36,7 +37,9 @@ from trialloom.session import cut
 GROUP = 64
 LEAST_PAGES = 3
 MOST_HOSTS = 300_000
-MOST_WORDING = 0.3
+SUPPORT = 0.8  # of the pages of a layout, for a token to be template
+SAME_LAYOUT = 0.5  # of the places of two pages' blocks
+NEAR_COPY = 0.5  # of the words of two pages
 WORDING_SHARE = 0.8  # of a block's words, for the block to be template
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -185,16 +188,21 @@ def tokens(page: list[tuple[str, Node, str]]) -> Iterator[Token]:
 
 
 def _ordered(sequences: list[list[Token]]) -> list[Token]:
-    """The longest run of tokens, each once in every sequence, that all sequences have in the same order."""
-    common = sequences[0]
-    for other in sequences[1:]:
-        if other == common:
-            continue
+    """Tokens, each at most once in a sequence, in an order that every sequence follows; as few as possible go."""
+    places: dict[Token, list[float]] = defaultdict(list)
+    for sequence in sequences:
+        for i, token in enumerate(sequence):
+            places[token].append((i + 1) / (len(sequence) + 1))
+    common = sorted(places, key=lambda t: (sum(places[t]) / len(places[t]), t))
+    for other in sequences:
         place = {t: i for i, t in enumerate(other)}
+        held = [t for t in common if t in place]
+        if held == other:
+            continue
         tails: list[int] = []
         tail_at: list[int] = []
         before: list[int] = []
-        for i, token in enumerate(common):
+        for i, token in enumerate(held):
             at = bisect_left(tails, place[token])
             before.append(tail_at[at - 1] if at else -1)
             if at == len(tails):
@@ -202,11 +210,11 @@ def _ordered(sequences: list[list[Token]]) -> list[Token]:
                 tail_at.append(i)
             else:
                 tails[at], tail_at[at] = place[token], i
-        kept, i = [], tail_at[-1] if tail_at else -1
+        kept, i = set(), tail_at[-1] if tail_at else -1
         while i >= 0:
-            kept.append(common[i])
+            kept.add(held[i])
             i = before[i]
-        common = kept[::-1]
+        common = [t for t in common if t not in place or t in kept]
     return common
 
 
@@ -219,29 +227,47 @@ class Template:
         return {t for t in [*self.frame, *self.nested] if t[1] not in "<>"}
 
 
+def layouts(pages: list[list[tuple[str, Node, str]]]) -> list[list[int]]:
+    """The numbers of the pages of each layout: pages that share most of the places of their blocks."""
+    found = [{n.path for kind, n, _ in page if kind == "open" and n.tag not in _INLINE and not n.quiet} for page in pages]
+    times = Counter(path for paths in found for path in paths)
+    least = max(2, len(pages) / 10)
+    found = [{path for path in paths if times[path] >= least} for paths in found]
+    groups: list[tuple[set[str], list[int]]] = []
+    for i, paths in enumerate(found):
+        like = [(len(paths & first) / max(1, len(paths | first)), -k) for k, (first, _) in enumerate(groups)]
+        best, k = max(like, default=(0.0, 0))
+        if best >= SAME_LAYOUT:
+            groups[-k][1].append(i)
+        else:
+            groups.append((paths, [i]))
+    return [members for _, members in groups]
+
+
 def deduce(pages: list[list[tuple[str, Node, str]]]) -> Template | None:
-    """The template of different pages of one host."""
+    """The template of different pages of one layout: of what at least ``SUPPORT`` of the pages have."""
+    pages = [p for p in pages if any(kind == "text" and text.strip() for kind, _, text in p)]
     if len(pages) < LEAST_PAGES:
         return None
-    common: set[Token] | None = None
-    for page in pages:
-        found = set(tokens(page))
-        common = found if common is None else common & found
-        if not common:
-            return None
-    sequences = [[t for t in tokens(page) if t in common] for page in pages]
+    sequences = [list(tokens(page)) for page in pages]
     counts = [Counter(s) for s in sequences]
+    least = SUPPORT * len(pages)
+    support = Counter(t for c in counts for t in c)
+    common = {t for t, n in support.items() if n >= least}
     classes: dict[tuple[int, ...], list[Token]] = defaultdict(list)
+    unit = set()
     for token in common:
-        classes[tuple(c[token] for c in counts)].append(token)
-    once = tuple([1] * len(pages))
-    unit = set(classes.pop(once, ()))
-    frame = _ordered([[t for t in s if t in unit] for s in sequences]) if unit else []
+        vector = tuple(c[token] for c in counts)
+        if vector.count(1) >= least:
+            unit.add(token)
+        else:
+            classes[vector].append(token)
+    frame = _ordered([[t for t in s if t in unit and c[t] == 1] for s, c in zip(sequences, counts)]) if unit else []
     if not frame:
         return None
     framed, nested = set(frame), set()
-    for vector, members in classes.items():
-        if len(members) < 2 or min(vector) < 1:
+    for members in classes.values():
+        if len(members) < 2:
             continue
         chosen = set(members)
         if all(_repeats([t for t in s if t in chosen or t in framed], chosen, len(members)) for s in sequences):
@@ -249,6 +275,18 @@ def deduce(pages: list[list[tuple[str, Node, str]]]) -> Template | None:
     return Template(frame, nested)
 
 
+def spread(wording: set[Token], pages: list[list[tuple[str, list[Token]]]]) -> set[Token]:
+    """The wording that stands in different pages. ``pages``: their blocks. Near copies count as one page."""
+    firsts: list[set[Token]] = []
+    for page in pages:
+        words = {t for _, ts in page for t in ts}
+        if words and not any(len(words & first) >= NEAR_COPY * len(words | first) for first in firsts):
+            firsts.append(words)
+    if len(firsts) <= LEAST_PAGES:
+        return set()
+    return {t for t in wording if sum(t in first for first in firsts) >= SUPPORT * len(firsts)}
+
+
 def _repeats(sequence: list[Token], members: set[Token], size: int) -> bool:
     """Whether the members come in one order again and again, and no repetition crosses a token of the frame."""
     turn: list[Token] = []
@@ -340,25 +378,26 @@ def blocks(page: list[tuple[str, Node, str]], path: str | None) -> list[tuple[st
     return out
 
 
-def extract_group(htmls: list[str]) -> list[str]:
-    """The main texts of pages of one host."""
-    parsed = {h: events(h) for h in set(htmls)}
-    pages = [parsed[h] for h in sorted(parsed)]
+def extract_layout(pages: list[list[tuple[str, Node, str]]]) -> list[str]:
+    """The main texts of different pages of one layout."""
     template = deduce(pages)
     path = main_path(template, pages) if template else None
+    found = [(blocks(page, path) if path else []) or blocks(page, own_path(page)) for page in pages]
     wording = template.wording() if template else set()
-    text_of = {}
-    for h, page in parsed.items():
-        found = blocks(page, path) if path else []
-        if not found:
-            found = blocks(page, own_path(page))
-        fixed = [False] * len(found)
-        if wording and len(pages) > LEAST_PAGES:
-            fixed = [sum(t in wording for t in ts) >= WORDING_SHARE * len(ts) for _, ts in found]
-        size = sum(len(t) for t, _ in found)
-        if sum(len(t) for (t, _), f in zip(found, fixed) if f) > MOST_WORDING * size:
-            fixed = [False] * len(found)
-        text_of[h] = "\n".join(t for (t, _), f in zip(found, fixed) if not f)
+    fixed = [[sum(t in wording for t in ts) >= WORDING_SHARE * len(ts) for _, ts in page] for page in found]
+    if any(map(any, fixed)):
+        wording = spread(wording, found)
+        fixed = [[sum(t in wording for t in ts) >= WORDING_SHARE * len(ts) for _, ts in page] for page in found]
+    return ["\n".join(t for (t, _), f in zip(page, fs) if not f) for page, fs in zip(found, fixed)]
+
+
+def extract_group(htmls: list[str]) -> list[str]:
+    """The main texts of pages of one host."""
+    parsed = {h: events(h) for h in set(htmls)}
+    text_of = {h: "" for h, page in parsed.items() if not any(kind == "text" and text.strip() for kind, _, text in page)}
+    named = sorted(parsed.keys() - text_of.keys())
+    for members in layouts([parsed[h] for h in named]):
+        text_of.update(zip((named[i] for i in members), extract_layout([parsed[named[i]] for i in members])))
     return [text_of[h] for h in htmls]
 
 
