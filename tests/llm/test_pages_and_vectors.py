@@ -90,6 +90,21 @@ def test_html_wording_by_spread():
     assert htmltemplate.extract_group([form.format(t, long[1]) for t in near]) == [f"{t}\n{long[1]}" for t in near]
 
 
+def test_html_names_only_hint():
+    parts = ['<h2 id="related-work">a', '<section id="search-methods">b</section>', '<p id="market-share">c', '<h3 id="modal-logic">d',
+             '<h2 id="ad-hoc">e', '<div class="overflow hidden">f</div>', '<p class="block hidden sm:block">g', '<p title="the hidden life">h',
+             '<section id="comments">i</section>', '<p class=notice>j', '<p><span class=copyright>k</span>']
+    gone = ['<div class="ad">no</div>', '<p hidden>no', '<div style="color:red;display: none">no</div>', '<div class="share-buttons x">no</div>']
+    page = "<html><body><article>" + "".join(parts + gone) + "</article></body></html>"
+    assert htmltemplate.extract_group([page]) == ["\n".join("abcdefghijk")]
+    rng = random.Random(6)
+    bodies = [sentence(rng, 80) for _ in range(6)]
+    form = "<html><body><div class=top>Site</div><article><p>{}</p><div class=ad>Buy {}</div>{}</article></body></html>"
+    once = '<div class="search">about searching</div>'  # in one page only: no block of the template
+    got = htmltemplate.extract_group([form.format(b, i, once if i == 2 else "") for i, b in enumerate(bodies)])
+    assert got == [b + "\nabout searching" * (i == 2) for i, b in enumerate(bodies)]
+
+
 def warc_rows():
     rng = random.Random(2)
     rows = [(i, f"http://h/{i}", sentence(rng, rng.choice([1, 50, 9000]))) for i in range(25)]

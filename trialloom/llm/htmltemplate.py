@@ -11,6 +11,8 @@ never part of an article and without template wording, are the page's text.
 
 * White space in a block becomes one space, character references are decoded, blocks are joined by a line feed, in page
   order. Scripts, styles, comments, menus, page headers and footers, forms, adverts, notices and reader comments go.
+* Names (class, id, role) only hint: a block with a name such as ``ad`` or ``share-buttons`` goes if several pages of the
+  layout have it, or if there is no template; never a heading, paragraph, table or article, nor a section by its id alone.
 * Copies of a page count once for the template, pages without text not at all. With fewer than ``LEAST_PAGES`` different
   pages of a layout there is no template; then the page's own article, main or heaviest element is taken.
 * Wording of the main text is template if it stands in more than ``LEAST_PAGES`` pages that are no near copies of one
@@ -59,18 +61,34 @@ _SIBLING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
 _SCOPE = frozenset("ul ol dl table select body html article div".split())
 _NEVER = frozenset("nav aside form button select menu dialog footer head fieldset label".split())
 _CONTAINER = frozenset("article main section div td body".split())
-#: Words in class, id and role that mark what is not the article.
+#: Words in class, id and role that hint at what is not the article.
 _MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsbygoogle|banner\w*|promo\w*|sponsor\w*|cookie\w*|consent|gdpr|notice\w*|alert\w*|popup\w*|modal|"
+    r"ads?|adv|advert\w*|adsbygoogle|banner\w*|promo\w*|sponsor\w*|cookie\w*|consent|gdpr|notice\w*|alert\w*|popup\w*|modal|"
     r"newsletter\w*|subscri\w*|share\w*|sharing|social\w*|sidebar\w*|related\w*|recommend\w*|comment\w*|repl(?:y|ies)|disqus\w*|respond|"
     r"breadcrumb\w*|menu\w*|nav\w*|navigation|foot|footer\w*|masthead|toolbar\w*|paginat\w*|pager|copyright|login|signup|search\w*|widget\w*|"
-    r"skip|hidden|contentinfo|complementary)(?:$|[\s_-])", re.I)
+    r"skip|contentinfo|complementary", re.I)
+#: Words that go with these; a name with any other word (related-work, market-share) hints at nothing.
+_BESIDE = re.compile(
+    r"|area|articles?|background|bars?|block|body|bottom|box|btn|buttons?|container|contents?|footer|form|head|header|icons?|inner|items?|"
+    r"left|links?|list|main|media|module|outer|overlay|page|panel|posts?|primary|right|secondary|section|site|stories|story|text|title|to|top|"
+    r"unit|wrap|wrapper|\d+", re.I)
+#: Names say nothing about these: text that runs on and its headings.
+_UNNAMED = _INLINE | frozenset("body html article main p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption table tbody tr td th".split())
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({_RAW})(?=[\s/>])[^>]*>|<[!?][^>]*>?"
     r"""|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>?|([^<]+)|<""", re.S | re.I)
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in _RAW.split("|")}
-_ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
+_UNSHOWN = re.compile(r"(?:^|[;\s])display\s*:\s*none", re.I)
+
+
+def marked(names: str) -> bool:
+    """Whether a class, id or role is made of words for what is no article."""
+    for name in names.split():
+        parts = re.split(r"[-_]+", name)
+        if any(map(_MARKED.fullmatch, parts)) and all(_MARKED.fullmatch(p) or _BESIDE.fullmatch(p) for p in parts):
+            return True
+    return False
 
 
 @dataclass(frozen=True)
@@ -85,23 +103,32 @@ class Node:
     article: "Node | None"
     foreign: bool = False  # in svg or math
     quiet: bool = False
+    marks: tuple[tuple[str, bool], ...] = ()  # paths of the elements around it whose names hint at no article; no section's id alone
 
     def child(self, tag: str, attributes: str) -> "Node":
-        named, marked = "", False
-        if attributes and "=" in attributes:
-            for name, a, b, c in _ATTRIBUTE.findall(attributes):
-                value = a or b or c
-                named += f"[{name.lower()}={value.strip()}]"
-                marked |= bool(_MARKED.search(value)) and tag not in ("body", "html", "article", "main")
-        never = self.never or marked or tag in _NEVER or tag in _UNSEEN or (tag == "header" and self.article is None) or bool(
-            attributes and _HIDDEN.search(attributes))
+        named, hidden, by_class, by_id = "", False, False, False
+        for key, a, b, c in _ATTRIBUTE.findall(attributes) if attributes else ():
+            key, value = key.lower(), (a or b or c).strip()
+            if key in ("class", "id", "role"):
+                named += f"[{key}={value}]"
+                if tag not in _UNNAMED:
+                    by_class |= key != "id" and marked(value)
+                    by_id |= key == "id" and marked(value)
+            hidden |= (key == "hidden" and value.lower() != "until-found" or key == "aria-hidden" and value.lower() == "true"
+                       or key == "style" and bool(_UNSHOWN.search(value)))
+        never = self.never or hidden or tag in _NEVER or tag in _UNSEEN or (tag == "header" and self.article is None)
         path = f"{self.path}>{tag}{named}"
+        marks = (*self.marks, (path, by_class or tag != "section")) if by_class or by_id else self.marks
         node = Node(path, tag, self, never, self.linked or tag == "a", self.article,
-                    tag in _FOREIGN or (self.foreign and tag not in _POINTS), self.quiet or tag in _QUIET)
+                    tag in _FOREIGN or (self.foreign and tag not in _POINTS), self.quiet or tag in _QUIET, marks)
         if tag in ("article", "main") and not never:
             object.__setattr__(node, "article", node)
         return node
 
+    def dropped(self, repeated: set[str] | None) -> bool:
+        """No article text: by its kind, or by a name if the template has the named element or there is no template."""
+        return self.never or any(sure if repeated is None else path in repeated for path, sure in self.marks)
+
 
 _ROOT = Node("", "", None, False, False, None)
 
@@ -222,6 +249,7 @@ def _ordered(sequences: list[list[Token]]) -> list[Token]:
 class Template:
     frame: list[Token]  # once in every page, in this order
     nested: set[Token]  # of valid classes that repeat
+    repeated: set[str]  # paths that stand in several pages
 
     def wording(self) -> set[Token]:
         return {t for t in [*self.frame, *self.nested] if t[1] not in "<>"}
@@ -272,7 +300,7 @@ def deduce(pages: list[list[tuple[str, Node, str]]]) -> Template | None:
         chosen = set(members)
         if all(_repeats([t for t in s if t in chosen or t in framed], chosen, len(members)) for s in sequences):
             nested |= chosen
-    return Template(frame, nested)
+    return Template(frame, nested, {path for (path, what), n in support.items() if what == "<" and n >= LEAST_PAGES})
 
 
 def spread(wording: set[Token], pages: list[list[tuple[str, list[Token]]]]) -> set[Token]:
@@ -315,7 +343,7 @@ def main_path(template: Template, pages: list[list[tuple[str, Node, str]]]) -> s
         slot = 0
         for kind, node, text in page:
             if kind == "text":
-                if not node.never and not node.linked and text.strip():
+                if not node.dropped(template.repeated) and not node.linked and text.strip():
                     mass[slot] += len(text)
                     inside.setdefault(slot, node)
             elif kind != "break":
@@ -333,11 +361,11 @@ def main_path(template: Template, pages: list[list[tuple[str, Node, str]]]) -> s
     return node.path or None
 
 
-def own_path(page: list[tuple[str, Node, str]]) -> str | None:
+def own_path(page: list[tuple[str, Node, str]], repeated: set[str] | None = None) -> str | None:
     """Without a template: the article or main element with most text, else the container with most."""
     articles, containers = Counter(), Counter()
     for kind, node, text in page:
-        if kind == "text" and not node.never:
+        if kind == "text" and not node.dropped(repeated):
             size = len(text.split())
             if node.article is not None:
                 articles[node.article.path] += size
@@ -349,7 +377,7 @@ def own_path(page: list[tuple[str, Node, str]]) -> str | None:
     return max(found, key=lambda p: (found[p], p)) if found else None
 
 
-def blocks(page: list[tuple[str, Node, str]], path: str | None) -> list[tuple[str, list[Token]]]:
+def blocks(page: list[tuple[str, Node, str]], path: str | None, repeated: set[str] | None = None) -> list[tuple[str, list[Token]]]:
     """(text, tokens) of the blocks inside the element at ``path``, in page order."""
     out: list[tuple[str, list[Token]]] = []
     parts: list[tuple[str, str]] = []
@@ -364,7 +392,7 @@ def blocks(page: list[tuple[str, Node, str]], path: str | None) -> list[tuple[st
 
     for kind, node, text in page:
         if kind == "text":
-            if not node.never and path is not None and (node.path == path or node.path.startswith(below)):
+            if path is not None and (node.path == path or node.path.startswith(below)) and not node.dropped(repeated):
                 parts.append((text, node.path))
         elif kind == "break":
             if text in _INLINE:
@@ -382,7 +410,8 @@ def extract_layout(pages: list[list[tuple[str, Node, str]]]) -> list[str]:
     """The main texts of different pages of one layout."""
     template = deduce(pages)
     path = main_path(template, pages) if template else None
-    found = [(blocks(page, path) if path else []) or blocks(page, own_path(page)) for page in pages]
+    repeated = template.repeated if template else None
+    found = [(blocks(page, path, repeated) if path else []) or blocks(page, own_path(page, repeated), repeated) for page in pages]
     wording = template.wording() if template else set()
     fixed = [[sum(t in wording for t in ts) >= WORDING_SHARE * len(ts) for _, ts in page] for page in found]
     if any(map(any, fixed)):
