@@ -105,6 +105,19 @@ def test_html_names_only_hint():
     assert got == [b + "\nabout searching" * (i == 2) for i, b in enumerate(bodies)]
 
 
+def test_html_whole_article_in_sibling_elements():
+    rng = random.Random(7)
+    form = ("<html><body><div class=top>Welcome to the site</div><div class=m><ul><li><a href=/>Home</a><li><a href=/b>Blog</a></ul></div>"
+            "<div class=wrap><div class=title>{}</div><section class=intro>{}</section><section class=body>{}</section></div></body></html>")
+    parts = [(f"Title {i} {sentence(rng, 3)}", sentence(rng, 20), sentence(rng, 90)) for i in range(9)]
+    assert htmltemplate.extract_group([form.format(*p) for p in parts]) == ["\n".join(p) for p in parts]
+    assert htmltemplate.extract_group([form.format(*p) for p in parts[:1]]) == ["Welcome to the site\n" + "\n".join(parts[0])]
+    several = '<body><main><h1>T</h1><article id=a1>{}</article><article id=b2>{} <a href=x>{}</a></article></main></body>'
+    assert htmltemplate.extract_group([several.format("one", "two", "three")]) == ["T\none\ntwo three"]
+    assert htmltemplate.extract_group([several.format(*p) for p in parts[:5]]) == [f"{a}\n{b} {c}" for a, b, c in parts[:5]]  # T is template
+    assert htmltemplate.extract_group(["<body><div><h1>T</h1></div><article>one</article></body>"]) == ["T\none"]
+
+
 def warc_rows():
     rng = random.Random(2)
     rows = [(i, f"http://h/{i}", sentence(rng, rng.choice([1, 50, 9000]))) for i in range(25)]

@@ -6,15 +6,16 @@ Tokens with equal vectors form an equivalence class. A class is valid if most pa
 another in the same order: what occurs once in ``SUPPORT`` of the pages gives the frame of the template, and classes that
 repeat (menu entries, comment heads) nest in the frame where their repetitions do not cross. What stands between the
 template's tokens are its slots.
-The slot that holds most text outside links names the main element; its slots, without the elements that are
-never part of an article and without template wording, are the page's text.
+The slot that holds most text outside links names the main element. The page's text is that of all article and main
+elements or, without these, of the lowest element around all slots with text outside links; there, what the template words
+and menus of links outside the main element go, as do the elements that are never part of an article.
 
 * White space in a block becomes one space, character references are decoded, blocks are joined by a line feed, in page
   order. Scripts, styles, comments, menus, page headers and footers, forms, adverts, notices and reader comments go.
 * Names (class, id, role) only hint: a block with a name such as ``ad`` or ``share-buttons`` goes if several pages of the
   layout have it, or if there is no template; never a heading, paragraph, table or article, nor a section by its id alone.
 * Copies of a page count once for the template, pages without text not at all. With fewer than ``LEAST_PAGES`` different
-  pages of a layout there is no template; then the page's own article, main or heaviest element is taken.
+  pages of a layout there is no template; then the page's own elements are taken.
 * Wording of the main text is template if it stands in more than ``LEAST_PAGES`` pages that are no near copies of one
   another, and in ``SUPPORT`` of these: near copies keep the text that only they share.
 * Null html or html without text gives an empty text; null urls share the host ''. Repeated rows each get their result. An
@@ -101,6 +102,7 @@ class Node:
     never: bool
     linked: bool
     article: "Node | None"
+    outer: "Node | None" = None  # the outermost article or main element
     foreign: bool = False  # in svg or math
     quiet: bool = False
     marks: tuple[tuple[str, bool], ...] = ()  # paths of the elements around it whose names hint at no article; no section's id alone
@@ -119,15 +121,16 @@ class Node:
         never = self.never or hidden or tag in _NEVER or tag in _UNSEEN or (tag == "header" and self.article is None)
         path = f"{self.path}>{tag}{named}"
         marks = (*self.marks, (path, by_class or tag != "section")) if by_class or by_id else self.marks
-        node = Node(path, tag, self, never, self.linked or tag == "a", self.article,
+        node = Node(path, tag, self, never, self.linked or tag == "a", self.article, self.outer,
                     tag in _FOREIGN or (self.foreign and tag not in _POINTS), self.quiet or tag in _QUIET, marks)
         if tag in ("article", "main") and not never:
             object.__setattr__(node, "article", node)
+            object.__setattr__(node, "outer", self.outer or node)
         return node
 
     def dropped(self, repeated: set[str] | None) -> bool:
         """No article text: by its kind, or by a name if the template has the named element or there is no template."""
-        return self.never or any(sure if repeated is None else path in repeated for path, sure in self.marks)
+        return self.never or bool(self.marks) and any(sure if repeated is None else path in repeated for path, sure in self.marks)
 
 
 _ROOT = Node("", "", None, False, False, None)
@@ -278,10 +281,13 @@ def deduce(pages: list[list[tuple[str, Node, str]]]) -> Template | None:
     if len(pages) < LEAST_PAGES:
         return None
     sequences = [list(tokens(page)) for page in pages]
-    counts = [Counter(s) for s in sequences]
     least = SUPPORT * len(pages)
-    support = Counter(t for c in counts for t in c)
+    support: Counter = Counter()
+    for s in sequences:
+        support.update(set(s))
     common = {t for t, n in support.items() if n >= least}
+    sequences = [[t for t in s if t in common] for s in sequences]
+    counts = [Counter(s) for s in sequences]
     classes: dict[tuple[int, ...], list[Token]] = defaultdict(list)
     unit = set()
     for token in common:
@@ -303,16 +309,14 @@ def deduce(pages: list[list[tuple[str, Node, str]]]) -> Template | None:
     return Template(frame, nested, {path for (path, what), n in support.items() if what == "<" and n >= LEAST_PAGES})
 
 
-def spread(wording: set[Token], pages: list[list[tuple[str, list[Token]]]]) -> set[Token]:
-    """The wording that stands in different pages. ``pages``: their blocks. Near copies count as one page."""
-    firsts: list[set[Token]] = []
-    for page in pages:
-        words = {t for _, ts in page for t in ts}
-        if words and not any(len(words & first) >= NEAR_COPY * len(words | first) for first in firsts):
-            firsts.append(words)
-    if len(firsts) <= LEAST_PAGES:
-        return set()
-    return {t for t in wording if sum(t in first for first in firsts) >= SUPPORT * len(firsts)}
+def different(words: list[set[str]]) -> list[int]:
+    """The numbers of the pages that are no near copies of earlier ones."""
+    firsts: list[int] = []
+    share = NEAR_COPY / (1 + NEAR_COPY)  # of both sizes, what two pages have in common if it is NEAR_COPY of what either has
+    for i, here in enumerate(words):
+        if here and not any(len(here & words[k]) >= share * (len(here) + len(words[k])) for k in firsts):
+            firsts.append(i)
+    return firsts
 
 
 def _repeats(sequence: list[Token], members: set[Token], size: int) -> bool:
@@ -377,32 +381,95 @@ def own_path(page: list[tuple[str, Node, str]], repeated: set[str] | None = None
     return max(found, key=lambda p: (found[p], p)) if found else None
 
 
-def blocks(page: list[tuple[str, Node, str]], path: str | None, repeated: set[str] | None = None) -> list[tuple[str, list[Token]]]:
-    """(text, tokens) of the blocks inside the element at ``path``, in page order."""
-    out: list[tuple[str, list[Token]]] = []
-    parts: list[tuple[str, str]] = []
-    below = f"{path}>" if path else ""
+def within(path: str, root: str) -> bool:
+    return path.startswith(root) and (len(path) == len(root) or not root or path[len(root)] == ">")
+
+
+def whole(page: list[tuple[str, Node, str]], repeated: set[str] | None, wording: set[Token]) -> set[str]:
+    """The paths of the elements that hold the whole article: every article and main element, with the page's main heading if they
+    have none; without them the lowest element around all text that is neither linked nor template."""
+    roots: set[str] = set()
+    heads: set[str] = set()
+    headed = False
+    chain: list[str] | None = None  # from the root down
+    seen: set[str] = set()
+    for kind, node, text in page:
+        if kind != "text" or not text.strip() or node.dropped(repeated):
+            continue
+        up = node
+        while up is not None and up.tag != "h1":
+            up = up.parent
+        if node.outer is not None:
+            roots.add(node.outer.path)
+            headed |= up is not None
+        elif not node.linked:
+            if up is not None:
+                heads.add(up.path)
+            if not roots and node.path not in seen and any((node.path, w) not in wording for w in text.split()):
+                seen.add(node.path)
+                own: list[str] = []
+                up = node
+                while up is not None:
+                    own.append(up.path)
+                    up = up.parent
+                own.reverse()
+                chain = own if chain is None else [a for a, b in zip(chain, own) if a == b]
+    if roots:
+        return roots if headed else roots | heads
+    return {chain[-1]} if chain else set()
+
+
+@dataclass
+class Block:
+    text: str
+    tokens: list[Token]
+    core: bool  # in the main element or an article
+    menu: bool  # links in an element without other text
+
+
+def blocks(page: list[tuple[str, Node, str]], roots: set[str], core: str, repeated: set[str] | None = None) -> list[Block]:
+    """The blocks inside the elements at ``roots``, in page order."""
+    out: list[Block] = []
+    parts: list[tuple[str, Node]] = []
+    places: dict[str, tuple[bool, bool]] = {}
+    texted: set[str] = set()  # elements that directly hold text outside links
+    holders: list[set[str]] = []
+
+    def holder(node: Node) -> str:
+        while node.parent is not None and node.tag not in _CONTAINER and node.tag not in ("ul", "ol", "dl"):
+            node = node.parent
+        return node.path
 
     def flush() -> None:
         if parts:
             words = "".join(t for t, _ in parts).split()
             if words:
-                out.append((" ".join(words), [(p, w) for t, p in parts for w in t.split()]))
+                out.append(Block(" ".join(words), [(n.path, w) for t, n in parts for w in t.split()],
+                                 any(places[n.path][1] for t, n in parts if t.strip()), all(n.linked for t, n in parts if t.strip())))
+                holders.append({holder(n) for t, n in parts if t.strip()})
+                if not out[-1].menu:
+                    texted.update(holders[-1])
             parts.clear()
 
     for kind, node, text in page:
         if kind == "text":
-            if path is not None and (node.path == path or node.path.startswith(below)) and not node.dropped(repeated):
-                parts.append((text, node.path))
+            at = places.get(node.path)
+            if at is None:
+                at = places[node.path] = (any(within(node.path, r) for r in roots), within(node.path, core) or (
+                    node.article is not None and node.article.tag == "article"))
+            if at[0] and not node.dropped(repeated):
+                parts.append((text, node))
         elif kind == "break":
             if text in _INLINE:
                 if text == "br":
-                    parts.append((" ", node.path))
+                    parts.append((" ", node))
             else:
                 flush()
         elif node.tag not in _INLINE and not node.quiet:
             flush()
     flush()
+    for block, held in zip(out, holders):
+        block.menu &= not held & texted
     return out
 
 
@@ -411,13 +478,34 @@ def extract_layout(pages: list[list[tuple[str, Node, str]]]) -> list[str]:
     template = deduce(pages)
     path = main_path(template, pages) if template else None
     repeated = template.repeated if template else None
-    found = [(blocks(page, path, repeated) if path else []) or blocks(page, own_path(page, repeated), repeated) for page in pages]
-    wording = template.wording() if template else set()
-    fixed = [[sum(t in wording for t in ts) >= WORDING_SHARE * len(ts) for _, ts in page] for page in found]
-    if any(map(any, fixed)):
-        wording = spread(wording, found)
-        fixed = [[sum(t in wording for t in ts) >= WORDING_SHARE * len(ts) for _, ts in page] for page in found]
-    return ["\n".join(t for (t, _), f in zip(page, fs) if not f) for page, fs in zip(found, fixed)]
+    cores, words, outer, inner = [], [], set(), set()
+    for page in pages:
+        core, held = path, set()
+        if path is not None:
+            for kind, node, text in page:
+                if kind == "text" and within(node.path, path) and not node.dropped(repeated):
+                    held.update(text.split())
+        if not held:
+            core = own_path(page, repeated)
+        cores.append(core)
+        words.append(held)
+    if template:
+        firsts = different(words)
+        common = template.wording()
+        if LEAST_PAGES <= len(firsts) < len(pages):
+            times = Counter(t for i in firsts for t in common.intersection(tokens(pages[i])))
+            common = {t for t in common if times[t] >= SUPPORT * len(firsts)}
+        outer = common if len(firsts) >= LEAST_PAGES else set()
+        inner = common if len(firsts) > LEAST_PAGES else set()
+    texts = []
+    for page, core in zip(pages, cores):
+        kept = []
+        for block in blocks(page, whole(page, repeated, outer), core, repeated) if core is not None else ():
+            wording = inner if block.core else outer
+            if not (block.menu and not block.core or sum(t in wording for t in block.tokens) >= WORDING_SHARE * len(block.tokens)):
+                kept.append(block.text)
+        texts.append("\n".join(kept))
+    return texts
 
 
 def extract_group(htmls: list[str]) -> list[str]:
