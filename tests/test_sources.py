@@ -137,3 +137,18 @@ def test_probe_finds_signal_and_no_noise(spark):
     assert good["observed"] > 0.7 > good["null_mean"] and good["p_value"] == pytest.approx(1 / 3)
     bad = probes.utility(probes.out_of_fold(probes.with_features(df, "noise"), "fold", 2, "multiclass", 1.0, ["id"]), "multiclass", 3)
     assert bad < 0.5
+
+
+def test_all_permutations_are_fitted_and_as_one_by_one(spark):
+    from trialloom.plans import metric_queries, probe_queries
+
+    assert probe_queries.PERMUTATIONS == metric_queries.PERMUTATIONS == 200  # as in the reference, which decides at p < 0.05
+    rng = np.random.default_rng(6)
+    rows = [(i, i % 3, i % 2, (rng.normal(size=4) + 2.0 * np.eye(4)[i % 3]).tolist()) for i in range(150)]
+    df = spark.createDataFrame(rows, "id int, y int, fold int, signal array<double>")
+    df = probes.with_features(df, "signal").select("id", "fold", "features", "y").cache()
+    permuted = splits.permuted_labels(df.select("id", "y"), "id", "y", 60, 1).cache()
+    single = [probes.decodability(df, "fold", 2, 3, [permuted.where(F.col("replicate") == i).select("id", "y")], "id").first()["null_mean"] for i in range(2)]
+    together = [r[0] for r in probes.permuted_accuracies(df, "fold", 2, 3, permuted, "id").collect()]
+    assert together[:2] == pytest.approx(single, abs=0.015) and len(together) == 60
+    assert probes.decodability(df, "fold", 2, 3, permuted, "id").first()["p_value"] == pytest.approx(1 / 61)

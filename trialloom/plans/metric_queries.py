@@ -181,7 +181,7 @@ def i06(t):
     return rounded(inference.macro_f1_bootstrap(utility_cells(t), ["subject_id"], CLASSES, REPLICATES, SEED), "delta")
 
 
-PERMUTATIONS = 20
+PERMUTATIONS = 200
 
 
 @query("I09_permutation_test")
