@@ -12,14 +12,13 @@ from trialloom.llm import decontam, langid, linededup, packing, setsketch
 from trialloom.llm.queries import tokenizer_path
 from trialloom.session import cut
 
-LEAST_LANGUAGE_SCORE = 0.5
 SHINGLE_WORDS = 5
 SIMILARITY = (80, 100)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents with a known language; learns from the rows whose crc32(doc_id) mod 4 is not 2."""
-    return langid.keep_identified(docs, langid.train(langid.training_rows(docs)), LEAST_LANGUAGE_SCORE)
+    """Keeps documents with a known language, however close the next one; learns from the rows whose crc32(doc_id) mod 4 is not 2."""
+    return langid.keep_identified(docs, langid.train(langid.training_rows(docs)))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -236,3 +236,16 @@ def test_packing_round_trip(spark):
             parts[r.doc_id][r.start] = r.ids
     assert sorted(str([x for s in sorted(p) for x in p[s]]) for p in parts.values()) == want
     assert packing.pack(frame(spark, []), tokenizer_path()).collect() == []
+
+
+def test_language_stage_keeps_short_and_mixed_texts(spark):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    tongues = {f"l{k}": [f"{a}{b}{k_}" for a in "bdfgk" for b in "aeiou" for k_ in "lmnrst"[k]] for k in range(6)}
+    rows = [(4 * i, " ".join(rng.choice(tongues[lang]) for _ in range(30)), lang) for i, lang in enumerate(sorted(tongues) * 8)]
+    odd = [(1002, "qq", None), (1006, "qqq xx", None), (1010, " ".join(tongues[t][3] for t in sorted(tongues)), None),
+           (1014, tongues["l0"][0] + " " + tongues["l1"][0], None), (1018, "12 34 ...", None), (1022, None, None)]
+    docs = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs, "").collect()}
+    assert kept == {i for i, _, _ in rows} | {1002, 1006, 1010, 1014}

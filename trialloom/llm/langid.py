@@ -209,8 +209,10 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose language is known with a score of ``least`` or more."""
+def keep_identified(docs: DataFrame, model: Model, least: float = 0.0) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose language is known, with a score of ``least`` or more.
+
+    The score is a share over all languages, so what ``least`` rejects depends on their number."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
