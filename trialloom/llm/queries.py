@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trialloom.llm import decontam, htmltemplate, langid, licenses, linededup, packing, quality, setsketch, topk, warc
+from trialloom.llm import decontam, filteraudit, htmltemplate, langid, licenses, linededup, packing, quality, setsketch, topk, warc
 from trialloom.llm.training import held_out
 
 TOKENIZER = "word_bpe_49k.json"
@@ -77,6 +77,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op13_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": op1_html_extraction,
     "op2_license_scan": op2_license_scan,
@@ -88,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_language_id": op9_language_id,
     "op10_quality_classifier": op10_quality_classifier,
+    "op13_filter_interaction_audit": op13_filter_interaction_audit,
 }
 
 _LINES = """
@@ -160,7 +165,41 @@ SELECT page_id, n::BIGINT AS payload_bytes, {_quads} AS payload_digest,
 FROM bodies JOIN newest USING (hex)
 """
 
+_ORDERS = r"""
+WITH base AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+firsts AS (SELECT text, min(doc_id) AS least FROM base GROUP BY text),
+marks AS (SELECT doc_id, max((quality = 1)::INTEGER) AS good, max((toxic = 1)::INTEGER) AS toxic FROM labels GROUP BY doc_id),
+judged AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b,
+    100 * len(regexp_extract_all(text, '[A-Z]')) > 3 * length(text) AS c, regexp_matches(text, '[#$%&*|]') AS d,
+    coalesce(doc_id > least, false) AS e
+  FROM (SELECT *, regexp_extract_all(text, '[^ \t\n\x0B\f\r]+') AS w FROM base)
+  JOIN firsts USING (text) LEFT JOIN marks USING (doc_id)),
+cells AS (
+  SELECT part, if(a, 'A', '') || if(b, 'B', '') || if(c, 'C', '') || if(d, 'D', '') || if(e, 'E', '') AS fails,
+    count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM judged GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT p.x || q.x || r.x || s.x || t.x AS filter_order FROM letters p, letters q, letters r, letters s, letters t
+  WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5),
+steps AS (
+  SELECT filter_order, step, substr(filter_order, step, 1) AS own, substr(filter_order, 1, step - 1) AS earlier
+  FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+judged_steps AS (
+  SELECT c.*, s.*, contains(fails, own) AS failing, len(translate(fails, earlier, '')) < len(fails) AS gone
+  FROM cells c, steps s),
+shown AS (
+  SELECT part, filter_order, step::INTEGER AS step, own, coalesce(sum(n) FILTER (NOT failing AND NOT gone), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (failing AND NOT gone), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (failing AND gone), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (fails = own), 0)::BIGINT AS unique_fails, coalesce(sum(good) FILTER (failing AND NOT gone), 0)::BIGINT AS good_lost,
+    coalesce(sum(toxic) FILTER (failing AND NOT gone), 0)::BIGINT AS toxic_lost
+  FROM judged_steps GROUP BY ALL)
+SELECT * EXCLUDE (own), (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM shown
+"""
+
 ORACLES = {
+    "op13_filter_interaction_audit": _ORDERS,
     "op4_warc_round_trip": _CAPTURES,
     "op7_exact_topk": _NEAREST,
     "op6_line_dedup": _LINES,
