@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trialloom.llm import decontam, filteraudit, htmltemplate, langid, licenses, linededup, packing, quality, setsketch, topk, warc
+from trialloom.llm import decontam, filteraudit, htmltemplate, langid, licenses, linededup, packing, quality, setsketch, simhash, topk, warc
 from trialloom.llm.training import held_out
 
 TOKENIZER = "word_bpe_49k.json"
@@ -77,6 +77,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op13_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filteraudit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -92,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_language_id": op9_language_id,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_simhash_near_dedup": op11_simhash_near_dedup,
     "op13_filter_interaction_audit": op13_filter_interaction_audit,
 }
 
