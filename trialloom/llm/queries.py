@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from trialloom.llm import decontam, filteraudit, htmltemplate, langid, licenses, linededup, packing, quality, setsketch, simhash, topk, warc
+from trialloom.llm import conversations, decontam, filteraudit, htmltemplate, langid, licenses, linededup, packing, quality, setsketch, simhash, topk, warc
 from trialloom.llm.training import held_out
 
 TOKENIZER = "word_bpe_49k.json"
@@ -81,6 +81,10 @@ def op11_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(_table(spark, sf_dir, "conversations"))
+
+
 def op13_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filteraudit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -97,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_quality_classifier": op10_quality_classifier,
     "op11_simhash_near_dedup": op11_simhash_near_dedup,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_filter_interaction_audit": op13_filter_interaction_audit,
 }
 
