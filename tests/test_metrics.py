@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trialloom.functions import labels, text, vectors
+from trialloom.functions import draws, labels, text, vectors
 from trialloom.operators import contracts, decisions, inference, metrics, retrieval, signals, textmetrics, tokens
 
 
@@ -227,20 +227,61 @@ def test_a_rare_task_never_shortens_a_series(spark, monkeypatch):
         inference.bootstrap_macro(df, ["subject_id", "text_key"], 60, 3)
 
 
-def test_weight_arrays_agree_with_single_draws(spark):
+def plain_weights(spark, df, clusters, attempts, seed):
+    """(cluster, attempt, name): how often it is drawn, one draw at a time."""
+    out = {}
+    for c in clusters:
+        names = {r["idx"]: r[c] for r in inference.cluster_index(df, c).collect()}
+        for a in range(attempts):
+            for idx in draws.drawn(seed, c, a, len(names)).tolist():
+                out[(c, a, names[idx])] = out.get((c, a, names[idx]), 0) + 1
+    return out
+
+
+@pytest.mark.parametrize("tile", [(1 << 16, 1 << 20), (3, 4)])
+def test_tiles_agree_with_single_draws(spark, monkeypatch, tile):
+    monkeypatch.setattr(inference, "TILE_CLUSTERS", tile[0])
+    monkeypatch.setattr(inference, "TILE_CELLS", tile[1])
     rows = [("a" if i % 3 else "b", f"s{i % 4}", f"x{i % 7}", float(i)) for i in range(50)]
     df = spark.createDataFrame(rows, "stratum string, s string, x string, v double")
-    attempts = 700  # more than a block
-    got = {(r["attempt"], r["stratum"]): r["v"] for r in inference.replicate_sums(df, ["s", "x"], ["stratum"], ["v"], attempts, 5).collect()}
-    weights = {}
-    for c in ("s", "x"):
-        index = inference.cluster_index(df, c)
-        for r in inference.draws(index, c, attempts, 5).join(index, "idx").groupBy("attempt", c).count().collect():
-            weights[(c, r["attempt"], r[c])] = r["count"]
-    want = {}
-    for stratum, s, x, v in rows:
-        for a in range(attempts):
-            w = weights.get(("s", a, s), 0) * weights.get(("x", a, x), 0)
-            if w:
-                want[(a, stratum)] = want.get((a, stratum), 0.0) + w * v
-    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+    attempts = 150  # more than a block
+    for clusters in (["s", "x"], ["x"]):
+        got = {(r["attempt"], r["stratum"]): r["v"] for r in inference.replicate_sums(df, clusters, ["stratum"], ["v"], attempts, 5).collect()}
+        weights = plain_weights(spark, df, clusters, attempts, 5)
+        want = {}
+        for stratum, s, x, v in rows:
+            for a in range(attempts):
+                w = weights.get(("s", a, s), 0) if "s" in clusters else 1
+                w *= weights.get(("x", a, x), 0)
+                if w:
+                    want[(a, stratum)] = want.get((a, stratum), 0.0) + w * v
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
+def test_draws_are_the_same_in_sql():
+    import duckdb
+
+    sql = draws.sql_drawn(17, "text_key", "(SELECT a AS attempt, j, 1000003::UBIGINT AS k FROM range(40) t(a), range(500) u(j))", "k")
+    got = {(a, j): i for a, j, i in duckdb.sql(f"SELECT attempt, j, idx FROM {sql}").fetchall()}
+    assert len(got) == 20_000
+    for a in range(40):
+        assert [got[a, j] for j in range(500)] == draws.drawn(17, "text_key", a, 500, 0, 1000003).tolist()
+    spread = draws.weights(3, "s", range(2000), 10, 0, 10)
+    assert (spread.sum(axis=0) == 10).all() and abs(spread.mean(axis=1) - 1).max() < 0.1
+
+
+@pytest.mark.parametrize("partitions", [1, 4, 211])
+def test_zero_replicates_are_zero_under_any_partitioning(spark, partitions):
+    """Effects whose replicates cancel exactly on paper: rounding must not decide the one-sided p."""
+    thirds = [1 / 3, -1 / 3, 1 / 7, -1 / 7, 0.1, -0.1]
+    rows = [(f"c{c}", task, f"s{s}", f"x{c}-{task}-{s}", e) for c in range(3) for task in ("NR", "TSR") for s in range(5) for e in thirds]
+    df = spark.createDataFrame(rows, "contrast string, reading_task string, subject_id string, text_key string, effect double")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        found = inference.bootstrap_macro(df.repartition(partitions), ["subject_id"], 50, 3)
+        assert {(r["macro"], r["NR"], r["TSR"]) for r in found.collect()} == {(0.0, 0.0, 0.0)}
+        p = found.groupBy("contrast").agg(inference.one_sided_p("macro").alias("p")).collect()
+        assert {r["p"] for r in p} == {1.0}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

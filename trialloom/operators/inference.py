@@ -1,7 +1,8 @@
 """Clustered bootstrap, multiplicity control, permutation tests.
 
 A draw is ``hash(seed, scheme, attempt, j) mod K`` over the K clusters in digest order, so a replicate never depends on
-partitioning. Replicates meet cluster sums only, never raw rows.
+partitioning. Replicates meet cluster sums only, never raw rows. Sums may differ in their last bits with the order of their
+terms, so a replicate within ``ZERO`` of zero is zero: whether it counts as positive depends on the data alone.
 """
 
 from __future__ import annotations
@@ -10,15 +11,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from trialloom.functions.keys import draw_hash, ring_hash
+from trialloom.functions.draws import weights
+from trialloom.functions.keys import ring_hash
 from trialloom.operators.ranking import position_by_ring
 from trialloom.operators.reshape import with_totals
 from trialloom.session import cut
 
-BLOCK = 4096
-ATTEMPT_BLOCK = 500
-ROWS = 1000
-WEIGHT_BYTES = 64 << 20
+ZERO = 1e-12
+#: attempts whose weights a task holds at a time, and most clusters and cells of a tile
+ATTEMPT_BLOCK = 64
+TILE_CLUSTERS = 1 << 16
+TILE_CELLS = 1 << 20
+ROWS = 8192
 MOST_TRIES = 1000
 
 
@@ -28,90 +32,66 @@ def cluster_index(cells: DataFrame, cluster: str) -> DataFrame:
     return position_by_ring(names, [], "_r", [cluster], "idx").select(cluster, "idx")
 
 
-def draws(index: DataFrame, scheme: str, attempts: int, seed: int) -> DataFrame:
-    """(attempt, idx), K rows per attempt; long sequences are unfolded in blocks."""
-    spark = index.sparkSession
-    base = spark.range(attempts).withColumnRenamed("id", "attempt")
-    base = with_totals(base, index.agg(F.count("*").alias("_k")))
-    last = F.col("_k") - 1
-    blocks = base.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(last / BLOCK))))
-    first = F.col("_b") * BLOCK
-    rows = blocks.withColumn("_j", F.explode(F.sequence(first, F.least(first + BLOCK - 1, last))))
-    return rows.select("attempt", F.pmod(draw_hash(seed, scheme, F.col("attempt"), F.col("_j")), F.col("_k")).alias("idx"))
-
-
-def block_weights(index: DataFrame, cluster: str, attempts: int, seed: int) -> DataFrame:
-    """(cluster, block, drawn): the attempts of a block, counted from its first, that draw the cluster (repeats included)."""
-    drawn = draws(index, cluster, attempts, seed).groupBy("idx", F.floor(F.col("attempt") / ATTEMPT_BLOCK).cast("int").alias("block")).agg(
-        F.collect_list(F.pmod(F.col("attempt"), F.lit(ATTEMPT_BLOCK)).cast("int")).alias("drawn"))
-    return drawn.join(index, "idx").select(cluster, "block", "drawn")
-
-
 def replicate_sums(rows: DataFrame, clusters: list[str], strata: list[str], measures: list[str], attempts: int, seed: int) -> DataFrame:
     """(attempt, strata, measures): the measures summed under resampled clusters, one-way or two-way (product weights).
 
-    A row per combination of clusters holds the sums of all its strata. It meets its clusters' weights a block of
-    attempts at a time; tasks add up weight x measure as matrix products, so strata x attempts sums are all that is shuffled
-    after that. A stratum that no drawn cluster holds is left out. Of two cluster tables the smaller one is broadcast while
-    its clusters x attempts are within ``WEIGHT_BYTES``.
+    Rows collapse to one cell per combination of clusters and stratum. Cells are dealt to tiles, a block of each cluster's
+    numbers times a slice of what stands there, and move once. A tile makes the weights of its blocks itself, some attempts
+    at a time, from the seed: no draw is shuffled or broadcast, whatever the number of clusters, cells and attempts. It gives
+    out strata x attempts partial sums. A stratum that no drawn cluster holds is left out.
     """
     cells = rows.groupBy(*clusters, *strata).agg(*[F.sum(m).cast("double").alias(m) for m in measures])
-    packed = cells.groupBy(*clusters).agg(F.collect_list(F.struct(*strata, *measures)).alias("cells"))
-    indexes = {c: cluster_index(cells, c) for c in clusters}
-    if len(clusters) == 1:
-        joined = packed.join(block_weights(indexes[clusters[0]], clusters[0], attempts, seed), clusters[0]).withColumn("drawn_too", F.lit(None).cast("array<int>"))
-    else:
-        sizes = {c: indexes[c].count() for c in clusters}
-        small, large = sorted(clusters, key=lambda c: sizes[c])
-        inner = block_weights(indexes[small], small, attempts, seed).withColumnRenamed("drawn", "drawn_too")
-        if sizes[small] * attempts * 4 <= WEIGHT_BYTES:
-            inner = F.broadcast(inner)
-        joined = packed.join(block_weights(indexes[large], large, attempts, seed), large).join(inner, [small, "block"])
-    types = {c: cells.schema[c].dataType.simpleString() for c in strata}
-
-    def partial(batches):
-        held: dict[int, dict] = {}
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part = batch.slice(at, ROWS)
-                weights = _dense(part.column("drawn"))
-                if part.column("drawn_too").null_count < part.num_rows:
-                    weights *= _dense(part.column("drawn_too"))
-                owner, values = part.column("cells").value_parent_indices().to_numpy(), part.column("cells").flatten()
-                keys = list(zip(*(values.field(c).to_pylist() for c in strata)))
-                kinds = [values.field(c).type for c in strata]
-                numbers = np.stack([values.field(m).to_numpy(zero_copy_only=False) for m in measures], axis=1)
-                blocks = part.column("block").to_numpy()
-                for block in np.unique(blocks):
-                    inside = held.setdefault(int(block), {})
-                    for key, rows_of in _by_key(keys, np.flatnonzero(blocks[owner] == block)).items():
-                        w = weights[owner[rows_of]]
-                        sums = inside.setdefault(key, [np.zeros((ATTEMPT_BLOCK, len(measures))), np.zeros(ATTEMPT_BLOCK)])
-                        sums[0] += w.T @ numbers[rows_of]
-                        sums[1] += w.sum(axis=0)
-        for block, inside in held.items():
-            for key, (sums, weight) in inside.items():
+    sizes: dict[str, int] = {}
+    for c in clusters:
+        index = cut(cluster_index(rows.select(c), c))
+        sizes[c] = index.count()
+        cells = cells.join(index.withColumnRenamed("idx", f"_{c}"), c)
+    numbers = [f"_{c}" for c in clusters]
+    blocks = [F.floor(F.col(n) / TILE_CLUSTERS).cast("int").alias(f"{n}_block") for n in numbers]
+    cells = cut(cells.select(*numbers, *blocks, *strata, *measures))
+    tile = [f"{n}_block" for n in numbers]
+    slices = cells.groupBy(*tile).agg(F.ceil(F.count("*") / F.lit(TILE_CELLS)).cast("int").alias("_slices"))
+    dealt = cells.join(slices, tile).withColumn("_slice", F.pmod(F.xxhash64(*numbers), F.col("_slices")))
+    kinds = {c: cells.schema[c].dataType.simpleString() for c in strata}
+
+    def partial(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        stratum, keys = _strata(table, strata)
+        order = np.argsort(stratum, kind="stable")
+        values = np.stack([table.column(m).to_numpy() for m in measures], axis=1)[order]
+        places = [table.column(n).to_numpy()[order] for n in numbers]
+        first = [int(p.min()) for p in places]
+        last = [int(p.max()) + 1 for p in places]
+        bounds = np.searchsorted(stratum[order], np.arange(len(keys) + 1))
+        out = []
+        for begin in range(0, attempts, ATTEMPT_BLOCK):
+            some = range(begin, min(begin + ATTEMPT_BLOCK, attempts))
+            made = [weights(seed, c, some, sizes[c], lo, hi) for c, lo, hi in zip(clusters, first, last)]
+            for k, key in enumerate(keys):
+                sums, weight = np.zeros((len(some), len(measures))), np.zeros(len(some))
+                for at in range(int(bounds[k]), int(bounds[k + 1]), ROWS):
+                    part = slice(at, min(at + ROWS, int(bounds[k + 1])))
+                    w = made[0][places[0][part] - first[0]].astype(float)
+                    for more, place, lo in zip(made[1:], places[1:], first[1:]):
+                        w *= more[place[part] - lo]
+                    sums += w.T @ values[part]
+                    weight += w.sum(axis=0)
                 seen = np.flatnonzero(weight > 0)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(block * ATTEMPT_BLOCK + seen, pa.int64()), *(pa.array([k] * len(seen), kind) for k, kind in zip(key, kinds)),
-                     *(pa.array(sums[seen, m]) for m in range(len(measures)))], ["attempt", *strata, *measures])
+                out.append(pa.table(
+                    [pa.array(begin + seen, pa.int64()), *(pa.repeat(pa.scalar(v, table.schema.field(c).type), len(seen)) for v, c in zip(key, strata)),
+                     *(pa.array(sums[seen, m]) for m in range(len(measures)))], ["attempt", *strata, *measures]))
+        return pa.concat_tables(out)
 
-    schema = ", ".join(["attempt long", *(f"`{c}` {k}" for c, k in types.items()), *(f"`{m}` double" for m in measures)])
-    out = joined.select("block", "drawn", "drawn_too", "cells").mapInArrow(partial, schema)
+    schema = ", ".join(["attempt long", *(f"`{c}` {k}" for c, k in kinds.items()), *(f"`{m}` double" for m in measures)])
+    out = dealt.drop("_slices").groupBy(*tile, "_slice").applyInArrow(partial, schema)
     return out.groupBy("attempt", *strata).agg(*[F.sum(m).alias(m) for m in measures])
 
 
-def _dense(drawn: pa.Array) -> np.ndarray:
-    """How often each row's cluster is drawn in each attempt of the block."""
-    at = drawn.value_parent_indices().to_numpy() * ATTEMPT_BLOCK + drawn.flatten().to_numpy()
-    return np.bincount(at, minlength=len(drawn) * ATTEMPT_BLOCK).reshape(len(drawn), ATTEMPT_BLOCK).astype(float)
-
-
-def _by_key(keys: list[tuple], places: np.ndarray) -> dict[tuple, np.ndarray]:
-    found: dict[tuple, list[int]] = {}
-    for at in places.tolist():
-        found.setdefault(keys[at], []).append(at)
-    return {k: np.array(v) for k, v in found.items()}
+def _strata(table: pa.Table, strata: list[str]) -> tuple[np.ndarray, list[tuple]]:
+    """The number of each row's stratum, and the strata by number."""
+    found: dict[tuple, int] = {}
+    rows = zip(*(table.column(c).to_pylist() for c in strata))
+    return np.array([found.setdefault(key, len(found)) for key in rows]), list(found)
 
 
 def first_valid(values: DataFrame, by: list[str], valid: Column, replicates: int) -> DataFrame:
@@ -137,9 +117,9 @@ def bootstrap_macro(effects: DataFrame, clusters: list[str], replicates: int, se
         per_task = summed.groupBy("contrast", "attempt", "reading_task").agg(
             (F.sum("effect") / F.sum("n")).alias("mean"), F.count("*").alias("_seen"))
         macro = per_task.groupBy("contrast", "attempt").agg(
-            F.avg("mean").alias("macro"), F.sum("_seen").alias("_seen"),
-            F.max(F.when(F.col("reading_task") == "NR", F.col("mean"))).alias("NR"),
-            F.max(F.when(F.col("reading_task") == "TSR", F.col("mean"))).alias("TSR"))
+            zeroed(F.avg("mean")).alias("macro"), F.sum("_seen").alias("_seen"),
+            zeroed(F.max(F.when(F.col("reading_task") == "NR", F.col("mean")))).alias("NR"),
+            zeroed(F.max(F.when(F.col("reading_task") == "TSR", F.col("mean")))).alias("TSR"))
         checked = macro.join(wanted, "contrast")
         kept = cut(first_valid(checked, ["contrast"], F.col("_seen") == F.col("_strata"), replicates)
                    .select("contrast", "replicate", "macro", "NR", "TSR"))
@@ -155,6 +135,11 @@ def quantile_columns(value: str, points: dict[str, float]) -> list[Column]:
     return [F.percentile(value, q).alias(name) for name, q in points.items()]
 
 
+def zeroed(value: Column) -> Column:
+    """``value``, and exactly 0 where it is 0 but for rounding."""
+    return F.when(F.abs(value) < ZERO, 0.0).otherwise(value)
+
+
 def one_sided_p(value: str) -> Column:
     return (F.count_if(F.col(value) <= 0) + 1) / (F.count("*") + 1)
 
@@ -231,7 +216,7 @@ def macro_f1_bootstrap(cells: DataFrame, clusters: list[str], classes: int, repl
         tp, fp, fn = F.col(f"tp_{side}"), F.col(f"fp_{side}"), F.col(f"fn_{side}")
         return F.when(2 * tp + fp + fn == 0, 0.0).otherwise(2 * tp / (2 * tp + fp + fn))
 
-    weighted = summed.groupBy("attempt").agg(((F.sum(f1("a")) - F.sum(f1("b"))) / classes).alias("delta"))
+    weighted = summed.groupBy("attempt").agg(zeroed((F.sum(f1("a")) - F.sum(f1("b"))) / classes).alias("delta"))
     unit = plain.agg(((F.sum(f1("a")) - F.sum(f1("b"))) / classes).alias("_unit"))
     every = cells.sparkSession.range(replicates).withColumnRenamed("id", "attempt")
     return with_totals(every, unit).join(weighted, "attempt", "left").select(

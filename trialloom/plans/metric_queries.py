@@ -175,7 +175,7 @@ _MEASURES = ["tp_a", "fp_a", "fn_a", "tp_b", "fp_b", "fn_b"]
 
 
 @query("I06_utility_bootstrap", f"""
-SELECT attempt AS replicate, round(({_sum_f1("a")} - {_sum_f1("b")}) / 3, 10) AS delta FROM
+SELECT attempt AS replicate, round(({_sum_f1("a")} - {_sum_f1("b")}) / 3, 10) + 0.0 AS delta FROM
  (SELECT attempt, class, {", ".join(f"sum({m} * weight) AS {m}" for m in _MEASURES)} FROM utility_cells JOIN w_utility USING (subject_id) WHERE attempt < {REPLICATES} GROUP BY 1, 2) GROUP BY 1""")
 def i06(t):
     return rounded(inference.macro_f1_bootstrap(utility_cells(t), ["subject_id"], CLASSES, REPLICATES, SEED), "delta")

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from trialloom.functions import keys
+from trialloom.functions.draws import sql_drawn
 from trialloom.operators import reshape, retrieval
 from trialloom.plans.tables import SEED, VIEWS, Tables, sql_draw
 from trialloom.plans.xfit_views import vec_pools
@@ -119,9 +120,9 @@ ATTEMPTS = REPLICATES * 6 // 5
 
 def sql_weights(cluster: str, source: str = "effects") -> str:
     """Multiplicities (attempt, cluster, weight) as SQL."""
-    return f"""SELECT attempt, {cluster}, count(*) AS weight FROM
-  (SELECT attempt, {sql_draw(SEED, f"'{cluster}'", "attempt", "j")} % k AS idx
-   FROM (SELECT count(DISTINCT {cluster}) AS k FROM {source}), (SELECT unnest(range({ATTEMPTS})) AS attempt), (SELECT unnest(range(20000)) AS j) WHERE j < k)
+    made = f"""(SELECT * FROM (SELECT count(DISTINCT {cluster})::UBIGINT AS k FROM {source}), (SELECT unnest(range({ATTEMPTS})) AS attempt),
+      (SELECT unnest(range((SELECT count(DISTINCT {cluster}) FROM {source}))) AS j))"""
+    return f"""SELECT attempt, {cluster}, count(*) AS weight FROM {sql_drawn(SEED, cluster, made, "k")}
   JOIN (SELECT {cluster}, row_number() OVER (ORDER BY CAST(('0x' || substr(sha256(concat_ws(chr(31), {cluster}, 'cluster')), 1, 15)) AS BIGINT)) - 1 AS idx
         FROM (SELECT DISTINCT {cluster} FROM {source})) USING (idx) GROUP BY ALL"""
 
@@ -132,7 +133,8 @@ VIEWS["w_text"] = sql_weights("text_key")
 
 def sql_macro_draws(joined: str, weight: str, fixed: bool) -> str:
     stratum = "outer_fold, reading_task" if fixed else "reading_task"
-    return f"""SELECT contrast, row_number() OVER (PARTITION BY contrast ORDER BY attempt) - 1 AS replicate, macro, nr, tsr FROM
+    zeroed = ", ".join(f"CASE WHEN abs({c}) < 1e-12 THEN 0.0 ELSE {c} END AS {c}" for c in ("macro", "nr", "tsr"))
+    return f"""SELECT contrast, row_number() OVER (PARTITION BY contrast ORDER BY attempt) - 1 AS replicate, {zeroed} FROM
  (SELECT contrast, attempt, avg(m) AS macro, max(CASE WHEN reading_task = 'NR' THEN m END) AS nr, max(CASE WHEN reading_task = 'TSR' THEN m END) AS tsr, sum(seen) AS seen
   FROM (SELECT contrast, attempt, reading_task, sum(s) / sum(n) AS m, count(*) AS seen FROM
     (SELECT contrast, attempt, {stratum}, sum(effect * {weight}) AS s, sum({weight}) AS n FROM effects {joined} GROUP BY ALL) GROUP BY ALL) GROUP BY ALL)
