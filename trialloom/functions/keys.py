@@ -8,6 +8,8 @@ from trialloom.functions.fixed_values import LENGTH_STRATA
 
 UNIT = "\x1f"
 RING = 1 << 60
+#: leaves the leading eight bits of a ring hash
+HASH_SHIFT = 52
 
 
 def _part(value) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from trialloom.operators.canonical import repeated, single_valued
+from trialloom.operators.reshape import with_totals
 
 
 class ContractError(ValueError):
@@ -162,14 +163,35 @@ def incumbents(history: DataFrame, run: list[str], step: str, metric: str, block
         "selected": F.col(step) == -F.col("_best.s")}).drop("_so_far", "_best", "_carried", "_block")
 
 
-def digest_of_set(df: DataFrame, by: list[str], key: str) -> DataFrame:
-    """Order-free digest of a set of ids of any size: count, xor and sum of hashes (one partial aggregate, nothing collected)."""
-    from trialloom.functions.keys import ring_hash
+#: most ids below a leaf of a hash tree (on average: ids are spread by their digests), digits a level goes up, and most levels
+LEAF, DIGITS, LEVELS = 4096, 3, 4
 
-    h = ring_hash(F.col(key), "set")
-    return df.groupBy(*by).agg(
-        F.count("*").alias("members"), F.bit_xor(h).alias("xor_part"), F.sum(h.cast("decimal(38,0)")).alias("sum_part"),
-    ).select(*by, "members", F.sha2(F.concat_ws("\x1f", "members", "xor_part", "sum_part"), 256).alias("set_digest"))
+
+def digest_of_set(df: DataFrame, by: list[str], key: str, leaf: int = LEAF) -> DataFrame:
+    """(by, members, set_digest): SHA-256 of a multiset of ids of any size, the same whatever the order of the rows.
+
+    A hash tree: an id and how often it occurs have a digest; digests with the same leading digits, sorted, make a leaf;
+    leaves make a node ``DIGITS`` digits shorter, and so on up to the root. How many digits a leaf has follows from the number of
+    different ids, so it is part of the set and not of the run; no group ever holds more than a leaf or 16^``DIGITS`` children.
+    """
+    ids = df.groupBy(*by, key).agg(F.count("*").alias("_times")).withColumn(
+        "_digest", F.sha2(F.concat_ws("\x1f", F.col(key).cast("string"), "_times"), 256))
+    sizes = ids.groupBy(*by).agg(F.sum("_times").alias("members"), F.count("*").alias("_n"))
+    depth = sum((F.when(F.col("_n") > leaf * 16 ** i, 1).otherwise(0) for i in range(DIGITS * LEVELS)), F.lit(0))
+    depths = sizes.select(*[F.col(c).alias(f"_of_{c}") for c in by], depth.alias("_depth"))
+    same = [ids[c].eqNullSafe(F.col(f"_of_{c}")) for c in by]
+    nodes = (ids.join(depths, same) if by else with_totals(ids, depths)).select(
+        *by, F.expr("substring(_digest, 1, _depth)").alias("_node"), "_digest")
+    nodes = nodes.groupBy(*by, "_node").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("_digest")), "\n"), 256).alias("_digest"))
+    for _ in range(LEVELS):
+        above = nodes.withColumn("_above", F.expr(f"substring(_node, 1, greatest(length(_node) - {DIGITS}, 0))"))
+        lines = F.transform(F.array_sort(F.collect_list(F.struct("_node", "_digest"))), lambda x: F.concat(x["_node"], F.lit(" "), x["_digest"]))
+        nodes = above.groupBy(*by, F.col("_above").alias("_node")).agg(
+            F.when(F.max(F.length("_node")) == 0, F.max("_digest")).otherwise(F.sha2(F.array_join(lines, "\n"), 256)).alias("_digest"))
+    roots = nodes.select(*[F.col(c).alias(f"_of_{c}") for c in by], "_digest")
+    same = [sizes[c].eqNullSafe(F.col(f"_of_{c}")) for c in by]
+    joined = sizes.join(roots, same) if by else with_totals(sizes, roots)
+    return joined.select(*by, "members", F.sha2(F.concat_ws("\x1f", "members", "_digest"), 256).alias("set_digest"))
 
 
 def sorted_digest(df: DataFrame, by: list[str], key: str) -> DataFrame:

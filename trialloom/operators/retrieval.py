@@ -6,27 +6,29 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from trialloom.functions import vectors
 from trialloom.functions.fixed_values import TOP1_SLACK
+from trialloom.operators import blocks
 
 
-def cosine_scores(pool: DataFrame, signals: DataFrame, texts: DataFrame, out: str = "score") -> DataFrame:
-    """Cosine of each pool row's signal and candidate vectors.
+def cosine_scores(pool: DataFrame, signals: DataFrame, texts: DataFrame, out: str = "score", context: list[str] | None = None,
+                  target: list[str] | None = None, near: list[Column] | None = None) -> DataFrame:
+    """Cosine of each pool row's signal and candidate vectors, by blocks of targets (``blocks.pair_scores``).
 
-    pool: signal_id, candidate_id and anything else. Vectors are normalised once per vector, before the joins.
+    pool: signal_id, candidate_id and anything else. signals: signal_id, vector; texts: candidate_id, vector, one row per id.
+    ``context`` and ``near`` tell which targets share candidates; without them targets are dealt by hash.
     """
-    left = signals.select("signal_id", vectors.unit(F.col("vector")).alias("_s"))
-    right = texts.select("candidate_id", vectors.unit(F.col("vector")).alias("_c"))
-    joined = pool.join(right, "candidate_id").join(left, "signal_id")
-    return joined.withColumn(out, vectors.dot(F.col("_s"), F.col("_c"))).drop("_s", "_c")
+    return blocks.pair_scores(
+        pool, signals.select("signal_id", F.col("vector").alias("payload")),
+        texts.select("candidate_id", F.col("vector").alias("payload")), context or [], target or ["signal_id"], near, out, blocks.cosine_kernel)
 
 
-def maxsim_scores(pool: DataFrame, signals: DataFrame, texts: DataFrame, out: str = "score") -> DataFrame:
-    """Late interaction: mean over valid signal tokens of the best cosine with a valid candidate token."""
-    def ready(df, key, name):
-        tokens = vectors.keep_valid(F.col("tokens"), F.col("mask"))
-        return df.select(key, F.transform(tokens, lambda x: vectors.unit(x)).alias(name))
+def maxsim_scores(pool: DataFrame, signals: DataFrame, texts: DataFrame, out: str = "score", context: list[str] | None = None,
+                  target: list[str] | None = None, near: list[Column] | None = None) -> DataFrame:
+    """Late interaction: mean over valid signal tokens of the best cosine with a valid candidate token, by blocks."""
+    def ready(df, key):
+        return df.select(key, vectors.keep_valid(F.col("tokens"), F.col("mask")).alias("payload"))
 
-    joined = pool.join(ready(texts, "candidate_id", "_c"), "candidate_id").join(ready(signals, "signal_id", "_s"), "signal_id")
-    return joined.withColumn(out, vectors.maxsim(F.col("_s"), F.col("_c"))).drop("_s", "_c")
+    return blocks.pair_scores(pool, ready(signals, "signal_id"), ready(texts, "candidate_id"), context or [], target or ["signal_id"],
+                              near, out, blocks.maxsim_kernel)
 
 
 def rank_positive(scores: DataFrame, query: list[str]) -> DataFrame:

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_type as to_arrow
 
 from trialloom.functions.keys import draw_hash, hash_parity, length_stratum, ring_hash, stable_hash
 from trialloom.operators.ranking import digest_bucket, position_by_digest, position_by_ring, prefix_sum, ring_bucket
@@ -36,6 +41,52 @@ def balanced_folds(df: DataFrame, group: str, task: str, folds: int, seed: int)
     return placed.select(group, fold.alias("fold"), "rows", "task_mix")
 
 
+def greedy_folds(df: DataFrame, group: str, task: str, tasks: list[str], folds: int, seeds: list[int]) -> DataFrame:
+    """(seed, group, fold, rows): each group in turn goes where it leaves the folds closest to even, exactly.
+
+    The objective is the sum over folds and tasks of the squared relative deviations of rows and of identities from an even
+    share. Groups come largest first, then those in more tasks, then by seeded digest; equal costs go by a seeded digest of
+    group and fold. Every choice depends on all before it, so a seed's groups are one ordered stream through one task, which
+    keeps folds x tasks counters and no rows; seeds run side by side. ``balanced_folds`` is the form without that order.
+    """
+    counted = df.groupBy(F.col(group).alias("_group")).agg(
+        F.count("*").alias("rows"), *[F.count_if(F.col(task) == name).alias(f"_rows_{i}") for i, name in enumerate(tasks)])
+    counted = cut(counted)
+    per = [f"_rows_{i}" for i in range(len(tasks))]
+    totals = counted.agg(*[F.sum(c) for c in per], *[F.count_if(F.col(c) > 0) for c in per]).first()
+    even = np.array([[max((totals[i + len(per) * k] or 0) / folds, 1.0) for k in range(2)] for i in range(len(per))]).ravel()
+    kind = counted.schema["_group"].dataType.simpleString()
+    ties = [stable_hash(F.col("seed"), F.col("_group"), fold, "fold-tie") for fold in range(folds)]
+    lanes = counted.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds]))).withColumns({
+        "_tasks": sum((F.when(F.col(c) > 0, 1).otherwise(0) for c in per), F.lit(0)),
+        "_order": stable_hash(F.col("seed"), F.col("_group"), "group-order"), "_ties": F.array(*ties)})
+    ordered = lanes.repartition(len(seeds), "seed").sortWithinPartitions("seed", F.desc("rows"), F.desc("_tasks"), "_order", "_group")
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, np.zeros((folds, len(even)))
+        for batch in batches:
+            found = []
+            counts = np.stack([batch.column(c).to_numpy() for c in per], axis=1)
+            added = np.stack([counts, counts > 0], axis=2).reshape(len(counts), -1).astype(float)
+            for seed, ties_of, more in zip(batch.column("seed").to_pylist(), batch.column("_ties").to_pylist(), added):
+                if seed != now:
+                    now, held = seed, np.zeros((folds, len(even)))
+                tried = np.repeat(held[None], folds, axis=0)
+                tried[np.arange(folds), np.arange(folds)] += more
+                # summed one after the other, as a plain loop does: the last bit decides between folds that look alike
+                costs = np.cumsum((((tried - even) / even) ** 2).reshape(folds, -1), axis=1)[:, -1]
+                best = min(range(folds), key=lambda f: (costs[f], ties_of[f]))
+                held[best] += more
+                found.append(best)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("seed"), batch.column("_group"), pa.array(found, pa.int32()), batch.column("rows")], ["seed", "_group", "fold", "rows"])
+
+    out = cut(ordered.mapInArrow(assign, f"seed int, _group {kind}, fold int, rows long"))
+    for row in out.groupBy("seed").agg(F.count_distinct("fold").alias("n")).where(F.col("n") < folds).collect():
+        raise ValueError(f"seed {row['seed']} leaves folds empty: {row['n']} of {folds} are used")
+    return out.withColumnRenamed("_group", group)
+
+
 def fold_balance(assigned: DataFrame) -> DataFrame:
     return assigned.groupBy("fold", "task_mix").agg(F.count("*").alias("groups"), F.sum("rows").alias("rows"))
 
@@ -137,6 +188,54 @@ def sample_by_class(df: DataFrame, key: str, label: str, draws: int, seed: int)
     return picked.join(placed.select(label, "_p", key), [label, "_p"]).select("draw", key, label)
 
 
+HEAVY_SHARE = 1024
+
+
+def sample_by_weight(df: DataFrame, key: str, weight: Column, draws: int, seed: int, units: float = 1.0) -> DataFrame:
+    """(draw, key): with replacement, every row in proportion to its weight (at least 0, counted in whole 1/``units``).
+
+    Rows stand in hash order on a line of their weights, by prefix sums over hash buckets; a draw is a hashed place on the line.
+    At most ``HEAVY_SHARE`` rows hold more than that part of the line; draws that fall on them are answered in place, so a row with
+    a third of all weight is no hot key. The others go to their bucket (65,536 of them, whose ends every task knows), where
+    rows and draws are merged in order: the row is the last one that begins at or before the draw.
+    """
+    rows = df.select(key, F.round(weight * units).cast("bigint").alias("_units")).where("_units > 0")
+    rows = rows.withColumn("_ring", draw_hash(seed, "member", F.col(key)))
+    placed = cut(prefix_sum(rows, [], ring_bucket(F.col("_ring")), ["_ring", key], F.col("_units"), "_begin").withColumn(
+        "_bucket", ring_bucket(F.col("_ring"))))
+    buckets = placed.groupBy("_bucket").agg(F.min("_begin").alias("begin"), F.sum("_units").alias("units")).orderBy("begin").collect()
+    if not buckets:
+        raise ValueError("no row has a weight")
+    total = buckets[-1]["begin"] + buckets[-1]["units"]
+    heavy = placed.where(F.col("_units") > total / HEAVY_SHARE).select("_begin", "_units", key).orderBy("_begin").collect()
+    numbers, begins = np.array([b["_bucket"] for b in buckets]), np.array([b["begin"] for b in buckets])
+    starts = np.array([h["_begin"] for h in heavy], np.int64)
+    ends = starts + np.array([h["_units"] for h in heavy], np.int64)
+    names = [h[key] for h in heavy]
+    kind = placed.schema[key].dataType.simpleString()
+
+    def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("_at").to_numpy()
+            on = np.searchsorted(starts, at, side="right") - 1
+            hit = (on >= 0) & (at < ends[on]) if len(starts) else np.zeros(len(at), bool)
+            bucket = numbers[np.searchsorted(begins, at, side="right") - 1]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("draw"), batch.column("_at"), pa.array(bucket, pa.int64()),
+                 pa.array([names[i] if h else None for i, h in zip(on.tolist(), hit.tolist())], batch_type)], ["draw", "_at", "_bucket", key])
+
+    batch_type = to_arrow(placed.schema[key].dataType)
+    at = F.pmod(draw_hash(seed, "place", F.col("draw")), F.lit(total))
+    located = df.sparkSession.range(draws).withColumnRenamed("id", "draw").withColumn("_at", at).mapInArrow(
+        locate, f"draw long, _at long, _bucket long, `{key}` {kind}")
+    located = cut(located)
+    asked = located.where(F.col(key).isNull()).select("_bucket", "_at", "draw", F.lit(None).cast(kind).alias("_row"))
+    line = placed.select("_bucket", F.col("_begin").alias("_at"), F.lit(None).cast("long").alias("draw"), F.col(key).alias("_row"))
+    so_far = Window.partitionBy("_bucket").orderBy("_at", F.col("draw").isNotNull())
+    met = line.unionByName(asked).withColumn(key, F.last("_row", ignorenulls=True).over(so_far)).where("draw IS NOT NULL")
+    return located.where(F.col(key).isNotNull()).select("draw", key).unionByName(met.select("draw", key))
+
+
 def capped_sample(df: DataFrame, key: str, size: int, seed: int) -> DataFrame:
     """The ``size`` rows first in hash order (a sampling operator: TakeOrdered, no full sort)."""
     return df.orderBy(ring_hash(seed, F.col(key), "sample"), key).limit(size)

@@ -269,6 +269,12 @@ def d02b(t):
     return splits.fold_balance(doc_folds(t))
 
 
+@query("D02_greedy_folds")
+def d02c(t):
+    """The sequential assignment by its objective, two seeds side by side; compared with a plain loop in the tests."""
+    return splits.greedy_folds(doc_rows(t), "text_key", "reading_task", ["NR", "TSR"], FOLDS, [SEED, SEED + 1])
+
+
 @query("D03_outer_roles", "SELECT outer_fold, role, text_fold, count(*) AS rows FROM xfit_roles GROUP BY ALL")
 def d03(t):
     return xfit_roles(t).groupBy("outer_fold", "role", "text_fold").agg(F.count("*").alias("rows"))
@@ -326,6 +332,16 @@ def d11(t):
     return splits.sample_by_class(rows, "vec_id", "label", 2000, SEED)
 
 
+@query("D11_given_weights", f"""
+, w AS (SELECT doc_id, n_chars AS units, {sql_draw(SEED, "'member'", "doc_id")} AS ring FROM documents WHERE n_chars > 0),
+line AS (SELECT doc_id, sum(units) OVER (ORDER BY ring, doc_id) - units AS first FROM w),
+d AS (SELECT draw, {sql_draw(SEED, "'place'", "draw")} % (SELECT sum(units) FROM w) AS place FROM (SELECT unnest(range(4000)) AS draw))
+SELECT d.draw, line.doc_id FROM d ASOF JOIN line ON d.place >= line.first""")
+def d11b(t):
+    """Documents drawn in proportion to their length."""
+    return splits.sample_by_weight(t.raw("documents"), "doc_id", F.col("n_chars"), 4000, SEED)
+
+
 @query("D15_capped_sample", f"""
 SELECT id, prediction FROM pairs ORDER BY {sql_ring(SEED, "id", "'sample'")}, id LIMIT 1000""")
 def d15(t):

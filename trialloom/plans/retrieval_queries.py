@@ -195,11 +195,21 @@ def a30(t):
         F.col("mrr") >= F.col("reference"), "PARITY_REACHABLE").otherwise("NULL_ROBUST").alias("verdict")), "mrr", "delta")
 
 
-@query("A31_set_digest", """
-SELECT subject_id, count(*) AS members, sha256(concat_ws(chr(31), count(*), bit_xor(h), CAST(sum(h) AS VARCHAR))) AS set_digest
-FROM (SELECT subject_id, CAST(('0x' || substr(sha256(concat_ws(chr(31), trial_id, 'set')), 1, 15)) AS BIGINT) AS h FROM trials) GROUP BY 1""")
+TREE_LEAF = 16
+_DEPTH = " + ".join(f"(count(*) > {TREE_LEAF * 16 ** i})::INTEGER" for i in range(3))
+
+
+@query("A31_set_digest", f"""
+, ids AS (SELECT subject_id, trial_id, count(*) AS times, sha256(concat_ws(chr(31), trial_id, count(*))) AS digest FROM trials GROUP BY 1, 2),
+sizes AS (SELECT subject_id, sum(times)::BIGINT AS members, {_DEPTH} AS depth FROM ids GROUP BY 1),
+leaves AS (SELECT subject_id, any_value(depth) AS depth, substr(digest, 1, depth) AS node, sha256(string_agg(digest, chr(10) ORDER BY digest)) AS digest
+  FROM ids JOIN sizes USING (subject_id) GROUP BY subject_id, substr(digest, 1, depth)),
+roots AS (SELECT subject_id, CASE WHEN max(depth) = 0 THEN max(digest) ELSE sha256(string_agg(node || ' ' || digest, chr(10) ORDER BY node)) END AS root
+  FROM leaves GROUP BY 1)
+SELECT subject_id, members, sha256(concat_ws(chr(31), members, root)) AS set_digest FROM sizes JOIN roots USING (subject_id)""")
 def a31(t):
-    return contracts.digest_of_set(t.trial_keys, ["subject_id"], "trial_id")
+    """Hash trees of one to four levels (a small leaf, so that small tables have more than a leaf as well)."""
+    return contracts.digest_of_set(t.trial_keys, ["subject_id"], "trial_id", TREE_LEAF)
 
 
 @query("A31_sorted_digest", """
@@ -263,7 +273,7 @@ def a33b(t):
     texts = t.vec_texts.select(F.col("text_key").alias("candidate_id"), F.col("text_vector").alias("vector"))
     pairs = anchors.join(members, "batch").withColumn("signal_id", F.col("anchor"))
     same = F.col("anchor") == F.col("candidate")
-    scored = retrieval.cosine_scores(pairs, signals, texts).withColumns({
+    scored = retrieval.cosine_scores(pairs, signals, texts, context=["batch"], target=["anchor"]).withColumns({
         "forward": same | (keys.draw_hash(SEED, "f", F.col("anchor"), F.col("candidate")) % 2 == 0),
         "backward": same | (keys.draw_hash(SEED, "b", F.col("anchor"), F.col("candidate")) % 2 == 0)})
     return rounded(retrieval.contrastive_loss(scored, 0.05), "forward_loss", "backward_loss", "loss", digits=8)

@@ -45,14 +45,19 @@ TRIAL = ["outer_fold", "trial_id", "reading_task", "subject_id", "text_key"]
 
 
 def base_scores(t: Tables) -> DataFrame:
+    """Both conditions of a target are one row of its block; the blocks follow the rings that chose the candidates."""
     pool = vec_pools(t).where("partition = 'confirmation' and donor_id is not null").select(
         "outer_fold", F.col("target_id").alias("trial_id"), "reading_task", "subject_id", F.col("positive_id").alias("text_key"),
-        "donor_id", F.col("donor_candidate_id").alias("donor_text_key"), "candidate_id", "candidate_rank", "is_positive", "is_donor_text")
+        "donor_id", F.col("donor_candidate_id").alias("donor_text_key"), "candidate_id", "candidate_rank", "is_positive", "is_donor_text",
+        "target_length")
     pool = reshape.each(pool, "signal_condition", SIGNALS).withColumn(
         "signal_id", F.when(F.col("signal_condition") == "correct", F.col("trial_id")).otherwise(F.col("donor_id")))
-    signals = t.vec_trials.select(F.col("trial_id").alias("signal_id"), "vector")
-    texts = t.vec_texts.select(F.col("text_key").alias("candidate_id"), F.col("text_vector").alias("vector"))
-    return retrieval.cosine_scores(pool, signals, texts, "base").withColumn("base", F.round("base", 6))
+    signals = t.vec_trials.select(F.col("trial_id").alias("signal_id"), F.col("vector").cast("array<float>").alias("vector"))
+    texts = t.vec_texts.select(F.col("text_key").alias("candidate_id"), F.col("text_vector").cast("array<float>").alias("vector"))
+    scope = F.concat_ws("|", "outer_fold", F.lit("confirmation"))
+    near = [F.col("target_length"), keys.ring_hash(SEED, scope, F.col("trial_id"), "pool-select")]
+    scored = retrieval.cosine_scores(pool, signals, texts, "base", ["outer_fold", "reading_task"], ["trial_id"], near)
+    return scored.drop("target_length").withColumn("base", F.round("base", 6))
 
 
 def arm_scores(t: Tables) -> DataFrame:

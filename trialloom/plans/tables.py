@@ -13,7 +13,7 @@ from trialloom.session import cut
 
 SEED = 17
 FOLDS = 5
-POOL = 8
+POOL = 24
 RING_SQL = 1 << 60
 
 

@@ -12,13 +12,17 @@ BYTES_PER_BATCH = 16 << 30
 
 def process_new_files(spark: SparkSession, source: str, schema: str, output: str, checkpoint: str,
                       work: Callable[[DataFrame], DataFrame], bytes_per_batch: int = BYTES_PER_BATCH) -> None:
-    """Every input file becomes one output partition named after it.
+    """Every input file becomes one output partition named after its path below ``source``, so equal names in two folders are two
+    chunks.
 
     A file belongs to one micro-batch, and a batch overwrites only its own partitions: replaying a batch after a failure
     gives the same output. The checkpoint remembers finished files, so a later call handles only new ones.
     """
     stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", bytes_per_batch).parquet(source)
-    named = stream.withColumn("chunk", F.regexp_replace(F.col("_metadata.file_name"), r"\.parquet$", ""))
+    root = spark._jvm.org.apache.hadoop.fs.Path(source)
+    root = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toUri().getPath().rstrip("/")
+    path = F.regexp_replace(F.url_decode(F.regexp_replace("_metadata.file_path", r"\+", "%2B")), r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", "")
+    named = stream.withColumn("chunk", F.regexp_replace(F.substr(path, F.lit(len(root) + 2)), r"\.parquet$", ""))
 
     def write(batch: DataFrame, _: int) -> None:
         work(batch).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chunk").parquet(output)
