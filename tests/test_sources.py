@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trialloom.operators import probes, splits
+from trialloom.operators import metrics, probes, splits
 from trialloom.operators.contracts import ContractError
 from trialloom.sources import scans, sinks
 
@@ -132,10 +132,9 @@ def test_probe_finds_signal_and_no_noise(spark):
         rows.append((i, y, f"g{i // 3 % 12}", (rng.normal(size=4) + 2.0 * np.eye(4)[y]).tolist(), rng.normal(size=4).tolist()))
     df = spark.createDataFrame(rows, "id int, y int, grp string, signal array<double>, noise array<double>").withColumn("fold", F.col("id") % 2)
     permuted = splits.permuted_labels(df.select("id", "y"), "id", "y", 2, 1).cache()
-    frames = [permuted.where(F.col("replicate") == i).select("id", "y") for i in range(2)]
-    good = probes.decodability(probes.with_features(df, "signal").select("id", "fold", "features", "y"), "fold", 2, 3, frames, "id").first()
+    good = probes.decodability(df.withColumnRenamed("signal", "x").select("id", "fold", "x", "y"), "fold", 3, permuted, "id").first()
     assert good["observed"] > 0.7 > good["null_mean"] and good["p_value"] == pytest.approx(1 / 3)
-    bad = probes.utility(probes.out_of_fold(probes.with_features(df, "noise"), "fold", 2, "multiclass", 1.0, ["id"]), "multiclass", 3)
+    bad = probes.utility(probes.left_out(df.withColumnRenamed("noise", "x"), "fold", "multiclass", [1.0], 3, ["id"]), "multiclass", 3)
     assert bad < 0.5
 
 
@@ -146,9 +145,12 @@ def test_all_permutations_are_fitted_and_as_one_by_one(spark):
     rng = np.random.default_rng(6)
     rows = [(i, i % 3, i % 2, (rng.normal(size=4) + 2.0 * np.eye(4)[i % 3]).tolist()) for i in range(150)]
     df = spark.createDataFrame(rows, "id int, y int, fold int, signal array<double>")
-    df = probes.with_features(df, "signal").select("id", "fold", "features", "y").cache()
+    df = df.withColumnRenamed("signal", "x").cache()
     permuted = splits.permuted_labels(df.select("id", "y"), "id", "y", 60, 1).cache()
-    single = [probes.decodability(df, "fold", 2, 3, [permuted.where(F.col("replicate") == i).select("id", "y")], "id").first()["null_mean"] for i in range(2)]
-    together = [r[0] for r in probes.permuted_accuracies(df, "fold", 2, 3, permuted, "id").collect()]
-    assert together[:2] == pytest.approx(single, abs=0.015) and len(together) == 60
-    assert probes.decodability(df, "fold", 2, 3, permuted, "id").first()["p_value"] == pytest.approx(1 / 61)
+    together = [r[0] for r in probes.permuted_accuracies(df, "fold", 3, permuted, "id").collect()]
+    assert len(together) == 60
+    for i in range(2):
+        one = df.drop("y").join(permuted.where(F.col("replicate") == i).select("id", "y"), "id")
+        predicted = probes.left_out(one, "fold", "multiclass", [1.0], 3, ["id"])
+        assert together[i] == pytest.approx(metrics.multiclass_metrics(predicted, 3).first()["balanced_accuracy"], abs=1e-9)
+    assert probes.decodability(df, "fold", 3, permuted, "id").first()["p_value"] == pytest.approx(1 / 61)

@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-import pickle
-
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.feature import StandardScaler
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, functions as F
 
-from trialloom.operators import metrics
+from trialloom.operators import jointfits, metrics
 from trialloom.operators.reshape import with_totals
 from trialloom.session import cut
 
@@ -27,15 +23,12 @@ def with_features(df: DataFrame, vector: str) -> DataFrame:
     return df.withColumn("features", array_to_vector(F.col(vector).cast("array<double>")))
 
 
-def metadata_features(train: DataFrame, test: DataFrame, categories: list[str], numbers: list[str]) -> tuple[DataFrame, DataFrame]:
-    """One-hot categories and plain numbers; categories unseen in training give zeros."""
-    names = [f"_{c}" for c in categories]
-    stages = [StringIndexer(inputCols=categories, outputCols=[f"{n}_i" for n in names], handleInvalid="keep"),
-              OneHotEncoder(inputCols=[f"{n}_i" for n in names], outputCols=names, handleInvalid="keep"),
-              VectorAssembler(inputCols=[*names, *numbers], outputCol="features")]
-    model = Pipeline(stages=stages).fit(train)
-    drop = [f"{n}_i" for n in names] + names
-    return model.transform(train).drop(*drop), model.transform(test).drop(*drop)
+def metadata_vectors(df: DataFrame, categories: list[str], numbers: list[str]) -> DataFrame:
+    """``df`` with x: a 0/1 entry per value of each category, then the numbers. A value that a model's training rows lack has no
+    spread there and so no weight: it counts as zeros."""
+    values = {c: [r[0] for r in df.select(c).distinct().where(F.col(c).isNotNull()).orderBy(c).collect()] for c in categories}
+    ones = [(F.col(c).eqNullSafe(F.lit(v))).cast("double") for c in categories for v in values[c]]
+    return df.withColumn("x", F.array(*ones, *[F.col(n).cast("double") for n in numbers]))
 
 
 def balanced_weights(df: DataFrame, label: str) -> DataFrame:
@@ -47,7 +40,8 @@ def balanced_weights(df: DataFrame, label: str) -> DataFrame:
 
 
 def fit_predict(train: DataFrame, test: DataFrame, kind: str, parameter: float, iterations: int = ITERATIONS) -> DataFrame:
-    """The test rows with ``yhat``. ``parameter`` is the inverse penalty C of a classifier, the penalty of a ridge.
+    """The test rows with ``yhat``, by one MLlib model; ``left_out`` fits many at once. ``parameter`` is the inverse penalty C of a
+    classifier, the penalty of a ridge.
 
     train and test: features, y. The penalty is stated per mean loss, hence the division by the row count.
     """
@@ -66,19 +60,6 @@ def fit_predict(train: DataFrame, test: DataFrame, kind: str, parameter: float,
     return fitted.transform(test).withColumn("yhat", F.col("_p").cast("int")).drop("_scaled", "_p", "rawPrediction", "probability")
 
 
-def fit_predict_labels(train: DataFrame, test: DataFrame, key: str, labels: int, parameter: float) -> DataFrame:
-    """One balanced classifier per label of a multi-hot ``y`` array: (key, class, truth, guess)."""
-    out = None
-    for i in range(labels):
-        def side(df: DataFrame) -> DataFrame:
-            return df.select(key, "features", F.element_at("y", i + 1).alias("y"))
-
-        part = fit_predict(side(train), side(test), "multiclass", parameter).select(
-            key, F.lit(i).alias("class"), F.col("y").alias("truth"), F.col("yhat").alias("guess"))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def utility(predicted: DataFrame, kind: str, classes: int) -> float:
     """Macro F1, or minus the mean absolute error (one number)."""
     weighted = predicted.withColumn("_one", F.lit(1.0))
@@ -86,36 +67,50 @@ def utility(predicted: DataFrame, kind: str, classes: int) -> float:
     return float(row["utility"])
 
 
-def select_parameter(train: DataFrame, fold: str, folds: int, kind: str, grid: list[float], classes: int) -> tuple[float, float]:
-    """Best parameter by mean utility over grouped folds; the smaller one on ties."""
-    best, best_score = grid[0], float("-inf")
-    for parameter in grid:
-        scores = []
-        for i in range(folds):
-            fit, held = train.where(F.col(fold) != i), train.where(F.col(fold) == i)
-            scores.append(utility(fit_predict(fit, held, kind, parameter), kind, classes))
-        score = sum(scores) / len(scores)
-        if score > best_score + TIE or (abs(score - best_score) <= TIE and parameter < best):
-            best, best_score = parameter, score
-    return best, best_score
+def left_out(df: DataFrame, group: str, kind: str, parameters: list[float], classes: int, keep: list[str], test: DataFrame | None = None) -> DataFrame:
+    """(keep, y, parameter, yhat): every row (of ``test``, if given) by models that did not see its group.
+
+    df, test: the group, x (array<double>), y and keep. All groups and parameters are fitted together (``jointfits``).
+    """
+    kept = list(dict.fromkeys([*keep, "y"]))
+    rows, names = jointfits.numbered_groups(df, group)
+    asked = None
+    if test is not None:
+        index = rows.select(F.col(group).alias("_name"), "_g").distinct()
+        asked = test.join(index, test[group].eqNullSafe(F.col("_name"))).drop("_name")
+    if kind == "regression":
+        rows = cut(rows.withColumn("y", F.col("y").cast("double")))
+        return jointfits.ridge_left_out(rows, len(names), parameters, kept, asked)
+    rows = jointfits.shaped(rows, F.col("x"), F.array("y"))
+    return jointfits.classified_left_out(rows, len(names), parameters, 1, classes, kept, asked).drop("label")
 
 
-def out_of_fold(df: DataFrame, fold: str, folds: int, kind: str, parameter: float, keep: list[str]) -> DataFrame:
-    """Predictions of every row by a model that did not see its fold."""
-    out = None
-    for i in range(folds):
-        part = fit_predict(df.where(F.col(fold) != i), df.where(F.col(fold) == i), kind, parameter).select(*keep, "y", "yhat")
-        out = part if out is None else out.unionByName(part)
-    return out
+def labels_left_out(df: DataFrame, group: str, key: str, labels: int, parameter: float) -> DataFrame:
+    """One balanced classifier per label of a multi-hot ``y`` array and group: (key, class, truth, guess)."""
+    rows, names = jointfits.numbered_groups(df, group)
+    rows = jointfits.shaped(rows, F.col("x"), F.col("y"))
+    out = jointfits.classified_left_out(rows, len(names), [parameter], labels, 2, [key, "ys"])
+    return out.select(key, F.col("label").alias("class"), F.get("ys", "label").alias("truth"), F.col("yhat").alias("guess"))
 
 
-def held_out_subjects(df: DataFrame, subject: str, subjects: list[str], kind: str, parameter: float, keep: list[str]) -> DataFrame:
-    """Stitched predictions: one refit per held-out subject, the subject's rows predicted by it."""
-    out = None
-    for name in subjects:
-        part = fit_predict(df.where(F.col(subject) != name), df.where(F.col(subject) == name), kind, parameter).select(*keep, "y", "yhat")
-        out = part if out is None else out.unionByName(part)
-    return out
+def select_parameter(df: DataFrame, fold: str, kind: str, grid: list[float], classes: int) -> tuple[float, float]:
+    """Best parameter by mean utility over grouped folds; the smaller one on ties. The whole grid is fitted together."""
+    predicted = left_out(df, fold, kind, grid, classes, [fold])
+    if kind == "regression":
+        scored = predicted.groupBy("parameter", fold).agg((-F.avg(F.abs(F.col("y") - F.col("yhat")))).alias("utility"))
+    else:
+        cells = predicted.groupBy("parameter", fold, "y", "yhat").agg(F.count("*").alias("n"))
+        per_class = cells.withColumn("class", F.explode(F.sequence(F.lit(0), F.lit(classes - 1)))).groupBy("parameter", fold, "class").agg(*[
+            F.sum(F.when(rule, F.col("n")).otherwise(0)).alias(name) for name, rule in (
+                ("tp", (F.col("y") == F.col("class")) & (F.col("yhat") == F.col("class"))),
+                ("off", (F.col("y") == F.col("class")) != (F.col("yhat") == F.col("class"))))])
+        f1 = F.when(2 * F.col("tp") + F.col("off") == 0, 0.0).otherwise(2 * F.col("tp") / (2 * F.col("tp") + F.col("off")))
+        scored = per_class.groupBy("parameter", fold).agg(F.avg(f1).alias("utility"))
+    best, best_score = grid[0], float("-inf")
+    for row in scored.groupBy("parameter").agg(F.avg("utility").alias("score")).orderBy("parameter").collect():
+        if row["score"] > best_score + TIE:
+            best, best_score = row["parameter"], row["score"]
+    return best, best_score
 
 
 def point_gain(correct: float, metadata: float, wrong: float) -> bool:
@@ -123,171 +118,25 @@ def point_gain(correct: float, metadata: float, wrong: float) -> bool:
     return correct > metadata and correct > wrong
 
 
-class _Fits:
-    """Balanced multinomial classifiers of many label columns over the same rows, fitted together: every step is one pass over the data.
-
-    The models are those of ``fit_predict``: features scaled on the training rows, mean weighted loss, ridge on the weights only.
-    """
-
-    def __init__(self, rows: DataFrame, train: "F.Column", test: "F.Column", classes: int, parameter: float):
-        """rows: x (array<double>), ys (array<int>, one label per model), and the conditions for training and test rows."""
-        self.rows, self.classes = rows.select("x", "ys", train.alias("fit"), test.alias("held")), classes
-        first = rows.select(F.size("x").alias("d"), F.size("ys").alias("m")).first()
-        self.width, self.models = first["d"], first["m"]
-        n, total, square, counts = self._sum(self._moments())
-        mean = total / n
-        deviation = np.sqrt(np.maximum(0.0, (square - n * mean * mean) / max(1.0, n[0] - 1)))
-        self.n, self.mean = float(n[0]), mean
-        self.scale = np.where(deviation > 0, 1.0 / np.where(deviation > 0, deviation, 1.0), 0.0)
-        counts = counts.reshape(self.models, classes)
-        present = (counts > 0).sum(axis=1, keepdims=True)
-        self.weights = np.where(counts > 0, self.n / (present * np.maximum(counts, 1.0)), 0.0)
-        self.penalty = (2.0 if classes == 2 else 1.0) / (parameter * self.n)  # two classes share one vector there
-
-    def _sum(self, per_batch) -> list[np.ndarray]:
-        """The sum over all tasks of the arrays that ``per_batch`` gives for (x, ys, fit, held)."""
-        def run(batches):
-            held = None
-            for batch in batches:
-                if batch.num_rows:
-                    x = np.asarray(pc.list_flatten(batch.column(0)), float).reshape(batch.num_rows, -1)
-                    ys = np.asarray(pc.list_flatten(batch.column(1)), int).reshape(batch.num_rows, -1)
-                    part = per_batch(x, ys, *(np.asarray(batch.column(i)).astype(bool) for i in (2, 3)))
-                    held = part if held is None else [a + b for a, b in zip(held, part)]
-            if held is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(held)], pa.binary())], ["part"])
-
-        parts = self.rows.mapInArrow(run, "part binary").rdd.map(lambda r: pickle.loads(r["part"]))
-        return parts.treeReduce(lambda a, b: [p + q for p, q in zip(a, b)])
-
-    def _moments(self):
-        classes = self.classes
-
-        def per_batch(x, ys, fit, _):
-            x, ys = x[fit], ys[fit]
-            counts = np.stack([(ys == c).sum(axis=0) for c in range(classes)], axis=1).astype(float)
-            return [np.array([float(len(x))]), x.sum(axis=0), (x * x).sum(axis=0), counts]
-
-        return per_batch
-
-    def _inputs(self, x):
-        return np.hstack([(x - self.mean) * self.scale, np.ones((len(x), 1))])
-
-    def loss(self, point: np.ndarray, only: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Loss and gradient of the models ``only`` at ``point`` (models x classes x inputs)."""
-        state = self._plain()
-
-        def per_batch(x, ys, fit, _):
-            x, ys = state._inputs(x[fit]), ys[fit][:, only]
-            values = np.zeros(len(only))
-            gradient = np.zeros(point.shape)
-            for i in range(len(only)):
-                z = x @ point[i].T
-                z -= z.max(axis=1, keepdims=True)
-                log = z - np.log(np.exp(z).sum(axis=1, keepdims=True))
-                w = state.weights[only[i]][ys[:, i]]
-                values[i] = -(w * log[np.arange(len(x)), ys[:, i]]).sum()
-                wrong = np.exp(log)
-                wrong[np.arange(len(x)), ys[:, i]] -= 1.0
-                gradient[i] = (wrong * w[:, None]).T @ x
-            return [values, gradient]
-
-        values, gradient = self._sum(per_batch)
-        slopes = point.copy()
-        slopes[:, :, -1] = 0.0
-        return values / self.n + self.penalty / 2 * (slopes ** 2).sum(axis=(1, 2)), gradient / self.n + self.penalty * slopes
-
-    def _plain(self) -> "_Fits":
-        """What tasks need of this: no DataFrame."""
-        out = object.__new__(_Fits)
-        out.mean, out.scale, out.weights = self.mean, self.scale, self.weights
-        return out
-
-    def fit(self, iterations: int = ITERATIONS, memory: int = 10) -> np.ndarray:
-        """The weights of all models, by quasi-Newton steps that are halved until the loss falls."""
-        at = np.zeros((self.models, self.classes, self.width + 1))
-        every = np.arange(self.models)
-        value, slope = self.loss(at, every)
-        past: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in every]
-        going, step = every, np.ones(self.models)
-        ways = -slope
-        for _ in range(iterations):
-            tried = at[going] + step[going, None, None] * ways[going]
-            values, slopes = self.loss(tried, going)
-            fell = values <= value[going] + 1e-4 * step[going] * (slope[going] * ways[going]).sum(axis=(1, 2))
-            left = []
-            for i, ok, v, x, g in zip(going, fell, values, tried, slopes):
-                if not ok and step[i] > 1e-10:
-                    step[i] /= 2
-                    left.append(i)
-                    continue
-                if not ok:
-                    continue  # no lower loss to be had
-                moved, turned = x - at[i], g - slope[i]
-                if (moved * turned).sum() > 1e-14:
-                    past[i] = [*past[i][1 - memory:], (moved, turned)]
-                gain, at[i], value[i], slope[i], step[i] = value[i] - v, x, v, g, 1.0
-                if gain > TOLERANCE / 100 * max(abs(v), 1e-12) and np.abs(g).max() > 1e-9:
-                    ways[i] = self._way(g, past[i])
-                    left.append(i)
-            going = np.array(left, int)
-            if not len(going):
-                return at
-        raise ValueError(f"{len(going)} classifiers have not converged in {iterations} steps")
-
-    @staticmethod
-    def _way(slope: np.ndarray, past: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        q, shares = slope.copy(), []
-        for moved, turned in reversed(past):
-            shares.append((moved * q).sum() / (moved * turned).sum())
-            q -= shares[-1] * turned
-        if past:
-            q *= (past[-1][0] * past[-1][1]).sum() / (past[-1][1] ** 2).sum()
-        for (moved, turned), share in zip(past, reversed(shares)):
-            q += moved * (share - (turned * q).sum() / (moved * turned).sum())
-        return -q
-
-    def hits(self, point: np.ndarray) -> np.ndarray:
-        """Test rows by model and class: all, and rightly predicted."""
-        state, classes = self._plain(), self.classes
-
-        def per_batch(x, ys, _, held):
-            x, ys = state._inputs(x[held]), ys[held]
-            right = np.stack([(x @ p.T).argmax(axis=1) for p in point], axis=1) == ys
-            return [np.stack([np.stack([(ys == c).sum(axis=0), ((ys == c) & right).sum(axis=0)]) for c in range(classes)])]
-
-        return self._sum(per_batch)[0]
-
-
-def permuted_accuracies(df: DataFrame, fold: str, folds: int, classes: int, shuffled: DataFrame, key: str, parameter: float = 1.0) -> DataFrame:
-    """(balanced_accuracy) of every replicate of ``shuffled`` (replicate, key, y), out of fold."""
+def permuted_accuracies(df: DataFrame, fold: str, classes: int, shuffled: DataFrame, key: str, parameter: float = 1.0) -> DataFrame:
+    """(balanced_accuracy) of every replicate of ``shuffled`` (replicate, key, y), out of fold; all folds and replicates together."""
     labels = shuffled.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("replicate", "y"))), lambda s: s["y"].cast("int")).alias("ys"))
-    rows = cut(df.select(key, fold, vector_to_array("features").alias("x")).join(labels, key))
-    total = 0
-    for i in range(folds):
-        fits = _Fits(rows, F.col(fold) != i, F.col(fold) == i, classes, parameter)
-        total = total + fits.hits(fits.fit())
+    rows, names = jointfits.numbered_groups(df.select(key, fold, "x").join(labels, key), fold)
+    rows = jointfits.shaped(rows, F.col("x"), F.col("ys"))
+    models = rows.select(F.size("ys")).first()[0]
+    total = jointfits.permuted_hits(rows, len(names), models, classes, parameter)
     share = np.where(total[:, 0] > 0, total[:, 1] / np.maximum(total[:, 0], 1), np.nan)  # classes x models
     return df.sparkSession.createDataFrame([(float(v),) for v in np.nanmean(share, axis=0)], "balanced_accuracy double")
 
 
-def decodability(df: DataFrame, fold: str, folds: int, classes: int, permuted: list[DataFrame] | DataFrame, key: str, parameter: float = 1.0) -> DataFrame:
+def decodability(df: DataFrame, fold: str, classes: int, shuffled: DataFrame, key: str, parameter: float = 1.0) -> DataFrame:
     """One row: out-of-fold balanced accuracy, its label-permutation null and one-sided p.
 
-    permuted: frames (key, y) with shuffled labels, or one frame (replicate, key, y), whose replicates are fitted together.
+    df: key, fold, x, y. shuffled: (replicate, key, y), whose replicates are fitted together.
     """
     from trialloom.operators.inference import permutation_p
 
-    def score(frame: DataFrame) -> DataFrame:
-        predicted = cut(out_of_fold(frame, fold, folds, "multiclass", parameter, [key]))
-        return metrics.multiclass_metrics(predicted, classes).select("balanced_accuracy")
-
-    observed = score(df)
-    if isinstance(permuted, DataFrame):
-        null = permuted_accuracies(df, fold, folds, classes, permuted, key, parameter)
-    else:
-        null = None
-        for labels in permuted:
-            part = score(df.drop("y").join(labels, key))
-            null = part if null is None else null.unionByName(part)
+    predicted = cut(left_out(df, fold, "multiclass", [parameter], classes, [key]))
+    observed = metrics.multiclass_metrics(predicted, classes).select("balanced_accuracy")
+    null = permuted_accuracies(df, fold, classes, shuffled, key, parameter)
     return permutation_p(null, observed, "balanced_accuracy").withColumn("chance", F.lit(1.0 / classes))

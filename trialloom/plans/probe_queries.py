@@ -8,7 +8,7 @@ from trialloom.plans.tables import SEED
 from trialloom.plans.xfit_views import vec_donors
 from trialloom.session import cut
 
-CLASSES, FOLDS, GRID = 3, 3, [0.1, 1.0]
+CLASSES, FOLDS, GRID, RIDGE_GRID = 3, 3, [0.1, 1.0], [0.1, 1.0, 10.0]
 PERMUTATIONS = 200
 
 
@@ -18,19 +18,24 @@ def probe_rows(t):
     return t.shared("probe_rows", lambda: rows.join(folds, "text_key"))
 
 
+def with_x(rows):
+    return rows.withColumn("x", F.col("vector").cast("array<double>"))
+
+
 @query("I17_probe_classifier")
 def i17(t):
     """Parameter by grouped folds, then out-of-fold predictions with it."""
-    rows = probes.with_features(probe_rows(t), "vector")
-    parameter, score = probes.select_parameter(rows, "fold", FOLDS, "multiclass", GRID, CLASSES)
-    out = probes.out_of_fold(rows, "fold", FOLDS, "multiclass", parameter, ["trial_id"])
-    return out.withColumns({"parameter": F.lit(parameter), "cv_utility": F.lit(round(score, 6))})
+    rows = with_x(probe_rows(t))
+    parameter, score = probes.select_parameter(rows, "fold", "multiclass", GRID, CLASSES)
+    out = probes.left_out(rows, "fold", "multiclass", [parameter], CLASSES, ["trial_id"])
+    return out.withColumn("cv_utility", F.lit(round(score, 6)))
 
 
 @query("I17_probe_ridge")
 def i17b(t):
-    rows = probes.with_features(probe_rows(t).withColumn("y", F.col("length").cast("double")), "vector")
-    return probes.out_of_fold(rows, "fold", FOLDS, "regression", 1.0, ["trial_id"]).withColumn("yhat", F.round("yhat", 4))
+    """The length from the vector, out of fold, for the whole grid of penalties: cross products are added up once."""
+    rows = with_x(probe_rows(t).withColumn("y", F.col("length").cast("double")))
+    return probes.left_out(rows, "fold", "regression", RIDGE_GRID, CLASSES, ["trial_id"]).withColumn("yhat", F.round("yhat", 4))
 
 
 @query("I17_probe_multilabel")
@@ -39,19 +44,13 @@ def i17c(t):
     first, second = (F.col("length") % 4 != 0), F.col("length") % CLASSES
     hot = F.array(*[((first & (F.col("y") == i)) | ((F.col("length") % 2 == 0) & (second == i) & (F.col("length") % 8 != 0))).cast("int")
                     for i in range(CLASSES)])
-    rows = cut(probes.with_features(probe_rows(t).withColumn("y", hot), "vector").select("trial_id", "fold", "features", "y"))
-    parts = [probes.fit_predict_labels(rows.where(F.col("fold") != i), rows.where(F.col("fold") == i), "trial_id", CLASSES, 1.0) for i in range(FOLDS)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    rows = with_x(probe_rows(t)).withColumn("y", hot).select("trial_id", "fold", "x", "y")
+    return probes.labels_left_out(rows, "fold", "trial_id", CLASSES, 1.0)
 
 
 def metadata_predictions(rows):
     """Every fold predicted from the metadata of the others."""
-    out = None
-    for i in range(FOLDS):
-        train, test = probes.metadata_features(rows.where(F.col("fold") != i), rows.where(F.col("fold") == i), ["reading_task", "subject_id"], ["length"])
-        part = probes.fit_predict(train, test, "multiclass", 1.0).select("trial_id", "y", "yhat")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return probes.left_out(probes.metadata_vectors(rows, ["reading_task", "subject_id"], ["length"]), "fold", "multiclass", [1.0], CLASSES, ["trial_id"])
 
 
 @query("I18_metadata_baseline")
@@ -61,27 +60,22 @@ def i18(t):
 
 @query("I19_held_out_subjects")
 def i19(t):
-    """Screen on point gains, then one refit per held-out subject, for the right and the wrong signal."""
+    """Screen on point gains, then every subject by a model without it, for the right and the wrong signal."""
     base = probe_rows(t)
     donors = vec_donors(t).select(F.col("target_id").alias("trial_id"), F.col("donor_id"))
     signal = base.select(F.col("trial_id").alias("donor_id"), F.col("vector").alias("wrong_vector"))
     wrong = base.drop("vector").join(donors, "trial_id").join(signal, "donor_id").withColumnRenamed("wrong_vector", "vector")
-    rows = probes.with_features(base, "vector")
-    test_wrong = probes.with_features(cut(wrong), "vector")
-    right = probes.out_of_fold(rows, "fold", FOLDS, "multiclass", 1.0, ["trial_id"])
-    swapped = None
-    for i in range(FOLDS):
-        part = probes.fit_predict(rows.where(F.col("fold") != i), test_wrong.where(F.col("fold") == i), "multiclass", 1.0).select("trial_id", "y", "yhat")
-        swapped = part if swapped is None else swapped.unionByName(part)
+    rows, test_wrong = with_x(base), with_x(cut(wrong))
+    right = probes.left_out(rows, "fold", "multiclass", [1.0], CLASSES, ["trial_id"])
+    swapped = probes.left_out(rows, "fold", "multiclass", [1.0], CLASSES, ["trial_id"], test_wrong)
     scores = [probes.utility(cut(x), "multiclass", CLASSES) for x in (right, metadata_predictions(base), swapped)]
-    passed = probes.point_gain(scores[0], scores[1], scores[2])
-    subjects = [r["subject_id"] for r in rows.select("subject_id").distinct().orderBy("subject_id").collect()]
-    out = probes.held_out_subjects(rows, "subject_id", subjects, "multiclass", 1.0, ["trial_id", "subject_id"])
-    return out.withColumn("screen_passed", F.lit(passed))
+    passed = probes.point_gain(*scores)
+    out = probes.left_out(rows, "subject_id", "multiclass", [1.0], CLASSES, ["trial_id", "subject_id"])
+    return out.drop("parameter").withColumn("screen_passed", F.lit(passed))
 
 
 @query("I20_decodability")
 def i20(t):
-    rows = probes.with_features(probe_rows(t), "vector").select("trial_id", "fold", "features", "y")
+    rows = with_x(probe_rows(t)).select("trial_id", "fold", "x", "y")
     shuffled = cut(splits.permuted_labels(rows.select("trial_id", "y"), "trial_id", "y", PERMUTATIONS, SEED))
-    return probes.decodability(rows, "fold", FOLDS, CLASSES, shuffled, "trial_id")
+    return probes.decodability(rows, "fold", CLASSES, shuffled, "trial_id")
