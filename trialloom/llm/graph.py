@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from trialloom.session import cut
 
 HEAVY_KEYS = 1024
+BROADCAST_IDS = 1 << 20
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -46,3 +47,23 @@ def join_counted(rows: DataFrame, keyed: DataFrame, key: str, count: str) -> Dat
     rest = marked.where(F.col("_heavy").isNull() & F.col(key).isNotNull()).select(*rows.columns)
     light = keyed.where(F.col(count) <= least).select(key, *added).hint("merge")
     return done.unionByName(apart).unionByName(rest.join(light, key, "left").select(*rows.columns, *added))
+
+
+def with_ids(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """``rows`` whose doc_id is (left_semi) or is not (left_anti) among ``ids``, a table of one column; null equals null.
+
+    The ids are counted: up to ``BROADCAST_IDS`` they are broadcast and the rows stay where they are, beyond that both sides
+    are merged by a shuffle.
+    """
+    name = free_name("_id", rows.columns)
+    ids = cut(ids.toDF(name))
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge")
+    return rows.join(ids, rows["doc_id"].eqNullSafe(F.col(name)), how)
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, made longer until no column of ``taken`` has it (Spark's names do not tell cases apart)."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name

@@ -7,11 +7,12 @@ similar. Bands of registers give candidates; from the registers that are larger,
 sizes the similarity is estimated by likelihood; what may reach the threshold is confirmed on the full sets.
 
 1. Equal sets become one class, by a digest of the set: copies are never compared, however many they are.
-2. Every class of a band's bucket is compared with the bucket's first class; confirmed links give components.
+2. Every class of a band's bucket is compared with the bucket's first class: registers first, and only the sets of pairs
+   that pass are read from the texts. Confirmed links give components.
 3. Only buckets that still hold several components are compared further, and only across components. Such a bucket is
-   dealt into blocks of bounded size and pairs of blocks go to separate tasks, which compare registers in place, confirm
-   on the full sets and give out a link only where it joins two components. No group's pairs are ever listed, and no
-   member is left out.
+   dealt into blocks of bounded size and pairs of blocks go to separate tasks, twice: first with registers alone, which
+   tells the members that have a likely partner (most meet by chance and have none), then those members with their full
+   sets, where a link is given out only if it joins two components. No group's pairs are ever listed, and no member is left out.
 4. Components of all confirmed links; a document's component is the smallest doc_id in it.
 
 Bands are set so that a pair at the threshold shares no bucket with a chance under ``MISS``; the likelihood test
@@ -33,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from trialloom.llm.graph import components, join_counted, with_ids
 from trialloom.llm.words import VISIBLE, find_words, grams, mix, slices
 from trialloom.session import cut
 
@@ -40,6 +42,7 @@ BASE = 1.1
 RATE = 20.0
 MISS = 1e-6
 SLACK = 14.0
+SKETCH_BLOCK = 1024
 BLOCK = 128
 BLOCK_BYTES = 16 << 20
 _ROWS = 2048
@@ -171,10 +174,10 @@ def _likely(pairs: DataFrame, classes: DataFrame, m: int, num: int, den: int) ->
     return joined.mapInArrow(run, "a long, b long")
 
 
-def _shingle_table(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(node, items): the full sets of ``wanted`` (node, digest, first_id), read from the texts once more."""
-    ids = wanted.select(F.col("first_id").alias("_id")).distinct()
-    texts = docs.select("doc_id", "text").join(ids.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+def _shingle_table(docs: DataFrame, classes: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """(node, items): the full sets of the classes in ``nodes``, read from the texts once more."""
+    wanted = cut(classes.join(nodes.select("node").distinct(), "node").select("node", "digest", "first_id"))
+    texts = with_ids(docs.select("doc_id", "text"), wanted.select("first_id").distinct(), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
@@ -202,96 +205,102 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
     return joined.select("a", "b", "items_a", "items_b").mapInArrow(run, "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, root) of all nodes in ``links`` (a, b): root is the smallest node reachable.
+def _dealt(rows: DataFrame, *extra: str) -> DataFrame:
+    """``rows`` (band, number, node, leader, root, blocks, sketch) once for each pair of blocks of its bucket, in groups (band, p, q)."""
+    blocks = F.col("blocks")
+    dealt = (rows.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+             .withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
+             .select("band", F.least("own", "with").alias("p"), F.greatest("own", "with").alias("q"), "own", "number", "node", "leader",
+                     "root", "sketch", *extra))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(parts, "band", "p", "q").sortWithinPartitions("band", "p", "q")
 
-    Large-star and small-star steps in turn until nothing changes; every step is a minimum per node and an equi-join.
-    """
-    edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = cut(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
-        lower = large.groupBy("a").agg(F.min("b").alias("m"))
-        moved = large.join(lower, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = cut(moved.unionByName(lower.select("a", F.col("m").alias("b"))).distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
-        edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
-
-
-def _across(buckets: DataFrame, classes: DataFrame, sets: DataFrame, roots: DataFrame, bands: int, width: int, num: int,
-            den: int) -> DataFrame:
+
+def _partners(group: pa.Table, bands: int, width: int, num: int, den: int, size: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, places behind i) of the likely links between components of a group, each in the first band where its pair meets."""
+    node, root, own, leader = (group.column(c).to_numpy() for c in ("node", "root", "own", "leader"))
+    number, crossing = group.column("number")[0].as_py(), group.column("p")[0].as_py() != group.column("q")[0].as_py()
+    m = bands * width
+    sketch = _sketch_rows(group.column("sketch").combine_chunks(), m)
+    for i in range(len(node) - 1):
+        good = (root[i + 1:] != root[i]) & (node[i + 1:] != leader[i]) & (node[i] != leader[i])
+        if crossing:
+            good &= own[i + 1:] != own[i]
+        rest = i + 1 + np.flatnonzero(good)
+        if len(rest):
+            shared = (sketch[rest] == sketch[i]).reshape(len(rest), bands, width).all(axis=2)
+            rest = rest[shared.argmax(axis=1) == number]
+        if len(rest):
+            more, less = (sketch[i] > sketch[rest]).sum(axis=1), (sketch[i] < sketch[rest]).sum(axis=1)
+            ok = may_be_linked(more, less, m - more - less, np.full(len(rest), size[i]), size[rest], num, den)
+            if ok.any():
+                yield i, rest[ok]
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The groups (band, p, q) of sorted batches, whole."""
+    held: pa.Table | None = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        held = table if held is None else pa.concat_tables([held, table])
+        keys = np.stack([held.column(c).to_numpy() for c in ("band", "p", "q")])
+        at = 0
+        for upto in (np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist():  # the last group may go on
+            yield held.slice(at, upto - at)
+            at = upto
+        held = held.slice(at)
+    if held is not None and held.num_rows:
+        yield held
+
+
+def _across(docs: DataFrame, k: int, buckets: DataFrame, classes: DataFrame, roots: DataFrame, bands: int, width: int,
+            num: int, den: int) -> DataFrame:
     """Confirmed links (a, b) between components that share a bucket: enough of them to join what belongs together.
 
-    A pair is looked at in the first band in which it meets, passed over while a chain of links already joins it,
-    and confirmed on the full sets where the blocks meet; so a task gives out fewer links than it has members.
+    Registers alone tell who has a likely partner; only those members' sets are read and meet again. A pair is passed over
+    while a chain of links already joins it, so a task gives out fewer links than it has members.
     """
     members = buckets.select("band", "number", "node", "leader").unionByName(
         buckets.select("band", "number", F.col("leader").alias("node"), "leader").distinct())
-    rooted = cut(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-                 .join(classes.select("node", "n_shingles"), "node"))
-    mixed = rooted.groupBy("band").agg(
-        F.min("root").alias("lo"), F.max("root").alias("hi"),
-        F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("n_shingles") * 8 / F.lit(BLOCK_BYTES))).cast("int").alias("blocks")).where("lo < hi")
-    blocks = F.col("blocks")
-    dealt = (rooted.join(mixed.select("band", "blocks"), "band")
-             .join(classes.select("node", "sketch"), "node").join(sets, "node")
-             .withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-             .withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
-             .select("band", F.least("own", "with").alias("p"), F.greatest("own", "with").alias("q"), "own", "number", "node", "leader",
-                     "root", "sketch", "items"))
-    parts = int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    grouped = dealt.repartition(parts, "band", "p", "q").sortWithinPartitions("band", "p", "q")
-    m = bands * width
-
-    def compare(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        node, root, own, leader = (group.column(c).to_numpy() for c in ("node", "root", "own", "leader"))
-        number, crossing = group.column("number")[0].as_py(), group.column("p")[0].as_py() != group.column("q")[0].as_py()
-        sketch = _sketch_rows(group.column("sketch").combine_chunks(), m)
-        items = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("items")]
-        size = np.array([len(x) for x in items])
-        joined = _Joined(root)
-        found = []
-        for i in range(len(node) - 1):
-            rest = np.arange(i + 1, len(node))
-            good = (root[rest] != root[i]) & (node[rest] != leader[i]) & (node[i] != leader[i])
-            if crossing:
-                good &= own[rest] != own[i]
-            rest = rest[good]
-            if len(rest):
-                shared = (sketch[rest] == sketch[i]).reshape(len(rest), bands, width).all(axis=2)
-                rest = rest[shared.argmax(axis=1) == number]
-            if len(rest):
-                more, less = (sketch[i] > sketch[rest]).sum(axis=1), (sketch[i] < sketch[rest]).sum(axis=1)
-                ok = may_be_linked(more, less, m - more - less, np.full(len(rest), size[i]), size[rest], num, den)
-                for at in rest[ok].tolist():
+    rooted = cut(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+
+    def still_mixed(rows: DataFrame, blocks) -> DataFrame:
+        mixed = rows.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), blocks.cast("int").alias("blocks"))
+        return rows.join(mixed.where("lo < hi").select("band", "blocks"), "band")
+
+    sketches = classes.select("node", "n_shingles", "sketch")
+    candidates = still_mixed(rooted, F.ceil(F.count("*") / F.lit(SKETCH_BLOCK))).join(sketches, "node")
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _grouped(batches):
+            flagged = np.zeros(group.num_rows, bool)
+            for i, rest in _partners(group, bands, width, num, den, group.column("n_shingles").to_numpy()):
+                flagged[i] = flagged[rest] = True
+            if flagged.any():
+                kept = group.filter(pa.array(flagged)).combine_chunks()
+                yield pa.RecordBatch.from_arrays([kept.column(c).chunk(0) for c in ("band", "node")], ["band", "node"])
+
+    flagged = cut(_dealt(candidates, "n_shingles").mapInArrow(likely, "band long, node long").distinct())
+    sets = cut(_shingle_table(docs, classes, flagged, k))
+    members = rooted.join(flagged, ["band", "node"]).join(sketches, "node")
+    blocks = F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("n_shingles") * 8 / F.lit(BLOCK_BYTES)))
+    checked = still_mixed(members, blocks).join(sets, "node")
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _grouped(batches):
+            node, root = group.column("node").to_numpy(), group.column("root").to_numpy()
+            items = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("items")]
+            joined, found = _Joined(root), []
+            for i, rest in _partners(group, bands, width, num, den, np.array([len(x) for x in items])):
+                for at in rest.tolist():
                     if joined.top(root[i]) != joined.top(root[at]) and similar(items[i], items[at], num, den):
                         joined.join(root[i], root[at])
                         found.append((node[i], node[at]))
-        pairs = np.array(found, np.int64).reshape(len(found), 2)
-        return pairs[:, 0], pairs[:, 1]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table])
-            keys = np.stack([held.column(c).to_numpy() for c in ("band", "p", "q")])
-            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
-            at = 0
-            for upto in cuts.tolist():  # the last group may go on in the next batch
-                yield _pairs(*compare(held.slice(at, upto - at)))
-                at = upto
-            held = held.slice(at)
-        if held is not None and held.num_rows:
-            yield _pairs(*compare(held))
+            if found:
+                pairs = np.array(found, np.int64)
+                yield _pairs(pairs[:, 0], pairs[:, 1])
 
-    return grouped.mapInArrow(run, "a long, b long").distinct()
+    return _dealt(checked, "items").mapInArrow(confirm, "a long, b long").distinct()
 
 
 class _Joined:
@@ -329,25 +338,26 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     docs = docs.select("doc_id", "text")
     rows = cut(signatures(docs, k, m))
     classes = cut(rows.where("digest IS NOT NULL").groupBy("digest").agg(
-        F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n_shingles"), F.max("sketch").alias("sketch"))
-        .withColumn("node", F.monotonically_increasing_id()))
+        F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n_shingles"), F.max("sketch").alias("sketch"),
+        F.count("*").alias("copies")).withColumn("node", F.monotonically_increasing_id()))
     keys = band_keys(classes, bands, width)
     leaders = keys.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("size")).where("size > 1")
     buckets = cut(keys.join(leaders.select("band", "leader"), "band").where("node <> leader"))
 
     stars = buckets.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     first = cut(_likely(stars, classes, m, num, den))
-    nodes = buckets.select("node").unionByName(buckets.select(F.col("leader").alias("node"))).distinct()
-    sets = cut(_shingle_table(docs, classes.join(nodes, "node").select("node", "digest", "first_id"), k))
-    links = cut(_confirmed(first, sets, num, den))
+    near = first.select(F.col("a").alias("node")).unionByName(first.select(F.col("b").alias("node")))
+    links = cut(_confirmed(first, cut(_shingle_table(docs, classes, near, k)), num, den))
     roots = components(links)
-    more = cut(_across(buckets, classes, sets, roots, bands, width, num, den))
+    more = cut(_across(docs, k, buckets, classes, roots, bands, width, num, den))
     roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
-    rooted = classes.select("node", "digest", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    firsts = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_class = rooted.join(firsts, "root").select("digest", "component_id")
-    return rows.join(by_class, "digest", "left").select(
+    rooted = cut(classes.select("node", "digest", "first_id", "copies").join(roots, "node", "left")
+                 .withColumn("root", F.coalesce("root", "node")))
+    firsts = cut(rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("classes")))
+    by_class = cut(join_counted(rooted.select("digest", "copies", "root"), firsts, "root", "classes").select(
+        "digest", "copies", "component_id"))
+    return join_counted(rows, by_class, "digest", "copies").select(
         "doc_id", "n_shingles",
         F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -358,5 +368,5 @@ def keep_one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
 
     Rows that repeat a kept doc_id stay together; rows without doc_id stay if one of them has no group with an id.
     """
-    kept = cut(near_duplicates(docs, k, num, den).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct())
-    return docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
+    found = cut(near_duplicates(docs, k, num, den).groupBy("doc_id").agg(F.max("kept").alias("kept")))
+    return with_ids(docs, found.where("NOT kept").select("doc_id"), "left_anti")
