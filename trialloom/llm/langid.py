@@ -7,7 +7,7 @@ are known, and to shorter ones where none is. The language with the largest sum
 * Words are runs of letters of the lower-cased text; bytes outside ASCII count as letters. ``und`` with score 0 goes to
   texts that are null, empty or without a letter.
 * Training counts words on Spark. ``MAX_TRAIN`` bounds the labelled rows a model is fitted on, ``MAX_WORDS`` and
-  ``MAX_GRAMS`` the size of the model that is sent to the executors; every text is scored whole.
+  ``MAX_GRAMS`` the size of the model that is sent to the executors, in equal quotas for each language; every text is scored whole.
 * The score is the winner's share of exp(mean log frequency x ``SHARPNESS``) over all languages: between 0 and 1.
 * Nulls: a row with null text or language trains nothing. Repeated rows count each. Empty training tables give a model
   without languages, with which every text is ``und``. Other columns are never read, whatever their names.
@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from trialloom.llm.training import held_out, sample_order
 from trialloom.llm.words import LETTERS, find_words, mix, slices
@@ -112,30 +112,44 @@ def build_model(rows: list[tuple[str, bytes, int]], max_grams: int = MAX_GRAMS)
         total = np.stack(by_language, axis=1) if languages else np.zeros((0, 0))
         keys.append(unique)
         sums.append(total)
-    every = np.concatenate([s.sum(axis=1) for s in sums])
-    least = np.sort(every)[-max_grams] if len(every) > max_grams else 0
-    kept = [s.sum(axis=1) >= least for s in sums]  # all that tie with the last one
+    every = np.concatenate(sums) if languages else np.zeros((0, 1))
+    quota = max(1, max_grams // max(1, len(languages)))
+    least = np.array([max(1.0, np.sort(c)[-quota]) if len(c) > quota else 1.0 for c in every.T])
+    kept = [(s >= least).any(axis=1) for s in sums]  # a language's own quota, and all that tie with its last one
     return Model(languages, hashes[order], _logs(table, 0.1)[order],
                  {n: k[m] for n, (k, m) in enumerate(zip(keys, kept), 1)},
                  {n: _logs(s[m], 0.5) for n, (s, m) in enumerate(zip(sums, kept), 1)})
 
 
-def train(labelled: DataFrame, max_train: int = MAX_TRAIN, max_words: int = MAX_WORDS) -> Model:
-    """Fits on at most ``max_train`` rows of (doc_id, text, lang), taken in hash order, and the most frequent words."""
+def sampled(usable: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` rows of (doc_id, text, lang) in hash order: by the id, then by text and language. Rows that still tie are the
+    same row, of which as many are taken as there is room for; null and repeated ids are like any other."""
+    if usable.count() <= most:
+        return usable
+    keyed = usable.withColumn("_key", F.struct(sample_order(F.col("doc_id")).alias("id"), F.xxhash64("text", "lang").alias("row")))
+    # only hashes are ordered; texts stay where they are
+    last = keyed.select("_key").orderBy("_key").limit(most).agg(F.max("_key").alias("k"), F.count("*")).select("k.*").first()
+    edge = F.struct(F.lit(last["id"]).alias("id"), F.lit(last["row"]).alias("row"))
+    below = keyed.where(F.col("_key") < edge)
+    room = most - below.count()
+    return below.drop("_key").unionByName(keyed.where(F.col("_key") == edge).drop("_key").limit(room))
+
+
+def train(labelled: DataFrame, max_train: int = MAX_TRAIN, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
+    """Fits on at most ``max_train`` rows of (doc_id, text, lang), taken in hash order. Every language has the same quota of its
+    own most frequent words and n-grams, so a small language never loses them to large ones."""
     usable = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang")
-    total = usable.count()
-    if total > max_train:
-        # only hashes are ordered; texts stay where they are. Rows that tie with the last one are left out
-        last = usable.select(sample_order(F.col("doc_id")).alias("h")).orderBy("h").limit(max_train).agg(F.max("h")).first()[0]
-        usable = usable.where(sample_order(F.col("doc_id")) < last)
-    counts = cut(count_words(usable))
-    most = (counts.groupBy("word").agg(F.sum("n").alias("total"))
-            .orderBy(F.desc("total"), "word").limit(max_words).select("word"))
-    found = counts.join(most, "word").toArrow()  # max_words rows a language at most
-    rows = list(zip(*(found.column(c).to_pylist() for c in ("lang", "word", "n"))))
-    if len({r[0] for r in rows}) > MAX_LANGUAGES:
+    counts = cut(count_words(sampled(usable, max_train)))
+    languages = counts.select("lang").distinct().limit(MAX_LANGUAGES + 1).count()
+    if languages > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    return build_model(rows)
+    quota = max(1, max_words // max(1, languages))
+    # tasks keep their first ``quota`` of a language before anything is shuffled
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
+    most = counts.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= quota).select("word").distinct()
+    found = counts.join(most, "word").toArrow()  # max_words words, each in some of the languages
+    rows = list(zip(*(found.column(c).to_pylist() for c in ("lang", "word", "n"))))
+    return build_model(rows, max_grams)
 
 
 class Scorer:
