@@ -200,7 +200,10 @@ def fit(rows: np.ndarray, labels: np.ndarray) -> Model:
 
 
 def training_features(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
-    """(values, quality) of at most ``max_train`` labelled rows whose crc32(doc_id) mod 3 is not 1, in hash order."""
+    """(values, quality) of at most ``max_train`` labelled rows whose crc32(doc_id) mod 3 is not 1, in hash order.
+
+    ``max_train`` labels are chosen, then ``max_train`` of the rows that carry their ids, however often an id is repeated.
+    """
     marked = labels.where("quality IS NOT NULL").select(F.col("doc_id").alias("_id"), "quality").where(
         ~held_out(F.col("_id"), 3, 1))
     chosen = marked.orderBy(sample_order(F.col("_id")), "_id", "quality").limit(max_train)
@@ -210,10 +213,12 @@ def training_features(docs: DataFrame, labels: DataFrame, max_train: int = MAX_T
         for part in slices(batches, "text"):
             values = features(part.column("text"))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(values), pa.list_(pa.float64())), part.column("quality")], ["values", "quality"])
+                [part.column("place"), pa.array(list(values), pa.list_(pa.float64())), part.column("quality")], ["place", "values", "quality"])
 
     kind = labels.schema["quality"].dataType.simpleString()
-    return sample.select("text", "quality").mapInArrow(run, f"values array<double>, quality {kind}")
+    made = sample.select(sample_order(F.col("_id")).alias("place"), "text", "quality").mapInArrow(
+        run, f"place long, values array<double>, quality {kind}")
+    return made.orderBy("place", "quality", "values").limit(max_train).select("values", "quality")
 
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
