@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from trialloom.llm.graph import free_name
 from trialloom.session import cut
 
 SIZE = 3
@@ -57,44 +58,53 @@ def later_windows(docs: DataFrame, size: int = SIZE) -> DataFrame:
     return later.groupBy("doc_id", "body").agg(F.collect_set("place").alias("places"))
 
 
+def added_names(docs: DataFrame) -> tuple[str, str, str]:
+    """The columns that ``dedup_lines`` adds to ``docs``: ``_lines``, ``_removed`` and ``_spans``, or longer names where these are taken."""
+    taken = list(docs.columns)
+    out = []
+    for name in ("_lines", "_removed", "_spans"):
+        out.append(free_name(name, taken + out))
+    return tuple(out)
+
+
 def dedup_lines(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """``docs`` (doc_id, text and any others) with texts without their repeated lines.
 
-    Three columns follow those of ``docs``, named so that they cannot clash: ``_lines`` (lines before), ``_removed``
-    (lines removed) and ``_spans`` (the merged runs of removed lines, as first line and number of lines).
+    Three columns follow those of ``docs``, with the names of ``added_names``: lines before, lines removed, and the merged runs of
+    removed lines, as first line and number of lines.
     """
-    hidden = [c for c in ("_lines", "_removed", "_spans", "_every", "_starts", "_places", "_later_id", "_later_body") if c in docs.columns]
-    if hidden:
-        raise ValueError(f"docs has reserved columns: {hidden}")
-    later = cut(later_windows(docs.select("doc_id", "text"), size)).withColumnsRenamed(
-        {"doc_id": "_later_id", "body": "_later_body", "places": "_places"})
+    lines, gone, runs = added_names(docs)
+    taken = [*docs.columns, lines, gone, runs]
+    every_, starts_, places_, id_, body_ = (free_name(n, taken) for n in ("_every", "_starts", "_places", "_later_id", "_later_body"))
+    later = cut(later_windows(docs.select("doc_id", "text"), size)).withColumnsRenamed({"doc_id": id_, "body": body_, "places": places_})
     # the table of repeats grows with the input, so it is never broadcast: cost stays in proportion
-    joined = docs.join(later.hint("merge"), docs["doc_id"].eqNullSafe(F.col("_later_id"))
-                       & (F.xxhash64(docs["text"]) == F.col("_later_body")), "left")
+    joined = docs.join(later.hint("merge"), docs["doc_id"].eqNullSafe(F.col(id_)) & (F.xxhash64(docs["text"]) == F.col(body_)), "left")
     every = F.when(docs["text"].isNull(), F.array().cast("array<string>")).otherwise(_lines(docs["text"]))
-    starts = F.array_sort(F.coalesce("_places", F.array().cast("array<int>")))
-    marked = joined.select(docs["*"], every.alias("_every"), starts.alias("_starts"))
+    starts = F.array_sort(F.coalesce(places_, F.array().cast("array<int>")))
+    marked = joined.select(docs["*"], every.alias(every_), starts.alias(starts_))
     # a run begins where no window reaches up to it, and ends where the next one begins beyond it
-    begins = F.filter("_starts", lambda p, i: (i == 0) | (p - F.get("_starts", i - 1) > size))
+    begins = F.filter(starts_, lambda p, i: (i == 0) | (p - F.get(starts_, i - 1) > size))
     ends = F.transform(
-        F.filter("_starts", lambda p, i: (i == F.size("_starts") - 1) | (F.get("_starts", i + 1) - p > size)),
+        F.filter(starts_, lambda p, i: (i == F.size(starts_) - 1) | (F.get(starts_, i + 1) - p > size)),
         lambda p: p + (size - 1))
+    kept_columns = [F.col(f"`{c}`") for c in docs.columns]
     spans = marked.select(
-        *docs.columns, "_every", F.zip_with(begins, ends, lambda a, b: F.struct(
-            a.alias("line"), (b - a + 1).alias("n"))).alias("_spans"))
+        *kept_columns, every_, F.zip_with(begins, ends, lambda a, b: F.struct(
+            a.alias("line"), (b - a + 1).alias("n"))).alias(runs))
     # what stands before each run, and after the last
     past = lambda j: F.when(j == 0, 0).otherwise(
-        F.get("_spans", j - 1)["line"] + F.get("_spans", j - 1)["n"])
-    gaps = F.transform(F.sequence(F.lit(0), F.size("_spans")), lambda j: F.slice(
-        "_every", past(j) + 1, F.coalesce(F.get("_spans", j)["line"], F.size("_every")) - past(j)))
-    kept = F.when(F.size("_spans") == 0, F.col("text")).otherwise(F.array_join(F.flatten(gaps), "\n"))
-    removed = F.aggregate("_spans", F.lit(0), lambda total, s: total + s["n"])
+        F.get(runs, j - 1)["line"] + F.get(runs, j - 1)["n"])
+    gaps = F.transform(F.sequence(F.lit(0), F.size(runs)), lambda j: F.slice(
+        every_, past(j) + 1, F.coalesce(F.get(runs, j)["line"], F.size(every_)) - past(j)))
+    kept = F.when(F.size(runs) == 0, F.col("text")).otherwise(F.array_join(F.flatten(gaps), "\n"))
+    removed = F.aggregate(runs, F.lit(0), lambda total, s: total + s["n"])
     return spans.select(
         *[kept.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns],
-        F.size("_every").cast("long").alias("_lines"), removed.cast("long").alias("_removed"), "_spans")
+        F.size(every_).cast("long").alias(lines), removed.cast("long").alias(gone), runs)
 
 
 def keep_unrepeated(docs: DataFrame, size: int = SIZE) -> DataFrame:
     """``docs`` with deduped texts; a document all of whose lines are repeats goes."""
+    lines, gone, _ = (F.col(c) for c in added_names(docs))
     out = dedup_lines(docs, size)
-    return out.where("_removed = 0 OR _removed < _lines").select(*[f"`{c}`" for c in docs.columns])
+    return out.where((gone == 0) | (gone < lines)).select(*[f"`{c}`" for c in docs.columns])
