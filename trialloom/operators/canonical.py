@@ -98,10 +98,18 @@ def cross_context_duplicates(trials: DataFrame, key: str, context: str) -> DataF
     ).where("context_count >= 2")
 
 
+def label_conflicts(source: DataFrame, key: str, label: str) -> DataFrame:
+    """(key, labels, rows) of identities with more than one label."""
+    return source.where(F.col(label).isNotNull()).groupBy(key, label).agg(F.count("*").alias("_n")).groupBy(key).agg(
+        F.array_sort(F.collect_list(label)).alias("labels"), F.sum("_n").alias("rows")).where(F.size("labels") > 1)
+
+
 def propagate_labels(targets: DataFrame, source: DataFrame, key: str, label: str) -> DataFrame:
-    """Label of the source by identity; identities with conflicting labels give none."""
-    agreed = source.groupBy(key).agg(F.min(label).alias(label), F.max(label).alias("_hi")).where(
-        F.col(label) == F.col("_hi")).drop("_hi")
+    """Label of the source by identity. An identity with several labels makes the run fail; ``label_conflicts`` lists them all."""
+    one = source.groupBy(key).agg(F.min(label).alias(label), F.max(label).alias("_hi"))
+    message = F.concat(F.lit("conflicting labels of "), F.col(key).cast("string"), F.lit(": "), F.col(label).cast("string"), F.lit(", "), F.col("_hi").cast("string"))
+    agreed = one.withColumn(label, F.when(F.col(label) != F.col("_hi"), F.raise_error(message).cast(source.schema[label].dataType)).otherwise(
+        F.col(label))).drop("_hi")
     return targets.join(agreed, key, "left")
 
 
@@ -109,9 +117,17 @@ def with_normal_text(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn("norm", fold_case(F.col(column)))
 
 
-def group_constant(df: DataFrame, group: str, label: str, neutral: str) -> DataFrame:
-    """The group's single non-neutral label on every row of the group."""
-    named = df.groupBy(group).agg(
-        F.max(F.when(F.col(label) != neutral, F.col(label))).alias("group_label"),
-        F.min(F.when(F.col(label) != neutral, F.col(label))).alias("_low"))
-    return df.join(named, group)
+def group_constant(df: DataFrame, group: str, label: str, neutral: str, conflicts: str = "error") -> DataFrame:
+    """``df`` with ``group_label``, the group's single non-neutral label, on every row of the group.
+
+    A group with several is an error; with ``conflicts="report"`` it has no label and ``group_conflict`` is true on its rows.
+    """
+    named = F.when(F.col(label) != neutral, F.col(label))
+    found = df.groupBy(group).agg(F.min(named).alias("group_label"), F.max(named).alias("_hi"))
+    several = F.coalesce(F.col("group_label") != F.col("_hi"), F.lit(False))
+    if conflicts == "report":
+        found = found.select(group, F.when(~several, F.col("group_label")).alias("group_label"), several.alias("group_conflict"))
+    else:
+        message = F.concat(F.lit("several labels in group "), F.col(group).cast("string"))
+        found = found.select(group, F.when(several, F.raise_error(message).cast(df.schema[label].dataType)).otherwise(F.col("group_label")).alias("group_label"))
+    return df.join(found, group)

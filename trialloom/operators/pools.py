@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from trialloom.functions.keys import ring_distance, ring_hash, stable_hash
 from trialloom.operators.ranking import position_by_ring, prefix_sum, ring_bucket
+from trialloom.operators.reshape import with_totals
 from trialloom.session import cut
 
 
@@ -130,13 +131,12 @@ def display_order(pool: DataFrame, by: list[str], seed: int, scope: list | None
 def pool_sweep(targets: DataFrame, catalog: DataFrame, context: list[str], sizes: list[int]) -> DataFrame:
     """Pools of several sizes from one ranking; ties in length go by candidate id, the positive sits in the middle.
 
-    ``candidate_id`` has to be a hex digest: its leading digits cut hot lengths into buckets.
+    Hot lengths are cut into buckets at ids drawn from the catalogue itself, so ids of any form spread over the tasks.
     """
     need = max(sizes)
     keys = [*context, "candidate_length"]
     lines = targets.join(length_quotas(targets, catalog, context, need), [*context, "target_length"])
-    placed = prefix_sum(catalog, keys, F.conv(F.substring("candidate_id", 1, 4), 16, 10).cast("bigint"),
-                        ["candidate_id"], F.lit(1), "place")
+    placed = prefix_sum(with_id_bucket(catalog, context, "candidate_id"), keys, F.col("_range"), ["candidate_id"], F.lit(1), "place").drop("_range")
     steps = lines.withColumn("place", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("quota").cast("bigint") - 1)))
     found = steps.join(placed, [*keys, "place"]).withColumn(
         "gap", F.abs(F.col("candidate_length") - F.col("target_length")))
@@ -155,6 +155,27 @@ def pool_sweep(targets: DataFrame, catalog: DataFrame, context: list[str], sizes
     return own.unionByName(others)
 
 
+ID_EDGES = 1024
+
+
+def with_id_bucket(df: DataFrame, context: list[str], key: str) -> DataFrame:
+    """Adds ``_range``, which follows the order of ``key`` within the context: the number of edges at or below it.
+
+    Edges are about ``ID_EDGES`` of the context's own ids, those first in hash order. They only steer the work.
+    """
+    ring = ring_hash(F.col(key), "edge")
+    sizes = df.groupBy(*context).agg(F.count("*").alias("_n")) if context else df.agg(F.count("*").alias("_n"))
+    counted = df.select(*context, key).join(sizes, context) if context else with_totals(df.select(key), sizes)
+    few = counted.where(ring <= F.lit(float(1 << 60)) * ID_EDGES / F.col("_n"))
+    edges = F.array_sort(F.collect_set(key)).alias("_edges")
+    edged = df.join(few.groupBy(*context).agg(edges), context, "left") if context else with_totals(df, few.agg(edges))
+    halves = F.array(*[F.lit(1 << i) for i in reversed(range((8 * ID_EDGES).bit_length()))])
+    found = F.aggregate(halves, F.lit(0), lambda at, step: F.when(
+        F.coalesce(F.get("_edges", at + step - 1) <= F.col(key), F.lit(False)), at + step).otherwise(at))
+    edged = edged.withColumn("_range", found)
+    return edged.drop("_edges")
+
+
 def matched_donors(trials: DataFrame, context: list[str], seed: int, rule: str, by_length: bool = True) -> DataFrame:
     """A wrong trial per target: same context, other text, nearest length.
 

@@ -6,6 +6,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from trialloom.functions.fixed_values import MAX_SECONDS, MIN_SECONDS, SOURCE_RATE, STD_FLOOR, TARGET_RATE
@@ -67,13 +69,55 @@ def normalise_masked(x: Column, clip: float = 10.0, epsilon: float = 1e-6) -> Co
 
 
 def channel_stats(long: DataFrame, by: list[str]) -> DataFrame:
-    """Mean, standard deviation (floored variance) and count per channel; long: by..., channel, value, valid."""
-    live = long.where("valid")
+    """Mean, standard deviation (floored variance) and count per channel; long: by..., channel, value, valid.
+
+    Spark's variance keeps count, mean and centred squares and merges them, so values far from zero lose no digits.
+    """
     v = F.col("value").cast("double")
-    sums = live.groupBy(*by, "channel").agg(F.sum(v).alias("s"), F.sum(v * v).alias("q"), F.count("*").alias("samples"))
-    mean = F.col("s") / F.col("samples")
-    return sums.select(*by, "channel", "samples", mean.alias("mean"),
-                       F.sqrt(F.greatest(F.col("q") / F.col("samples") - mean * mean, F.lit(STD_FLOOR))).alias("std"))
+    return long.where("valid").groupBy(*by, "channel").agg(
+        F.count("*").alias("samples"), F.avg(v).alias("mean"), F.sqrt(F.greatest(F.var_pop(v), F.lit(STD_FLOOR))).alias("std"))
+
+
+def array_channel_stats(df: DataFrame, signal: str = "signal", mask: str = "mask") -> DataFrame:
+    """(channel, samples, mean, std) of signal arrays under their masks, without a row per sample.
+
+    A task merges the (count, mean, centred squares) of its batches and gives out one row per channel; Spark adds these up around a
+    common point near them. Null samples and masked times take no part; records may differ in length and number of channels.
+    """
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[int, float, float]] = {}
+        for batch in batches:
+            rows = batch.column(signal).flatten()  # one entry a time step
+            live = np.asarray(pc.fill_null(batch.column(mask).flatten(), 0)) == 1
+            sizes = np.asarray(pc.fill_null(pc.list_value_length(rows), 0), np.int64)
+            values = np.asarray(pc.cast(rows.flatten(), pa.float64()))  # a null sample is a NaN
+            channel = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            good = np.repeat(live, sizes) & ~np.isnan(values)
+            for c in np.unique(channel[good]).tolist():
+                v = values[good & (channel == c)]
+                held[c] = _merged(held.get(c, (0, 0.0, 0.0)), (len(v), float(v.mean()), float(((v - v.mean()) ** 2).sum())))
+        if held:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(held), pa.int32()), *(pa.array([h[i] for h in held.values()], t) for i, t in enumerate((pa.int64(), pa.float64(), pa.float64())))],
+                ["channel", "n", "mean", "centred"])
+
+    wide = df.select(signal, mask).where(F.col(signal).isNotNull() & F.col(mask).isNotNull())
+    checked = wide.withColumn(mask, F.when(F.size(mask) != F.size(signal), F.raise_error(F.lit("mask and signal differ in length"))).otherwise(F.col(mask)))
+    parts = checked.mapInArrow(moments, "channel int, n long, mean double, centred double")
+    # means of parts, each weighted by its count, around a common point: the spread between parts joins the spread inside them
+    totals = parts.groupBy("channel").agg(F.sum("n").alias("samples"), F.min("mean").alias("near"))
+    around = parts.join(totals, "channel").groupBy("channel", "samples", "near").agg(
+        F.sum(F.col("n") * (F.col("mean") - F.col("near"))).alias("shift"),
+        F.sum(F.col("centred") + F.col("n") * (F.col("mean") - F.col("near")) ** 2).alias("q"))
+    shift = F.col("shift") / F.col("samples")
+    return around.select("channel", "samples", (F.col("near") + shift).alias("mean"), F.sqrt(F.greatest(
+        F.col("q") / F.col("samples") - shift * shift, F.lit(STD_FLOOR))).alias("std"))
+
+
+def _merged(a: tuple[int, float, float], b: tuple[int, float, float]) -> tuple[int, float, float]:
+    """Count, mean and centred squares of two parts together."""
+    n, step = a[0] + b[0], b[1] - a[1]
+    return n, a[1] + step * b[0] / n, a[2] + b[2] + step * step * a[0] * b[0] / n
 
 
 def explode_signal(df: DataFrame, key: list[str]) -> DataFrame:

@@ -100,10 +100,10 @@ def hold_out(df: DataFrame, subject: str, fraction: float, seed: int) -> DataFra
 
 
 def feasible_folds(df: DataFrame, label: str, group: str, wanted: int) -> DataFrame:
-    """One row: how many group folds the rarest class allows."""
+    """One row: how many group folds the rarest class allows, at least two (a class of one group is then missing from a fold)."""
     per_class = df.select(label, group).distinct().groupBy(label).agg(F.count("*").alias("groups"))
     return per_class.agg(F.min("groups").alias("rarest_class_groups"),
-                         F.least(F.lit(wanted).cast("bigint"), F.min("groups")).alias("folds"))
+                         F.greatest(F.lit(2).cast("bigint"), F.least(F.lit(wanted).cast("bigint"), F.min("groups"))).alias("folds"))
 
 
 def half_split(df: DataFrame, task: str, text: str, seed: int) -> DataFrame:

@@ -295,7 +295,7 @@ def d05(t):
 
 
 @query("D06_feasible_folds", """
-SELECT min(g) AS rarest_class_groups, least(5, min(g)) AS folds FROM
+SELECT min(g) AS rarest_class_groups, greatest(2, least(5, min(g))) AS folds FROM
  (SELECT quality, count(DISTINCT source) AS g FROM labels JOIN documents USING (doc_id) GROUP BY quality)""")
 def d06(t):
     rows = t.raw("labels").join(t.raw("documents").select("doc_id", "source"), "doc_id")
@@ -396,7 +396,7 @@ def d13(t):
     return batches.grid_feasibility(xfit_roles(t))
 
 
-EPOCHS = 2
+EPOCHS = 40
 VIEWS["plan_texts"] = f"""
 SELECT *, row_number() OVER (PARTITION BY outer_fold, epoch, reading_task, pseudo_group ORDER BY
           {sql_ring(SEED, "epoch", "text_key", "'epoch-order'")}, text_key) - 1 AS place,

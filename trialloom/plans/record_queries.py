@@ -373,8 +373,9 @@ def u03(t):
 
 
 @query("W08_group_constant", """
-SELECT l_orderkey, l_partkey, l_linenumber, l_returnflag, max(CASE WHEN l_returnflag <> 'N' THEN l_returnflag END) OVER (PARTITION BY l_orderkey) AS group_label,
-FROM lineitem""")
+SELECT l_orderkey, l_partkey, l_linenumber, l_returnflag, CASE WHEN lo = hi THEN lo END AS group_label, coalesce(lo <> hi, false) AS group_conflict FROM
+ (SELECT *, min(l_returnflag) FILTER (l_returnflag <> 'N') OVER (PARTITION BY l_orderkey) AS lo,
+         max(l_returnflag) FILTER (l_returnflag <> 'N') OVER (PARTITION BY l_orderkey) AS hi FROM lineitem)""")
 def w08(t):
-    out = canonical.group_constant(t.raw("lineitem"), "l_orderkey", "l_returnflag", "N")
-    return out.select("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag", "group_label")
+    out = canonical.group_constant(t.raw("lineitem"), "l_orderkey", "l_returnflag", "N", conflicts="report")
+    return out.select("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag", "group_label", "group_conflict")

@@ -192,7 +192,7 @@ def w09b(t):
 
 
 @query("A10_channel_stats", """
-SELECT l_returnflag, channel, count(*) AS samples, round(avg(value), 6) AS mean, round(sqrt(greatest(avg(value * value) - avg(value) * avg(value), 1e-12)), 6) AS std
+SELECT l_returnflag, channel, count(*) AS samples, round(avg(value), 6) AS mean, round(sqrt(greatest(var_pop(value), 1e-12)), 6) AS std
 FROM (SELECT l_returnflag, l_linestatus, unnest(['quantity', 'price', 'discount', 'tax']) AS channel, unnest([l_quantity, l_extendedprice / 1000, l_discount, l_tax]) AS value FROM lineitem)
 WHERE l_linestatus = 'F' GROUP BY 1, 2""")
 def a10(t):
@@ -207,8 +207,8 @@ SELECT CAST(c - 1 AS INTEGER) AS channel, count(*) AS samples, round(avg(v), 5)
  (SELECT c, r[c] AS v FROM (SELECT unnest(signal[1:3]) AS r FROM order_signals), (SELECT unnest([1, 3, 4]) AS c)) GROUP BY 1""")
 def a10b(t):
     mask = F.transform(F.sequence(F.lit(1), F.size("signal")), lambda i: (i <= 3).cast("int"))
-    long = signals.explode_signal(order_signals(t).withColumn("mask", mask), ["record_id"])
-    return rounded(signals.channel_stats(long.where("channel <> 1"), []), "mean", "std", digits=5)
+    out = signals.array_channel_stats(order_signals(t).withColumn("mask", mask))
+    return rounded(out.where("channel <> 1"), "mean", "std", digits=5)
 
 
 def control_rows(t):

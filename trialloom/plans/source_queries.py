@@ -64,12 +64,11 @@ def s05(t):
 SELECT condition, vec_id, round(list_sum(v), 6) AS total FROM (SELECT 'correct' AS condition, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
 UNION ALL SELECT 'negated', vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: -x) FROM embeddings) WHERE vec_id IN (SELECT doc_id FROM labels)""")
 def s06(t):
-    path = scratch(t, "s06")
     base = t.raw("embeddings").select(F.lit("correct").alias("condition"), "vec_id", vectors.as_double(F.col("embedding")).alias("vector"))
     both = base.unionByName(base.withColumns({"condition": F.lit("negated"), "vector": F.transform("vector", lambda x: -x)}))
-    both.write.partitionBy("condition").parquet(path)
+    store = sinks.bucketed_store(both, ["condition", "vec_id"])
     wanted = t.raw("labels").select(F.col("doc_id").alias("vec_id"), F.explode(F.array(F.lit("correct"), F.lit("negated"))).alias("condition"))
-    found = scans.store_lookup(t.spark.read.parquet(path), wanted, ["condition", "vec_id"])
+    found = scans.store_lookup(store, wanted, ["condition", "vec_id"])
     return found.select("condition", "vec_id", F.round(vectors.total(F.col("vector")), 6).alias("total"))
 
 
@@ -78,7 +77,7 @@ SELECT vec_id, "offset", round(list_sum(CAST(embedding AS DOUBLE[])[8 * "offset"
 def s07(t):
     toks = t.raw("embeddings").select("vec_id", F.posexplode(vectors.fold_rows(vectors.as_double(F.col("embedding")), 8, 8)).alias("offset", "token"))
     wanted = t.raw("embeddings").select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("offset"))
-    return scans.store_lookup(toks, wanted, ["vec_id", "offset"]).select(
+    return scans.store_lookup(sinks.bucketed_store(toks, ["vec_id", "offset"]), wanted, ["vec_id", "offset"]).select(
         "vec_id", F.col("offset").cast("bigint").alias("offset"), F.round(vectors.total(F.col("token")), 6).alias("total"))
 
 
@@ -139,7 +138,7 @@ def s14(t):
     path = scratch(t, "s14")
     sinks.publish({"nation": t.raw("region"), "region": t.raw("region")}, path)
     sinks.publish({"nation": t.raw("nation"), "region": t.raw("region")}, path)
-    parts = [t.spark.read.parquet(f"{path}/{n}").agg(F.count("*").alias("rows")).withColumn("name", F.lit(n)) for n in ("nation", "region")]
+    parts = [sinks.published(t.spark, path, n).agg(F.count("*").alias("rows")).withColumn("name", F.lit(n)) for n in ("nation", "region")]
     return parts[0].unionByName(parts[1])
 
 
@@ -180,8 +179,10 @@ def r01(t):
 
 
 @query("R02_running_statistics", """
-SELECT event_type, count(*) AS n, round(sum(value), 4) AS "sum", min(value) AS "min", max(value) AS "max", round(sum(value * value), 4) AS squares FROM events GROUP BY 1""")
+SELECT event_type, count(*) AS n, round(sum(value), 4) AS "sum", min(value) AS "min", max(value) AS "max", round(avg(value), 6) AS mean,
+       round(var_pop(value) * count(*), 4) AS centred FROM events GROUP BY 1""")
 def r02(t):
     source, out = event_files(t, "r02"), scratch(t, "r02-out")
     incremental.running_statistics(t.spark, source, EVENT_SCHEMA, ["event_type"], "value", out, scratch(t, "r02-state"))
-    return t.spark.read.parquet(out).withColumns({"sum": F.round("sum", 4), "squares": F.round("squares", 4)})
+    return sinks.published(t.spark, out, "statistics").withColumns(
+        {"sum": F.round("sum", 4), "mean": F.round("mean", 6), "centred": F.round("centred", 4)})

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -58,14 +60,83 @@ def strict_csv(spark: SparkSession, path: str, required: list[str], exact: bool
     return raw.select(*required)
 
 
-def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """(file, bytes, sha256) of the files below a folder, by their path from there; every file is hashed where it is read.
+#: files up to this size are hashed as one value, larger ones as a stream of pieces
+WHOLE_BYTES, PIECE_BYTES = 64 << 20, 4 << 20
+_MARK = b"\xef\xbb\xbf"
 
-    A file is one value, so files of 2 GB or more are an error.
+
+def file_digests(spark: SparkSession, path: str, whole: int = WHOLE_BYTES) -> DataFrame:
+    """(file, bytes, sha256) of the files below a folder, by their path from there, whatever their size.
+
+    Small files are hashed where they are read. A larger one is read by Spark in splits, packed into pieces and hashed piece by piece
+    in order by one task, which holds the running hash and a piece (SHA-256 needs all bytes in order). Only Spark's readers touch the
+    files, so any store they know will do; they skip empty files, which are not listed. A single line of 2 GB is an error.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     root = re.escape(re.sub(r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", "", path).rstrip("/"))
-    return files.select(F.regexp_extract("path", f"^.*?{root}/(.*)$", 1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    name = lambda c: F.regexp_extract(c, f"^.*?{root}/(.*)$", 1).alias("file")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    small = files.where(F.col("length") <= whole).select(name(F.col("path")), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    lines = spark.read.option("lineSep", "\n").option("recursiveFileLookup", True).text(path).where(F.col("_metadata.file_size") > whole)
+    return small.unionByName(_streamed_digests(lines).select(
+        name(F.url_decode(F.regexp_replace("file", r"\+", "%2B"))), "bytes", "sha256"))
+
+
+def _streamed_digests(lines: DataFrame) -> DataFrame:
+    """(file, bytes, sha256) from the lines of whole files: reading at line feeds loses no byte but a leading byte-order mark and
+    whether the last line was ended, and both follow from the file's size."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, number, held, size = None, 0, [], 0
+
+        def piece() -> pa.RecordBatch:
+            file, total, start = now
+            return pa.RecordBatch.from_arrays(
+                [pa.array([file]), pa.array([total], pa.int64()), pa.array([start], pa.int64()), pa.array([number], pa.int64()),
+                 pa.array([b"\n".join(held)], pa.large_binary()).cast(pa.binary())], ["file", "bytes", "start", "number", "piece"])
+
+        for batch in batches:
+            for *key, line in zip(*(batch.column(c).to_pylist() for c in ("file", "bytes", "start", "line"))):
+                if key != now or size > PIECE_BYTES:
+                    if held:
+                        yield piece()
+                    number = number + 1 if key == now else 0
+                    now, held, size = key, [], 0
+                held.append(line)
+                size += len(line) + 1
+        if held:
+            yield piece()
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, plain, marked, seen = None, None, None, 0
+
+        def result() -> pa.RecordBatch:
+            file, total = now
+            if total - seen not in (0, 1, 3, 4):
+                raise ContractError(f"{file} has changed while it was read: {seen} bytes of {total}")
+            ended, found = b"\n" * ((total - seen) % 3), marked if total - seen >= 3 else plain
+            found.update(ended)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([file]), pa.array([total], pa.int64()), pa.array([found.hexdigest()])], ["file", "bytes", "sha256"])
+
+        for batch in batches:
+            for file, total, part in zip(*(batch.column(c).to_pylist() for c in ("file", "bytes", "piece"))):
+                if (file, total) != now:
+                    if now is not None:
+                        yield result()
+                    now, plain, marked, seen = (file, total), hashlib.sha256(), hashlib.sha256(_MARK), 0
+                else:
+                    part = b"\n" + part
+                plain.update(part)
+                marked.update(part)
+                seen += len(part)
+        if now is not None:
+            yield result()
+
+    read = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes"),
+                        F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("line"))
+    pieces = read.mapInArrow(pack, "file string, bytes long, start long, number long, piece binary")
+    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = pieces.repartition(parts, "file").sortWithinPartitions("file", "start", "number")
+    return ordered.mapInArrow(digest, "file string, bytes long, sha256 string")
 
 
 def manifest(spark: SparkSession, path: str, schema: str, one_document: bool = True) -> DataFrame:

@@ -8,9 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from trialloom.operators.contracts import digest_of_set
+from trialloom.operators.contracts import ContractError, digest_of_set
 from trialloom.operators.joins import positions
-from trialloom.session import cut
+from trialloom.session import cut, shared_dir
 from trialloom.sources.scans import file_digests
 
 
@@ -99,23 +99,64 @@ def _drop(spark: SparkSession, data: str, schema: StructType, chunk: str, left:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
-def publish(tables: dict[str, DataFrame], target: str) -> None:
-    """All tables or none: written to a staging folder beside the target, which then takes the target's place."""
+POINTERS, VERSIONS = "_pointers", "versions"
+
+
+def publish(tables: dict[str, DataFrame], target: str, keep: int = 2) -> str:
+    """All tables or none: written to a folder of their own that never changes again; then one pointer names it.
+
+    The pointer is an empty object whose name holds a number and the version, so it is there as a whole or not at all, on file systems
+    and object stores alike. Readers take the pointer with the largest number (``published``): before it is created they see the
+    old set, afterwards the new one. Versions beyond the last ``keep`` are deleted, so a reader has that long to finish.
+    """
     spark = next(iter(tables.values())).sparkSession
-    staging, old = f"{target}.staging-{uuid.uuid4().hex}", f"{target}.old-{uuid.uuid4().hex}"
+    version = uuid.uuid4().hex
     for name, df in tables.items():
-        df.write.parquet(f"{staging}/{name}")
+        df.write.parquet(f"{target}/{VERSIONS}/{version}/{name}")
+    fs, path = _files(spark, target)
+    known = _pointers(spark, target)
+    number = known[-1][0] + 1 if known else 1
+    fs.create(path(f"{target}/{POINTERS}/{number:012d}-{version}"), False).close()
+    # the number may have been taken by another writer meanwhile: all see the same last one, which is kept
+    for _, old in _pointers(spark, target)[:-keep]:
+        fs.delete(path(f"{target}/{VERSIONS}/{old}"), True)
+    return version
+
+
+def _files(spark: SparkSession, target: str):
     path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(target).getFileSystem(spark._jsc.hadoopConfiguration())
-    had = fs.exists(path(target))
-    if had:
-        fs.rename(path(target), path(old))
-    if not fs.rename(path(staging), path(target)):
-        if had:
-            fs.rename(path(old), path(target))
-        raise OSError(f"could not publish {target}")
-    if had:
-        fs.delete(path(old), True)
+    return path(target).getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def _pointers(spark: SparkSession, target: str) -> list[tuple[int, str]]:
+    """(number, version) of all pointers, in order."""
+    fs, path = _files(spark, target)
+    folder = path(f"{target}/{POINTERS}")
+    if not fs.exists(folder):
+        return []
+    names = sorted(status.getPath().getName() for status in fs.listStatus(folder))
+    return [(int(n[:12]), n[13:]) for n in names if not n.startswith(".")]
+
+
+def published(spark: SparkSession, target: str, name: str) -> DataFrame:
+    """A table of the set that is published now; the whole frame reads that version, whatever is published later."""
+    known = _pointers(spark, target)
+    if not known:
+        raise ContractError(f"nothing is published at {target}")
+    return spark.read.parquet(f"{target}/{VERSIONS}/{known[-1][1]}/{name}")
+
+
+def bucketed_store(df: DataFrame, key: list[str], name: str | None = None, buckets: int | None = None) -> DataFrame:
+    """``df`` as a table that is bucketed and sorted by ``key``: lookups and joins by the key move the other side only.
+
+    At least as many buckets as the session shuffles into; with fewer, Spark would rather shuffle both sides.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    many, name = max(buckets or 0, parts), name or f"trialloom_store_{uuid.uuid4().hex}"
+    placed = df.repartition(many, *key)  # one file a bucket
+    placed.write.format("parquet").bucketBy(many, *key).sortBy(*key).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
 
 
 def artifact_manifest(spark: SparkSession, path: str) -> DataFrame:

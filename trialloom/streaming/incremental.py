@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from trialloom.sources.sinks import publish
+
 #: how much new input a micro-batch takes; single larger files still come whole
 BYTES_PER_BATCH = 16 << 30
 
@@ -33,14 +35,20 @@ def process_new_files(spark: SparkSession, source: str, schema: str, output: str
 
 def running_statistics(spark: SparkSession, source: str, schema: str, by: list[str], value: str, output: str, checkpoint: str,
                        bytes_per_batch: int = BYTES_PER_BATCH) -> None:
-    """Count, sum, extremes and moments per group, kept up to date batch by batch (complete output of the last batch)."""
+    """Count, sum, extremes, mean and centred squares per group, kept up to date batch by batch.
+
+    The state of a group is (count, mean, centred squares), merged part by part, so values far from zero lose no digits. Each batch
+    publishes its table as a new version (``sinks.published(spark, output, "statistics")`` reads the last one); readers never see a
+    folder that is being written.
+    """
     stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", bytes_per_batch).parquet(source)
     v = F.col(value).cast("double")
     stats = stream.groupBy(*by).agg(
-        F.count("*").alias("n"), F.sum(v).alias("sum"), F.min(v).alias("min"), F.max(v).alias("max"), F.sum(v * v).alias("squares"))
+        F.count("*").alias("n"), F.sum(v).alias("sum"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"),
+        (F.var_pop(v) * F.count(v)).alias("centred"))
 
     def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(output)
+        publish({"statistics": batch}, output)
 
     run = stats.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(
         availableNow=True).start()
