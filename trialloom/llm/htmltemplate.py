@@ -13,7 +13,9 @@ and menus of links outside the main element go, as do the elements that are neve
 * White space in a block becomes one space, character references are decoded, blocks are joined by a line feed, in page
   order. Scripts, styles, comments, menus, page headers and footers, forms, adverts, notices and reader comments go.
 * Names (class, id, role) only hint: a block with a name such as ``ad`` or ``share-buttons`` goes if several pages of the
-  layout have it, or if there is no template; never a heading, paragraph, table or article, nor a section by its id alone.
+  layout have it, or if there is no template; never a heading, paragraph, table or article. A section named by its id alone
+  needs signed entries that repeat, as comments have. Headings that pages share stay above text of the page's own.
+* A page whose text is all linked keeps its paragraphs. Without a template, menus at the edges and a closing copyright line go.
 * Copies of a page count once for the template, pages without text not at all. With fewer than ``LEAST_PAGES`` different
   pages of a layout there is no template; then the page's own elements are taken.
 * Wording of the main text is template if it stands in more than ``LEAST_PAGES`` pages that are no near copies of one
@@ -60,21 +62,28 @@ _CLOSES_P = frozenset("address article aside blockquote center div dl fieldset f
 _SIBLING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
             "option": {"option"}}
 _SCOPE = frozenset("ul ol dl table select body html article div".split())
-_NEVER = frozenset("nav aside form button select menu dialog footer head fieldset label".split())
+_NEVER = frozenset("nav aside form button select menu dialog footer head".split())
+_CONTROLS = frozenset("fieldset label".split())  # outside an article, parts of forms
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_PROSE = _HEADINGS | {"p", "blockquote", "pre"}
 _CONTAINER = frozenset("article main section div td body".split())
-#: Words in class, id and role that hint at what is not the article.
+#: Heuristic: words in class, id and role that hint at what is not the article.
 _MARKED = re.compile(
     r"ads?|adv|advert\w*|adsbygoogle|banner\w*|promo\w*|sponsor\w*|cookie\w*|consent|gdpr|notice\w*|alert\w*|popup\w*|modal|"
     r"newsletter\w*|subscri\w*|share\w*|sharing|social\w*|sidebar\w*|related\w*|recommend\w*|comment\w*|repl(?:y|ies)|disqus\w*|respond|"
     r"breadcrumb\w*|menu\w*|nav\w*|navigation|foot|footer\w*|masthead|toolbar\w*|paginat\w*|pager|copyright|login|signup|search\w*|widget\w*|"
     r"skip|contentinfo|complementary", re.I)
-#: Words that go with these; a name with any other word (related-work, market-share) hints at nothing.
+#: Heuristic: words that go with these; a name with any other word (related-work, market-share) hints at nothing.
 _BESIDE = re.compile(
     r"|area|articles?|background|bars?|block|body|bottom|box|btn|buttons?|container|contents?|footer|form|head|header|icons?|inner|items?|"
     r"left|links?|list|main|media|module|outer|overlay|page|panel|posts?|primary|right|secondary|section|site|stories|story|text|title|to|top|"
     r"unit|wrap|wrapper|\d+", re.I)
 #: Names say nothing about these: text that runs on and its headings.
 _UNNAMED = _INLINE | frozenset("body html article main p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption table tbody tr td th".split())
+#: Heuristic: names of what heads a reader's comment, and a line that only says whose the page is.
+_SIGNED = re.compile(r"(?:^|[\[=\s_-])(?:author|user\w*|byline|date|datetime|posted|avatar|commenter|meta)(?:$|[\]\s_-])", re.I)
+_OWNED = re.compile(r"\W*(?:©|\(c\)|copyright\b)", re.I)
+_OWNED_WORDS = 25
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({_RAW})(?=[\s/>])[^>]*>|<[!?][^>]*>?"
     r"""|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>?|([^<]+)|<""", re.S | re.I)
@@ -118,7 +127,7 @@ class Node:
                     by_id |= key == "id" and marked(value)
             hidden |= (key == "hidden" and value.lower() != "until-found" or key == "aria-hidden" and value.lower() == "true"
                        or key == "style" and bool(_UNSHOWN.search(value)))
-        never = self.never or hidden or tag in _NEVER or tag in _UNSEEN or (tag == "header" and self.article is None)
+        never = self.never or hidden or tag in _NEVER or tag in _UNSEEN or self.article is None and (tag == "header" or tag in _CONTROLS)
         path = f"{self.path}>{tag}{named}"
         marks = (*self.marks, (path, by_class or tag != "section")) if by_class or by_id else self.marks
         node = Node(path, tag, self, never, self.linked or tag == "a", self.article, self.outer,
@@ -128,9 +137,9 @@ class Node:
             object.__setattr__(node, "outer", self.outer or node)
         return node
 
-    def dropped(self, repeated: set[str] | None) -> bool:
-        """No article text: by its kind, or by a name if the template has the named element or there is no template."""
-        return self.never or bool(self.marks) and any(sure if repeated is None else path in repeated for path, sure in self.marks)
+    def dropped(self, repeated: set[str]) -> bool:
+        """No article text: by its kind, or by a name if ``repeated`` has the path of the named element."""
+        return self.never or bool(self.marks) and any(path in repeated for path, _ in self.marks)
 
 
 _ROOT = Node("", "", None, False, False, None)
@@ -365,7 +374,26 @@ def main_path(template: Template, pages: list[list[tuple[str, Node, str]]]) -> s
     return node.path or None
 
 
-def own_path(page: list[tuple[str, Node, str]], repeated: set[str] | None = None) -> str | None:
+def own_marks(page: list[tuple[str, Node, str]]) -> set[str]:
+    """Without a template: the paths of the named elements that go. A section named by its id alone goes if it is a thread of
+    comments: elements of one path follow each other in it, and more than one of them is signed with an author or a date."""
+    out: set[str] = set()
+    unsure: set[str] = set()
+    signed: dict[str, Counter] = defaultdict(Counter)
+    for kind, node, _ in page:
+        for path, sure in node.marks if kind == "open" else ():
+            (out if sure else unsure).add(path)
+        if kind == "open" and (node.tag == "time" or _SIGNED.search(node.path.rpartition(">")[2])):
+            for path in {p for p, sure in node.marks if not sure}:
+                below, up = node, node.parent
+                while up is not None and up.path != path:
+                    below, up = up, up.parent
+                if below is not node:
+                    signed[path][below.path] += 1
+    return out | {path for path in unsure if any(n > 1 for n in signed[path].values())}
+
+
+def own_path(page: list[tuple[str, Node, str]], repeated: set[str], links: bool = False) -> str | None:
     """Without a template: the article or main element with most text, else the container with most."""
     articles, containers = Counter(), Counter()
     for kind, node, text in page:
@@ -373,7 +401,7 @@ def own_path(page: list[tuple[str, Node, str]], repeated: set[str] | None = None
             size = len(text.split())
             if node.article is not None:
                 articles[node.article.path] += size
-            elif not node.linked:
+            elif links or not node.linked:
                 while node is not None and node.tag not in _CONTAINER:
                     node = node.parent
                 containers[node.path if node else ""] += size
@@ -385,9 +413,9 @@ def within(path: str, root: str) -> bool:
     return path.startswith(root) and (len(path) == len(root) or not root or path[len(root)] == ">")
 
 
-def whole(page: list[tuple[str, Node, str]], repeated: set[str] | None, wording: set[Token]) -> set[str]:
+def whole(page: list[tuple[str, Node, str]], repeated: set[str], wording: set[Token], links: bool = False) -> set[str]:
     """The paths of the elements that hold the whole article: every article and main element, with the page's main heading if they
-    have none; without them the lowest element around all text that is neither linked nor template."""
+    have none; without them the lowest element around all text that is neither linked (but with ``links``) nor template."""
     roots: set[str] = set()
     heads: set[str] = set()
     headed = False
@@ -402,7 +430,7 @@ def whole(page: list[tuple[str, Node, str]], repeated: set[str] | None, wording:
         if node.outer is not None:
             roots.add(node.outer.path)
             headed |= up is not None
-        elif not node.linked:
+        elif links or not node.linked:
             if up is not None:
                 heads.add(up.path)
             if not roots and node.path not in seen and any((node.path, w) not in wording for w in text.split()):
@@ -425,9 +453,19 @@ class Block:
     tokens: list[Token]
     core: bool  # in the main element or an article
     menu: bool  # links in an element without other text
+    heading: bool = False
+    prose: bool = False  # in a paragraph, quotation or heading
 
 
-def blocks(page: list[tuple[str, Node, str]], roots: set[str], core: str, repeated: set[str] | None = None) -> list[Block]:
+def inside(node: Node | None, tags: frozenset[str]) -> bool:
+    while node is not None:
+        if node.tag in tags:
+            return True
+        node = node.parent
+    return False
+
+
+def blocks(page: list[tuple[str, Node, str]], roots: set[str], core: str, repeated: set[str]) -> list[Block]:
     """The blocks inside the elements at ``roots``, in page order."""
     out: list[Block] = []
     parts: list[tuple[str, Node]] = []
@@ -445,7 +483,8 @@ def blocks(page: list[tuple[str, Node, str]], roots: set[str], core: str, repeat
             words = "".join(t for t, _ in parts).split()
             if words:
                 out.append(Block(" ".join(words), [(n.path, w) for t, n in parts for w in t.split()],
-                                 any(places[n.path][1] for t, n in parts if t.strip()), all(n.linked for t, n in parts if t.strip())))
+                                 any(places[n.path][1] for t, n in parts if t.strip()), all(n.linked for t, n in parts if t.strip()),
+                                 all(inside(n, _HEADINGS) for t, n in parts if t.strip()), all(inside(n, _PROSE) for t, n in parts if t.strip())))
                 holders.append({holder(n) for t, n in parts if t.strip()})
                 if not out[-1].menu:
                     texted.update(holders[-1])
@@ -477,9 +516,9 @@ def extract_layout(pages: list[list[tuple[str, Node, str]]]) -> list[str]:
     """The main texts of different pages of one layout."""
     template = deduce(pages)
     path = main_path(template, pages) if template else None
-    repeated = template.repeated if template else None
+    marks = [template.repeated if template else own_marks(page) for page in pages]
     cores, words, outer, inner = [], [], set(), set()
-    for page in pages:
+    for page, repeated in zip(pages, marks):
         core, held = path, set()
         if path is not None:
             for kind, node, text in page:
@@ -498,16 +537,58 @@ def extract_layout(pages: list[list[tuple[str, Node, str]]]) -> list[str]:
         outer = common if len(firsts) >= LEAST_PAGES else set()
         inner = common if len(firsts) > LEAST_PAGES else set()
     texts = []
-    for page, core in zip(pages, cores):
-        kept = []
-        for block in blocks(page, whole(page, repeated, outer), core, repeated) if core is not None else ():
-            wording = inner if block.core else outer
-            if not (block.menu and not block.core or sum(t in wording for t in block.tokens) >= WORDING_SHARE * len(block.tokens)):
-                kept.append(block.text)
-        texts.append("\n".join(kept))
+    for page, core, repeated in zip(pages, cores, marks):
+        kept = kept_blocks(blocks(page, whole(page, repeated, outer), core, repeated), outer, inner) if core is not None else []
+        if not kept and not (template and outer):  # all text is linked: then linked paragraphs are what the page says, but no menus
+            core = own_path(page, repeated, True)
+            if core is not None:
+                found = [b for b in blocks(page, whole(page, repeated, outer, True), core, repeated) if b.prose]
+                for block in found:
+                    block.menu = False
+                kept = kept_blocks(found, outer, inner)
+        if not template:
+            kept = trimmed(kept, any(kind == "text" and node.article is not None and text.strip() and not node.dropped(repeated)
+                                     for kind, node, text in page))
+        texts.append("\n".join(block.text for block in kept))
     return texts
 
 
+def kept_blocks(found: list[Block], outer: set[Token], inner: set[Token]) -> list[Block]:
+    """The blocks that are neither menus beside the article nor template wording. A heading that pages share stays while something
+    stays below it: only the pages' own text makes it part of an article."""
+    kept: list[Block] = []
+    waiting: list[Block] = []  # shared headings whose section has no text yet
+    for block in found:
+        wording = inner if block.core else outer
+        shared = sum(t in wording for t in block.tokens) >= WORDING_SHARE * len(block.tokens)
+        if block.menu and not block.core or shared and not block.heading:
+            continue
+        if shared and not block.core:
+            continue
+        if block.heading and shared:
+            waiting = [block]
+        elif block.heading:
+            waiting = []
+            kept.append(block)
+        else:
+            kept += waiting
+            waiting = []
+            kept.append(block)
+    return kept
+
+
+def trimmed(kept: list[Block], article: bool) -> list[Block]:
+    """Without a template: menus at the edges go, where no article element says what belongs to it, and lines that only say whose
+    the page is at its end."""
+    first, last = 0, len(kept)
+    while last > first and (_OWNED.match(kept[last - 1].text) and len(kept[last - 1].text.split()) <= _OWNED_WORDS
+                            or kept[last - 1].menu and not article):
+        last -= 1
+    while first < last and kept[first].menu and not article:
+        first += 1
+    return kept[first:last] or kept
+
+
 def extract_group(htmls: list[str]) -> list[str]:
     """The main texts of pages of one host."""
     parsed = {h: events(h) for h in set(htmls)}
