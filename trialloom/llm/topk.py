@@ -18,14 +18,16 @@ any query's k-th score are compacted away. What is left at the end is exact. Spa
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from trialloom.session import cut
+from trialloom.session import cut, shared_dir
 
 K = 20
 SCALE = 64.0
@@ -127,13 +129,12 @@ class Best:
                 self.floor[q] = float(scores[best[-1]])
 
 
-def _scan(candidates: DataFrame, block: list[tuple[int, int, np.ndarray]], k: int) -> DataFrame:
+def _scan(candidates: DataFrame, block: Broadcast, k: int) -> DataFrame:
     """(q, query_id, vec_id, score): the k best of each task for the queries (q, query_id, vector) of one block."""
-    shared = candidates.sparkSession.sparkContext.broadcast(block)  # BLOCK queries at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_length: dict[int, list] = {}
-        for q, query_id, vector in shared.value:
+        for q, query_id, vector in block.value:
             by_length.setdefault(len(vector), []).append((q, query_id, vector))
         best = {n: Best(np.array([x[1] for x in found], np.int64), np.array([x[2] for x in found]).reshape(len(found), n), k)
                 for n, found in by_length.items()}
@@ -153,24 +154,28 @@ def _scan(candidates: DataFrame, block: list[tuple[int, int, np.ndarray]], k: in
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = K, block: int = BLOCK) -> DataFrame:
-    """(query_id, rank, vec_id, score) of the rows that ``is_query`` selects against all rows of (vec_id, vector)."""
+    """(query_id, rank, vec_id, score) of the rows that ``is_query`` selects against all rows of (vec_id, vector).
+
+    Blocks of queries run one after the other, and each appends its rows to one table in the shared folder: however many queries
+    there are, a plan knows one block, the driver and the executors hold one block, and the result is one scan.
+    """
     spark = vectors.sparkSession
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "vector")
     queries = cut(vectors.where(is_query & F.col("vector").isNotNull()).dropDuplicates(["vec_id", "vector"]))
     blocks = max(1, math.ceil(1.1 * queries.count() / block))
-    found, q = None, 0
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+    path, schema = f"{shared_dir(spark)}/trialloom-{uuid.uuid4().hex}", "query_id long, rank int, vec_id long, score long"
+    spark.createDataFrame([], schema).write.parquet(path)
     for number in range(blocks):
         rows = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == number).toArrow()
         asked = []
         for ids, matrix in usable(rows.column("vec_id").combine_chunks(), rows.column("vector").combine_chunks()) if rows.num_rows else []:
             for query_id, vector in zip(ids.tolist(), matrix):
-                asked.append((q, query_id, vector))
-                q += 1
-        if asked:
-            part = _scan(vectors, asked, k)
-            found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
-        "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+                asked.append((len(asked), query_id, vector))
+        if not asked:
+            continue
+        shared = spark.sparkContext.broadcast(asked)  # BLOCK queries or about as many
+        found = _scan(vectors, shared, k).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score").write.mode("append").parquet(path)
+        shared.unpersist()
+    return spark.read.schema(schema).parquet(path)
