@@ -45,21 +45,21 @@ NO_RELATION = "NO-RELATION"
 
 # Other spellings of the relation labels.
 RELATION_ALIASES = {
-    "award": "AWARD",
     "awarding": "AWARD",
+    "award": "AWARD",
     "education": "EDUCATION",
-    "employer": "EMPLOYER",
     "employment": "EMPLOYER",
+    "employer": "EMPLOYER",
     "foundation": "FOUNDER",
     "founder": "FOUNDER",
     "job title": "JOB_TITLE",
     "job_title": "JOB_TITLE",
-    "marriage": "WIFE",
     "nationality": "NATIONALITY",
     "political affiliation": "POLITICAL_AFFILIATION",
     "political_affiliation": "POLITICAL_AFFILIATION",
     "visit": "VISITED",
     "visited": "VISITED",
+    "marriage": "WIFE",
     "wife": "WIFE",
 }
 

@@ -9,6 +9,7 @@ from trialloom.functions.fixed_values import (
     INSTRUCTION_RELATIONS, NO_RELATION, READING_TASKS, RELATIONS, SENTIMENTS,
 )
 from trialloom.operators.canonical import propagate_labels
+from trialloom.operators.joins import positions
 from trialloom.operators.reshape import each, with_totals
 
 # factor -> (target type, mask column or None, label column, task that owns it or None)
@@ -62,6 +63,16 @@ def canonical_records(frame: DataFrame, catalog_labels: DataFrame) -> DataFrame:
     )
 
 
+def with_provenance(records: DataFrame, source: str, digest: str, rows_per_shard: int) -> DataFrame:
+    """``records`` with where each came from: ``source_dataframe_sha256``, ``eeg_locator`` (the source's row) and ``shard_locator``
+    (shard and offset of a sharded copy in the order of the source's rows)."""
+    placed = positions(records, "source_dataframe_row_index", "_at")
+    shard = F.format_string("shards/shard_%05d.npz#offset=%d", F.floor(F.col("_at") / rows_per_shard), F.pmod(F.col("_at"), F.lit(rows_per_shard)))
+    return placed.withColumns({
+        "source_dataframe_sha256": F.lit(digest), "shard_locator": shard,
+        "eeg_locator": F.concat(F.lit(f"{source}#row="), F.col("source_dataframe_row_index").cast("string"))}).drop("_at")
+
+
 def record_problems(records: DataFrame) -> DataFrame:
     """(trial_id, problem): labels outside their domain, masks outside their task, empty texts."""
     checks = {

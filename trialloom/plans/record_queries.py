@@ -1,5 +1,7 @@
 """Projections, label handling, canonical records, audits."""
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from trialloom.functions import keys, labels, text
@@ -100,6 +102,20 @@ def p10(t):
     return t.raw("customer").select(F.coalesce(given, made).alias("trial_id"))
 
 
+SOURCE, SHARD_ROWS = "documents.parquet", 128
+SOURCE_DIGEST = hashlib.sha256(SOURCE.encode()).hexdigest()
+
+
+@query("P10_record_provenance", f"""
+SELECT trial_id, '{SOURCE_DIGEST}' AS source_dataframe_sha256, '{SOURCE}#row=' || source_dataframe_row_index AS eeg_locator,
+       format('shards/shard_{{:05d}}.npz#offset={{}}', p // {SHARD_ROWS}, p % {SHARD_ROWS}) AS shard_locator
+FROM (SELECT *, row_number() OVER (ORDER BY source_dataframe_row_index) - 1 AS p FROM records)""")
+def p10b(t):
+    """The digest stands for the one that a source manifest names."""
+    return records.with_provenance(record_table(t), SOURCE, SOURCE_DIGEST, SHARD_ROWS).select(
+        "trial_id", "source_dataframe_sha256", "eeg_locator", "shard_locator")
+
+
 @query("P11_cohort", "SELECT trial_id, cohort FROM records")
 def p11(t):
     return source_frame(t).select(
