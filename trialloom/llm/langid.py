@@ -144,10 +144,14 @@ def train(labelled: DataFrame, max_train: int = MAX_TRAIN, max_words: int = MAX_
     if languages > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     quota = max(1, max_words // max(1, languages))
-    # tasks keep their first ``quota`` of a language before anything is shuffled
-    order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    most = counts.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= quota).select("word").distinct()
-    found = counts.join(most, "word").toArrow()  # max_words words, each in some of the languages
+    # how many words of a language have which count: levels from the top on until the quota is full, the last one by a hash
+    sizes = counts.groupBy("lang", "n").agg(F.count("*").alias("words"))
+    above = F.coalesce(F.sum("words").over(Window.partitionBy("lang").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    levels = sizes.withColumn("share", F.least(F.lit(1.0), (quota - above) / F.col("words"))).where("share > 0").drop("words")
+    place = F.pmod(F.xxhash64("word"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    # every level has a word, so there are at most max_words levels
+    most = counts.join(F.broadcast(levels), ["lang", "n"]).where(place < F.col("share")).select("word").distinct()
+    found = counts.join(most, "word").toArrow()  # about max_words words, each in some of the languages
     rows = list(zip(*(found.column(c).to_pylist() for c in ("lang", "word", "n"))))
     return build_model(rows, max_grams)
 
