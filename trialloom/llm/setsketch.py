@@ -7,13 +7,13 @@ similar. Bands of registers give candidates; from the registers that are larger,
 sizes the similarity is estimated by likelihood; what may reach the threshold is confirmed on the full sets.
 
 1. Equal sets become one class, by a digest of the set: copies are never compared, however many they are.
-2. Every class of a band's bucket is compared with the bucket's first class: registers first, and only the sets of pairs
-   that pass are read from the texts. Confirmed links give components.
-3. Only buckets that still hold several components are compared further, and only across components. Such a bucket is
-   dealt into blocks of bounded size and pairs of blocks go to separate tasks, twice: first with registers alone, which
-   tells the members that have a likely partner (most meet by chance and have none), then those members with their full
-   sets, where a link is given out only if it joins two components. No group's pairs are ever listed, and no member is left out.
-4. Components of all confirmed links; a document's component is the smallest doc_id in it.
+2. The classes of a band's bucket meet with their registers alone. A bucket is dealt into blocks of bounded size and pairs of
+   blocks go to separate tasks, which tell the likely links with the bucket's first class and the members that have another likely
+   partner; most meet by chance and have none. Only the sets of what is likely are read from the texts.
+3. Links with first classes are confirmed on the full sets and give components.
+4. Buckets whose flagged members are in several components are dealt once more, with full sets; there a link is given out only if
+   it joins two components. No group's pairs are ever listed, and no member is left out.
+5. Components of all confirmed links; a document's component is the smallest doc_id in it.
 
 Bands are set so that a pair at the threshold shares no bucket with a chance under ``MISS``; the likelihood test
 rejects a pair at the threshold with a chance of about 1e-7. Both are per pair, and more similar pairs fare better.
@@ -28,7 +28,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -157,23 +157,6 @@ def band_keys(classes: DataFrame, bands: int, width: int) -> DataFrame:
     return classes.select("node", "sketch").mapInArrow(run, "band long, number int, node long")
 
 
-def _likely(pairs: DataFrame, classes: DataFrame, m: int, num: int, den: int) -> DataFrame:
-    """The (a, b) of ``pairs`` that the registers do not rule out."""
-    of = classes.select("node", "n_shingles", "sketch")
-    joined = (pairs
-              .join(of.withColumnsRenamed({"node": "a", "n_shingles": "size_a", "sketch": "sketch_a"}), "a")
-              .join(of.withColumnsRenamed({"node": "b", "n_shingles": "size_b", "sketch": "sketch_b"}), "b"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = _sketch_rows(batch.column("sketch_a"), m), _sketch_rows(batch.column("sketch_b"), m)
-            ok = may_be_linked((left > right).sum(axis=1), (left < right).sum(axis=1), (left == right).sum(axis=1),
-                               batch.column("size_a").to_numpy(), batch.column("size_b").to_numpy(), num, den)
-            yield batch.select(["a", "b"]).filter(pa.array(ok))
-
-    return joined.mapInArrow(run, "a long, b long")
-
-
 def _shingle_table(docs: DataFrame, classes: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     """(node, items): the full sets of the classes in ``nodes``, read from the texts once more."""
     wanted = cut(classes.join(nodes.select("node").distinct(), "node").select("node", "digest", "first_id"))
@@ -216,17 +199,18 @@ def _dealt(rows: DataFrame, *extra: str) -> DataFrame:
     return dealt.repartition(parts, "band", "p", "q").sortWithinPartitions("band", "p", "q")
 
 
-def _partners(group: pa.Table, bands: int, width: int, num: int, den: int, size: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(i, places behind i) of the likely links between components of a group, each in the first band where its pair meets."""
-    node, root, own, leader = (group.column(c).to_numpy() for c in ("node", "root", "own", "leader"))
+def _partners(group: pa.Table, bands: int, width: int, num: int, den: int, size: np.ndarray,
+              open_pairs: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, places behind i) of the likely pairs of a group, each in the first band where its pair meets.
+
+    ``open_pairs(i, places)`` leaves out the places that need no look.
+    """
+    own, m = group.column("own").to_numpy(), bands * width
     number, crossing = group.column("number")[0].as_py(), group.column("p")[0].as_py() != group.column("q")[0].as_py()
-    m = bands * width
     sketch = _sketch_rows(group.column("sketch").combine_chunks(), m)
-    for i in range(len(node) - 1):
-        good = (root[i + 1:] != root[i]) & (node[i + 1:] != leader[i]) & (node[i] != leader[i])
-        if crossing:
-            good &= own[i + 1:] != own[i]
-        rest = i + 1 + np.flatnonzero(good)
+    for i in range(len(own) - 1):
+        rest = np.arange(i + 1, len(own))
+        rest = open_pairs(i, rest[own[rest] != own[i]] if crossing else rest)
         if len(rest):
             shared = (sketch[rest] == sketch[i]).reshape(len(rest), bands, width).all(axis=2)
             rest = rest[shared.argmax(axis=1) == number]
@@ -253,48 +237,66 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield held
 
 
-def _across(docs: DataFrame, k: int, buckets: DataFrame, classes: DataFrame, roots: DataFrame, bands: int, width: int,
+def _likely(buckets: DataFrame, classes: DataFrame, bands: int, width: int, num: int, den: int) -> DataFrame:
+    """What the registers do not rule out in the buckets (band, number, node, leader, blocks), their leaders included: (band, node) of
+    members with a likely partner, and (a, b) of members that are likely linked with the leader a. The other columns are null."""
+    members = buckets.unionByName(buckets.withColumn("node", F.col("leader")).distinct())
+    candidates = members.join(classes.select("node", "n_shingles", "sketch"), "node").withColumn("root", F.col("node"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _grouped(batches):
+            node, leader, band = (group.column(c).to_numpy() for c in ("node", "leader", "band"))
+            first = node == leader
+            flagged = np.zeros(group.num_rows, bool)
+            stars: list[int] = []
+
+            def open_pairs(i: int, rest: np.ndarray) -> np.ndarray:  # a flagged member need not be looked at again, but for the leader
+                return rest if first[i] else rest[~flagged[rest] | first[rest]] if flagged[i] else rest  # noqa: B023
+
+            for i, rest in _partners(group, bands, width, num, den, group.column("n_shingles").to_numpy(), open_pairs):
+                if first[i]:
+                    stars += rest.tolist()
+                else:
+                    lead = first[rest]
+                    stars += [i] if lead.any() else []
+                    if not lead.all():
+                        flagged[i] = flagged[rest[~lead]] = True
+            some, stars = np.flatnonzero(flagged), np.unique(np.array(stars, int))
+            if len(some) or len(stars):
+                none = lambda n: pa.nulls(n, pa.int64())
+                yield pa.RecordBatch.from_arrays([
+                    pa.concat_arrays([pa.array(band[some], pa.int64()), none(len(stars))]), pa.concat_arrays([pa.array(node[some], pa.int64()), none(len(stars))]),
+                    pa.concat_arrays([none(len(some)), pa.array(leader[stars], pa.int64())]), pa.concat_arrays([none(len(some)), pa.array(node[stars], pa.int64())])],
+                    ["band", "node", "a", "b"])
+
+    return _dealt(candidates, "n_shingles").mapInArrow(run, "band long, node long, a long, b long")
+
+
+def _across(buckets: DataFrame, flagged: DataFrame, classes: DataFrame, sets: DataFrame, roots: DataFrame, bands: int, width: int,
             num: int, den: int) -> DataFrame:
     """Confirmed links (a, b) between components that share a bucket: enough of them to join what belongs together.
 
-    Registers alone tell who has a likely partner; only those members' sets are read and meet again. A pair is passed over
-    while a chain of links already joins it, so a task gives out fewer links than it has members.
+    Only members with a likely partner (``flagged``) meet again, with their full sets. A pair is passed over while a chain of links
+    already joins it, so a task gives out fewer links than it has members.
     """
-    members = buckets.select("band", "number", "node", "leader").unionByName(
-        buckets.select("band", "number", F.col("leader").alias("node"), "leader").distinct())
-    rooted = cut(members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-
-    def still_mixed(rows: DataFrame, blocks) -> DataFrame:
-        mixed = rows.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), blocks.cast("int").alias("blocks"))
-        return rows.join(mixed.where("lo < hi").select("band", "blocks"), "band")
-
-    sketches = classes.select("node", "n_shingles", "sketch")
-    candidates = still_mixed(rooted, F.ceil(F.count("*") / F.lit(SKETCH_BLOCK))).join(sketches, "node")
-
-    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _grouped(batches):
-            flagged = np.zeros(group.num_rows, bool)
-            for i, rest in _partners(group, bands, width, num, den, group.column("n_shingles").to_numpy()):
-                flagged[i] = flagged[rest] = True
-            if flagged.any():
-                kept = group.filter(pa.array(flagged)).combine_chunks()
-                yield pa.RecordBatch.from_arrays([kept.column(c).chunk(0) for c in ("band", "node")], ["band", "node"])
-
-    flagged = cut(_dealt(candidates, "n_shingles").mapInArrow(likely, "band long, node long").distinct())
-    sets = cut(_shingle_table(docs, classes, flagged, k))
-    members = rooted.join(flagged, ["band", "node"]).join(sketches, "node")
+    members = flagged.join(buckets.select("band", "number", "leader").distinct(), "band")
+    members = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(
+        classes.select("node", "n_shingles", "sketch"), "node")
     blocks = F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("n_shingles") * 8 / F.lit(BLOCK_BYTES)))
-    checked = still_mixed(members, blocks).join(sets, "node")
+    members = cut(members)
+    mixed = members.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), blocks.cast("int").alias("blocks"))
+    checked = members.join(mixed.where("lo < hi").select("band", "blocks"), "band").join(sets, "node")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _grouped(batches):
-            node, root = group.column("node").to_numpy(), group.column("root").to_numpy()
+            node, part = group.column("node").to_numpy(), group.column("root").to_numpy().copy()  # part: the component, with the links found here
             items = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("items")]
-            joined, found = _Joined(root), []
-            for i, rest in _partners(group, bands, width, num, den, np.array([len(x) for x in items])):
+            apart = lambda i, rest: rest[part[rest] != part[i]]  # noqa: B023, E731
+            found = []
+            for i, rest in _partners(group, bands, width, num, den, np.array([len(x) for x in items]), apart):
                 for at in rest.tolist():
-                    if joined.top(root[i]) != joined.top(root[at]) and similar(items[i], items[at], num, den):
-                        joined.join(root[i], root[at])
+                    if part[i] != part[at] and similar(items[i], items[at], num, den):
+                        part[part == part[at]] = part[i]
                         found.append((node[i], node[at]))
             if found:
                 pairs = np.array(found, np.int64)
@@ -303,21 +305,6 @@ def _across(docs: DataFrame, k: int, buckets: DataFrame, classes: DataFrame, roo
     return _dealt(checked, "items").mapInArrow(confirm, "a long, b long").distinct()
 
 
-class _Joined:
-    """Which components of one group of rows the links found there have joined."""
-
-    def __init__(self, roots: np.ndarray):
-        self.parent = {r: r for r in roots.tolist()}
-
-    def top(self, root: int) -> int:
-        while self.parent[root] != root:
-            self.parent[root] = root = self.parent[self.parent[root]]
-        return root
-
-    def join(self, a: int, b: int) -> None:
-        self.parent[self.top(a)] = self.top(b)
-
-
 def similar(left: np.ndarray, right: np.ndarray, num: int, den: int) -> bool:
     """den x intersection >= num x union of two sorted sets."""
     if not len(left) or not len(right):
@@ -340,16 +327,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     classes = cut(rows.where("digest IS NOT NULL").groupBy("digest").agg(
         F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n_shingles"), F.max("sketch").alias("sketch"),
         F.count("*").alias("copies")).withColumn("node", F.monotonically_increasing_id()))
-    keys = band_keys(classes, bands, width)
-    leaders = keys.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("size")).where("size > 1")
-    buckets = cut(keys.join(leaders.select("band", "leader"), "band").where("node <> leader"))
-
-    stars = buckets.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    first = cut(_likely(stars, classes, m, num, den))
-    near = first.select(F.col("a").alias("node")).unionByName(first.select(F.col("b").alias("node")))
-    links = cut(_confirmed(first, cut(_shingle_table(docs, classes, near, k)), num, den))
-    roots = components(links)
-    more = cut(_across(docs, k, buckets, classes, roots, bands, width, num, den))
+    keys = cut(band_keys(classes, bands, width))
+    leaders = keys.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("size")).where("size > 1").select(
+        "band", "leader", F.ceil(F.col("size") / F.lit(SKETCH_BLOCK)).cast("int").alias("blocks"))
+    buckets = cut(keys.join(leaders, "band").where("node <> leader"))
+
+    likely = cut(_likely(buckets, classes, bands, width, num, den))
+    flagged, stars = likely.where("a IS NULL").select("band", "node").distinct(), likely.where("a IS NOT NULL").select("a", "b").distinct()
+    near = flagged.select("node").unionByName(stars.select(F.col("a").alias("node"))).unionByName(stars.select(F.col("b").alias("node")))
+    sets = cut(_shingle_table(docs, classes, near, k))
+    roots = components(cut(_confirmed(stars, sets, num, den)))
+    more = cut(_across(buckets, flagged, classes, sets, roots, bands, width, num, den))
     roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
     rooted = cut(classes.select("node", "digest", "first_id", "copies").join(roots, "node", "left")
