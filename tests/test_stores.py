@@ -147,3 +147,24 @@ def test_conflicting_labels_are_an_error_or_a_report(spark):
 def test_at_least_two_folds(spark):
     rows = spark.createDataFrame([("a", "s1"), ("a", "s2"), ("b", "s1")], "label string, subject string")
     assert tuple(splits.feasible_folds(rows, "label", "subject", 5).first()) == (1, 2)
+
+
+def test_conflicting_labels_can_be_reported_with_every_row(spark):
+    source = spark.createDataFrame([("t1", "A"), ("t1", "B"), ("t2", "A"), ("t3", None)], "key string, label string")
+    targets = spark.createDataFrame([("t1",), ("t1",), ("t2",), ("t3",), ("t4",)], "key string")
+    got = canonical.propagate_labels(targets, source, "key", "label", "report").collect()
+    assert sorted((r.key, r.label or "", r.label_conflict) for r in got) == [
+        ("t1", "", True), ("t1", "", True), ("t2", "A", False), ("t3", "", False), ("t4", "", False)]
+
+
+def test_records_of_texts_with_several_relations_have_none(spark):
+    from trialloom.operators import records
+
+    row = lambda i, dataset, task, words: (i, dataset, task, "s", "train", words, "u", "positive", "award", "x", "t", "1.0")
+    frame = spark.createDataFrame(
+        [row(0, "ZuCo1", "task2", "one  text"), row(1, "ZuCo2", "task2", "one text"), row(2, "ZuCo1", "task2", "other")],
+        "row_idx long, dataset string, task string, subject string, phase string, input_text string, text_uid string, sentiment_label string,"
+        " relation_label string, semkey_sentiment_2 string, topic_label string, surprisal string")
+    catalog = spark.createDataFrame([("one text", "award"), ("one text", "wife"), ("other", "wife")], "norm_text string, relation_types string")
+    got = records.canonical_records(frame, catalog).orderBy("source_dataframe_row_index").collect()
+    assert [(r.nr_relation_content, r.mask_nr_relation_content, r.nr_relation_conflict) for r in got] == [(None, 0, 1), (None, 0, 0), ("wife", 1, 0)]
