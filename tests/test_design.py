@@ -208,6 +208,25 @@ def test_epoch_plan_is_balanced_and_audited(spark):
     assert {(r["n"], r["own"]) for r in degrees} == {(32, 1)}
 
 
+def test_epoch_plans_send_nothing_that_grows_to_the_driver(spark):
+    roles = fold_rows(spark)
+    built = lambda df: df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert built(batches.epoch_plan(roles, 2, 7)).count("BroadcastExchange") == 1  # the sizes of folds x epochs x cells
+    plan = batches.epoch_plan(roles, 2, 7).cache()
+    assert "Join" not in built(batches.hash_negatives(plan, 32, 1, "d"))
+    degrees = batches.mask_degrees(plan, "reading_task")
+    assert "Join" not in built(degrees)
+    listed = batches.group_masks(plan, "reading_task").groupBy("outer_fold", "epoch", "batch", "anchor").agg(F.count("*").alias("degree"))
+    assert sorted(degrees.collect()) == sorted(listed.select(*degrees.columns).collect())
+
+
+def test_a_short_batch_is_a_ring_of_its_own(spark):
+    plan = spark.createDataFrame([(0, 0, 0, f"t{i}") for i in range(5)] + [(0, 0, 1, "u")], "outer_fold int, epoch int, batch long, trial_id string")
+    got = batches.hash_negatives(plan, 3, 1, "d").collect()
+    assert Counter((r.batch, r.anchor) for r in got) == Counter({(0, f"t{i}"): 3 for i in range(5)} | {(1, "u"): 1})
+    assert Counter(r.candidate for r in got if r.batch == 0) == Counter({f"t{i}": 3 for i in range(5)})
+
+
 def test_roles_and_overlap(spark):
     roles = fold_rows(spark)
     assert roles.count() == 5 * 320
