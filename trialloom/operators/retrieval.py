@@ -50,6 +50,29 @@ def rank_positive(scores: DataFrame, query: list[str]) -> DataFrame:
     )
 
 
+def pool_rows(scores: DataFrame, query: list[str], value: str) -> DataFrame:
+    """One row per query with its ``pool``, an array of (candidate_id, candidate_rank, is_positive, is_donor_text, ``value``).
+    Pools have a fixed size. Rows of a query that lie together combine before they move."""
+    return scores.groupBy(*query).agg(F.collect_list(F.struct("candidate_id", "candidate_rank", "is_positive", "is_donor_text", value)).alias("pool"))
+
+
+def rank_pools(pools: DataFrame, query: list[str]) -> DataFrame:
+    """What ``rank_positive`` gives, from whole pools (``pool_rows``, with ``score``): each row by itself, nothing moves."""
+    def flagged(flag: int) -> Column:
+        return F.filter("pool", lambda c: c["is_positive"] == flag)
+
+    held = pools.select(*query, "pool", F.array_max(F.transform(flagged(1), lambda c: F.struct(
+        c["score"].alias("s"), c["candidate_rank"].alias("r")))).alias("_p"))
+    s, r = F.col("_p.s"), F.col("_p.r")
+    best = F.array_max(F.transform("pool", lambda c: F.struct(
+        c["score"].alias("s"), (-c["candidate_rank"]).alias("r"), c["candidate_id"].alias("id"))))
+    return held.select(
+        *query, (F.size(F.filter("pool", lambda c: (c["score"] > s) | ((c["score"] == s) & (c["candidate_rank"] < r)))) + 1).alias("positive_rank"),
+        F.size(F.filter("pool", lambda c: c["score"] >= s)).alias("worst_rank"),
+        (s - F.array_max(F.transform(flagged(0), lambda c: c["score"]))).alias("margin"),
+        F.size("pool").alias("candidate_pool_size"), best["id"].alias("top_candidate_id"))
+
+
 def with_hits(ranked: DataFrame) -> DataFrame:
     rank = F.col("positive_rank")
     return ranked.withColumns({
@@ -83,7 +106,7 @@ def seed_average(predictions: DataFrame, trial: list[str], seeds: int, value: st
     """Mean over seeds per trial; ``complete`` tells whether every seed is there exactly once."""
     return predictions.groupBy("arm_id", "signal_condition", *trial).agg(
         F.avg(value).alias(value),
-        ((F.count("*") == seeds) & (F.count_distinct("training_seed") == seeds)).alias("complete"))
+        ((F.count("*") == seeds) & (F.size(F.collect_set("training_seed")) == seeds)).alias("complete"))
 
 
 def wide_by_arm(averaged: DataFrame, trial: list[str], arms: list[str], conditions: list[str], value: str = "reciprocal_rank") -> DataFrame:

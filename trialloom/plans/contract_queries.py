@@ -8,7 +8,7 @@ from trialloom.operators import contracts, joins, records, reshape, retrieval
 from trialloom.plans.record_views import record_table, source_frame
 from trialloom.plans.registry import query
 from trialloom.plans.retrieval_queries import metric_table, rounded
-from trialloom.plans.score_views import ARMS, BASELINES, MODEL, PREDICTION, SEEDS, SIGNALS, arm_scores, preds, seed_avg
+from trialloom.plans.score_views import ARMS, BASELINES, MODEL, PREDICTION, SEEDS, SIGNALS, arm_pools, arm_scores, preds, seed_avg
 from trialloom.plans.tables import FOLDS, POOL, SEED, VIEWS
 from trialloom.plans.xfit_views import doc_rows, vec_donors, vec_pools, xfit_roles
 
@@ -300,7 +300,8 @@ SELECT trial_id, signal_condition, 2 AS pools, 6 AS scorings FROM (SELECT DISTIN
 def v10(t):
     row = F.substring("trial_id", -6, 6).cast("bigint")
     moved = (row % 25 == 6) & (F.col("arm_id") == MODEL) & (F.col("training_seed") == 2)
-    scores = arm_scores(t).withColumn("candidate_rank", F.when(moved, F.lit(POOL - 1) - F.col("candidate_rank")).otherwise(F.col("candidate_rank")))
+    scores = arm_pools(t).withColumn("pool", F.when(moved, F.transform("pool", lambda c: c.withField(
+        "candidate_rank", F.lit(POOL - 1) - c["candidate_rank"]))).otherwise(F.col("pool")))
     out = contracts.unbound_pools(scores, ["trial_id", "signal_condition"], ["arm_id", "training_seed"])
     return out.withColumns({"pools": F.col("pools").cast("int"), "scorings": F.col("scorings").cast("int")})
 
