@@ -297,3 +297,12 @@ def test_whole_pools_rank_and_bind_as_their_rows_do(spark):
     other = scores.withColumn("candidate_rank", F.when(moved, 3 - F.col("candidate_rank")).otherwise(F.col("candidate_rank")))
     found = [contracts.unbound_pools(s, ["q"], ["seed"]).collect() for s in (other, retrieval.pool_rows(other, ["q", "seed"], "score"))]
     assert [tuple(r) for r in found[0]] == [tuple(r) for r in found[1]] == [(2, 2, 2)]
+
+
+def test_bleu_counts_grams_without_rows_of_their_own(spark):
+    one = spark.createDataFrame([(1, "a b a b c"), (2, None), (3, "x")], "id int, prediction string")
+    refs = spark.createDataFrame([(1, 0, "a b a"), (1, 1, "b c"), (2, 0, "y"), (4, 0, "z")], "id int, ref int, reference string")
+    scored = textmetrics.bleu(one, refs)
+    got = {r.id: (r.bleu1, r.bleu2) for r in scored.collect()}
+    assert got == {1: (pytest.approx(4 / 5), pytest.approx(math.sqrt(4 / 5 * 3 / 4))), 2: (0.0, 0.0), 3: (0.0, 0.0)}
+    assert "Generate" not in scored._jdf.queryExecution().optimizedPlan().toString()

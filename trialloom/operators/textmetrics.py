@@ -5,7 +5,11 @@ Pairs are placed by id once; n-grams are unfolded after that, so every count per
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import IntegerType
 
@@ -48,24 +52,55 @@ def variant_references(pairs: DataFrame, variants: DataFrame, key: str, columns:
     return found.select("id", F.posexplode(refs).alias("ref", "reference"))
 
 
+def clipped_grams(items: list[str], references: list[list[str]], n: int) -> tuple[int, int]:
+    """The n-grams of a word list that a reference has, counts clipped by the best reference, and all its n-grams."""
+    def grams(words) -> Counter:
+        return Counter(zip(*(words[i:] for i in range(n))))
+
+    own, best = grams(items), Counter()
+    for ref in references:
+        best |= grams(ref)
+    return sum((own & best).values()), sum(own.values())
+
+
 def bleu(predictions: DataFrame, references: DataFrame, top: int = 4) -> DataFrame:
-    """(id, bleu1..bleu<top>): sentence scores with several references, counts clipped by the best reference."""
-    placed = predictions.select("id", words(F.col("prediction")).alias("w")).repartition("id")
-    refs = references.select("id", "ref", words(F.col("reference")).alias("w")).repartition("id")
-    own = gram_rows(placed, ["id"], F.col("w"), top).groupBy("id", "n", "gram").agg(F.count("*").alias("c"))
-    best = gram_rows(refs, ["id", "ref"], F.col("w"), top).groupBy("id", "n", "gram", "ref").agg(F.count("*").alias("c")).groupBy(
-        "id", "n", "gram").agg(F.max("c").alias("m"))
-    hits = own.join(best, ["id", "n", "gram"], "left").groupBy("id", "n").agg(
-        F.sum(F.least("c", F.coalesce("m", F.lit(0)))).alias("hit"), F.sum("c").alias("all"))
-    sizes = refs.select("id", "ref", F.size("w").alias("r")).join(placed.select("id", F.size("w").alias("p")), "id")
-    closest = sizes.groupBy("id").agg(F.max("p").alias("p"), F.min_by("r", F.struct(F.abs(F.col("r") - F.col("p")), "ref")).alias("r"))
-    return _bleu_from_hits(predictions.select("id"), hits, closest, top)
+    """(id, bleu1..bleu<top>): sentence scores with several references, counts clipped by the best reference.
+
+    Texts move to their id once; n-grams are counted a row at a time and never become rows.
+    """
+    refs = references.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("ref", words(F.col("reference")).alias("w")))).alias("_refs"))
+    rows = predictions.select("id", words(F.col("prediction")).alias("_w")).join(refs.hint("merge"), "id", "left")
+    held = F.size("_w")
+    closest = F.array_min(F.transform("_refs", lambda x: F.struct(
+        F.abs(F.size(x["w"]) - held).alias("gap"), x["ref"].alias("ref"), F.size(x["w"]).alias("r"))))
+    rows = rows.select("id", F.when(F.col("_refs").isNotNull(), held).alias("p"), closest["r"].alias("r"), "_w",
+                       F.transform("_refs", lambda x: x["w"]).alias("_refs"))
+    kinds = ", ".join([f"id {rows.schema['id'].dataType.simpleString()}, p int, r int", *(f"h{n} long, a{n} long" for n in range(1, top + 1))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns: list[list] = [[] for _ in range(2 * top)]
+            for items, refs in zip(batch.column("_w"), batch.column("_refs")):
+                items, refs = items.as_py() or [], [r or [] for r in refs.as_py() or []]
+                for n in range(1, top + 1):
+                    hit, every = clipped_grams(items, refs, n)
+                    columns[2 * n - 2].append(hit if every else None)
+                    columns[2 * n - 1].append(every or None)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("id", "p", "r")), *(pa.array(c, pa.int64()) for c in columns)],
+                ["id", "p", "r", *(f"{c}{n}" for n in range(1, top + 1) for c in "ha")])
+
+    return _bleu_scores(rows.mapInArrow(run, kinds), top)
 
 
 def _bleu_from_hits(ids: DataFrame, hits: DataFrame, lengths: DataFrame, top: int) -> DataFrame:
     cells = [F.max(F.when(F.col("n") == n, F.col("hit"))).alias(f"h{n}") for n in range(1, top + 1)]
     cells += [F.max(F.when(F.col("n") == n, F.col("all"))).alias(f"a{n}") for n in range(1, top + 1)]
-    wide = ids.join(hits.groupBy("id").agg(*cells), "id", "left").join(lengths, "id", "left")
+    return _bleu_scores(ids.join(hits.groupBy("id").agg(*cells), "id", "left").join(lengths, "id", "left"), top)
+
+
+def _bleu_scores(wide: DataFrame, top: int) -> DataFrame:
+    """(id, bleu1..bleu<top>) from the lengths p and r, and per n the hits h<n> among all a<n> (null without n-grams)."""
     brevity = F.when(F.coalesce("p", F.lit(0)) == 0, 0.0).when(F.col("p") > F.col("r"), 1.0).otherwise(F.exp(1 - F.col("r") / F.col("p")))
     out = []
     for k in range(1, top + 1):
@@ -169,10 +204,9 @@ def greedy_token_f1(df: DataFrame, key: str) -> DataFrame:
 def cider(pairs: DataFrame, top: int = 4, sigma: float = 6.0) -> DataFrame:
     """(id, cider): mean over n of the clipped tf-idf cosine of prediction and target, length-penalised, times ten."""
     placed = pairs.select("id", words(F.lower("prediction")).alias("p"), words(F.lower("target")).alias("t")).repartition("id")
-    def counted(column: str, out: str) -> DataFrame:
-        return gram_rows(placed, ["id"], F.col(column), top).groupBy("id", "n", "gram").agg(F.count("*").alias(out))
-
-    both = counted("p", "tp").join(counted("t", "tt"), ["id", "n", "gram"], "full_outer").na.fill(0, ["tp", "tt"])
+    sides = placed.select("id", F.explode(F.array(F.struct(F.col("p").alias("w"), F.lit(1).alias("own")), F.struct(F.col("t").alias("w"), F.lit(0).alias("own")))).alias("s"))
+    both = gram_rows(sides.select("id", "s.w", "s.own"), ["id", "own"], F.col("w"), top).groupBy("id", "n", "gram").agg(
+        F.sum("own").alias("tp"), F.sum(1 - F.col("own")).alias("tt"))
     df = both.where("tt > 0").groupBy("n", "gram").agg(F.count("*").alias("df"))
     corpus = pairs.agg(F.log(F.count("*").cast("double")).alias("_log")).scalar()
     weighted = both.join(df, ["n", "gram"], "left").withColumn("idf", corpus - F.log(F.greatest(F.coalesce("df", F.lit(0)), F.lit(1)).cast("double")))
