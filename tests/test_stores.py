@@ -168,3 +168,17 @@ def test_records_of_texts_with_several_relations_have_none(spark):
     catalog = spark.createDataFrame([("one text", "award"), ("one text", "wife"), ("other", "wife")], "norm_text string, relation_types string")
     got = records.canonical_records(frame, catalog).orderBy("source_dataframe_row_index").collect()
     assert [(r.nr_relation_content, r.mask_nr_relation_content, r.nr_relation_conflict) for r in got] == [(None, 0, 1), (None, 0, 0), ("wife", 1, 0)]
+
+
+def test_hashed_files_grow_in_number_not_in_size(spark):
+    from trialloom.plans import load_all
+    from trialloom.plans.registry import QUERIES
+
+    load_all()
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "32k")
+    try:
+        assert QUERIES["S15_file_digests"](spark, "/root/testdata/sf0.001").count() > 4
+    finally:
+        spark.conf.set(name, before)

@@ -156,7 +156,7 @@ def s15(t):
 @query("S15_file_digests")
 def s15b(t):
     path = scratch(t, "s15")
-    t.raw("documents").repartition(4).write.parquet(path)
+    t.raw("documents").hint("rebalance").write.parquet(path)
     return sinks.artifact_manifest(t.spark, path).where("file like '%.parquet'").select("bytes", "sha256")
 
 
