@@ -175,10 +175,13 @@ def test_hashed_files_grow_in_number_not_in_size(spark):
     from trialloom.plans.registry import QUERIES
 
     load_all()
-    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "32k")
+    wanted = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.shuffle.partitions": "16",
+              "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         assert QUERIES["S15_file_digests"](spark, "/root/testdata/sf0.001").count() > 4
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
