@@ -14,14 +14,18 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from trialloom.functions.draws import weights
 from trialloom.functions.keys import ring_hash
 from trialloom.operators.ranking import position_by_ring
-from trialloom.operators.reshape import with_totals
+from trialloom.operators.reshape import each, with_totals
 from trialloom.session import cut
 
 ZERO = 1e-12
-#: attempts whose weights a task holds at a time, and most clusters and cells of a tile
+#: most attempts whose weights a task makes at a time, most weights it holds, and most clusters and cells of a tile
 ATTEMPT_BLOCK = 64
-TILE_CLUSTERS = 1 << 16
-TILE_CELLS = 1 << 20
+HELD_WEIGHTS = 1 << 22
+TILE_CLUSTERS = 1 << 18
+TILE_CELLS = 1 << 18
+#: tasks at least (where tiles are fewer, they share a tile's attempts), and most shuffle partitions
+FEWEST_TASKS = 48
+MOST_PARTITIONS = 4096
 ROWS = 8192
 MOST_TRIES = 1000
 
@@ -36,9 +40,10 @@ def replicate_sums(rows: DataFrame, clusters: list[str], strata: list[str], meas
     """(attempt, strata, measures): the measures summed under resampled clusters, one-way or two-way (product weights).
 
     Rows collapse to one cell per combination of clusters and stratum. Cells are dealt to tiles, a block of each cluster's
-    numbers times a slice of what stands there, and move once. A tile makes the weights of its blocks itself, some attempts
-    at a time, from the seed: no draw is shuffled or broadcast, whatever the number of clusters, cells and attempts. It gives
-    out strata x attempts partial sums. A stratum that no drawn cluster holds is left out.
+    numbers times a slice of what stands there, and where they are few, several tasks share a tile's attempts. A task
+    makes the weights of its blocks itself, some attempts at a time, from the seed: no draw is shuffled or broadcast, whatever
+    the number of clusters, cells and attempts. It gives out strata x attempts partial sums. A stratum that no drawn cluster
+    holds is left out.
     """
     cells = rows.groupBy(*clusters, *strata).agg(*[F.sum(m).cast("double").alias(m) for m in measures])
     sizes: dict[str, int] = {}
@@ -51,7 +56,13 @@ def replicate_sums(rows: DataFrame, clusters: list[str], strata: list[str], meas
     cells = cut(cells.select(*numbers, *blocks, *strata, *measures))
     tile = [f"{n}_block" for n in numbers]
     slices = cells.groupBy(*tile).agg(F.ceil(F.count("*") / F.lit(TILE_CELLS)).cast("int").alias("_slices"))
+    tiles = slices.agg(F.sum("_slices")).first()[0] or 0
+    share = -(-attempts // -(-FEWEST_TASKS // max(tiles, 1)))
+    parts = -(-attempts // share)
     dealt = cells.join(slices, tile).withColumn("_slice", F.pmod(F.xxhash64(*numbers), F.col("_slices")))
+    # A named number of partitions: the rows are few and the work on them long, so none must be joined by their size.
+    dealt = each(dealt.drop("_slices"), "_part", list(range(parts))).repartition(
+        max(1, min(2 * tiles * parts, MOST_PARTITIONS)), *tile, "_slice", "_part")
     kinds = {c: cells.schema[c].dataType.simpleString() for c in strata}
 
     def partial(table: pa.Table) -> pa.Table:
@@ -64,8 +75,11 @@ def replicate_sums(rows: DataFrame, clusters: list[str], strata: list[str], meas
         last = [int(p.max()) + 1 for p in places]
         bounds = np.searchsorted(stratum[order], np.arange(len(keys) + 1))
         out = []
-        for begin in range(0, attempts, ATTEMPT_BLOCK):
-            some = range(begin, min(begin + ATTEMPT_BLOCK, attempts))
+        some_at_once = max(1, min(ATTEMPT_BLOCK, HELD_WEIGHTS // max(hi - lo for lo, hi in zip(first, last))))
+        start = table.column("_part")[0].as_py() * share
+        stop = min(start + share, attempts)
+        for begin in range(start, stop, some_at_once):
+            some = range(begin, min(begin + some_at_once, stop))
             made = [weights(seed, c, some, sizes[c], lo, hi) for c, lo, hi in zip(clusters, first, last)]
             for k, key in enumerate(keys):
                 sums, weight = np.zeros((len(some), len(measures))), np.zeros(len(some))
@@ -83,7 +97,7 @@ def replicate_sums(rows: DataFrame, clusters: list[str], strata: list[str], meas
         return pa.concat_tables(out)
 
     schema = ", ".join(["attempt long", *(f"`{c}` {k}" for c, k in kinds.items()), *(f"`{m}` double" for m in measures)])
-    out = dealt.drop("_slices").groupBy(*tile, "_slice").applyInArrow(partial, schema)
+    out = dealt.groupBy(*tile, "_slice", "_part").applyInArrow(partial, schema)
     return out.groupBy("attempt", *strata).agg(*[F.sum(m).alias(m) for m in measures])
 
 
@@ -109,11 +123,22 @@ def bootstrap_macro(effects: DataFrame, clusters: list[str], replicates: int, se
     long as a series is short; a series still short after ``MOST_TRIES`` x replicates attempts is an error.
     Attempts are numbered draws, so more of them never change the first ones.
     """
-    strata = ["contrast", *(fixed or []), "reading_task"]
-    wanted = effects.select(*strata).distinct().groupBy("contrast").agg(F.count("*").alias("_strata"))
-    series, attempts = wanted.count(), int(replicates * redraw)
+    strata = [*(fixed or []), "reading_task"]
+    wanted = effects.select("contrast", *strata).distinct().groupBy("contrast").agg(F.count("*").alias("_strata"))
+    names = [row["contrast"] for row in wanted.select("contrast").orderBy("contrast").collect()]
+    series, attempts = len(names), int(replicates * redraw)
+    if not names:
+        return effects.sparkSession.createDataFrame([], f"contrast {effects.schema['contrast'].dataType.simpleString()}, replicate int, macro double, NR double, TSR double")
+    # The contrasts of a cell are measures of one row: they share its weights.
+    measures = [f"{m}_{i}" for i in range(series) for m in ("effect", "n")]
+    own = [F.col("contrast").eqNullSafe(F.lit(name)) for name in names]
+    cells = effects.groupBy(*clusters, *strata).agg(*[column for i, mine in enumerate(own) for column in (
+        F.when(F.count_if(mine) == 0, 0.0).otherwise(F.sum(F.when(mine, F.col("effect")))).alias(f"effect_{i}"), F.count_if(mine).alias(f"n_{i}"))])
+    long = F.inline(F.array(*[F.struct(F.lit(name).alias("contrast"), F.col(f"effect_{i}").alias("effect"), F.col(f"n_{i}").alias("n"))
+                              for i, name in enumerate(names)]))
     while True:
-        summed = replicate_sums(effects.withColumn("n", F.lit(1).cast("bigint")), clusters, strata, ["effect", "n"], attempts, seed)
+        summed = replicate_sums(cells, clusters, strata, measures, attempts, seed)
+        summed = summed.select("attempt", *strata, long).where("n > 0")
         per_task = summed.groupBy("contrast", "attempt", "reading_task").agg(
             (F.sum("effect") / F.sum("n")).alias("mean"), F.count("*").alias("_seen"))
         macro = per_task.groupBy("contrast", "attempt").agg(
