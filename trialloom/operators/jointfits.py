@@ -26,6 +26,12 @@ TOLERANCE = 1e-7  # relative decrease of the loss at which a fit has converged
 MODEL_BYTES = 32 << 20
 GRAM_BYTES = 64 << 20
 SLICE = 2048
+HELD_SCORES = 1 << 20  # scores (rows x models x classes) that a task holds in one array; a pass has about six such arrays
+
+
+def rows_at_once(models: int, classes: int) -> int:
+    """Rows of a slice: the more models are fitted together, the fewer."""
+    return max(1, min(SLICE, HELD_SCORES // max(1, models * classes)))
 
 
 def numbered_groups(df: DataFrame, group: str) -> tuple[DataFrame, list]:
@@ -54,15 +60,15 @@ def without(total: tuple, part: tuple) -> tuple:
     return n, mean, np.maximum(squares, 0.0)
 
 
-def reduced(rows: DataFrame, columns: list[str], per_batch: Callable, merge: Callable):
-    """``merge`` over all tasks of what ``per_batch`` makes of slices of the columns (arrays become matrices); None without rows."""
+def reduced(rows: DataFrame, columns: list[str], per_batch: Callable, merge: Callable, at_once: int = SLICE):
+    """``merge`` over all tasks of what ``per_batch`` makes of slices of ``at_once`` rows (arrays become matrices); None without rows."""
     wanted = rows.select(*columns)
 
     def run(batches):
         held = None
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = per_batch(*(_matrix(c) for c in batch.slice(at, SLICE).columns))
+            for at in range(0, batch.num_rows, at_once):
+                part = per_batch(*(_matrix(c) for c in batch.slice(at, at_once).columns))
                 held = part if held is None else merge(held, part)
         if held is not None:
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(held)], pa.binary())], ["part"])
@@ -144,7 +150,7 @@ class JointFits:
             wrong *= w[:, :, None]
             return [-(w * at).sum(axis=0), (wrong.reshape(len(x), -1).T @ x).reshape(k, classes, width), wrong.sum(axis=0)]
 
-        values, steep, sums = reduced(self.rows, ["x", "ys", "_g"], per_batch, _added)
+        values, steep, sums = reduced(self.rows, ["x", "ys", "_g"], per_batch, _added, rows_at_once(k, classes))
         n, penalty = np.maximum(self.n[only], 1.0), self.penalty[only]
         gradient = np.concatenate([(steep - sums[:, :, None] * self.mean[only][:, None, :]) * self.scale[only][:, None, :], sums[:, :, None]], axis=2)
         ridge = point.copy()
