@@ -51,6 +51,44 @@ def test_small_blocks_lose_nothing(spark, monkeypatch):
     assert got == {i: c for i, (_, c) in groups(rows, 3, 85, 100).items()}
 
 
+def family(n):
+    """Copies of one text with one to three words replaced, and as many with so many that they are linked with nothing."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(n):
+        words = [f"w{j}" for j in range(150)]
+        for place in rng.choice(148, int(rng.integers(1, 4)) if i % 2 else 9, replace=False):
+            words[place + 1] = f"own{i}x{place}"
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+def test_members_that_stay_apart_are_not_dealt_to_all_blocks(spark, monkeypatch):
+    monkeypatch.setattr(setsketch, "BLOCK", 16)
+    counts = []
+
+    def counted(rows, *extra, dealt=setsketch._dealt):
+        out = dealt(rows, *extra)
+        if "items" in extra:
+            counts.append((rows.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(setsketch, "_dealt", counted)
+    for n in (200, 400):
+        rows = family(n)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in setsketch.near_duplicates(frame(spark, rows), 3, 85, 100).collect()}
+        assert got == groups(rows, 3, 85, 100)
+        assert len({c for _, c in got.values()}) > n // 3
+    assert all(dealt <= 3 * max(members, n // 4) for (members, dealt), n in zip(counts, (200, 400)))
+
+
+def test_lone_items_are_held_by_one_set(spark):
+    sets = {1: [1, 2, 3], 2: [3, 4, 5], 3: [5, 3], 4: [9]}
+    rows = [(node, np.array(items, np.uint64).tobytes()) for node, items in sets.items()]
+    lone = setsketch._lone(spark.createDataFrame(rows, "node long, items binary"))
+    assert {r.node: r.lone for r in lone.collect()} == {1: 2, 2: 1, 4: 1}
+
+
 def test_near_duplicates_of_awkward_rows(spark):
     rows = [(5, "a b c d e f"), (5, "a b c d e f"), (3, "A B C D E F"), (None, "a b c d e f"), (None, "lonely words here now"), (7, None), (8, "")]
     got = sorted((str(r.doc_id), str(r.component_id), r.kept) for r in setsketch.near_duplicates(frame(spark, rows), 5).collect())

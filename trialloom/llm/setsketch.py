@@ -11,8 +11,11 @@ sizes the similarity is estimated by likelihood; what may reach the threshold is
    blocks go to separate tasks, which tell the likely links with the bucket's first class and the members that have another likely
    partner; most meet by chance and have none. Only the sets of what is likely are read from the texts.
 3. Links with first classes are confirmed on the full sets and give components.
-4. Buckets whose flagged members are in several components are dealt once more, with full sets; there a link is given out only if
-   it joins two components. No group's pairs are ever listed, and no member is left out.
+4. In buckets whose flagged members are in several components, a member leaves if too many of its shingles are held by no other of
+   these members to reach the threshold with a set of the bucket's sizes: it has no link there. The rest is linked with the bucket's
+   most central member, the one with the least share of such shingles. What is still apart meets once more, with full sets: members outside a
+   bucket's largest component with all others, those inside it not with each other. A link is given out only if it joins two
+   components. No group's pairs are ever listed, and no link is left out.
 5. Components of all confirmed links; a document's component is the smallest doc_id in it.
 
 Bands are set so that a pair at the threshold shares no bucket with a chance under ``MISS``; the likelihood test
@@ -32,7 +35,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from trialloom.llm.graph import components, join_counted, with_ids
 from trialloom.llm.words import VISIBLE, find_words, grams, mix, slices
@@ -189,16 +192,19 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
 
 
 def _dealt(rows: DataFrame, *extra: str) -> DataFrame:
-    """``rows`` (band, number, node, leader, root, blocks, sketch) once for each pair of blocks of its bucket, in groups (band, p, q)."""
-    blocks = F.col("blocks")
-    dealt = (rows.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-             .withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    """``rows`` (band, number, node, leader, root, own, blocks, sketch), of the block ``own`` of their bucket, once for each of its first
+    ``blocks`` blocks, in groups (band, p, q)."""
+    dealt = (rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .select("band", F.least("own", "with").alias("p"), F.greatest("own", "with").alias("q"), "own", "number", "node", "leader",
                      "root", "sketch", *extra))
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return dealt.repartition(parts, "band", "p", "q").sortWithinPartitions("band", "p", "q")
 
 
+def _block(blocks: Column) -> Column:
+    return F.pmod(F.xxhash64("node"), blocks).cast("int")
+
+
 def _partners(group: pa.Table, bands: int, width: int, num: int, den: int, size: np.ndarray,
               open_pairs: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
     """(i, places behind i) of the likely pairs of a group, each in the first band where its pair meets.
@@ -241,7 +247,8 @@ def _likely(buckets: DataFrame, classes: DataFrame, bands: int, width: int, num:
     """What the registers do not rule out in the buckets (band, number, node, leader, blocks), their leaders included: (band, node) of
     members with a likely partner, and (a, b) of members that are likely linked with the leader a. The other columns are null."""
     members = buckets.unionByName(buckets.withColumn("node", F.col("leader")).distinct())
-    candidates = members.join(classes.select("node", "n_shingles", "sketch"), "node").withColumn("root", F.col("node"))
+    candidates = members.join(classes.select("node", "n_shingles", "sketch"), "node").withColumn(
+        "root", F.col("node")).withColumn("own", _block(F.col("blocks")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _grouped(batches):
@@ -272,6 +279,61 @@ def _likely(buckets: DataFrame, classes: DataFrame, bands: int, width: int, num:
     return _dealt(candidates, "n_shingles").mapInArrow(run, "band long, node long, a long, b long")
 
 
+def _lone(sets: DataFrame) -> DataFrame:
+    """(node, lone): how many items of the sets (node, items) no other of them holds; nodes without such items are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, items in zip(batch.column("node"), batch.column("items")):
+                held = np.frombuffer(items.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(np.full(len(held), node.as_py(), np.int64))], ["item", "node"])
+
+    holders = sets.select("node", "items").mapInArrow(run, "item long, node long").groupBy("item").agg(
+        F.count("*").alias("holders"), F.min("node").alias("node"))
+    return holders.where("holders = 1").groupBy("node").agg(F.count("*").alias("lone"))
+
+
+def _mixed(members: DataFrame) -> DataFrame:
+    """The rows of ``members`` in buckets with several components."""
+    several = members.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+    return members.join(several.select("band"), "band")
+
+
+def _linkable(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """``members`` without those that cannot have a link in their bucket, with ``lone``.
+
+    An intersection holds at most the items of a set that other members have. It must reach num / (num + den) of both sizes together,
+    and the other size is at least num / den of the own one and the least of the bucket.
+    """
+    held = members.join(_lone(sets.join(members.select("node").distinct(), "node")), "node", "left").withColumn("lone", F.coalesce("lone", F.lit(0)))
+    held = held.join(members.groupBy("band").agg(F.min("n_shingles").alias("least")), "band")
+    return held.where(f"{den} * (n_shingles - lone) >= {num} * n_shingles AND {num + den} * (n_shingles - lone) >= {num} * (n_shingles + least)").drop("least")
+
+
+def _with_roots(members: DataFrame, roots: DataFrame) -> DataFrame:
+    return members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _central(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members and the most central one of their bucket, where they are in different components."""
+    hubs = members.groupBy("band").agg(F.min_by(F.struct("node", "root"), F.struct(F.col("lone") / F.col("n_shingles"), "node")).alias("hub"))
+    return members.join(hubs, "band").where("root <> hub.root").select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
+
+
+def _in_blocks(members: DataFrame) -> DataFrame:
+    """``members`` with their block and how many blocks they meet: the first ones hold what is outside a bucket's largest component and
+    meet all, the others hold that component and meet the first ones only."""
+    counted = members.groupBy("band", "root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("items"))
+    largest = counted.groupBy("band").agg(F.max(F.struct("n", "items", "root")).alias("main"), F.sum("n").alias("n"), F.sum("items").alias("items"))
+    blocks = lambda n, items: F.greatest(F.ceil(n / F.lit(BLOCK)), F.ceil(items * 8 / F.lit(BLOCK_BYTES)), F.lit(1)).cast("int")
+    largest = largest.select("band", F.col("main.root").alias("main"), blocks(F.col("main.n"), F.col("main.items")).alias("inside"),
+                             blocks(F.col("n") - F.col("main.n"), F.col("items") - F.col("main.items")).alias("outside"))
+    main, inside, outside = F.col("root") == F.col("main"), F.col("inside"), F.col("outside")
+    return members.join(largest, "band").withColumns({
+        "own": F.when(main, outside + _block(inside)).otherwise(_block(outside)),
+        "blocks": F.when(main, outside).otherwise(outside + inside)}).drop("main", "inside", "outside")
+
+
 def _across(buckets: DataFrame, flagged: DataFrame, classes: DataFrame, sets: DataFrame, roots: DataFrame, bands: int, width: int,
             num: int, den: int) -> DataFrame:
     """Confirmed links (a, b) between components that share a bucket: enough of them to join what belongs together.
@@ -279,13 +341,13 @@ def _across(buckets: DataFrame, flagged: DataFrame, classes: DataFrame, sets: Da
     Only members with a likely partner (``flagged``) meet again, with their full sets. A pair is passed over while a chain of links
     already joins it, so a task gives out fewer links than it has members.
     """
-    members = flagged.join(buckets.select("band", "number", "leader").distinct(), "band")
-    members = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(
-        classes.select("node", "n_shingles", "sketch"), "node")
-    blocks = F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("n_shingles") * 8 / F.lit(BLOCK_BYTES)))
-    members = cut(members)
-    mixed = members.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), blocks.cast("int").alias("blocks"))
-    checked = members.join(mixed.where("lo < hi").select("band", "blocks"), "band").join(sets, "node")
+    members = _with_roots(flagged, roots).join(classes.select("node", "n_shingles"), "node")
+    members = cut(_linkable(cut(_mixed(members)), sets, num, den))
+    stars = cut(_confirmed(_central(members), sets, num, den))
+    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(stars))
+    apart = cut(_mixed(_with_roots(members.drop("root"), roots)))
+    checked = (_in_blocks(apart).join(buckets.select("band", "number", "leader").distinct(), "band")
+               .join(classes.select("node", "sketch"), "node").join(sets, "node"))
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _grouped(batches):
@@ -302,7 +364,7 @@ def _across(buckets: DataFrame, flagged: DataFrame, classes: DataFrame, sets: Da
                 pairs = np.array(found, np.int64)
                 yield _pairs(pairs[:, 0], pairs[:, 1])
 
-    return _dealt(checked, "items").mapInArrow(confirm, "a long, b long").distinct()
+    return stars.unionByName(_dealt(checked, "items").mapInArrow(confirm, "a long, b long").distinct())
 
 
 def similar(left: np.ndarray, right: np.ndarray, num: int, den: int) -> bool:
