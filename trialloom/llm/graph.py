@@ -13,25 +13,27 @@ BROADCAST_IDS = 1 << 20
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of all nodes in ``links`` (a, b): root is the smallest node reachable.
 
-    Large-star and small-star steps in turn until nothing changes; every step is a minimum per node and an equi-join.
+    Large-star and small-star steps in turn until the links are stars; every step is a minimum per node and an equi-join.
     """
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = None
-    while True:
+    while not _are_stars(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = cut(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
         lower = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(lower, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = cut(moved.unionByName(lower.select("a", F.col("m").alias("b"))).distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node of ``edges`` (a, b), b < a, is either the centre of a star or has one link, to a centre."""
+    ends = edges.select("a", F.lit(1).alias("up")).unionByName(edges.select(F.col("b").alias("a"), F.lit(None).cast("int").alias("up")))
+    many = ends.groupBy("a").agg(F.count("up").alias("ups"), F.count("*").alias("n")).where("ups > 0 AND n > 1")
+    return many.isEmpty()
+
+
 def join_counted(rows: DataFrame, keyed: DataFrame, key: str, count: str) -> DataFrame:
     """``rows`` left-joined with ``keyed`` on ``key``, where ``count`` says how many rows a key has.
 

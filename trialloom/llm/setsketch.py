@@ -10,12 +10,12 @@ sizes the similarity is estimated by likelihood; what may reach the threshold is
 2. The classes of a band's bucket meet with their registers alone. A bucket is dealt into blocks of bounded size and pairs of
    blocks go to separate tasks, which tell the likely links with the bucket's first class and the members that have another likely
    partner; most meet by chance and have none. Only the sets of what is likely are read from the texts.
-3. Links with first classes are confirmed on the full sets and give components.
-4. In buckets whose flagged members are in several components, a member leaves if too many of its shingles are held by no other of
+3. Links with first classes are confirmed on the full sets and give parts of components.
+4. In buckets whose flagged members are in several parts, a member leaves if too many of its shingles are held by no other of
    these members to reach the threshold with a set of the bucket's sizes: it has no link there. The rest is linked with the bucket's
    most central member, the one with the least share of such shingles. What is still apart meets once more, with full sets: members outside a
-   bucket's largest component with all others, those inside it not with each other. A link is given out only if it joins two
-   components. No group's pairs are ever listed, and no link is left out.
+   bucket's largest part with all others, those inside it not with each other. A link is given out only if it joins two
+   parts. No group's pairs are ever listed, and no link is left out.
 5. Components of all confirmed links; a document's component is the smallest doc_id in it.
 
 Bands are set so that a pair at the threshold shares no bucket with a chance under ``MISS``; the likelihood test
@@ -314,6 +314,17 @@ def _with_roots(members: DataFrame, roots: DataFrame) -> DataFrame:
     return members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
+def _labels(links: DataFrame) -> DataFrame:
+    """(node, root) of the nodes in ``links`` (a, b): the node three steps down, each to the least neighbour. Nodes of one root
+    are in one component; nodes of a component may have several roots."""
+    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = cut(ends.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("b")))
+    steps = least
+    for _ in range(2):
+        steps = steps.join(least.select(F.col("a").alias("b"), F.col("b").alias("next")), "b").select("a", F.col("next").alias("b"))
+    return steps.toDF("node", "root")
+
+
 def _central(members: DataFrame) -> DataFrame:
     """Pairs (a, b) of members and the most central one of their bucket, where they are in different components."""
     hubs = members.groupBy("band").agg(F.min_by(F.struct("node", "root"), F.struct(F.col("lone") / F.col("n_shingles"), "node")).alias("hub"))
@@ -344,8 +355,8 @@ def _across(buckets: DataFrame, flagged: DataFrame, classes: DataFrame, sets: Da
     members = _with_roots(flagged, roots).join(classes.select("node", "n_shingles"), "node")
     members = cut(_linkable(cut(_mixed(members)), sets, num, den))
     stars = cut(_confirmed(_central(members), sets, num, den))
-    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(stars))
-    apart = cut(_mixed(_with_roots(members.drop("root"), roots)))
+    joined = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(stars)
+    apart = cut(_mixed(_with_roots(members.drop("root"), _labels(joined))))
     checked = (_in_blocks(apart).join(buckets.select("band", "number", "leader").distinct(), "band")
                .join(classes.select("node", "sketch"), "node").join(sets, "node"))
 
@@ -398,9 +409,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100)
     flagged, stars = likely.where("a IS NULL").select("band", "node").distinct(), likely.where("a IS NOT NULL").select("a", "b").distinct()
     near = flagged.select("node").unionByName(stars.select(F.col("a").alias("node"))).unionByName(stars.select(F.col("b").alias("node")))
     sets = cut(_shingle_table(docs, classes, near, k))
-    roots = components(cut(_confirmed(stars, sets, num, den)))
-    more = cut(_across(buckets, flagged, classes, sets, roots, bands, width, num, den))
-    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    stars = cut(_confirmed(stars, sets, num, den))
+    more = cut(_across(buckets, flagged, classes, sets, _labels(stars), bands, width, num, den))
+    roots = components(stars.unionByName(more))
 
     rooted = cut(classes.select("node", "digest", "first_id", "copies").join(roots, "node", "left")
                  .withColumn("root", F.coalesce("root", "node")))
