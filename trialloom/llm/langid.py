@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from trialloom.llm.training import held_out, sample_order
 from trialloom.llm.words import LETTERS, find_words, mix, slices
-from trialloom.session import cut
+from trialloom.session import cut, in_small_batches
 
 MAX_TRAIN = 40_000
 MAX_WORDS = 200_000
@@ -55,7 +55,7 @@ def count_words(labelled: DataFrame) -> DataFrame:
                 langs.dictionary.take(pa.array(codes[first].astype(np.int64))),
                 pa.array([found.text(i) for i in first], pa.binary()), pa.array(counts, pa.int64())], ["lang", "word", "n"])
 
-    counted = labelled.select("text", "lang").mapInArrow(per_batch, "lang string, word binary, n long")
+    counted = in_small_batches(labelled.select("text", "lang")).mapInArrow(per_batch, "lang string, word binary, n long")
     return counted.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
@@ -224,7 +224,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 [part.column("doc_id"), pa.array(labels, pa.string()), pa.array(scores, pa.float64())],
                 ["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, lang_pred string, score double")
+    return in_small_batches(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {id_type}, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.0) -> DataFrame:
@@ -240,7 +240,7 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.0) -> DataFr
             kept = np.array([label != UNKNOWN for label in labels]) & (scores >= least)
             yield part.filter(pa.array(kept))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def training_rows(docs: DataFrame) -> DataFrame:

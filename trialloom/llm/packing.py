@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from trialloom.llm.words import ALNUM, VISIBLE, Words, find_words, slices
-from trialloom.session import cut
+from trialloom.session import cut, in_small_batches
 
 CAPACITY = 2048
 END_ID = 0
@@ -242,7 +242,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY,
                 columns.append(pa.array(kept, pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][:len(columns)])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return in_small_batches(docs.select("doc_id", "text")).mapInArrow(run, schema)
 
 
 def ranked(pieces: DataFrame) -> DataFrame:

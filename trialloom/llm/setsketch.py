@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from trialloom.llm.graph import components, join_counted, with_ids
 from trialloom.llm.words import VISIBLE, find_words, grams, mix, slices
-from trialloom.session import cut
+from trialloom.session import cut, in_small_batches
 
 BASE = 1.1
 RATE = 20.0
@@ -132,7 +132,7 @@ def signatures(docs: DataFrame, k: int, m: int) -> DataFrame:
                 pa.array([registers(s, m).tobytes() if len(s) else None for s in sets], pa.binary()),
             ], ["doc_id", "n_shingles", "digest", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, digest binary, sketch binary")
+    return in_small_batches(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {kind}, n_shingles long, digest binary, sketch binary")
 
 
 def _digest(items: np.ndarray) -> bytes | None:
@@ -173,7 +173,7 @@ def _shingle_table(docs: DataFrame, classes: DataFrame, nodes: DataFrame, k: int
                 pa.array([s.tobytes() for s in sets], pa.binary())], ["digest", "items"])
 
     # one row per digest first: the join then finds the sets where they are, and they move once
-    sets = texts.mapInArrow(run, "digest binary, items binary").dropDuplicates(["digest"])
+    sets = in_small_batches(texts).mapInArrow(run, "digest binary, items binary").dropDuplicates(["digest"])
     return sets.join(wanted.select("node", "digest").hint("merge"), "digest").select("node", "items")
 
 
@@ -188,7 +188,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFra
                   for x, y in zip(batch.column("items_a"), batch.column("items_b"))]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return joined.select("a", "b", "items_a", "items_b").mapInArrow(run, "a long, b long")
+    return in_small_batches(joined.select("a", "b", "items_a", "items_b")).mapInArrow(run, "a long, b long")
 
 
 def _dealt(rows: DataFrame, *extra: str) -> DataFrame:
@@ -198,7 +198,7 @@ def _dealt(rows: DataFrame, *extra: str) -> DataFrame:
              .select("band", F.least("own", "with").alias("p"), F.greatest("own", "with").alias("q"), "own", "number", "node", "leader",
                      "root", "sketch", *extra))
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(parts, "band", "p", "q").sortWithinPartitions("band", "p", "q")
+    return in_small_batches(dealt.repartition(parts, "band", "p", "q").sortWithinPartitions("band", "p", "q"))
 
 
 def _block(blocks: Column) -> Column:
@@ -288,7 +288,7 @@ def _lone(sets: DataFrame) -> DataFrame:
                 held = np.frombuffer(items.as_buffer(), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(np.full(len(held), node.as_py(), np.int64))], ["item", "node"])
 
-    holders = sets.select("node", "items").mapInArrow(run, "item long, node long").groupBy("item").agg(
+    holders = in_small_batches(sets.select("node", "items")).mapInArrow(run, "item long, node long").groupBy("item").agg(
         F.count("*").alias("holders"), F.min("node").alias("node"))
     return holders.where("holders = 1").groupBy("node").agg(F.count("*").alias("lone"))
 
