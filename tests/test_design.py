@@ -1,12 +1,15 @@
 """Pools, donors, splits and plans against brute force, on skewed fixtures."""
 
 import hashlib
+import re
+import time
 from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
 from trialloom.operators import batches, pools, ranking, reshape, splits
+from trialloom.session import cut
 
 RING = 1 << 60
 
@@ -220,6 +223,84 @@ def test_epoch_plans_send_nothing_that_grows_to_the_driver(spark):
     assert sorted(degrees.collect()) == sorted(listed.select(*degrees.columns).collect())
 
 
+def brute_plan(rows, epochs, seed):
+    """The plan as the SQL has it: fit rows (fold, task, group, text, trial); rows without a key take part and are not listed."""
+    null = lambda v: (v is not None, v if v is not None else 0)
+    joined = lambda *parts: "\x1f".join(str(p) for p in parts if p is not None)
+    draw = lambda *parts: int(hashlib.md5(joined(*parts).encode()).hexdigest()[:15], 16)
+    sha = lambda *parts: int(hashlib.sha256(joined(*parts).encode()).hexdigest()[:15], 16)
+    trials = defaultdict(list)
+    for fold, task, group, text, trial in rows:
+        trials[fold, task, group, text].append((sha(seed, trial, "turn"), trial))
+    out = []
+    for epoch in range(epochs):
+        owner = {}
+        for fold, task, group, text in trials:
+            vote = (draw(seed, epoch, text, task, group), null(task), null(group), (fold, task, group, text))
+            owner[fold, text] = min(owner.get((fold, text), vote), vote)
+        cells = defaultdict(list)
+        for *_, key in owner.values():
+            cells[key[:3]].append((sha(seed, epoch, key[3], "epoch-order"), null(key[3]), key))
+        batches_of = defaultdict(int)
+        for cell, texts in cells.items():
+            batches_of[cell[0]] = max(batches_of[cell[0]], -(-sum(len(trials[key]) for *_, key in texts) // 16))
+        for cell, texts in cells.items():
+            for place, (*_, key) in enumerate(sorted(texts)):
+                if None in key:
+                    continue
+                turns = [trial for _, trial in sorted(trials[key])]
+                for use, slot in enumerate(range(place, batches_of[cell[0]] * 16, len(texts))):
+                    out.append((cell[0], epoch, *cell[1:], slot // 16, slot % 16, key[3], turns[(use + epoch) % len(turns)]))
+    return out
+
+
+def test_epoch_plan_equals_brute_force_however_the_rings_are_cut(spark, monkeypatch):
+    """One text in all cells, one with most trials, one cell with few texts, rows that repeat and rows without a key."""
+    rows = []
+    for fold in (0, 1):
+        for i in range(150):
+            rows.append((fold, "NR" if i % 3 else "TSR", i % 2, text_key(i % 61), f"t{i % 140:03d}"))
+        rows += [(fold, task, group, text_key(900), f"u{task}{group}{i}") for task in ("NR", "TSR") for group in (0, 1) for i in range(3)]
+        rows += [(fold, "NR", 0, text_key(901), f"v{i:03d}") for i in range(200 * fold)]
+        rows += [(fold, "SR", 0, text_key(902), "w0"), (fold, "SR", 0, text_key(902), "w1")]
+        rows += [(fold, "NR", None, text_key(3), "n0"), (fold, "NR", 1, None, "n1"), (fold, None, 0, text_key(903), "n2")]
+    df = spark.createDataFrame(rows, "outer_fold int, reading_task string, pseudo_group int, text_key string, trial_id string")
+    want = Counter(brute_plan(rows, 3, 7))
+    for texts in (4, 16384):
+        monkeypatch.setattr(batches, "PIECE_TEXTS", texts)
+        plan = batches.epoch_plan(df.withColumn("role", F.lit("fit")).repartition(5), 3, 7)
+        assert Counter(map(tuple, plan.collect())) == want
+
+
+def moved(df):
+    """The columns that each exchange of the plan moves."""
+    text = df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted").split("== Initial Plan ==")[0]
+    nodes = re.findall(r"\(\d+\) Exchange\n.*?Input \[\d+\]: \[([^\n]*)\]", text)
+    return [{re.sub(r"#\d+L?$", "", c) for c in node.split(", ")} for node in nodes]
+
+
+def test_epochs_multiply_no_keys_that_move(spark):
+    found = moved(batches.epoch_plan(fold_rows(spark), 2, 7))
+    assert any("epoch" in columns for columns in found)
+    assert not [columns for columns in found if "epoch" in columns and columns & {"text_key", "trial_id", "reading_task"}]
+
+
+def test_files_of_a_shuffle_go_with_the_write(spark):
+    files = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")
+    shuffles = lambda: set(re.findall(r"/shuffle_(\d+)", files()))
+    before = shuffles()
+    kept = spark.range(1000).repartition(3, "id")
+    assert len(kept.collect()) == 1000 and len(shuffles() - before) == 1
+    before |= shuffles()
+    written = cut(spark.range(1000).repartition(3, "id"))
+    for _ in range(50):
+        if not shuffles() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffles() - before
+    assert sorted(r.id for r in written.collect()) == list(range(1000))
+
+
 def test_a_short_batch_is_a_ring_of_its_own(spark):
     plan = spark.createDataFrame([(0, 0, 0, f"t{i}") for i in range(5)] + [(0, 0, 1, "u")], "outer_fold int, epoch int, batch long, trial_id string")
     got = batches.hash_negatives(plan, 3, 1, "d").collect()
