@@ -301,6 +301,11 @@ def test_files_of_a_shuffle_go_with_the_write(spark):
     assert sorted(r.id for r in written.collect()) == list(range(1000))
 
 
+def test_rings_move_row_by_row(spark):
+    plan = spark.createDataFrame([(0, 0, i % 2, f"t{i}") for i in range(9)], "outer_fold int, epoch int, batch long, trial_id string")
+    assert moved(batches.hash_negatives(plan, 3, 1, "d")) == [{"outer_fold", "epoch", "batch", "trial_id"}]
+
+
 def test_a_short_batch_is_a_ring_of_its_own(spark):
     plan = spark.createDataFrame([(0, 0, 0, f"t{i}") for i in range(5)] + [(0, 0, 1, "u")], "outer_fold int, epoch int, batch long, trial_id string")
     got = batches.hash_negatives(plan, 3, 1, "d").collect()
