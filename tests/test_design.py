@@ -301,6 +301,45 @@ def test_files_of_a_shuffle_go_with_the_write(spark):
     assert sorted(r.id for r in written.collect()) == list(range(1000))
 
 
+PLAN_ROWS = "outer_fold int, epoch int, batch long, reading_task string, pseudo_group int, text_key string, trial_id string"
+
+
+def odd_plan():
+    """A plan with batches of any size, repeated rows, rows of no fit row and missing keys."""
+    pick = lambda i, salt, of: ring(i, salt) % of
+    gap = lambda i, salt, value: None if ring(i, salt, "gap") % 17 == 0 else value
+    return [(gap(i, "f", pick(i, "f", 2)), gap(i, "e", pick(i, "e", 3)), gap(i, "b", pick(i, "b", 3)), gap(i, "t", "NR TSR".split()[pick(i, "t", 2)]),
+             gap(i, "g", pick(i, "g", 2)), gap(i, "x", f"x{pick(i, 'x', 12)}"), gap(i, "r", f"t{pick(i, 'r', 30)}")) for i in range(500)]
+
+
+def test_violations_count_by_text_and_move_no_text(spark):
+    rows = odd_plan() + [(5, 0, 0, task, group, f"y{i}{k if k < 2 else 0}", "t") for k, (task, group) in enumerate(
+        [("NR", 0), ("NR", 1), ("TSR", 0), ("TSR", 1)]) for i in range(16)]  # a batch of the right size with texts in two cells
+    want = {}
+    for key in {r[:3] for r in rows if None not in r[:3]}:
+        batch = [r for r in rows if r[:3] == key]
+        cells, texts = Counter(r[3:5] for r in batch), Counter(r[5] for r in batch)
+        want[key] = (len(batch), min(cells.values()), max(cells.values()), len(cells), max(texts.values()))
+    found = batches.plan_violations(spark.createDataFrame(rows, PLAN_ROWS))
+    assert {tuple(r[:3]): tuple(r[3:]) for r in found.collect()} == want
+    assert want[5, 0, 0] == (64, 16, 16, 4, 3)
+    assert not [columns for columns in moved(found) if "text_key" in columns]
+
+
+def test_hashes_that_meet_are_told_apart(spark, monkeypatch):
+    whole, salts = F.xxhash64, []
+
+    def poor(salt, *parts):
+        salts.append(salt)
+        return whole(salt, *parts) if len(salts) > 2 else F.pmod(whole(salt, *parts), F.lit(7))
+
+    values = spark.createDataFrame([(f"x{i}", None if i % 5 == 0 else i % 3) for i in range(60)] + [(None, 1), (None, None), ("x1", 1)], "a string, b int")
+    monkeypatch.setattr(batches.F, "xxhash64", poor)
+    hashed, known = batches._short(values, ["a", "b"])
+    assert len(salts) == 3
+    assert known.select(hashed.alias("h")).distinct().count() == values.distinct().count() == known.count()
+
+
 def test_rings_move_row_by_row(spark):
     plan = spark.createDataFrame([(0, 0, i % 2, f"t{i}") for i in range(9)], "outer_fold int, epoch int, batch long, trial_id string")
     assert moved(batches.hash_negatives(plan, 3, 1, "d")) == [{"outer_fold", "epoch", "batch", "trial_id"}]
