@@ -340,6 +340,38 @@ def test_hashes_that_meet_are_told_apart(spark, monkeypatch):
     assert known.select(hashed.alias("h")).distinct().count() == values.distinct().count() == known.count()
 
 
+def test_exposure_audit_equals_brute_force_and_multiplies_no_fit_rows(spark):
+    plan = odd_plan()
+    fit = [(f, task, g, f"x{ring(i, 'x') % 14}" if i % 19 else None, f"t{ring(i, 'r') % 32}", "fit" if i % 7 else "checkpoint")
+           for i, (f, task, g) in enumerate((f, task, g) for f in (0, 1, 2, None) for task in ("NR", "TSR", "SR") for g in (0, 1, None) for _ in range(12))]
+    own = {r[:5] for r in fit if r[5] == "fit" and r[0] is not None}
+    uses = Counter((*r[:2], *r[3:]) for r in plan)
+    want = {}
+    cells = {(f, e, *r[1:3]) for r in own for f, e in {r[:2] for r in plan} if f == r[0]} | {(r[0], r[1], r[3], r[4]) for r in plan}
+    for f, e, task, g in cells:
+        rows = {r: 0 for r in own if r[:3] == (f, task, g)}
+        texts, foreign = defaultdict(int), 0
+        for (f2, e2, task2, g2, text, trial), n in uses.items():
+            if (f2, e2, task2, g2) == (f, e, task, g):
+                texts[text] += n
+                if None not in (f, e, task, g, text, trial) and (f, task, g, text, trial) in rows:
+                    rows[f, task, g, text, trial] += n
+                else:
+                    foreign += n
+        per = defaultdict(list)
+        for r, n in rows.items():
+            per[r[3]].append(n)
+        all_uses = [texts.get(text, 0) for text in per]
+        low, high = (min(all_uses), max(all_uses)) if per else (None, None)
+        want[f, e, task, g] = (len(rows), len(per), sum(texts.values()), low, high, high - low if per else None,
+                               max(max(n) - min(n) for n in per.values()) if per else None,
+                               sum(n == 0 for n in rows.values()), sum(n == 0 for n in all_uses), foreign)
+    got = batches.exposure_audit(spark.createDataFrame(plan, PLAN_ROWS),
+                                 spark.createDataFrame(fit, "outer_fold int, reading_task string, pseudo_group int, text_key string, trial_id string, role string"))
+    assert {tuple(r[:4]): tuple(r[4:]) for r in got.collect()} == want
+    assert not [columns for columns in moved(got) if "epoch" in columns and columns & {"text_key", "trial_id"}]
+
+
 def test_rings_move_row_by_row(spark):
     plan = spark.createDataFrame([(0, 0, i % 2, f"t{i}") for i in range(9)], "outer_fold int, epoch int, batch long, trial_id string")
     assert moved(batches.hash_negatives(plan, 3, 1, "d")) == [{"outer_fold", "epoch", "batch", "trial_id"}]
