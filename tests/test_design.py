@@ -6,7 +6,7 @@ import time
 from collections import Counter, defaultdict
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from trialloom.operators import batches, pools, ranking, reshape, splits
 from trialloom.session import cut
@@ -301,6 +301,18 @@ def test_files_of_a_shuffle_go_with_the_write(spark):
     assert sorted(r.id for r in written.collect()) == list(range(1000))
 
 
+def test_a_written_plan_has_each_text_in_one_place(spark):
+    """Its file then holds a key once, not once for each of its slots: what the audits and masks read is small."""
+    plan = cut(batches.epoch_plan(fold_rows(spark).repartition(3, "trial_id"), 8, 7))
+    order = Window.partitionBy("part").orderBy("at")
+    lined = plan.select(F.input_file_name().alias("part"), F.monotonically_increasing_id().alias("at"), "text_key")
+    begins = lined.withColumn("last", F.lag("text_key").over(order)).where("last IS NULL OR last <> text_key").count()
+    assert begins == plan.select("text_key").distinct().count()
+    degrees = batches.mask_degrees(plan, "reading_task")
+    assert moved(degrees) == [{"outer_fold", "epoch", "batch", "reading_task", "anchor"}]
+    assert {r.degree for r in degrees.collect()} == {32}
+
+
 PLAN_ROWS = "outer_fold int, epoch int, batch long, reading_task string, pseudo_group int, text_key string, trial_id string"
 
 
